@@ -8,6 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import ngram_join
+
+    return ngram_join.jaccard_components(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import langid
 
@@ -17,6 +23,7 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op9_language_id": op9_language_id,
 }
 
