@@ -33,7 +33,8 @@ from .textbytes import Spans, mix, pieces, utf8
 WORDS = 5
 FREQUENT = 100_000  # rows of the table of the most frequent shingles
 BUFFER = 1 << 20  # shingles that are counted together before the shuffle
-SMALL_IDS = 1_000_000  # up to so many ids (8 MB) are broadcast to filter texts; beyond, a shuffled join does it
+SMALL_PAIRS = 300_000  # up to so many pairs (20 MB) are broadcast to pick texts; beyond, a shuffled join does it
+SHARES = 16
 BLOCK = 32
 FACTORS = (mix(np.arange(1, 9, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))) | np.uint64(1)
 FOLD = np.arange(256, dtype=np.uint8)
@@ -158,20 +159,6 @@ def prefixes(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null").mapInArrow(run, "doc_id long, n long, prefix array<long>")
 
 
-def full_sets(docs: DataFrame) -> DataFrame:
-    """(doc_id, members): the sorted shingle hashes of each set."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, offs = utf8(batch.column(1))
-            for lo, hi in pieces(offs):
-                hashes, bounds = shingle_sets(data, offs[lo : hi + 1])
-                lists = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(hashes.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), lists], ["doc_id", "members"])
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, members array<long>")
-
-
 def listed(postings: DataFrame) -> DataFrame:
     """Keeps postings of lists with two or more sets, each with the leader of its size class in the list.
 
@@ -207,31 +194,50 @@ def listed(postings: DataFrame) -> DataFrame:
     return sorted_.select(*names).mapInArrow(run, "shingle long, doc_id long, n long, pos long, leader long, leader_n long, leader_pos long")
 
 
-def compare(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """pairs (a, b) -> (a, b, n_a, n_b, overlap)."""
+def compare(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """pairs (a, b) -> (a, b, n_a, n_b, overlap). Each set of a pair travels once, to a share of b's pairs."""
+    wanted = save(pairs.where("a <> b").select("a", "b", F.pmod(F.xxhash64("a"), F.lit(SHARES)).alias("share")).distinct(), "pairs")
+    lead = wanted.select(F.col("b").alias("doc_id"), "b", "share").distinct().withColumn("a", F.lit(None).cast("long"))
+    trips = wanted.select(F.col("a").alias("doc_id"), "b", "share", "a").union(lead.select("doc_id", "b", "share", "a"))
+    small = wanted.count() <= SMALL_PAIRS
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offs = utf8(batch.column(3))
+            for lo, hi in pieces(offs):
+                hashes, bounds = shingle_sets(data, offs[lo : hi + 1])
+                lists = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(hashes.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(lo, hi - lo) for i in range(3)), lists], ["b", "share", "a", "members"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        leader = np.zeros(0, np.uint64)  # the set of the current b, whose row comes first
         for batch in batches:
-            left, right = batch.column(2), batch.column(3)
-            x, y = left.values.to_numpy(), right.values.to_numpy()
-            lo, ro = left.offsets.to_numpy(), right.offsets.to_numpy()
-            found = np.zeros(batch.num_rows, np.int64)
+            flat, bounds = batch.column(3).values.to_numpy().view(np.uint64), batch.column(3).offsets.to_numpy()
+            a, b = batch.column(2).to_pylist(), batch.column(0).to_pylist()
+            out: list[tuple] = []
             for i in range(batch.num_rows):
-                a, b = x[lo[i] : lo[i + 1]], y[ro[i] : ro[i + 1]]
-                if len(a) > len(b):
-                    a, b = b, a
-                if len(a):  # both are sorted as unsigned numbers
-                    a, b = a.view(np.uint64), b.view(np.uint64)
-                    at = np.searchsorted(b, a)
-                    at[at == len(b)] = 0
-                    found[i] = np.count_nonzero(b[at] == a)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.diff(lo).astype(np.int64)), pa.array(np.diff(ro).astype(np.int64)), pa.array(found)], ["a", "b", "n_a", "n_b", "overlap"])
-
-    left, right = sets.toDF("a", "members_a"), sets.toDF("b", "members_b")
-    return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "members_a", "members_b").mapInArrow(run, "a long, b long, n_a long, n_b long, overlap long")
+                own = flat[bounds[i] : bounds[i + 1]]
+                if a[i] is None:
+                    leader = own.copy()
+                    continue
+                x, y = (own, leader) if len(own) <= len(leader) else (leader, own)
+                at = np.searchsorted(y, x)
+                at[at == len(y)] = 0
+                out.append((a[i], b[i], len(own), len(leader), int(np.count_nonzero(y[at] == x)) if len(y) else 0))
+            columns = list(zip(*out)) if out else [()] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["a", "b", "n_a", "n_b", "overlap"])
+
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(trips) if small else trips, "doc_id").select("b", "share", "a", "text")
+    dealt = texts.mapInArrow(sets, "b long, share long, a long, members array<long>").repartition("b", "share").sortWithinPartitions("b", "share", F.asc_nulls_first("a"))
+    return dealt.mapInArrow(run, "a long, b long, n_a long, n_b long, overlap long").dropDuplicates(["a", "b"])
 
 
 LINKED = "100 * overlap >= 80 * (n_a + n_b - overlap)"
+#: An overlap of {0} at most can link sets of {1} and {2} shingles.
+REACHABLE = "9 * {0} >= 4 * ({1} + {2})"
+#: So can {0} common shingles of both prefixes: of the set whose prefix ends first, the rest of its prefix isn't in the
+#: other set. {1} and {2}: the least sizes, {3} and {4}: the largest.
+ENOUGH = "{0} + (80 * greatest({3}, {4}) + 99) div 100 - 1 >= (4 * ({1} + {2}) + 8) div 9"
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
@@ -247,22 +253,19 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     classed = save(rows.join(classes, sig, "left").select("doc_id", "n", F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id")).alias("rep")), "classes")
     reps = classed.where("doc_id = rep and n > 0").select("doc_id").distinct()
 
-    prefix = prefixes(docs, frequent).where("n > 0").join(reps, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    prefix = prefixes(docs, frequent).where("n > 0").join(reps, "doc_id", "left_semi")
     postings = prefix.select("doc_id", "n", F.posexplode("prefix").alias("pos", "shingle")).select("shingle", "n", "doc_id", F.col("pos").cast("long").alias("pos"))
     lists = save(listed(postings), "lists")
 
-    ids = save(lists.select("doc_id").distinct(), "ids")
-    few = ids.count() <= SMALL_IDS
-    texts = docs.select("doc_id", "text").join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
-    sets = save(full_sets(texts).dropDuplicates(["doc_id"]), "sets")
-
-    stars = lists.where("doc_id <> leader and 5 * leader_n >= 4 * n and 9 * least(n - pos, leader_n - leader_pos) >= 4 * (n + leader_n)")
-    stars = stars.groupBy("doc_id", "leader").agg(F.count("*").alias("shared")).groupBy("doc_id").agg(F.max_by("leader", F.struct("shared", -F.col("leader"))).alias("leader"))
-    tested = save(compare(stars.toDF("a", "b"), sets), "stars")
+    stars = lists.where("doc_id <> leader and 5 * leader_n >= 4 * n")
+    stars = stars.groupBy("doc_id", "leader", "n", "leader_n").agg(F.count("*").alias("shared")).where(ENOUGH.format("shared", "n", "leader_n", "n", "leader_n"))
+    stars = stars.groupBy("doc_id").agg(F.max_by("leader", F.struct("shared", -F.col("leader"))).alias("leader"))
+    tested = save(compare(stars.toDF("a", "b"), docs), "stars")
     linked = tested.where(LINKED).select(F.col("a").alias("doc_id"), F.col("b").alias("leader"), (1 - F.col("overlap") / (F.col("n_a") + F.col("n_b") - F.col("overlap"))).alias("far"))
     follows = linked.join(linked.select(F.col("doc_id").alias("leader")), "leader", "left_anti")  # a follower leads nobody
     first = save(components(linked.select(F.col("doc_id").alias("a"), F.col("leader").alias("b"))), "first")
 
+    ids = lists.select("doc_id").distinct()
     member = ids.join(follows, "doc_id", "left").join(first.toDF("doc_id", "component"), "doc_id", "left")
     member = save(member.select("doc_id", F.coalesce("leader", "doc_id").alias("cluster"), F.coalesce("far", F.lit(0.0)).alias("far"), F.coalesce("component", "doc_id").alias("component")), "members")
 
@@ -274,17 +277,23 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     blocks = entries.join(mixed, "shingle", "left_semi").withColumn("block", F.floor((by_position - 1) / BLOCK))
     blocks = save(blocks.groupBy("shingle", "block").agg(F.collect_list(F.struct("cluster", "component", "rest", "lo", "hi")).alias("items"), F.max("rest").alias("rest"), F.min("lo").alias("lo"), F.max("hi").alias("hi")), "blocks")
     b = blocks.select("shingle", *[F.col(c).alias(f"{c}_b") for c in ("block", "items", "rest", "lo", "hi")])
-    open_blocks = blocks.join(b, "shingle").where("block <= block_b and 9 * least(rest, rest_b) >= 4 * (lo + lo_b) and 5 * hi >= 4 * lo_b and 5 * hi_b >= 4 * lo")
-    fits = "x.component <> y.component and 9 * least(x.rest, y.rest) >= 4 * (x.lo + y.lo) and 5 * x.hi >= 4 * y.lo and 5 * y.hi >= 4 * x.lo and (block < block_b or x.cluster < y.cluster)"
+    open_blocks = blocks.join(b, "shingle").where("block <= block_b and " + REACHABLE.format("least(rest, rest_b)", "lo", "lo_b") + " and 5 * hi >= 4 * lo_b and 5 * hi_b >= 4 * lo")
+    fits = "x.component <> y.component and " + REACHABLE.format("least(x.rest, y.rest)", "x.lo", "y.lo") + " and 5 * x.hi >= 4 * y.lo and 5 * y.hi >= 4 * x.lo and (block < block_b or x.cluster < y.cluster)"
     pairs = open_blocks.select(F.expr(f"inline(flatten(transform(items, x -> transform(filter(items_b, y -> {fits}), y -> struct(least(x.cluster, y.cluster) as a, greatest(x.cluster, y.cluster) as b)))))"))
-    answers = save(compare(pairs.distinct(), sets), "answers")
+    pairs = save(pairs.distinct(), "candidates")
+    side = entries.select("shingle", "cluster", "lo", "hi")
+    met = pairs.join(side.toDF("shingle", "a", "lo", "hi"), "a").join(side.toDF("shingle", "b", "lo_b", "hi_b"), ["b", "shingle"])
+    met = met.groupBy("a", "b").agg(F.count("*").alias("shared"), F.min("lo").alias("lo"), F.min("lo_b").alias("lo_b"), F.max(F.greatest("hi", "hi_b")).alias("hi"))
+    pairs = met.where(ENOUGH.format("shared", "lo", "lo_b", "hi", "hi"))
+    answers = save(compare(pairs.select("a", "b"), docs), "answers")
 
     radius = member.groupBy("cluster").agg(F.max("far").alias("radius"))
     unsure = answers.where(f"not ({LINKED})").withColumn("apart", 1 - F.col("overlap") / (F.col("n_a") + F.col("n_b") - F.col("overlap")))
     unsure = unsure.join(radius.toDF("a", "radius_a"), "a").join(radius.toDF("b", "radius_b"), "b").where("apart - radius_a - radius_b <= 0.2 + 1e-9 and radius_a + radius_b > 0")
     own = member.select("cluster", "doc_id", "far")
     derived = unsure.select("a", "b", "apart").join(own.toDF("a", "x", "far_x"), "a").where("apart - far_x <= 1").join(own.toDF("b", "y", "far_y"), "b").where("apart - far_x - far_y <= 0.2 + 1e-9 and (x <> a or y <> b)")
-    late = save(compare(derived.select(F.col("x").alias("a"), F.col("y").alias("b")).distinct(), sets), "derived")
+    derived = save(derived.select(F.col("x").alias("a"), F.col("y").alias("b")).distinct(), "derived")
+    late = derived.selectExpr("a", "b", "0L as n_a", "0L as n_b", "0L as overlap").limit(0) if derived.isEmpty() else save(compare(derived, docs), "late")
     more = answers.where(LINKED).select("a", "b").union(late.where(LINKED).select("a", "b"))
     if more.isEmpty():
         final = first
