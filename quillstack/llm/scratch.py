@@ -23,9 +23,20 @@ def scratch_dir(spark: SparkSession) -> str:
     return folder
 
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def save(df: DataFrame, name: str) -> DataFrame:
-    """Writes a table to the shared folder and reads it back: it cuts the lineage, and a lost executor loses nothing."""
+    """Writes a table to the shared folder and reads it back: it cuts the lineage, and a lost executor loses nothing.
+
+    The shuffle files that made the table are removed as soon as it is written.
+    """
     spark = df.sparkSession
     path = f"{scratch_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
