@@ -30,8 +30,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts strings that an earlier document holds, in whole characters; documents of which no word is left go."""
     cut = suffix_dedup.remove_repeats(docs, characters=True)
-    text = F.when(F.col("n_removed") > 0, F.col("kept").cast("string")).otherwise(F.col("text"))
-    rest = cut.where((F.col("n_removed") == 0) | F.col("kept").cast("string").rlike("[^\\x20\\x09-\\x0D]")).withColumn("text", text)
+    rest = cut.where((F.col("n_removed") == 0) | F.col("text").rlike("[^\\x20\\x09-\\x0D]"))
     return rest.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))).select(*docs.columns)
 
 

@@ -24,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -119,8 +120,8 @@ def shared_keys(keys: DataFrame) -> DataFrame:
     return keys.repartition("key").sortWithinPartitions("key", "id").mapInArrow(run, "key long, id long, mark long")
 
 
-def cut_strips(texts: DataFrame, keys: DataFrame) -> DataFrame:
-    """(id, mark, key, hash, start, size, strip) for each strip whose key is among its text's shared keys."""
+def strip_places(texts: DataFrame, keys: DataFrame) -> DataFrame:
+    """(id, mark, key, hash, start, size) for each strip whose key is among its text's shared keys; hash: of its bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -130,21 +131,39 @@ def cut_strips(texts: DataFrame, keys: DataFrame) -> DataFrame:
             flat, bounds = wanted.values.to_numpy().view(np.uint64), wanted.offsets.to_numpy()
             for lo, hi in pieces(offs):
                 doc, first, windows, key = strips(data, offs[lo : hi + 1])
-                spans = Spans(data[offs[lo] : offs[hi]])
                 keep = np.isin(key, flat[bounds[lo] : bounds[hi]])  # keys are the same for equal bytes, whatever the document
                 doc, first, windows, key = doc[keep], first[keep], windows[keep], key[keep]
                 size = windows + MATCH - 1
+                hashes = Spans(data[offs[lo] : offs[hi]]).of(first, first + size)
                 start = first - (offs[lo:hi][doc] - offs[lo])
-                base = offs[lo]
-                at = np.repeat(base + first - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum()) if len(size) else np.zeros(0, np.int64)
-                raw = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(np.concatenate([[0], np.cumsum(size)]).astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data[at]))])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids[doc + lo]), pa.array(marks[doc + lo]), pa.array(key.view(np.int64)), pa.array(spans.of(first, first + size).view(np.int64)), pa.array(start.astype(np.int64)), pa.array(size.astype(np.int64)), raw.cast(pa.binary())],
-                    ["id", "mark", "key", "hash", "start", "size", "strip"],
-                )
+                arrays = [ids[doc + lo], marks[doc + lo], key.view(np.int64), hashes.view(np.int64), start.astype(np.int64), size.astype(np.int64)]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], ["id", "mark", "key", "hash", "start", "size"])
 
     lists = keys.groupBy("id", "mark").agg(F.collect_list("key").alias("keys"))
-    return texts.dropDuplicates(["id", "mark"]).join(lists, ["id", "mark"]).select("id", "mark", "text", "keys").mapInArrow(run, "id long, mark long, key long, hash long, start long, size long, strip binary")
+    both = texts.join(lists, ["id", "mark"]).select("id", "mark", "text", "keys")
+    return both.mapInArrow(run, "id long, mark long, key long, hash long, start long, size long")
+
+
+def strip_bytes(texts: DataFrame, places: DataFrame) -> DataFrame:
+    """places (id, mark, key, hash, start, size) -> (key, hash, first_id, strip)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offs = utf8(batch.column(1))
+            lists = batch.column(2)
+            bounds = lists.offsets.to_numpy()
+            row = np.repeat(np.arange(batch.num_rows), np.diff(bounds))
+            key, hash_, start, size = (lists.values.field(i).to_numpy()[bounds[0] : bounds[-1]] for i in range(4))
+            for lo in range(0, len(row), 20_000):
+                part = slice(lo, lo + 20_000)
+                begin, length = (offs[row[part]] + start[part]), size[part]
+                edge = np.concatenate([[0], np.cumsum(length)])
+                at = np.repeat(begin - edge[:-1], length) + np.arange(edge[-1])
+                raw = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(length), [None, pa.py_buffer(edge.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data[at]))])
+                yield pa.RecordBatch.from_arrays([pa.array(key[part]), pa.array(hash_[part]), batch.column(0).take(pa.array(row[part])), raw.cast(pa.binary())], ["key", "hash", "first_id", "strip"])
+
+    lists = places.groupBy("id", "mark").agg(F.collect_list(F.struct("key", "hash", "start", "size")).alias("places"))
+    return texts.join(lists, ["id", "mark"]).select("id", "text", "places").mapInArrow(run, "key long, hash long, first_id long, strip binary")
 
 
 def repeated_windows(rows: DataFrame) -> DataFrame:
@@ -188,26 +207,29 @@ def repeated_windows(rows: DataFrame) -> DataFrame:
 
 
 def repeats(docs: DataFrame) -> DataFrame:
-    """(id, mark, spans): the merged byte spans of each text that go; texts that stay whole don't appear."""
+    """(id, mark, spans): the byte spans of each text that go, with overlaps; texts that stay whole don't appear."""
     texts = with_identity(docs).where(F.octet_length("text") >= MATCH)
     shared = save(shared_keys(keys_of(texts)), "keys")
-    found = save(cut_strips(texts, shared), "strips")
-    slim = found.select("key", "hash", "id")
-    owners = save(slim.groupBy("key", "hash").agg(F.min("id").alias("first_id")), "owners")
+    found = save(strip_places(texts, shared), "strips")  # repeated rows have their strips twice, which does no harm
+    owners = save(found.groupBy("key", "hash").agg(F.min("id").alias("first_id")), "owners")
     contested = save(owners.groupBy("key").agg(F.count("*").alias("strips"), F.min("first_id").alias("x"), F.max("first_id").alias("y")).where("strips > 1 and x <> y").select("key", "strips"), "contested")
-    rivals = owners.join(contested, "key")
-    whole = found.join(rivals, ["key", "hash"]).where("id = first_id").select("key", "hash", "first_id", "strip", "strips").dropDuplicates(["key", "hash"])
-    whole = save(whole, "rivals")
-    usual = whole.where(F.col("strips") <= WIDE).select("key", "hash", "first_id", "strip").repartition("key").sortWithinPartitions("key")
-    judged = repeated_windows(usual)
-    windows = whole.where(F.col("strips") > WIDE).select("key", "hash", "first_id", F.expr(f"inline(transform(sequence(1, length(strip) - {MATCH - 1}), i -> struct(substring(strip, i, {MATCH}) as window, i - 1L as begin)))"))
-    least = windows.groupBy("window").agg(F.min("first_id").alias("least"))
-    judged = judged.union(windows.join(least, "window").where("least < first_id").select("key", "hash", "first_id", "begin", F.col("begin") + MATCH))
-    later = found.join(owners, ["key", "hash"]).where("id > first_id").select("id", "mark", F.col("start").alias("begin"), (F.col("start") + F.col("size")).alias("end"))
-    places = found.select("key", "hash", F.col("id").alias("first_id"), "mark", "start").join(judged, ["key", "hash", "first_id"])
-    early = places.select(F.col("first_id").alias("id"), "mark", F.col("start") + F.col("begin"), F.col("start") + F.col("end"))
-    spans = later.union(early).groupBy("id", "mark").agg(F.collect_set(F.struct("begin", "end")).alias("spans"))
-    return save(spans, "spans")
+    rivals = owners.join(contested, "key").select("hash", "first_id", "strips")
+    first = found.join(rivals, (found["hash"] == rivals["hash"]) & (found["id"] == rivals["first_id"])).select("id", "mark", "key", found["hash"], "start", "size", "strips")
+    first = save(first.groupBy("key", "hash", "id").agg(F.min(F.struct("mark", "start", "size")).alias("at"), F.first("strips").alias("strips")).select("id", "at.*", "key", "hash", "strips"), "rivals")
+    whole = strip_bytes(texts, first.where(F.col("strips") <= WIDE))
+    judged = repeated_windows(whole.repartition("key").sortWithinPartitions("key"))
+    wide = first.where(F.col("strips") > WIDE)
+    if not wide.isEmpty():
+        windows = strip_bytes(texts, wide).select("key", "hash", "first_id", F.expr(f"inline(transform(sequence(1, length(strip) - {MATCH - 1}), i -> struct(substring(strip, i, {MATCH}) as window, i - 1L as begin)))"))
+        least = windows.groupBy("window").agg(F.min("first_id").alias("least"))
+        judged = judged.union(windows.join(least, "window").where("least < first_id").select("key", "hash", "first_id", "begin", F.col("begin") + MATCH))
+    runs = judged.groupBy("hash").agg(F.collect_list(F.struct("begin", "end")).alias("runs"))
+    verdicts = save(owners.join(runs, "hash", "left").select("hash", "first_id", "runs"), "verdicts")
+    slim = found.select("id", "mark", "hash", (F.shiftleft("start", 32) + F.col("size")).alias("place"))
+    both = slim.join(verdicts, "hash").where("id > first_id or runs is not null")
+    start, size = F.shiftright("place", 32), F.col("place").bitwiseAND(F.lit(0xFFFFFFFF))
+    spans = F.when(F.col("id") > F.col("first_id"), F.array(F.struct(start.alias("begin"), (start + size).alias("end")))).otherwise(F.transform("runs", lambda r: F.struct((start + r["begin"]).alias("begin"), (start + r["end"]).alias("end"))))
+    return save(both.select("id", "mark", F.inline(spans)).groupBy("id", "mark").agg(F.collect_set(F.struct("begin", "end")).alias("spans")), "spans")
 
 
 def merged(begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -232,35 +254,48 @@ NAMES = ("n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")
 
 
 def remove_repeats(docs: DataFrame, characters: bool = False) -> DataFrame:
-    """Adds n_bytes, n_removed, n_spans, kept_sha256 and kept (the remaining bytes). characters: spans shrink to whole characters."""
+    """Adds n_bytes, n_removed, n_spans, kept_sha256 and kept (the remaining bytes).
+
+    characters: spans shrink to whole characters, and text itself becomes what remains, instead of kept (null stays null).
+    """
     spans = repeats(docs)
-    clash = set(NAMES)
-    names = [c for c in docs.columns if c.lower() not in clash]
-    fields = [docs.schema[c] for c in names] + [T.StructField(n, T.LongType()) for n in NAMES[:3]] + [T.StructField("kept_sha256", T.StringType()), T.StructField("kept", T.BinaryType())]
+    new = NAMES[:4] if characters else NAMES
+    names = [c for c in docs.columns if c.lower() not in new]
+    kinds = dict(zip(NAMES, (T.LongType(), T.LongType(), T.LongType(), T.StringType(), T.BinaryType())))
+    fields = [docs.schema[c] for c in names] + [T.StructField(n, kinds[n]) for n in new]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offs = utf8(batch.column("_bytes"))
+            texts = batch.column("text")
+            data, offs = utf8(texts)
             lists = batch.column("_spans")
             bounds = lists.offsets.to_numpy()
             begins, ends = lists.values.field(0).to_numpy(), lists.values.field(1).to_numpy()
-            out: list[list] = [[], [], [], [], []]
-            for i in range(batch.num_rows):
-                body = data[offs[i] : offs[i + 1]].tobytes()
-                begin, end = begins[bounds[i] : bounds[i + 1]], ends[bounds[i] : bounds[i + 1]]
-                kept, n_spans = body, 0
-                if len(begin):
-                    pairs = list(zip(*(x.tolist() for x in merged(begin, end))))
-                    if characters:
-                        pairs = [p for b, e in pairs if (p := whole_characters(body, b, e)) and p[0] < p[1]]
-                    at = [0, *(x for p in pairs for x in p), len(body)]
-                    kept, n_spans = b"".join(body[x:y] for x, y in zip(at[::2], at[1::2])), len(pairs)
-                for x, y in zip(out, (len(body), len(body) - len(kept), n_spans, hashlib.sha256(kept).hexdigest(), kept)):
-                    x.append(y)
-            arrays = [pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()))]
-            yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(len(names))] + arrays, [*names, *NAMES])
-
-    keyed = docs.select(*names, F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("_id"), F.xxhash64("text").alias("_mark"), F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("_bytes"))
+            for lo, hi in pieces(offs, 4 * CHUNK):
+                out: list[list] = [[], [], [], [], []]
+                for i in range(lo, hi):
+                    body = data[offs[i] : offs[i + 1]].tobytes()
+                    begin, end = begins[bounds[i] : bounds[i + 1]], ends[bounds[i] : bounds[i + 1]]
+                    kept, n_spans = body, 0
+                    if len(begin):
+                        pairs = list(zip(*(x.tolist() for x in merged(begin, end))))
+                        if characters:
+                            pairs = [p for b, e in pairs if (p := whole_characters(body, b, e)) and p[0] < p[1]]
+                        at = [0, *(x for p in pairs for x in p), len(body)]
+                        kept, n_spans = b"".join(body[x:y] for x, y in zip(at[::2], at[1::2])), len(pairs)
+                    for x, y in zip(out, (len(body), len(body) - len(kept), n_spans, hashlib.sha256(kept).hexdigest(), kept)):
+                        x.append(y)
+                whole = texts.slice(lo, hi - lo)
+                arrays = [pa.array(x, t) for x, t in zip(out[:4], (pa.int64(), pa.int64(), pa.int64(), pa.string()))]
+                kept = pa.array(out[4], pa.binary())
+                if not characters:
+                    arrays.append(kept)
+                else:
+                    whole = pa.compute.if_else(whole.is_null(), whole, kept.cast(whole.type))
+                columns = [whole if n == "text" else batch.column(n).slice(lo, hi - lo) for n in names]
+                yield pa.RecordBatch.from_arrays(columns + arrays, [*names, *new])
+
+    keyed = docs.select(*names, F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("_id"), F.xxhash64("text").alias("_mark"))
     both = keyed.join(spans.toDF("_id", "_mark", "_spans"), ["_id", "_mark"], "left")
     both = both.withColumn("_spans", F.coalesce("_spans", F.expr("cast(array() as array<struct<begin: bigint, end: bigint>>)"))).drop("_id", "_mark")
     return both.mapInArrow(run, T.StructType(fields))
