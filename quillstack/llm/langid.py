@@ -31,6 +31,8 @@ NAMES = ("lang_pred", "score", "languages")
 LETTERS = np.zeros(256, bool)
 LETTERS[ord("a") : ord("z") + 1] = True
 LETTERS[0x80:] = True
+FOLD = np.arange(256, dtype=np.uint8)
+FOLD[65:91] += 32
 
 
 @dataclass
@@ -39,11 +41,19 @@ class LanguageModel:
     log_probs: np.ndarray  # (BUCKETS, languages), float32
 
 
+def folded(body: np.ndarray) -> np.ndarray:
+    """UTF-8 bytes with A-Z and the capitals of Latin-1 in lower case."""
+    out = FOLD[body]
+    capital = np.flatnonzero((body[:-1] == 0xC3) & (body[1:] >= 0x80) & (body[1:] <= 0x9E) & (body[1:] != 0x97)) + 1
+    out[capital] += 0x20
+    return out
+
+
 def trigrams(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(document, bucket) of each trigram of lower-cased letters; other characters count as one space, and ends too."""
+    """(document, bucket) of each trigram of letters, capitals folded; other characters count as one space, and ends too."""
     rows = len(offs) - 1
     start = offs[:-1] - offs[0]
-    body = data[offs[0] : offs[-1]]
+    body = folded(data[offs[0] : offs[-1]])
     keep = np.insert(body, start, 32)  # a space before each document
     doc = np.repeat(np.arange(rows), np.diff(offs) + 1)
     letter = LETTERS[keep]
@@ -52,18 +62,13 @@ def trigrams(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray
     stay[1:] |= letter[:-1]  # the first character after a letter ends the word
     stay[start + np.arange(rows)] = True
     stay[1:] &= ~((~letter[1:]) & (doc[1:] == doc[:-1]) & ~letter[:-1])
-    chars, doc = chars[stay].astype(np.uint32), doc[stay]
+    chars, doc = np.append(chars[stay], np.uint8(32)).astype(np.uint32), np.append(doc[stay], rows)  # a space after all
     if len(chars) < 3:
         return doc[:0], chars[:0]
     code = (chars[:-2] << np.uint32(16)) | (chars[1:-1] << np.uint32(8)) | chars[2:]
     inside = (doc[:-2] == doc[1:-1]) & (chars[1:-1] != 32)
     inside &= (doc[2:] == doc[:-2]) | (chars[2:] == 32)  # the next document's first space ends the word as well
     bucket = (code * np.uint32(2654435761)) >> np.uint32(32 - BITS)
-    last = (chars[-2] != 32) & (doc[-1] == doc[-2])  # the last word of all has no space after it
-    if last:
-        end = (chars[-2] << np.uint32(16)) | (chars[-1] << np.uint32(8)) | np.uint32(32)
-        tail = np.array([(int(end) * 2654435761 % (1 << 32)) >> (32 - BITS)], np.uint32)
-        return np.append(doc[:-2][inside], doc[-1]), np.append(bucket[inside], tail)
     return doc[:-2][inside], bucket[inside]
 
 
@@ -95,7 +100,7 @@ def fit(docs: DataFrame, rows: Column | None = None) -> LanguageModel:
             at = np.flatnonzero(v)
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), k, np.int32)), pa.array(at.astype(np.int32)), pa.array(v[at].astype(np.int64))], ["lang", "bucket", "n"])
 
-    rows = known.select(F.lower("text").alias("text"), "lang").mapInArrow(count, "lang int, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
+    rows = known.select("text", "lang").mapInArrow(count, "lang int, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
     counts = np.zeros((BUCKETS, len(names)))
     counts[rows["bucket"].to_numpy(int), rows["lang"].to_numpy(int)] = rows["n"].to_numpy(float)
     return LanguageModel(names, np.log((counts + 0.1) / (counts.sum(0) + 0.1 * BUCKETS)).astype(np.float32))
@@ -166,18 +171,17 @@ def predict(docs: DataFrame, model: LanguageModel, penalty: float = PENALTY) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offs = utf8(batch.column("_folded"))
+            data, offs = utf8(batch.column("text"))
             letters = batch.column("_letters").to_numpy(zero_copy_only=False).astype(bool)
-            pi = np.zeros((batch.num_rows, max(1, len(names))))
             for lo, hi in pieces(offs):
-                pi[lo:hi, : len(names)] = infer(model, *trigrams(data, offs[lo : hi + 1]), hi - lo, penalty)
-            good = letters & (pi.sum(1) > 0)
-            main = pi.argmax(1)
-            lang = [names[m] if g else "und" for m, g in zip(main, good)]
-            score = np.where(good, pi.max(1), 0.0)
-            maps = [[(names[j], float(p[j])) for j in np.flatnonzero(p >= 0.01)] if g else [] for p, g in zip(pi, good)]
-            arrays = [batch.column(i) for i in range(len(kept))] + [pa.array(lang, pa.string()), pa.array(score), pa.array(maps, pa.map_(pa.string(), pa.float64()))]
-            yield pa.RecordBatch.from_arrays(arrays, [*kept, *NAMES])
-
-    folded = docs.select(*kept, F.lower("text").alias("_folded"), F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("_letters"))
-    return folded.mapInArrow(run, T.StructType(fields + extra))
+                pi = infer(model, *trigrams(data, offs[lo : hi + 1]), hi - lo, penalty) if names else np.zeros((hi - lo, 1))
+                good = letters[lo:hi] & (pi.sum(1) > 0)
+                main = pi.argmax(1)
+                lang = [names[m] if g else "und" for m, g in zip(main, good)]
+                score = np.where(good, pi.max(1), 0.0)
+                maps = [[(names[j], float(p[j])) for j in np.flatnonzero(p >= 0.01)] if g else [] for p, g in zip(pi, good)]
+                arrays = [batch.column(i).slice(lo, hi - lo) for i in range(len(kept))] + [pa.array(lang, pa.string()), pa.array(score), pa.array(maps, pa.map_(pa.string(), pa.float64()))]
+                yield pa.RecordBatch.from_arrays(arrays, [*kept, *NAMES])
+
+    marked = docs.select(*kept, F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("_letters"))
+    return marked.mapInArrow(run, T.StructType(fields + extra))
