@@ -1,7 +1,7 @@
 """Media columns in a chunk store: content-defined chunks, stored once, and ordered lists that rebuild verified media.
 
 A payload becomes 8-bit mono audio: a 44-byte RIFF header and one sample for each byte. A rolling gear hash over the last
-32 bytes cuts the samples into chunks of 256 to 4,096 bytes (about 1 KB on average); the header is a chunk of its own.
+32 bytes cuts the samples into chunks of 256 to 4,096 bytes (about 1 KB on average); the header stays with the list.
 Chunks are joined by SHA-256 digest: the smallest (document, place) that has a chunk keeps its bytes, in the pack of its
 document; all others refer to it. To rebuild a medium, its own pack is read, lent chunks are joined by digest, and every
 chunk and the whole are held against their digests; a difference raises an error.
@@ -32,7 +32,8 @@ RATE = 16_000
 HEADER = 44
 LEAST, MOST, CUT_BITS = 256, 4096, 10
 GEAR = (VALUES >> np.uint64(31)).astype(np.uint32)
-ENTRY = "idx int, digest binary, size int, kept boolean, lent boolean"
+PACKED = 4 << 20
+SMALL_IDS = 500_000  # rows of (id, mark) up to which they are broadcast (20 MB)
 
 
 def payload_of(text: bytes) -> bytes:
@@ -73,6 +74,20 @@ def cuts(ends: list[int], start: int, stop: int) -> list[int]:
     return out
 
 
+def chunk_list(media: bytes, ends: list[int], base: int) -> list[tuple[bytes, int]]:
+    """(samples, size) of each chunk; ends: the hash's cuts in a longer array in which the medium starts at base."""
+    at, out = base + HEADER, []
+    for to in cuts(ends, at, base + len(media)):
+        out.append((media[at - base : to - base], to - at))
+        at = to
+    return out
+
+
+def hash_cuts(media: list[bytes]) -> list[int]:
+    flat = np.frombuffer(b"".join(media), np.uint8)
+    return (np.flatnonzero(gear(flat) >> np.uint32(32 - CUT_BITS) == 0) + 1).tolist()
+
+
 def chunked(docs: DataFrame) -> DataFrame:
     """(id, mark, n_bytes, media_sha256, chunks): the ordered chunk list of each text's medium."""
 
@@ -80,52 +95,69 @@ def chunked(docs: DataFrame) -> DataFrame:
         for batch in batches:
             data, offs = utf8(batch.column(2))
             for lo, hi in pieces(offs):
-                texts = [data[offs[i] : offs[i + 1]].tobytes() for i in range(lo, hi)]
-                media = [wav(payload_of(t)) for t in texts]
-                flat = np.frombuffer(b"".join(media), np.uint8)
-                ends = (np.flatnonzero(gear(flat) >> np.uint32(32 - CUT_BITS) == 0) + 1).tolist()
-                base, lists = 0, []
+                media = [wav(payload_of(data[offs[i] : offs[i + 1]].tobytes())) for i in range(lo, hi)]
+                ends, base, lists = hash_cuts(media), 0, []
                 for m in media:
-                    at, chunks = base + HEADER, [(m[:HEADER], 0)]
-                    for to in cuts(ends, at, base + len(m)):
-                        chunks.append((m[at - base : to - base], at - base))
-                        at = to
-                    lists.append([{"idx": i, "digest": hashlib.sha256(c).digest(), "start": s, "size": len(c)} for i, (c, s) in enumerate(chunks)])
+                    lists.append([{"idx": i, "digest": hashlib.sha256(c).digest(), "size": n} for i, (c, n) in enumerate(chunk_list(m, ends, base))])
                     base += len(m)
-                kind = pa.list_(pa.struct([("idx", pa.int32()), ("digest", pa.binary()), ("start", pa.int32()), ("size", pa.int32())]))
+                kind = pa.list_(pa.struct([("idx", pa.int32()), ("digest", pa.binary()), ("size", pa.int32())]))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), pa.array([len(t) for t in texts], pa.int64()), pa.array([hashlib.sha256(m).hexdigest() for m in media]), pa.array(lists, kind)],
+                    [batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), pa.array(np.diff(offs[lo : hi + 1])), pa.array([hashlib.sha256(m).hexdigest() for m in media]), pa.array(lists, kind)],
                     ["id", "mark", "n_bytes", "media_sha256", "chunks"],
                 )
 
-    return docs.mapInArrow(run, "id long, mark long, n_bytes long, media_sha256 string, chunks array<struct<idx: int, digest: binary, start: int, size: int>>")
+    return docs.mapInArrow(run, "id long, mark long, n_bytes long, media_sha256 string, chunks array<struct<idx: int, digest: binary, size: int>>")
+
+
+PACKS = "id long, mark long, n_bytes long, media_sha256 string, header binary, entries array<struct<idx: int, digest: binary, size: int, kept: boolean, lent: boolean>>, pack binary"
 
 
 def store(docs: DataFrame) -> DataFrame:
-    """docs (id, mark, text), each once -> (id, mark, n_bytes, media_sha256, entries, pack): packs hold each distinct chunk once."""
+    """docs (id, mark, text), each once -> packs (id, mark, n_bytes, media_sha256, header, entries, pack) that hold each distinct chunk once.
+
+    Texts without a chunk in common with others are packed where they are read; only the others meet their lists.
+    """
     manifest = save(chunked(docs), "manifest")
     entries = manifest.select("id", "mark", F.expr("inline(chunks)"))
     owners = entries.groupBy("digest").agg(F.min(F.struct("id", "mark", "idx")).alias("owner"), F.count("*").alias("uses")).where("uses > 1").select("digest", "owner")
-    placed = entries.join(owners, "digest", "left").select(
-        "id", "mark", "idx", "digest", "start", "size", F.coalesce(F.struct("id", "mark", "idx") == F.col("owner"), F.lit(True)).alias("kept"), F.col("owner").isNotNull().alias("lent")
+    owners = save(owners, "owners")
+    ids = save(entries.join(owners, "digest", "left_semi").select("id", "mark").distinct(), "sharers")
+    near = F.broadcast(ids) if ids.count() <= SMALL_IDS else ids
+    placed = entries.join(near, ["id", "mark"], "left_semi").join(owners, "digest", "left").select(
+        "id", "mark", "idx", "digest", "size", F.coalesce(F.struct("id", "mark", "idx") == F.col("owner"), F.lit(True)).alias("kept"), F.col("owner").isNotNull().alias("lent")
     )
     lists = placed.groupBy("id", "mark").agg(F.sort_array(F.collect_list(F.struct("idx", "digest", "size", "kept", "lent"))).alias("entries"))
-    lists = lists.join(manifest.select("id", "mark", "n_bytes", "media_sha256"), ["id", "mark"])
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offs = utf8(batch.column("text"))
-            entries = batch.column("entries")
-            bounds, size, kept = entries.offsets.to_numpy(), entries.values.field(2).to_numpy(), entries.values.field(3).to_numpy(zero_copy_only=False)
-            packs = []
-            for i in range(batch.num_rows):
-                media = wav(payload_of(data[offs[i] : offs[i + 1]].tobytes()))
-                ends = np.cumsum(size[bounds[i] : bounds[i + 1]]).tolist()
-                packs.append(b"".join(media[a:b] for a, b, k in zip([0, *ends], ends, kept[bounds[i] : bounds[i + 1]]) if k))
-            yield pa.RecordBatch.from_arrays([batch.column(n) for n in ("id", "mark", "n_bytes", "media_sha256", "entries")] + [pa.array(packs, pa.binary())], ["id", "mark", "n_bytes", "media_sha256", "entries", "pack"])
+            given = batch.column("entries") if "entries" in batch.schema.names else None
+            for lo, hi in pieces(offs, PACKED):
+                media = [wav(payload_of(data[offs[i] : offs[i + 1]].tobytes())) for i in range(lo, hi)]
+                base, lists, packs = 0, [], []
+                ends = hash_cuts(media) if given is None else []
+                for i, m in enumerate(media):
+                    if given is None:
+                        own = [{"idx": j, "digest": hashlib.sha256(c).digest(), "size": n, "kept": True, "lent": False} for j, (c, n) in enumerate(chunk_list(m, ends, base))]
+                        packs.append(m[HEADER:])
+                    else:
+                        own, at, parts = given[lo + i].as_py(), HEADER, []
+                        for e in own:
+                            if e["kept"]:
+                                parts.append(m[at : at + e["size"]])
+                            at += e["size"]
+                        packs.append(b"".join(parts))
+                    lists.append(own)
+                    base += len(m)
+                kind = pa.list_(pa.struct([("idx", pa.int32()), ("digest", pa.binary()), ("size", pa.int32()), ("kept", pa.bool_()), ("lent", pa.bool_())]))
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("id").slice(lo, hi - lo), batch.column("mark").slice(lo, hi - lo), pa.array(np.diff(offs[lo : hi + 1])), pa.array([hashlib.sha256(m).hexdigest() for m in media]), pa.array([m[:HEADER] for m in media], pa.binary()), pa.array(lists, kind), pa.array(packs, pa.binary())],
+                    ["id", "mark", "n_bytes", "media_sha256", "header", "entries", "pack"],
+                )
 
-    both = docs.join(lists, ["id", "mark"]).select("id", "mark", "text", "n_bytes", "media_sha256", "entries")
-    return save(both.mapInArrow(pack, f"id long, mark long, n_bytes long, media_sha256 string, entries array<struct<{ENTRY.replace(' ', ': ').replace(',: ', ', ')}>>, pack binary"), "packs")
+    alone = docs.join(near, ["id", "mark"], "left_anti").select("id", "mark", "text").mapInArrow(pack, PACKS)
+    sharing = docs.join(near, ["id", "mark"], "left_semi").join(lists, ["id", "mark"]).select("id", "mark", "text", "entries").mapInArrow(pack, PACKS)
+    return save(alone.union(sharing), "packs")
 
 
 def lent_chunks(packs: DataFrame) -> DataFrame:
@@ -165,8 +197,9 @@ def read_back(packs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[list] = [[] for _ in range(6)]
-            for n, sha, entries, pack, loans in zip(*(batch.column(c).to_pylist() for c in ("n_bytes", "media_sha256", "entries", "pack", "loans"))):
-                lent, at, chunks = {x["idx"]: x["body"] for x in loans}, 0, []
+            for sha, header, entries, pack, loans in zip(*(batch.column(c) for c in ("media_sha256", "header", "entries", "pack", "loans"))):
+                sha, entries, pack = sha.as_py(), entries.as_py(), pack.as_py()
+                lent, at, chunks = {x["idx"]: x["body"] for x in loans.as_py()}, 0, [header.as_py()]
                 for e in entries:
                     if e["kept"]:
                         body = pack[at : at + e["size"]]

@@ -43,6 +43,6 @@ def test_chunks_are_stored_once_and_verified(spark):
     packs = media.store(texts).collect()
     kept = [e["digest"] for p in packs for e in p["entries"] if e["kept"]]
     assert len(kept) == len({bytes(d) for d in kept}) == len({bytes(e["digest"]) for p in packs for e in p["entries"]})
-    broken = spark.createDataFrame([(p["id"], p["mark"], p["n_bytes"], p["media_sha256"], p["entries"], bytes(len(p["pack"]))) for p in packs], media.store(texts.limit(0)).schema)
+    broken = spark.createDataFrame([(p["id"], p["mark"], p["n_bytes"], p["media_sha256"], p["header"], p["entries"], bytes(len(p["pack"]))) for p in packs], media.store(texts.limit(0)).schema)
     with pytest.raises(Exception, match="differs"):
         media.read_back(broken).collect()
