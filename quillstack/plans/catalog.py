@@ -358,11 +358,11 @@ def import_labels(spark, d):
 with s as (select user_id as item_id, event_type as label, event_id as frame, round(value, 4) as score from events),
 f as (select item_id, count(distinct frame) as frames from s group by item_id),
 o as (select item_id, label, avg(score) as mean, count(*) as n, max_by(frame, (score, -frame)) as frame from s group by item_id, label),
-p as (select item_id, label, round(mean * (0.75 + 0.25 * least(1.0, n::double / least(3, frames))), 4) as score, frame from o join f using (item_id))
-select item_id, label, score, frame from p qualify row_number() over (partition by item_id order by score desc, label) = 1""", items=False)
+p as (select item_id, label, mean * (0.75 + 0.25 * least(1.0, n::double / least(3, frames))) as score, frame from o join f using (item_id))
+select item_id, label, round(score + 1e-7, 4) as score, frame from p qualify row_number() over (partition by item_id order by score desc, label) = 1""", items=False)
 def pool_label_scores(spark, d):
     rows = table(spark, d, "events").select(F.col("user_id").alias("item_id"), F.col("event_type").alias("label"), F.col("event_id").alias("frame"), F.round("value", 4).alias("score"))
-    return tagging.pool_label_scores(rows).withColumn("score", F.round("score", 4))
+    return tagging.pool_label_scores(rows).withColumn("score", F.round(F.col("score") + 1e-7, 4))
 
 
 @query("select 'good' as tag, count(*) filter (where quality = 1) as n_pos, count(*) filter (where quality <> 1) as n_neg from labels where doc_id % 2 = 0 union all select 'hd', count(*) filter (where toxic <> 1), count(*) filter (where toxic = 1) from labels", items=False)
