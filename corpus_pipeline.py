@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from quillstack.llm import decontam, langid, mixing, ngram_join, scratch, suffix_dedup
 
 LEAST_SCORE = 0.4
+SMALL_IDS = 500_000  # ids up to which they are broadcast (8 MB); beyond, both sides shuffle
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -20,11 +21,15 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the smallest doc_id of each group of linked documents, once; documents without an id stay."""
-    leaders = ngram_join.jaccard_components(docs.select("doc_id", "text")).where("doc_id = component_id").select("doc_id").distinct()
-    with_id = docs.where("doc_id is not null").join(leaders, "doc_id", "left_semi").select(*docs.columns)
-    repeated = with_id.groupBy("doc_id").count().where("count > 1").select("doc_id")
-    once = with_id.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
-    return with_id.join(repeated, "doc_id", "left_anti").select(*docs.columns).union(once).union(docs.where("doc_id is null"))
+    groups = scratch.save(ngram_join.jaccard_components(docs.select("doc_id", "text")), "groups")
+    others = scratch.save(groups.where("doc_id <> component_id").select("doc_id").distinct(), "others")
+    few = others.count() <= SMALL_IDS
+    kept = docs.join(F.broadcast(others) if few else others, "doc_id", "left_anti").select(*docs.columns)
+    repeated = scratch.save(groups.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
+    if repeated.isEmpty():
+        return kept
+    once = kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    return kept.join(repeated, "doc_id", "left_anti").select(*docs.columns).union(once)
 
 
 def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
