@@ -7,7 +7,8 @@ hashes, or the whole sequence as one shingle if it is shorter. Two sets link whe
 2.  Sets are ordered from rare to frequent shingles (the most frequent ones are counted, the rest rank as rare; any
     order gives the same links) and their prefixes go to index lists, one for each shingle.
 3.  In each list the first set of each size class leads. Every set is compared with the leader that it shares most
-    prefix shingles with. Sets that link with it become its followers, with their distance from it.
+    prefix shingles with. Sets that link with it become its followers, with their distance from it. In some more rounds
+    each component of links tries one pair with leaders drawn anew, so that large groups of near copies grow together.
 4.  The lists are then read by cluster: sorted by position and cut into blocks, and blocks are skipped as a whole when
     no pair in them can reach the overlap that its sizes call for, or when all is in one component already.
 5.  Answers of followers are derived from those of leaders: overlap of two leaders bounds, by the triangle inequality
@@ -32,10 +33,11 @@ from .textbytes import Spans, mix, pieces, utf8
 
 WORDS = 5
 FREQUENT = 100_000  # rows of the table of the most frequent shingles
-BUFFER = 1 << 20  # shingles that are counted together before the shuffle
+BUFFER = 1 << 21  # shingles that are counted together before the shuffle
 SMALL_PAIRS = 300_000  # up to so many pairs (20 MB) are broadcast to pick texts; beyond, a shuffled join does it
 SHARES = 16
 BLOCK = 32
+STAR_ROUNDS = 6
 FACTORS = (mix(np.arange(1, 9, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))) | np.uint64(1)
 FOLD = np.arange(256, dtype=np.uint8)
 FOLD[65:91] += 32
@@ -99,7 +101,7 @@ def profiles(docs: DataFrame) -> DataFrame:
             every = np.sort(np.concatenate(held)) if held else np.zeros(0, np.uint64)
             first = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1]])) if len(every) else np.zeros(0, int)
             hits = np.diff(np.append(first, len(every)))
-            return every[first[hits >= 3]], hits[hits >= 3]
+            return every[first[hits >= 2]], hits[hits >= 2]
 
         def rows(ids: pa.Array, n: np.ndarray, a: np.ndarray, b: np.ndarray, shingle: np.ndarray, hits: np.ndarray) -> pa.RecordBatch:
             none = pa.nulls(len(shingle), pa.int64())
@@ -240,6 +242,49 @@ REACHABLE = "9 * {0} >= 4 * ({1} + {2})"
 ENOUGH = "{0} + (80 * greatest({3}, {4}) + 99) div 100 - 1 >= (4 * ({1} + {2}) + 8) div 9"
 
 
+def open_lists(entries: DataFrame) -> DataFrame:
+    """The entries of lists with two components or more."""
+    entries = save(entries, "entries")
+    mixed = entries.groupBy("shingle").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("shingle")
+    return save(entries.join(mixed, "shingle", "left_semi"), "open")
+
+
+def relabelled(rows: DataFrame, joined: DataFrame) -> DataFrame:
+    """Rows after components have become parts of others: joined (component, whole)."""
+    return rows.join(joined, "component", "left").withColumn("component", F.coalesce("whole", "component")).select(rows.columns)
+
+
+def bridged(label: DataFrame, links: DataFrame, key: str) -> DataFrame:
+    """(component, whole) where links (a, b) between keys join components. Only components go through the rounds."""
+    side = label.select(key, "component")
+    bridges = links.select("a", "b").join(side.toDF("a", "ca"), "a").join(side.toDF("b", "cb"), "b").where("ca <> cb").select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct()
+    return save(components(bridges).toDF("component", "whole"), "joined")
+
+
+def star_round(docs: DataFrame, entries: DataFrame, known: DataFrame, turn: int) -> tuple[DataFrame | None, DataFrame]:
+    """Each component tries its best untested pair with the leader of a list, drawn anew by hash each turn: (components that join, tested pairs).
+
+    One pair for each component, so that a large group of near copies grows together without all its pairs.
+    """
+    grade = F.floor(F.log("lo") / float(np.log(1.25)) + 1e-9).alias("grade")
+    own = entries.select("shingle", grade, "cluster", "component", "lo", "hi")
+    draw = F.min_by(F.struct("cluster", "component", "lo", "hi"), F.xxhash64("cluster", F.lit(turn))).alias("lead")
+    lead = own.groupBy("shingle", "grade").agg(draw, F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("shingle", "grade", "lead")
+    met = own.join(lead, ["shingle", "grade"]).where("component <> lead.component and 5 * hi >= 4 * lead.lo and 5 * lead.hi >= 4 * lo")
+    met = met.select("component", "cluster", F.col("lead.cluster").alias("leader"), F.least("lo", "lead.lo").alias("lo"), F.greatest("lo", "lead.lo").alias("lo_b"), F.greatest("hi", "lead.hi").alias("hi"))
+    met = met.groupBy("component", "cluster", "leader").agg(F.count("*").alias("shared"), F.min("lo").alias("lo"), F.min("lo_b").alias("lo_b"), F.max("hi").alias("hi")).where(ENOUGH.format("shared", "lo", "lo_b", "hi", "hi"))
+    pairs = met.select("component", "shared", F.least("cluster", "leader").alias("a"), F.greatest("cluster", "leader").alias("b")).join(known, ["a", "b"], "left_anti")
+    best = save(pairs.groupBy("component").agg(F.max_by(F.struct("a", "b"), F.struct("shared", -F.col("a"), -F.col("b"))).alias("p")).select("p.a", "p.b").distinct(), "tries")
+    if best.isEmpty():
+        return None, known
+    got = save(compare(best, docs), "tried")
+    links = got.where(LINKED).select("a", "b")
+    if links.isEmpty():
+        return None, known.union(best)
+    side = entries.select(F.col("cluster"), "component").distinct()
+    return bridged(side, links, "cluster"), known.union(best)
+
+
 def jaccard_components(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row: the smallest doc_id that it reaches over links."""
     spark = docs.sparkSession
@@ -270,11 +315,17 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     member = save(member.select("doc_id", F.coalesce("leader", "doc_id").alias("cluster"), F.coalesce("far", F.lit(0.0)).alias("far"), F.coalesce("component", "doc_id").alias("component")), "members")
 
     entries = lists.select("shingle", "doc_id", "n", (F.col("n") - F.col("pos")).alias("rest")).join(member, "doc_id")
-    entries = entries.groupBy("shingle", "cluster", "component").agg(F.max("rest").alias("rest"), F.min("n").alias("lo"), F.max("n").alias("hi"))
-    entries = save(entries, "entries")
-    mixed = entries.groupBy("shingle").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("shingle")
+    entries = open_lists(entries.groupBy("shingle", "cluster", "component").agg(F.max("rest").alias("rest"), F.min("n").alias("lo"), F.max("n").alias("hi")))
+    known = tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    label = save(member.select("cluster", "component").distinct(), "label")
+    for turn in range(STAR_ROUNDS):
+        joined, known = star_round(docs, entries, known, turn)
+        if joined is None:
+            break
+        label = save(relabelled(label, joined), "label")
+        entries = open_lists(relabelled(entries, joined))
     by_position = F.expr("row_number() over (partition by shingle order by rest desc, cluster)")
-    blocks = entries.join(mixed, "shingle", "left_semi").withColumn("block", F.floor((by_position - 1) / BLOCK))
+    blocks = entries.withColumn("block", F.floor((by_position - 1) / BLOCK))
     blocks = save(blocks.groupBy("shingle", "block").agg(F.collect_list(F.struct("cluster", "component", "rest", "lo", "hi")).alias("items"), F.max("rest").alias("rest"), F.min("lo").alias("lo"), F.max("hi").alias("hi")), "blocks")
     b = blocks.select("shingle", *[F.col(c).alias(f"{c}_b") for c in ("block", "items", "rest", "lo", "hi")])
     open_blocks = blocks.join(b, "shingle").where("block <= block_b and " + REACHABLE.format("least(rest, rest_b)", "lo", "lo_b") + " and 5 * hi >= 4 * lo_b and 5 * hi_b >= 4 * lo")
@@ -295,9 +346,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     derived = save(derived.select(F.col("x").alias("a"), F.col("y").alias("b")).distinct(), "derived")
     late = derived.selectExpr("a", "b", "0L as n_a", "0L as n_b", "0L as overlap").limit(0) if derived.isEmpty() else save(compare(derived, docs), "late")
     more = answers.where(LINKED).select("a", "b").union(late.where(LINKED).select("a", "b"))
-    if more.isEmpty():
-        final = first
-    else:
-        final = components(first.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
-    out = classed.join(final.toDF("rep", "component"), "rep", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))
+    whole = member.drop("component").join(label, "cluster").select("doc_id", "component")
+    whole = relabelled(whole, bridged(whole, more, "doc_id"))
+    out = classed.join(whole.withColumnRenamed("doc_id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
