@@ -214,7 +214,7 @@ def catalog_query(spark, d):
 
 @query("select 'orders' as source_table, o_orderkey as id from orders where contains(lower(o_orderpriority), 'urgent') and o_orderkey % 5 = 0 union all select 'customer', c_custkey from customer where contains(lower(c_mktsegment), 'urgent')", items=False)
 def manifest_search(spark, d):
-    orders = table(spark, d, "orders").where("o_orderkey % 5 = 0").select(F.col("o_orderkey").alias("id"), "o_orderpriority")
+    orders = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), "o_orderpriority")
     customers = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), "c_mktsegment")
     return search.manifest_search({"orders": orders, "customer": customers}, "URGENT", 1_000_000_000).select("source_table", "id")
 
@@ -328,7 +328,7 @@ def feedback_overlay(spark, d):
 def feedback(spark: SparkSession, d: str) -> DataFrame:
     labels = table(spark, d, "labels")
     at = F.lit("2024-06-01").cast("timestamp").alias("updated_at")
-    good = labels.where("doc_id % 2 = 0").select(F.col("doc_id").alias("item_id"), F.lit("good").alias("tag"), F.lit("feedback").alias("category"), F.when(F.col("quality") == 1, 1).otherwise(-1).alias("verdict"), at)
+    good = labels.select(F.col("doc_id").alias("item_id"), F.lit("good").alias("tag"), F.lit("feedback").alias("category"), F.when(F.col("quality") == 1, 1).otherwise(-1).alias("verdict"), at)
     return good.union(labels.select("doc_id", F.lit("hd"), F.lit("feedback"), F.when(F.col("toxic") == 1, -1).otherwise(1), at))
 
 
@@ -384,7 +384,7 @@ s as (select item_id, 1 / (1 + exp(-8 * (list_dot_product(vector, p.c) - list_do
 def centroid_parts(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     rows = table(spark, d, "embeddings")
     v = rows.select(F.col("vec_id").alias("item_id"), F.col("embedding").cast("array<double>").alias("vector"))
-    f = rows.where("vec_id % 3 = 0").select(F.col("vec_id").alias("item_id"), F.lit("low").alias("tag"), F.when(F.col("label") < 3, 1).otherwise(-1).alias("verdict"))
+    f = rows.select(F.col("vec_id").alias("item_id"), F.lit("low").alias("tag"), F.when(F.col("label") < 3, 1).otherwise(-1).alias("verdict"))
     return v, tagging.train_centroids(v, f)
 
 
