@@ -422,7 +422,12 @@ i as (select 'prefix' as kind, md5(signature) as signature, item_id, size_bytes,
 
 
 def similar(spark: SparkSession, d: str) -> DataFrame:
-    return windows.similarity_index(live_items(spark, d), "prefix", F.when(F.length("text") > 0, F.md5(F.substring("text", 1, 60))))
+    """Three kinds: size and hash of the whole text; dhash of photos with a grid; first refs of videos with a timeline."""
+    rows = live_items(spark, d)
+    photos = rows.where("media_type = 'photo'").join(dhashes(spark, d).withColumnRenamed("vec_id", "item_id"), "item_id")
+    videos = rows.where("media_type = 'video'").join(windows.first_k_signature(timeline(spark, d)).withColumnRenamed("signature", "refs"), "item_id")
+    exact = windows.similarity_index(rows, "exact", F.concat(F.coalesce(F.col("size_bytes").cast("string"), F.lit("")), F.lit(":"), "sha256"))
+    return exact.union(windows.similarity_index(photos, "image_phash", F.col("dhash"))).union(windows.similarity_index(videos, "video_fingerprint", F.col("refs")))
 
 
 @query(SIMILAR + "select kind, signature, item_id, members, role from i")
@@ -612,14 +617,18 @@ def content_hashes(spark, d):
     return live_items(spark, d).select("item_id", vectors.full_hash(body).alias("sha256"), vectors.hash8(vectors.full_hash(body)).alias("hash8"), vectors.partial_hash(body).alias("partial_hash"))
 
 
+def dhashes(spark: SparkSession, d: str) -> DataFrame:
+    grid = F.transform(F.sequence(F.lit(0), F.lit(71)), lambda i: F.get("embedding", i % F.size("embedding")))
+    return table(spark, d, "embeddings").select("vec_id", vectors.dhash_bits(grid).alias("dhash"))
+
+
 @query("""
 with v as (select vec_id, list_transform(range(0, 72), lambda i: embedding[i % len(embedding) + 1]) as g from embeddings),
 b as (select vec_id, unnest(range(0, 64)) as i, g from v), c as (select vec_id, i, (g[i // 8 * 9 + i % 8 + 1] > g[i // 8 * 9 + i % 8 + 2])::int as bit from b),
 h as (select vec_id, i // 4 as k, sum(bit * (8 // (1 << (i % 4)::int)))::int as n from c group by 1, 2)
 select vec_id, string_agg(substr('0123456789abcdef', n + 1, 1), '' order by k) as dhash from h group by vec_id""", items=False)
 def dhash(spark, d):
-    grid = F.transform(F.sequence(F.lit(0), F.lit(71)), lambda i: F.get("embedding", i % F.size("embedding")))
-    return table(spark, d, "embeddings").select("vec_id", vectors.dhash_bits(grid).alias("dhash"))
+    return dhashes(spark, d)
 
 
 @query("with b as (select item_id, unnest(range(0, 64)) as i, sha256 from live) select item_id, count(*) filter (where (('0x' || substr(sha256, (i // 4 + 1)::int, 1))::int // (8 // (1 << (i % 4)::int))) % 2 = 1) * 0.125::double as positive from b group by item_id")

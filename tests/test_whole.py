@@ -1,5 +1,7 @@
 """Catalog queries over all rows of small tables, held against brute force; their SQL leaves rows out."""
 
+import hashlib
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -15,8 +17,9 @@ def tables(tmp_path_factory):
     texts = [TEXTS[i % len(TEXTS)] + ("" if i % 8 in (3, 4) else f" {i}") for i in range(n)]
     out = {
         "documents": pd.DataFrame({"doc_id": range(n), "text": texts, "lang": ["en", "de", "fr"] * (n // 3), "source": [f"src{i % 4}" for i in range(n)], "n_chars": [len(t) for t in texts]}),
+        "events": pd.DataFrame({"event_id": range(6 * n), "ts": (pd.Timestamp("2024-01-01") + pd.to_timedelta(range(6 * n), "min")).astype("datetime64[us]"), "user_id": [i % n for i in range(6 * n)], "event_type": [("click", "view", "error")[i % n % 3 if i < 3 * n else i % 2] for i in range(6 * n)]}),
         "labels": pd.DataFrame({"doc_id": range(n), "quality": [i // 2 % 2 for i in range(n)], "toxic": [i % 3 // 2 for i in range(n)]}),
-        "embeddings": pd.DataFrame({"vec_id": range(n), "embedding": [v.astype(np.float32) for v in r.normal(size=(n, 64))], "label": [i % 7 for i in range(n)]}),
+        "embeddings": pd.DataFrame({"vec_id": range(n), "embedding": [v.astype(np.float32) for v in r.normal(size=(n, 64))[[i if i != 11 else 1 for i in range(n)]]], "label": [i % 7 for i in range(n)]}),
         "orders": pd.DataFrame({"o_orderkey": range(1, n + 1), "o_orderpriority": ["1-URGENT" if i % 2 else "5-LOW" for i in range(1, n + 1)]}),
         "customer": pd.DataFrame({"c_custkey": [1, 2], "c_mktsegment": ["urgent goods", "other"]}),
     }
@@ -53,3 +56,28 @@ def test_centroids_of_all_labelled_vectors(spark, tables):
     score = 1 / (1 + np.exp(-8 * (x @ p - x @ q)))
     found = {r["item_id"]: r["confidence"] for r in run(spark, tables, "apply_centroids")}
     assert set(found) == set(np.flatnonzero(score >= 0.62)) and all(abs(found[i] - score[i]) < 1e-4 for i in found)
+
+
+def test_similarity_by_whole_contents(spark, tables):
+    docs, e, events = (tables[1][t] for t in ("documents", "embeddings", "events"))
+    live = [i for i, t in enumerate(docs.text) if "Licensed under" not in t]
+    sign = {("exact", i): f"{docs.n_chars[i]}:{hashlib.sha256(docs.text[i].encode()).hexdigest()}" for i in live}
+    for i in live:
+        if i % 5 in (1, 3):
+            grid = [e.embedding[i][j % 64] for j in range(72)]
+            bits = [grid[j // 8 * 9 + j % 8] > grid[j // 8 * 9 + j % 8 + 1] for j in range(64)]
+            sign["image_phash", i] = f"{sum(int(b) << 63 - j for j, b in enumerate(bits)):016x}"
+        if i % 5 in (0, 2):
+            own = events[events.user_id == i].sort_values(["ts", "event_id"])
+            starts = sorted((k * 5.0 if event % 9 else k * 7.0, k, kind) for k, (event, kind) in enumerate(zip(own.event_id, own.event_type)) if kind != "click")
+            if starts:
+                sign["video_fingerprint", i] = "|".join(kind for _, _, kind in starts[:3])
+    groups = {}
+    for (kind, i), s in sign.items():
+        groups.setdefault((kind, s), []).append(i)
+    groups = {k: sorted(v, key=lambda i: (-docs.n_chars[i], i)) for k, v in groups.items() if len(v) > 1}
+    want = {(*k, i, len(v), "candidate" if n else "keep") for k, v in groups.items() for n, i in enumerate(v)}
+    assert {k for k, _ in groups} == {"exact", "image_phash", "video_fingerprint"}
+    assert {tuple(r) for r in run(spark, tables, "similarity_index")} == want
+    top = sorted(groups, key=lambda k: (-len(groups[k]), *k))[:10]
+    assert {tuple(r) for r in run(spark, tables, "similarity_listing")} == {(s, i, n + 1) for kind, s in top for n, i in enumerate(groups[kind, s])}
