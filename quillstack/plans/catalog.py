@@ -96,7 +96,9 @@ def all_tags(spark: SparkSession, d: str) -> DataFrame:
 
 
 def transcripts(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "conversations").where("turn = 0").select(F.col("conv_id").alias("item_id"), "text")
+    """(item_id, text): all turns of a conversation in order, a line each."""
+    turns = table(spark, d, "conversations").groupBy(F.col("conv_id").alias("item_id")).agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("t"))
+    return turns.select("item_id", F.array_join("t.text", "\n").alias("text"))
 
 
 @query("with u as (select media_type, size_bytes, row_number() over (partition by media_type, size_bytes, sha256 order by path, item_id) as rn from live where sha256 is not null) select media_type, count(*) as items, sum(size_bytes)::bigint as bytes from u where rn = 1 group by media_type")

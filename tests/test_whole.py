@@ -7,8 +7,11 @@ import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
+from quillstack.operators import search
+from quillstack.plans import catalog
 
 TEXTS = ["plain words one", "der und die", "les que", "same text", "same text", "same text", "Licensed under x", "tail"]
+TURNS = [["x", "so on: when"], ["a" * 60, "b" * 60], ["x", "y", "z"], ["c" * 101], ["first", None, "third"]]
 
 
 @pytest.fixture(scope="module")
@@ -18,6 +21,7 @@ def tables(tmp_path_factory):
     out = {
         "documents": pd.DataFrame({"doc_id": range(n), "text": texts, "lang": ["en", "de", "fr"] * (n // 3), "source": [f"src{i % 4}" for i in range(n)], "n_chars": [len(t) for t in texts]}),
         "events": pd.DataFrame({"event_id": range(6 * n), "ts": (pd.Timestamp("2024-01-01") + pd.to_timedelta(range(6 * n), "min")).astype("datetime64[us]"), "user_id": [i % n for i in range(6 * n)], "event_type": [("click", "view", "error")[i % n % 3 if i < 3 * n else i % 2] for i in range(6 * n)]}),
+        "conversations": pd.DataFrame([(c, t, "user", TURNS[c % 5][t]) for t in (2, 0, 1) for c in range(0, n, 2) if t < len(TURNS[c % 5])], columns=["conv_id", "turn", "role", "text"]),
         "labels": pd.DataFrame({"doc_id": range(n), "quality": [i // 2 % 2 for i in range(n)], "toxic": [i % 3 // 2 for i in range(n)]}),
         "embeddings": pd.DataFrame({"vec_id": range(n), "embedding": [v.astype(np.float32) for v in r.normal(size=(n, 64))[[i if i != 11 else 1 for i in range(n)]]], "label": [i % 7 for i in range(n)]}),
         "orders": pd.DataFrame({"o_orderkey": range(1, n + 1), "o_orderpriority": ["1-URGENT" if i % 2 else "5-LOW" for i in range(1, n + 1)]}),
@@ -81,3 +85,26 @@ def test_similarity_by_whole_contents(spark, tables):
     assert {tuple(r) for r in run(spark, tables, "similarity_index")} == want
     top = sorted(groups, key=lambda k: (-len(groups[k]), *k))[:10]
     assert {tuple(r) for r in run(spark, tables, "similarity_listing")} == {(s, i, n + 1) for kind, s in top for n, i in enumerate(groups[kind, s])}
+
+
+def test_transcripts_hold_all_turns(spark, tables):
+    docs = tables[1]["documents"]
+    live = [i for i, t in enumerate(docs.text) if "Licensed under" not in t]
+    said = {c: "\n".join(t for t in TURNS[c % 5] if t) for c in range(0, 24, 2)}
+    assert {r["item_id"]: r["text"] for r in catalog.transcripts(spark, tables[0]).collect()} == said
+    assert {r["item_id"] for r in run(spark, tables, "needs_timed_rerun")} == {i for i in live if len(said.get(i, "")) <= 100}
+    names = {r["item_id"]: r["filename"] for r in catalog.live_items(spark, tables[0]).collect()}
+    tags = {r["item_id"]: r["tags"] for r in run(spark, tables, "tags_concat")}
+    digest = {i: hashlib.sha256(" ".join(x for x in (names[i], said.get(i), tags.get(i)) if x).encode()).hexdigest() for i in live}
+    assert {r["item_id"]: r["digest"] for r in run(spark, tables, "semantic_texts")} == digest
+
+
+def test_a_later_turn_is_searched(spark, tables, tmp_path):
+    docs = pd.DataFrame({"doc_id": [0, 5, 10], "text": ["t" * 200] * 3, "lang": ["fr"] * 3, "source": ["s"] * 3, "n_chars": [200] * 3})
+    docs.to_parquet(tmp_path / "documents.parquet", index=False)
+    turns = [(0, 0, "user", "no"), (0, 1, "user", "then"), (10, 0, "user", "no")]
+    pd.DataFrame(turns, columns=["conv_id", "turn", "role", "text"]).to_parquet(tmp_path / "conversations.parquet", index=False)
+    items = catalog.live_items(spark, str(tmp_path))
+    tags = spark.createDataFrame([(i, "hd", "confirmed") for i in (0, 5, 10)], "item_id long, tag string, state string")
+    found = search.catalog_query(items, tags, catalog.transcripts(spark, str(tmp_path)), text="EN")
+    assert [r["item_id"] for r in found.collect()] == [0]
