@@ -7,11 +7,12 @@ to end as token streams; a suffix array, by doubling prefixes up to RUN tokens,
 distinct pages, and all tokens that such runs cover are boilerplate. The article is the main text; on a page without
 one, the unique runs of its outer blocks that aren't furniture are.
 
-Hosts with over PAGES pages are dealt out by hash, PAGES or so a group, so that no task holds a whole large host; a run
-then counts within its group.
+Hosts with over PAGES pages are dealt out by hash, PAGES or so a group, so that no task holds a whole large host. The
+suffix array finds the runs of a group; those that groups share are found by 64-bit hashes of all runs of the host, which
+meet in a shuffle. Both ways give the same text; two runs of one host whose hashes collide by chance would count as one.
 
 Defined results: null or empty html gives an empty text; pages with a null url form a host of their own; repeated rows
-count as distinct pages only if their page_id differs; unclosed elements end with the page; other columns are ignored.
+count as distinct pages only if their page_id differs, and no run goes from row to row; unclosed elements end with the page; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,6 +26,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .scratch import save
+from .textbytes import Spans
+
 RUN = 8
 PAGES = 256
 SMALL_HOSTS = 100_000  # rows of large hosts up to which they are broadcast
@@ -99,12 +103,12 @@ def blocks(page: str) -> list[tuple[str, bool, bool]]:
     return out
 
 
-def repeated(tokens: np.ndarray, page: np.ndarray) -> np.ndarray:
-    """Which tokens lie in a run of RUN tokens that occurs on two or more pages. Runs don't leave their page."""
+def runs(tokens: np.ndarray, page: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """Where runs of RUN tokens start that occur on two or more pages. Runs don't leave their row."""
     n = len(tokens)
-    covered = np.zeros(n, bool)
+    out = np.zeros(n, bool)
     if n < RUN:
-        return covered
+        return out
     _, rank = np.unique(tokens, return_inverse=True)
     width = 1
     while width < RUN:  # ranks of prefixes twice as long, from pairs of ranks
@@ -116,28 +120,68 @@ def repeated(tokens: np.ndarray, page: np.ndarray) -> np.ndarray:
         rank = np.empty(n, np.int64)
         rank[order] = np.cumsum(new) - 1
         width *= 2
-    inside = np.flatnonzero(page[: n - RUN + 1] == page[RUN - 1 :])
+    inside = np.flatnonzero(row[: n - RUN + 1] == row[RUN - 1 :])
     order = inside[np.lexsort((page[inside], rank[inside]))]  # the suffix array, down to RUN tokens
     if not len(order):
-        return covered
+        return out
     first = np.flatnonzero(np.concatenate([[True], rank[order][1:] != rank[order][:-1]]))
     last = np.append(first[1:], len(order)) - 1
-    many = np.repeat(page[order][first] != page[order][last], last - first + 1)
-    edge = np.zeros(n + 1, np.int64)
-    np.add.at(edge, order[many], 1)
-    np.add.at(edge, order[many] + RUN, -1)
+    out[order[np.repeat(page[order][first] != page[order][last], last - first + 1)]] = True
+    return out
+
+
+def cover(start: np.ndarray) -> np.ndarray:
+    """Which tokens lie in a run that starts where start is set."""
+    edge = np.zeros(len(start) + 1, np.int64)
+    at = np.flatnonzero(start)
+    edge[at] += 1
+    edge[at + RUN] -= 1
     return np.cumsum(edge[:-1]) > 0
 
 
+def repeated(tokens: np.ndarray, page: np.ndarray) -> np.ndarray:
+    """Which tokens lie in a run of RUN tokens that occurs on two or more pages. Runs don't leave their page."""
+    return cover(runs(tokens, page, page))
+
+
+def run_hashes(words: list[str]) -> np.ndarray:
+    """The hash of each run of RUN words: of its bytes, a space between words, which no word holds."""
+    data = np.frombuffer(" ".join(words).encode(), np.uint8)
+    ends = np.append(np.flatnonzero(data == 32), len(data))
+    n = max(0, len(ends) - RUN + 1)
+    starts = np.concatenate([[0], ends[:-1] + 1])
+    return Spans(data).of(starts[:n], ends[RUN - 1 :]).view(np.int64) if n else np.zeros(0, np.int64)
+
+
+def found_runs(ids: list, rows: list[list[str]]) -> list[np.ndarray]:
+    """For each row of words, where runs start that two or more of the pages share."""
+    number = {p: i for i, p in enumerate(dict.fromkeys(ids))}
+    sizes = [len(w) for w in rows]
+    codes: dict[str, int] = {}
+    tokens = np.array([codes.setdefault(w, len(codes)) for words in rows for w in words], np.int64)
+    start = runs(tokens, np.repeat(np.array([number[i] for i in ids], np.int64), sizes), np.repeat(np.arange(len(rows)), sizes))
+    return np.split(start, np.cumsum(sizes)[:-1])
+
+
+def result(ids: pa.Array, urls: pa.Array, main: list, rows: list[list[str]], free: list[list[bool]], starts: list[np.ndarray]) -> list[pa.Array]:
+    texts, covered = [], []
+    for whole, words, flags, start in zip(main, rows, free, starts):
+        hit = cover(start)
+        covered.append(int(hit.sum()))
+        texts.append(whole if whole is not None else " ".join(w for w, f, h in zip(words, flags, hit) if f and not h))
+    return [ids, urls, pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64()), pa.array(covered, pa.int64())]
+
+
 def extract(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars, n_boilerplate) of each page; n_boilerplate: its outer tokens in repeated runs."""
     host = F.coalesce(F.regexp_extract(F.lower("url"), r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit(""))
     counts = pages.select(host.alias("host")).groupBy("host").count().where(F.col("count") > PAGES).select("host", F.ceil(F.col("count") / PAGES).alias("groups"))
-    few = counts.limit(SMALL_HOSTS + 1).count() <= SMALL_HOSTS
+    large_hosts = counts.limit(SMALL_HOSTS + 1).count()
     keyed = pages.select("page_id", "url", "html", host.alias("host"))
-    keyed = keyed.join(F.broadcast(counts) if few else counts, "host", "left")
-    keyed = keyed.select("page_id", "url", "host", F.coalesce(F.pmod(F.xxhash64("page_id", "url"), F.col("groups")), F.lit(0)).alias("group"), "html")
+    keyed = keyed.join(F.broadcast(counts) if large_hosts <= SMALL_HOSTS else counts, "host", "left")
+    keyed = keyed.select("page_id", "url", "host", F.coalesce(F.pmod(F.xxhash64("page_id", "url"), F.col("groups")), F.lit(0)).alias("group"), "html", F.col("groups").isNotNull().alias("large"))
     kind = pages.schema["page_id"].dataType.simpleString()
+    schema = f"page_id {kind}, url string, text string, n_chars long, n_boilerplate long"
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -148,33 +192,41 @@ def extract(pages: DataFrame) -> DataFrame:
                     found = blocks(page or "")
                     inside = [t for t, a, f in found if a and not f]
                     main.append(" ".join(inside) if inside else None)
-                    outer.append([t for t, a, f in found if not a or f])
-                    open_.append([not f for t, a, f in found if not a or f])
+                    own = [(t.split(" "), not f) for t, a, f in found if not a or f]
+                    outer.append([w for words, _ in own for w in words])
+                    open_.append([f for words, f in own for _ in words])
                 yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(4)), pa.array(main, pa.string()), pa.array(outer, pa.list_(pa.string())), pa.array(open_, pa.list_(pa.bool_()))], ["page_id", "url", "host", "group", "main", "outer", "open"])
 
-    def judge(table: pa.Table) -> pa.Table:
-        main, outer, open_, ids = (table.column(c).to_pylist() for c in ("main", "outer", "open", "page_id"))
-        number = {p: i for i, p in enumerate(dict.fromkeys(ids))}
-        words, page, free = [], [], []
-        for i, lists, flags in zip(ids, outer, open_):
-            for text, flag in zip(lists, flags):
-                own = text.split(" ")
-                words += own
-                page += [number[i]] * len(own)
-                free += [flag] * len(own)
-        order = np.argsort(np.array(page, np.int64), kind="stable") if page else np.zeros(0, np.int64)
-        hit = np.zeros(len(words), bool)
-        if len(words):
-            codes: dict[str, int] = {}
-            tokens = np.array([codes.setdefault(w, len(codes)) for w in words], np.int64)
-            hit[order] = repeated(tokens[order], np.array(page, np.int64)[order])
-        at, texts, covered = 0, [], []
-        for whole, lists in zip(main, outer):
-            n = sum(len(t.split(" ")) for t in lists)
-            covered.append(int(hit[at : at + n].sum()))
-            texts.append(whole if whole is not None else " ".join(words[j] for j in range(at, at + n) if free[j] and not hit[j]))
-            at += n
-        return pa.table([table.column("page_id"), table.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64()), pa.array(covered, pa.int64())], names=["page_id", "url", "text", "n_chars", "n_boilerplate"])
-
-    parsed = keyed.mapInArrow(cut, f"page_id {kind}, url string, host string, group long, main string, outer array<string>, open array<boolean>")
-    return parsed.groupBy("host", "group").applyInArrow(judge, f"page_id {kind}, url string, text string, n_chars long, n_boilerplate long")
+    def scan(table: pa.Table) -> pa.Table:
+        """(host, group, page, run): hashes of the runs of one page only, with a hash of it; and of those of several, each once, without."""
+        rows, ids, keys = (table.column(c).to_pylist() for c in ("outer", "page_id", "key"))
+        alone, shared = [], []
+        for words, start in zip(rows, found_runs(ids, rows)):
+            h = run_hashes(words)
+            alone.append(np.unique(h[~start[: len(h)]]))
+            shared.append(h[start[: len(h)]])
+        many = np.unique(np.concatenate(shared))
+        pages_ = pa.array(np.repeat(np.array(keys, np.int64), [len(h) for h in alone]))
+        n = len(pages_) + len(many)
+        same = [pa.repeat(table.column(c)[0], n) for c in ("host", "group")]
+        return pa.table([*same, pa.concat_arrays([pages_, pa.nulls(len(many), pa.int64())]), pa.array(np.concatenate([*alone, many]))], names=["host", "group", "page", "run"])
+
+    def judge(table: pa.Table, more: pa.Table | None = None) -> pa.Table:
+        main, rows, free, ids = (table.column(c).to_pylist() for c in ("main", "outer", "open", "page_id"))
+        starts = found_runs(ids, rows) if rows else []
+        if more is not None and more.num_rows:
+            elsewhere = more.column("run").to_numpy()
+            for words, start in zip(rows, starts):
+                h = run_hashes(words)
+                start[: len(h)] |= np.isin(h, elsewhere)
+        return pa.table(result(table.column("page_id"), table.column("url"), main, rows, free, starts), names=["page_id", "url", "text", "n_chars", "n_boilerplate"])
+
+    parsed = lambda rows: rows.drop("large").mapInArrow(cut, f"page_id {kind}, url string, host string, group long, main string, outer array<string>, open array<boolean>")
+    if not large_hosts:
+        return parsed(keyed).groupBy("host", "group").applyInArrow(lambda t: judge(t), schema)
+    outer = parsed(keyed.where("large")).select("host", "group", "page_id", F.xxhash64("page_id").alias("key"), "outer")
+    found = save(outer.groupBy("host", "group").applyInArrow(scan, "host string, group long, page long, run long"), "html")
+    low, high = F.min(F.coalesce("page", F.lit(-(1 << 63)))), F.max(F.coalesce("page", F.lit((1 << 63) - 1)))
+    many = found.groupBy("host", "run").agg(low.alias("low"), high.alias("high")).where("low < high").select("host", "run")
+    more = found.where("page is not null").join(many, ["host", "run"]).select("host", "group", "run").distinct()
+    return parsed(keyed).groupBy("host", "group").cogroup(more.groupBy("host", "group")).applyInArrow(judge, schema)

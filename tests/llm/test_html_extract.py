@@ -50,3 +50,16 @@ def test_runs_by_brute_force():
             if any(t == u and p != q for u, q, _ in runs):
                 want[i : i + h.RUN] = True
         assert np.array_equal(h.repeated(tokens, page), want)
+
+
+def test_runs_of_few_pages_on_a_large_host(spark, monkeypatch):
+    r = np.random.default_rng(3)
+    pairs = [" ".join(f"p{i}w{j}" for j in range(9)) for i in range(20)]  # each on two pages
+    bodies = [f"<p>n{i}</p><div>{pairs[i % 20]}</div><div>{' '.join(map(str, r.integers(0, 3, 12)))}</div>" for i in range(40)]
+    rows = [(i, f"http://a.example/{i}", b) for i, b in enumerate(bodies)] + [(7, "http://a.example/again", "<p>only this page has these eight words twice</p>")] * 2
+    df = spark.createDataFrame([*rows, (None, "http://a.example/x", None), (50, "http://b.example/", bodies[0])], SCHEMA)
+    whole = sorted(map(str, h.extract(df).collect()))
+    monkeypatch.setattr(h, "PAGES", 4)
+    assert sorted(map(str, h.extract(df).collect())) == whole
+    got = text_of(spark, *(f"<p>n{i}</p><div>{pairs[i % 20]}</div>" for i in range(40)))
+    assert got == [f"n{i}" for i in range(40)]
