@@ -7,12 +7,13 @@ hashes, or the whole sequence as one shingle if it is shorter. Two sets link whe
 2.  Sets are ordered from rare to frequent shingles (the most frequent ones are counted, the rest rank as rare; any
     order gives the same links) and their prefixes go to index lists, one for each shingle.
 3.  In each list the first set of each size class leads. Every set is compared with the leader that it shares most
-    prefix shingles with. Sets that link with it become its followers, with their distance from it. In some more rounds
-    each component of links tries one pair with leaders drawn anew, so that large groups of near copies grow together.
-4.  The lists are then read by cluster: sorted by position and cut into blocks, and blocks are skipped as a whole when
-    no pair in them can reach the overlap that its sizes call for, or when all is in one component already.
+    prefix shingles with. Sets that link with it become its followers, with their distance from it. Then come rounds,
+    until they join nothing more, in which each component of links tries a few pairs with leaders drawn anew from its
+    lists, so that large groups of near copies grow together without all their pairs.
+4.  Lists that still hold two components or more are cut into blocks by position, and pairs of blocks are skipped as a
+    whole when no pair in them can reach the overlap that its sizes call for, or when all is in one component already.
 5.  Answers of followers are derived from those of leaders: overlap of two leaders bounds, by the triangle inequality
-    for Jaccard distances, the overlap of all their followers. Only pairs that this leaves open are compared.
+    for Jaccard distances, the overlap of their followers. Only pairs that this leaves open are compared.
 
 Defined results: null or empty text, or text without words, has an empty set and links with nothing; rows with a null
 doc_id link with nothing and have a null component_id; repeated rows share a class; other columns are ignored.
@@ -28,16 +29,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .scratch import save
+from .scratch import Save, room, save
 from .textbytes import Spans, mix, pieces, utf8
 
 WORDS = 5
 FREQUENT = 100_000  # rows of the table of the most frequent shingles
 BUFFER = 1 << 21  # shingles that are counted together before the shuffle
-SMALL_PAIRS = 300_000  # up to so many pairs (20 MB) are broadcast to pick texts; beyond, a shuffled join does it
-SHARES = 16
+SMALL_IDS = 500_000  # up to so many ids (8 MB) are broadcast to pick texts; beyond, a shuffled join does it
+SHARE = 2_000  # pairs of one leader that are compared in one task
+SUBLIST = 20_000  # a list of a shingle with more sets is read in sublists of about so many
 BLOCK = 32
-STAR_ROUNDS = 6
+ROUNDS = 12
+TRIES = 4  # pairs that a component tries in a round
 FACTORS = (mix(np.arange(1, 9, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))) | np.uint64(1)
 FOLD = np.arange(256, dtype=np.uint8)
 FOLD[65:91] += 32
@@ -96,6 +99,7 @@ def profiles(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
         size = 0
+        seen: set[int] = set()  # signatures in the buffer; of exact copies only one counts there
 
         def frequent() -> tuple[np.ndarray, np.ndarray]:
             every = np.sort(np.concatenate(held)) if held else np.zeros(0, np.uint64)
@@ -113,13 +117,19 @@ def profiles(docs: DataFrame) -> DataFrame:
             data, offs = utf8(batch.column(1))
             for lo, hi in pieces(offs):
                 hashes, bounds = shingle_sets(data, offs[lo : hi + 1])
-                held.append(hashes)
-                size += len(hashes)
+                a, b = sums(mix(hashes + FACTORS[5]), bounds), sums(mix(hashes * FACTORS[6]), bounds)
+                fresh = np.zeros(hi - lo, bool)
+                fresh[np.unique(a, return_index=True)[1]] = True
+                fresh &= np.array([x not in seen for x in a.tolist()], bool)
+                seen.update(a[fresh].tolist())
+                own = hashes[np.repeat(fresh, np.diff(bounds))]
+                held.append(own)
+                size += len(own)
                 found = np.zeros(0, np.uint64), np.zeros(0, np.int64)
                 if size >= BUFFER:
                     found = frequent()
-                    held, size = [], 0
-                yield rows(batch.column(0).slice(lo, hi - lo), np.diff(bounds), sums(mix(hashes + FACTORS[5]), bounds), sums(mix(hashes * FACTORS[6]), bounds), *found)
+                    held, size, seen = [], 0, set()
+                yield rows(batch.column(0).slice(lo, hi - lo), np.diff(bounds), a, b, *found)
         shingle, hits = frequent()
         empty = np.zeros(0, np.int64)
         yield rows(pa.nulls(0, pa.int64()), empty, empty, empty, shingle, hits)
@@ -132,87 +142,108 @@ def needed(n):  # noqa: ANN001, ANN201
     return (80 * n + 99) // 100
 
 
-def prefixes(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
-    """(doc_id, n, prefix): the rarest shingles of each set, rarest first. frequent: hashes, from the least frequent on."""
+def prefixes(docs: DataFrame, frequent: np.ndarray, hits: np.ndarray) -> DataFrame:
+    """(doc_id, n, prefix, part): the rarest shingles of each set, rarest first, and the sublists that they go to.
+
+    frequent: hashes, from the least frequent on; hits: how often. Lists of over SUBLIST sets have sublists from 1 on.
+    """
     order = np.argsort(frequent)
-    known, rank = frequent[order], order + 1
+    known, rank, parts = frequent[order], order + 1, np.where(hits > SUBLIST, hits // SUBLIST + 1, 0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offs = utf8(batch.column(1))
+            dealt = mix(batch.column(0).to_numpy().view(np.uint64))
             for lo, hi in pieces(offs):
                 hashes, bounds = shingle_sets(data, offs[lo : hi + 1])
                 at = np.minimum(np.searchsorted(known, hashes), max(0, len(known) - 1))
                 high = np.where(known[at] == hashes, rank[at], 0) if len(known) else np.zeros(len(hashes), int)
                 n = np.diff(bounds)
                 length = np.where(n > 0, n - needed(n) + 1, 0)
-                out = []
+                out, ranks = [], []
                 for d in range(hi - lo):
                     part, own = high[bounds[d] : bounds[d + 1]], hashes[bounds[d] : bounds[d + 1]]
-                    rare = own[part == 0][: length[d]]  # in the order of their hashes
-                    if len(rare) < length[d]:
-                        more = own[part > 0][np.argsort(part[part > 0])][: length[d] - len(rare)]
-                        rare = np.concatenate([rare, more])
-                    out.append(rare)
-                flat = np.concatenate(out).view(np.int64)
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(length)]).astype(np.int32)), pa.array(flat))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(n), lists], ["doc_id", "n", "prefix"])
+                    first = np.argsort(part, kind="stable")[: length[d]]  # rare ones are in the order of their hashes
+                    out.append(own[first])
+                    ranks.append(part[first])
+                flat, of = np.concatenate(out).view(np.int64), np.concatenate(ranks)
+                many = parts[np.maximum(of, 1) - 1] * (of > 0) if len(parts) else np.zeros(len(of), int)
+                sub = np.where(many > 0, np.repeat(dealt[lo:hi], length) % np.maximum(many, 1).astype(np.uint64) + np.uint64(1), np.uint64(0))
+                ends = pa.array(np.concatenate([[0], np.cumsum(length)]).astype(np.int32))
+                lists = [pa.ListArray.from_arrays(ends, pa.array(x.astype(np.int64))) for x in (flat, sub)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(n), *lists], ["doc_id", "n", "prefix", "part"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null").mapInArrow(run, "doc_id long, n long, prefix array<long>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null").mapInArrow(run, "doc_id long, n long, prefix array<long>, part array<long>")
 
 
 def listed(postings: DataFrame) -> DataFrame:
     """Keeps postings of lists with two or more sets, each with the leader of its size class in the list.
 
-    The rows of a list come one after another, by size; only the last row and the leader are held between batches.
+    The rows of a list, or of a sublist of a long one, come one after another, by size; only the last row and the leader
+    are held between batches.
     """
-    names = ["shingle", "n", "doc_id", "pos"]
+    names = ["shingle", "part", "n", "doc_id", "pos"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last: tuple | None = None  # the row before, its leader, and whether it has gone out
         for batch in batches:
             if not batch.num_rows:
                 continue
-            s, n, d, p = (batch.column(x).to_numpy() for x in names)
+            s, t, n, d, p = (batch.column(x).to_numpy() for x in names)
             if last:
-                s, n, d, p = (np.append(np.array([x], np.int64), y) for x, y in zip(last[:4], (s, n, d, p)))
+                s, t, n, d, p = (np.append(np.array([x], np.int64), y) for x, y in zip(last[:5], (s, t, n, d, p)))
             grade = np.floor(np.log(n) / np.log(1.25) + 1e-9)
-            same = s[1:] == s[:-1]
+            same = (s[1:] == s[:-1]) & (t[1:] == t[:-1])
             head = np.append([True], ~same | (grade[1:] != grade[:-1]))
             of = np.maximum.accumulate(np.where(head, np.arange(len(s)), 0))
             lead = [x[of] for x in (d, n, p)]
             if last:
                 mine = of == 0
-                for x, y in zip(lead, last[4]):
+                for x, y in zip(lead, last[5]):
                     x[mine] = y
-            out = np.append(same, False) | np.append([False], same)
-            done = bool(last and last[5])
+            out = np.append(same, False) | np.append([False], same) | (t > 0)
+            done = bool(last and last[6])
             if done:
                 out[0] = False
             yield pa.RecordBatch.from_arrays([pa.array(x[out]) for x in (s, d, n, p, *lead)], ["shingle", "doc_id", "n", "pos", "leader", "leader_n", "leader_pos"])
-            last = (s[-1], n[-1], d[-1], p[-1], [x[-1] for x in lead], bool(out[-1]) or (len(s) == 1 and done))
+            last = (s[-1], t[-1], n[-1], d[-1], p[-1], [x[-1] for x in lead], bool(out[-1]) or (len(s) == 1 and done))
 
-    sorted_ = postings.repartition("shingle").sortWithinPartitions("shingle", "n", "doc_id")
+    sorted_ = postings.repartition("shingle", "part").sortWithinPartitions("shingle", "part", "n", "doc_id")
     return sorted_.select(*names).mapInArrow(run, "shingle long, doc_id long, n long, pos long, leader long, leader_n long, leader_pos long")
 
 
-def compare(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """pairs (a, b) -> (a, b, n_a, n_b, overlap). Each set of a pair travels once, to a share of b's pairs."""
-    wanted = save(pairs.where("a <> b").select("a", "b", F.pmod(F.xxhash64("a"), F.lit(SHARES)).alias("share")).distinct(), "pairs")
-    lead = wanted.select(F.col("b").alias("doc_id"), "b", "share").distinct().withColumn("a", F.lit(None).cast("long"))
-    trips = wanted.select(F.col("a").alias("doc_id"), "b", "share", "a").union(lead.select("doc_id", "b", "share", "a"))
-    small = wanted.count() <= SMALL_PAIRS
+def sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(doc_id, members) of the documents among ids (distinct)."""
+    few = ids.limit(SMALL_IDS + 1).count() <= SMALL_IDS
+    wanted = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offs = utf8(batch.column(3))
+            data, offs = utf8(batch.column(1))
             for lo, hi in pieces(offs):
                 hashes, bounds = shingle_sets(data, offs[lo : hi + 1])
                 lists = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(hashes.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(lo, hi - lo) for i in range(3)), lists], ["b", "share", "a", "members"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), lists], ["doc_id", "members"])
+
+    return wanted.mapInArrow(run, "doc_id long, members array<long>")
+
+
+def compare(pairs: DataFrame, pool: DataFrame) -> DataFrame:
+    """Distinct pairs (a, b), a <> b -> (a, b, n_a, n_b, overlap), from sets (doc_id, members).
+
+    Each set of a pair travels once, to a share of b's pairs; a leader of many has many shares. Of several sets under one
+    doc_id the most similar ones count.
+    """
+    many = pairs.groupBy("b").agg(F.ceil(F.count("*") / SHARE).alias("shares"))
+    wanted = pairs.select("a", "b").join(many, "b").select("a", "b", F.pmod(F.xxhash64("a"), "shares").alias("share"))
+    lead = wanted.select(F.col("b").alias("doc_id"), "b", "share").distinct().withColumn("a", F.lit(None).cast("long"))
+    trips = wanted.select(F.col("a").alias("doc_id"), "b", "share", "a").union(lead.select("doc_id", "b", "share", "a"))
+    names = ["a", "b", "n_a", "n_b", "overlap"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        leader = np.zeros(0, np.uint64)  # the set of the current b, whose row comes first
+        leaders: list[np.ndarray] = []  # the sets of the current b, whose rows come first
+        at: int | None = None
+        best: tuple | None = None  # of the current pair
         for batch in batches:
             flat, bounds = batch.column(3).values.to_numpy().view(np.uint64), batch.column(3).offsets.to_numpy()
             a, b = batch.column(2).to_pylist(), batch.column(0).to_pylist()
@@ -220,33 +251,46 @@ def compare(pairs: DataFrame, docs: DataFrame) -> DataFrame:
             for i in range(batch.num_rows):
                 own = flat[bounds[i] : bounds[i + 1]]
                 if a[i] is None:
-                    leader = own.copy()
+                    leaders = [*(leaders if at == b[i] else []), own.copy()]
+                    at = b[i]
                     continue
-                x, y = (own, leader) if len(own) <= len(leader) else (leader, own)
-                at = np.searchsorted(y, x)
-                at[at == len(y)] = 0
-                out.append((a[i], b[i], len(own), len(leader), int(np.count_nonzero(y[at] == x)) if len(y) else 0))
+                at = None
+                for leader in leaders:
+                    x, y = (own, leader) if len(own) <= len(leader) else (leader, own)
+                    place = np.searchsorted(y, x)
+                    place[place == len(y)] = 0
+                    new = (a[i], b[i], len(own), len(leader), int(np.count_nonzero(y[place] == x)) if len(y) else 0)
+                    if best and best[:2] == new[:2]:
+                        if new[4] * (best[2] + best[3] - best[4]) > best[4] * (new[2] + new[3] - new[4]):
+                            best = new
+                        continue
+                    if best:
+                        out.append(best)
+                    best = new
             columns = list(zip(*out)) if out else [()] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["a", "b", "n_a", "n_b", "overlap"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names)
+        if best:
+            yield pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in best], names)
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(trips) if small else trips, "doc_id").select("b", "share", "a", "text")
-    dealt = texts.mapInArrow(sets, "b long, share long, a long, members array<long>").repartition("b", "share").sortWithinPartitions("b", "share", F.asc_nulls_first("a"))
-    return dealt.mapInArrow(run, "a long, b long, n_a long, n_b long, overlap long").dropDuplicates(["a", "b"])
+    dealt = pool.join(trips, "doc_id").select("b", "share", "a", "members").repartition("b", "share").sortWithinPartitions("b", "share", F.asc_nulls_first("a"))
+    return dealt.mapInArrow(run, "a long, b long, n_a long, n_b long, overlap long")
 
 
 LINKED = "100 * overlap >= 80 * (n_a + n_b - overlap)"
+APART = "1 - overlap / (n_a + n_b - overlap)"
 #: An overlap of {0} at most can link sets of {1} and {2} shingles.
 REACHABLE = "9 * {0} >= 4 * ({1} + {2})"
 #: So can {0} common shingles of both prefixes: of the set whose prefix ends first, the rest of its prefix isn't in the
-#: other set. {1} and {2}: the least sizes, {3} and {4}: the largest.
-ENOUGH = "{0} + (80 * greatest({3}, {4}) + 99) div 100 - 1 >= (4 * ({1} + {2}) + 8) div 9"
+#: other set. {1} and {2}: the sizes.
+ENOUGH = "{0} + (80 * greatest({1}, {2}) + 99) div 100 - 1 >= (4 * ({1} + {2}) + 8) div 9"
+#: Sizes that can link.
+ALIKE = "5 * {0} >= 4 * {1} and 5 * {1} >= 4 * {0}"
 
 
 def open_lists(entries: DataFrame) -> DataFrame:
     """The entries of lists with two components or more."""
-    entries = save(entries, "entries")
     mixed = entries.groupBy("shingle").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("shingle")
-    return save(entries.join(mixed, "shingle", "left_semi"), "open")
+    return entries.join(mixed, "shingle", "left_semi")
 
 
 def relabelled(rows: DataFrame, joined: DataFrame) -> DataFrame:
@@ -254,99 +298,119 @@ def relabelled(rows: DataFrame, joined: DataFrame) -> DataFrame:
     return rows.join(joined, "component", "left").withColumn("component", F.coalesce("whole", "component")).select(rows.columns)
 
 
-def bridged(label: DataFrame, links: DataFrame, key: str) -> DataFrame:
-    """(component, whole) where links (a, b) between keys join components. Only components go through the rounds."""
-    side = label.select(key, "component")
-    bridges = links.select("a", "b").join(side.toDF("a", "ca"), "a").join(side.toDF("b", "cb"), "b").where("ca <> cb").select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct()
-    return save(components(bridges).toDF("component", "whole"), "joined")
+def bridged(label: DataFrame, links: DataFrame, keep: Save) -> DataFrame:
+    """(component, whole) where links (a, b) join components of label (doc_id, component). Only components go through the rounds."""
+    bridges = links.select("a", "b").join(label.toDF("a", "ca"), "a").join(label.toDF("b", "cb"), "b").where("ca <> cb")
+    return components(bridges.select(F.col("ca").alias("a"), F.col("cb").alias("b")), keep).toDF("component", "whole")
 
 
-def star_round(docs: DataFrame, entries: DataFrame, known: DataFrame, turn: int) -> tuple[DataFrame | None, DataFrame]:
-    """Each component tries its best untested pair with the leader of a list, drawn anew by hash each turn: (components that join, tested pairs).
+def tries(entries: DataFrame, known: DataFrame, turn: int) -> DataFrame:
+    """Up to TRIES untested pairs (a, b) of each component, with the leaders of lists, drawn anew by hash each turn.
 
-    One pair for each component, so that a large group of near copies grows together without all its pairs.
+    Rows grow with the entries of open lists, whatever the size of a group.
+    """
+    grade = F.floor(F.log("n") / float(np.log(1.25)) + 0.5 * (turn % 2) + 1e-9).alias("grade")
+    own = entries.select("shingle", grade, "doc_id", "component", "n", "rest")
+    draw = F.xxhash64("doc_id", F.pmod("shingle", F.lit(TRIES)), F.lit(turn))
+    lead = own.groupBy("shingle", "grade").agg(*[F.min_by(c, draw).alias(f"lead_{c}") for c in ("doc_id", "component", "n", "rest")], F.min("component").alias("x"), F.max("component").alias("y"))
+    met = own.join(lead.where("x <> y").drop("x", "y"), ["shingle", "grade"])
+    met = met.where("component <> lead_component and " + ALIKE.format("n", "lead_n") + " and " + REACHABLE.format("least(rest, lead_rest)", "n", "lead_n"))
+    met = met.groupBy("component", "doc_id", "lead_doc_id").agg(F.count("*").alias("shared"))
+    pairs = met.select("component", "shared", F.least("doc_id", "lead_doc_id").alias("a"), F.greatest("doc_id", "lead_doc_id").alias("b")).join(known, ["a", "b"], "left_anti")
+    weight = F.col("shared") * (1 << 40) + F.pmod(F.xxhash64("a", "b"), F.lit(1 << 40))  # a tie would try one more pair
+    slot = F.pmod(F.xxhash64("a", "b", F.lit(turn)), F.lit(TRIES)).alias("slot")
+    best = pairs.groupBy("component", slot).agg(F.max_by("a", weight).alias("a"), F.max_by("b", weight).alias("b"))
+    return best.select("a", "b").where("a <> b").distinct()
+
+
+def open_pairs(entries: DataFrame) -> DataFrame:
+    """Pairs (a, b, far_a, far_b, lead_a, lead_b) of different components that meet in a list and may link.
+
+    A list is cut into blocks of about BLOCK sets of like size and like rest behind their position; pairs of blocks that
+    can't reach the overlap, or hold one component only, are skipped whole.
     """
-    grade = F.floor(F.log("lo") / float(np.log(1.25)) + 1e-9).alias("grade")
-    own = entries.select("shingle", grade, "cluster", "component", "lo", "hi")
-    draw = F.min_by(F.struct("cluster", "component", "lo", "hi"), F.xxhash64("cluster", F.lit(turn))).alias("lead")
-    lead = own.groupBy("shingle", "grade").agg(draw, F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("shingle", "grade", "lead")
-    met = own.join(lead, ["shingle", "grade"]).where("component <> lead.component and 5 * hi >= 4 * lead.lo and 5 * lead.hi >= 4 * lo")
-    met = met.select("component", "cluster", F.col("lead.cluster").alias("leader"), F.least("lo", "lead.lo").alias("lo"), F.greatest("lo", "lead.lo").alias("lo_b"), F.greatest("hi", "lead.hi").alias("hi"))
-    met = met.groupBy("component", "cluster", "leader").agg(F.count("*").alias("shared"), F.min("lo").alias("lo"), F.min("lo_b").alias("lo_b"), F.max("hi").alias("hi")).where(ENOUGH.format("shared", "lo", "lo_b", "hi", "hi"))
-    pairs = met.select("component", "shared", F.least("cluster", "leader").alias("a"), F.greatest("cluster", "leader").alias("b")).join(known, ["a", "b"], "left_anti")
-    best = save(pairs.groupBy("component").agg(F.max_by(F.struct("a", "b"), F.struct("shared", -F.col("a"), -F.col("b"))).alias("p")).select("p.a", "p.b").distinct(), "tries")
-    if best.isEmpty():
-        return None, known
-    got = save(compare(best, docs), "tried")
-    links = got.where(LINKED).select("a", "b")
-    if links.isEmpty():
-        return None, known.union(best)
-    side = entries.select(F.col("cluster"), "component").distinct()
-    return bridged(side, links, "cluster"), known.union(best)
+    place = [F.floor(F.log("n") / float(np.log(1.12))).alias("grade"), F.floor(F.col("rest") * 25 / F.col("n")).alias("tier")]
+    placed = entries.select("*", *place)
+    size = placed.groupBy("shingle", "grade", "tier").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    placed = placed.join(size, ["shingle", "grade", "tier"]).withColumn("block", F.pmod(F.xxhash64("component"), "blocks"))
+    item = F.struct("doc_id", "component", "rest", "n", "far", "leader")
+    blocks = placed.groupBy("shingle", "grade", "tier", "block").agg(
+        F.collect_list(item).alias("items"), F.max("rest").alias("rest"), F.min("n").alias("lo"), F.max("n").alias("hi"), F.min("component").alias("c"), F.max("component").alias("d")
+    )
+    key = "struct(grade, tier, block)"
+    left = blocks.selectExpr("shingle", f"{key} as key", "items", "rest", "lo", "hi", "c", "d")
+    right = left.toDF("shingle", *[f"{x}_b" for x in left.columns[1:]])
+    open_ = "key <= key_b and (c <> d or c_b <> d_b or c <> c_b) and 5 * hi >= 4 * lo_b and 5 * hi_b >= 4 * lo and " + REACHABLE.format("least(rest, rest_b)", "lo", "lo_b")
+    fits = "x.component <> y.component and " + ALIKE.format("x.n", "y.n") + " and " + REACHABLE.format("least(x.rest, y.rest)", "x.n", "y.n") + " and (key < key_b or x.doc_id < y.doc_id)"
+    pair = "struct(least(x.doc_id, y.doc_id) as a, greatest(x.doc_id, y.doc_id) as b, if(x.doc_id < y.doc_id, x, y) as x, if(x.doc_id < y.doc_id, y, x) as y)"
+    met = left.join(right, "shingle").where(open_).select(F.expr(f"inline(flatten(transform(items, x -> transform(filter(items_b, y -> {fits}), y -> {pair}))))"))
+    return met.groupBy("a", "b").agg(F.min("x.far").alias("far_a"), F.min("y.far").alias("far_b"), F.min("x.leader").alias("lead_a"), F.min("y.leader").alias("lead_b"))
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, component_id) for each row: the smallest doc_id that it reaches over links."""
-    spark = docs.sparkSession
-    rows = save(profiles(docs), "profiles")
+    """(doc_id, n_shingles, component_id) for each row: the smallest doc_id that it reaches over links.
+
+    Rows with a null doc_id have a null component_id. The tables between the steps are removed at the end.
+    """
+    with room(docs.sparkSession) as keep:
+        return save(_components(docs, keep), "jaccard")
+
+
+def _components(docs: DataFrame, keep: Save) -> DataFrame:
+    rows = keep(profiles(docs), "profiles")
     counted = rows.where("shingle is not null").groupBy("shingle").agg(F.sum("hits").alias("hits"))
-    top = counted.orderBy(F.desc("hits"), "shingle").limit(FREQUENT).toPandas()  # at most FREQUENT rows
-    frequent = top["shingle"].to_numpy(np.int64)[::-1].copy().view(np.uint64)
+    top = counted.orderBy(F.desc("hits"), "shingle").limit(FREQUENT).toPandas()[::-1]  # at most FREQUENT rows
+    frequent, hits = top["shingle"].to_numpy(np.int64).copy().view(np.uint64), top["hits"].to_numpy(np.int64)
     rows = rows.where("shingle is null").select("doc_id", "n", "sig_a", "sig_b")
     sig = ["n", "sig_a", "sig_b"]
     classes = rows.where("n > 0 and doc_id is not null").groupBy(*sig).agg(F.min("doc_id").alias("rep"))
-    classed = save(rows.join(classes, sig, "left").select("doc_id", "n", F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id")).alias("rep")), "classes")
-    reps = classed.where("doc_id = rep and n > 0").select("doc_id").distinct()
-
-    prefix = prefixes(docs, frequent).where("n > 0").join(reps, "doc_id", "left_semi")
-    postings = prefix.select("doc_id", "n", F.posexplode("prefix").alias("pos", "shingle")).select("shingle", "n", "doc_id", F.col("pos").cast("long").alias("pos"))
-    lists = save(listed(postings), "lists")
-
-    stars = lists.where("doc_id <> leader and 5 * leader_n >= 4 * n")
-    stars = stars.groupBy("doc_id", "leader", "n", "leader_n").agg(F.count("*").alias("shared")).where(ENOUGH.format("shared", "n", "leader_n", "n", "leader_n"))
-    stars = stars.groupBy("doc_id").agg(F.max_by("leader", F.struct("shared", -F.col("leader"))).alias("leader"))
-    tested = save(compare(stars.toDF("a", "b"), docs), "stars")
-    linked = tested.where(LINKED).select(F.col("a").alias("doc_id"), F.col("b").alias("leader"), (1 - F.col("overlap") / (F.col("n_a") + F.col("n_b") - F.col("overlap"))).alias("far"))
-    follows = linked.join(linked.select(F.col("doc_id").alias("leader")), "leader", "left_anti")  # a follower leads nobody
-    first = save(components(linked.select(F.col("doc_id").alias("a"), F.col("leader").alias("b"))), "first")
-
-    ids = lists.select("doc_id").distinct()
-    member = ids.join(follows, "doc_id", "left").join(first.toDF("doc_id", "component"), "doc_id", "left")
-    member = save(member.select("doc_id", F.coalesce("leader", "doc_id").alias("cluster"), F.coalesce("far", F.lit(0.0)).alias("far"), F.coalesce("component", "doc_id").alias("component")), "members")
+    classed = keep(rows.join(classes, sig, "left").select("doc_id", "n", F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id")).alias("rep")), "classes")
+    copies = classed.where("doc_id is not null").groupBy("doc_id").agg(F.bool_and(F.expr("doc_id <> rep")).alias("copy")).where("copy").select("doc_id")
+
+    prefix = prefixes(docs, frequent, hits).where("n > 0").join(copies, "doc_id", "left_anti")
+    postings = prefix.select("doc_id", "n", F.posexplode(F.arrays_zip("prefix", "part")).alias("pos", "p"))
+    lists = keep(listed(postings.select(F.col("p.prefix").alias("shingle"), F.col("p.part").alias("part"), "n", "doc_id", F.col("pos").cast("long").alias("pos"))), "lists")
+
+    stars = lists.where("doc_id <> leader and " + ALIKE.format("n", "leader_n") + " and " + REACHABLE.format("least(n - pos, leader_n - leader_pos)", "n", "leader_n"))
+    stars = stars.groupBy("doc_id", "leader").agg(F.count("*").alias("shared"), F.max("n").alias("n"), F.max("leader_n").alias("leader_n")).where(ENOUGH.format("shared", "n", "leader_n"))
+    stars = keep(stars.groupBy("doc_id").agg(F.max_by("leader", F.col("shared") * 1024 + F.pmod(F.xxhash64("leader"), F.lit(1024))).alias("leader")).toDF("a", "b"), "tries")
+    pool = keep(sets(docs, lists.select("doc_id").distinct()), "sets")
+    tested = keep(compare(stars, pool), "tested")
+    linked = tested.where(LINKED).select(F.col("a").alias("doc_id"), F.col("b").alias("leader"), F.expr(APART).alias("far"))
+    follows = linked.join(linked.select(F.col("leader").alias("doc_id")).distinct(), "doc_id", "left_anti")  # a leader follows nobody
+    first = components(linked.select(F.col("doc_id").alias("a"), F.col("leader").alias("b")), keep)
+    member = lists.select("doc_id").distinct().join(follows, "doc_id", "left").join(first.toDF("doc_id", "component"), "doc_id", "left")
+    member = keep(member.select("doc_id", F.coalesce("leader", "doc_id").alias("leader"), F.coalesce("far", F.lit(0.0)).alias("far"), F.coalesce("component", "doc_id").alias("component")), "members")
+    label = member.select("doc_id", "component").distinct()
 
     entries = lists.select("shingle", "doc_id", "n", (F.col("n") - F.col("pos")).alias("rest")).join(member, "doc_id")
-    entries = open_lists(entries.groupBy("shingle", "cluster", "component").agg(F.max("rest").alias("rest"), F.min("n").alias("lo"), F.max("n").alias("hi")))
-    known = tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    label = save(member.select("cluster", "component").distinct(), "label")
-    for turn in range(STAR_ROUNDS):
-        joined, known = star_round(docs, entries, known, turn)
-        if joined is None:
+    entries = keep(open_lists(entries), "entries")
+    pairs = F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")
+    known, idle = tested.select(*pairs), 0
+    for turn in range(ROUNDS):
+        best = keep(tries(entries, known, turn), "tries")
+        if best.isEmpty():
             break
-        label = save(relabelled(label, joined), "label")
-        entries = open_lists(relabelled(entries, joined))
-    by_position = F.expr("row_number() over (partition by shingle order by rest desc, cluster)")
-    blocks = entries.withColumn("block", F.floor((by_position - 1) / BLOCK))
-    blocks = save(blocks.groupBy("shingle", "block").agg(F.collect_list(F.struct("cluster", "component", "rest", "lo", "hi")).alias("items"), F.max("rest").alias("rest"), F.min("lo").alias("lo"), F.max("hi").alias("hi")), "blocks")
-    b = blocks.select("shingle", *[F.col(c).alias(f"{c}_b") for c in ("block", "items", "rest", "lo", "hi")])
-    open_blocks = blocks.join(b, "shingle").where("block <= block_b and " + REACHABLE.format("least(rest, rest_b)", "lo", "lo_b") + " and 5 * hi >= 4 * lo_b and 5 * hi_b >= 4 * lo")
-    fits = "x.component <> y.component and " + REACHABLE.format("least(x.rest, y.rest)", "x.lo", "y.lo") + " and 5 * x.hi >= 4 * y.lo and 5 * y.hi >= 4 * x.lo and (block < block_b or x.cluster < y.cluster)"
-    pairs = open_blocks.select(F.expr(f"inline(flatten(transform(items, x -> transform(filter(items_b, y -> {fits}), y -> struct(least(x.cluster, y.cluster) as a, greatest(x.cluster, y.cluster) as b)))))"))
-    pairs = save(pairs.distinct(), "candidates")
-    side = entries.select("shingle", "cluster", "lo", "hi")
-    met = pairs.join(side.toDF("shingle", "a", "lo", "hi"), "a").join(side.toDF("shingle", "b", "lo_b", "hi_b"), ["b", "shingle"])
-    met = met.groupBy("a", "b").agg(F.count("*").alias("shared"), F.min("lo").alias("lo"), F.min("lo_b").alias("lo_b"), F.max(F.greatest("hi", "hi_b")).alias("hi"))
-    pairs = met.where(ENOUGH.format("shared", "lo", "lo_b", "hi", "hi"))
-    answers = save(compare(pairs.select("a", "b"), docs), "answers")
-
-    radius = member.groupBy("cluster").agg(F.max("far").alias("radius"))
-    unsure = answers.where(f"not ({LINKED})").withColumn("apart", 1 - F.col("overlap") / (F.col("n_a") + F.col("n_b") - F.col("overlap")))
-    unsure = unsure.join(radius.toDF("a", "radius_a"), "a").join(radius.toDF("b", "radius_b"), "b").where("apart - radius_a - radius_b <= 0.2 + 1e-9 and radius_a + radius_b > 0")
-    own = member.select("cluster", "doc_id", "far")
-    derived = unsure.select("a", "b", "apart").join(own.toDF("a", "x", "far_x"), "a").where("apart - far_x <= 1").join(own.toDF("b", "y", "far_y"), "b").where("apart - far_x - far_y <= 0.2 + 1e-9 and (x <> a or y <> b)")
-    derived = save(derived.select(F.col("x").alias("a"), F.col("y").alias("b")).distinct(), "derived")
-    late = derived.selectExpr("a", "b", "0L as n_a", "0L as n_b", "0L as overlap").limit(0) if derived.isEmpty() else save(compare(derived, docs), "late")
-    more = answers.where(LINKED).select("a", "b").union(late.where(LINKED).select("a", "b"))
-    whole = member.drop("component").join(label, "cluster").select("doc_id", "component")
-    whole = relabelled(whole, bridged(whole, more, "doc_id"))
+        got = keep(compare(best, pool), "tested")
+        known = known.union(got.select("a", "b"))
+        links = got.where(LINKED)
+        if links.isEmpty():
+            idle += 1
+            if idle > 1:
+                break
+            continue
+        idle = 0
+        joined = bridged(entries.select("doc_id", "component").distinct(), links, keep)
+        label = keep(relabelled(label, joined), "label")
+        entries = keep(open_lists(relabelled(entries, joined)), "entries")
+
+    pairs = keep(open_pairs(entries).join(known, ["a", "b"], "left_anti"), "pairs")
+    leads = pairs.where("lead_a <> lead_b").select(F.least("lead_a", "lead_b").alias("a"), F.greatest("lead_a", "lead_b").alias("b")).distinct()
+    answers = keep(compare(leads.join(known, ["a", "b"], "left_anti"), pool), "answers")
+    apart = answers.where(f"not ({LINKED})").select(F.col("a").alias("low"), F.col("b").alias("high"), F.expr(APART).alias("apart"))
+    unsure = pairs.withColumn("low", F.least("lead_a", "lead_b")).withColumn("high", F.greatest("lead_a", "lead_b")).join(apart, ["low", "high"], "left")
+    unsure = unsure.where("apart is null or apart - far_a - far_b <= 0.2 + 1e-9").select("a", "b").join(answers.select("a", "b"), ["a", "b"], "left_anti")
+    late = keep(compare(unsure, pool), "late")
+    whole = relabelled(label, bridged(label, answers.where(LINKED).select("a", "b").union(late.where(LINKED).select("a", "b")), keep))
     out = classed.join(whole.withColumnRenamed("doc_id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
