@@ -10,11 +10,11 @@ from pyspark.sql import functions as F
 
 from .scratch import Save, save
 
-FOREST = 1 << 20  # edges that a task joins in memory before it hands them on
+FOREST = 1 << 20  # edges that a task joins in memory
 
 
 def contracted(edges: DataFrame) -> DataFrame:
-    """The same components with fewer edges: of each FOREST edges in a task, one from each node to the smallest that it reaches."""
+    """The same components with fewer edges: of the edges in a task, one from each node to the smallest that it reaches."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         boss: dict[int, int] = {}
@@ -34,21 +34,27 @@ def contracted(edges: DataFrame) -> DataFrame:
                 x, y = top(boss.setdefault(a, a)), top(boss.setdefault(b, b))
                 boss[max(x, y)] = min(x, y)
             seen += batch.num_rows
-            if seen >= FOREST:
+            if seen >= 2 * FOREST:
                 yield rows()
                 boss, seen = {}, 0
         yield rows()
 
-    return edges.where("a is not null and b is not null").select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).mapInArrow(run, "a long, b long")
+    return edges.mapInArrow(run, "a long, b long")
 
 
 def components(edges: DataFrame, keep: Save = save) -> DataFrame:
     """edges (a, b) -> (node, component): the smallest node that each node reaches. Nodes without an edge don't appear.
 
-    Each round every node takes the smallest label of its neighbours and then its label's label, so that chains
-    shorten by half; rounds end when no label changes. Null ends are ignored; loops and repeated edges do no harm.
+    A task joins at most FOREST edges. Where these are all, the answer is there; otherwise the forests of the tasks go
+    through rounds: every node takes the smallest label of its neighbours and then its label's label, so that chains
+    shorten by half, until no label changes. Null ends are ignored; loops and repeated edges do no harm.
     """
-    pairs = keep(contracted(edges), "forest")
+    edges = edges.where("a is not null and b is not null").select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"))
+    parts = edges.count() // FOREST + 1
+    forest = contracted(edges.repartition(parts))
+    if parts == 1:
+        return forest.toDF("node", "component")
+    pairs = keep(forest, "forest")
     both = pairs.union(pairs.select("b", "a")).distinct().toDF("node", "other")
     labels = both.groupBy("node").agg(F.least(F.col("node"), F.min("other")).alias("component"))
     while True:

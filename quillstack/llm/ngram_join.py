@@ -39,7 +39,8 @@ SMALL_IDS = 500_000  # up to so many ids (8 MB) are broadcast to pick texts; bey
 SHARE = 2_000  # pairs of one leader that are compared in one task
 SUBLIST = 20_000  # a list of a shingle with more sets is read in sublists of about so many
 BLOCK = 32
-ROUNDS = 12
+ROUNDS = 8
+PAYS = 2_000  # rounds go on while they link one in so many sets
 TRIES = 4  # pairs that a component tries in a round
 FACTORS = (mix(np.arange(1, 9, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))) | np.uint64(1)
 FOLD = np.arange(256, dtype=np.uint8)
@@ -228,14 +229,16 @@ def sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return wanted.mapInArrow(run, "doc_id long, members array<long>")
 
 
-def compare(pairs: DataFrame, pool: DataFrame) -> DataFrame:
-    """Distinct pairs (a, b), a <> b -> (a, b, n_a, n_b, overlap), from sets (doc_id, members).
+def compare(pairs: DataFrame, pool: DataFrame, size: int) -> DataFrame:
+    """`size` pairs (a, b), a <> b -> distinct (a, b, n_a, n_b, overlap), from sets (doc_id, members).
 
     Each set of a pair travels once, to a share of b's pairs; a leader of many has many shares. Of several sets under one
     doc_id the most similar ones count.
     """
-    many = pairs.groupBy("b").agg(F.ceil(F.count("*") / SHARE).alias("shares"))
-    wanted = pairs.select("a", "b").join(many, "b").select("a", "b", F.pmod(F.xxhash64("a"), "shares").alias("share"))
+    wanted = pairs.select("a", "b", F.lit(0).cast("long").alias("share"))
+    if size > SHARE:
+        many = pairs.groupBy("b").agg(F.ceil(F.count("*") / SHARE).alias("shares"))
+        wanted = pairs.select("a", "b").join(many, "b").select("a", "b", F.pmod(F.xxhash64("a"), "shares").alias("share"))
     lead = wanted.select(F.col("b").alias("doc_id"), "b", "share").distinct().withColumn("a", F.lit(None).cast("long"))
     trips = wanted.select(F.col("a").alias("doc_id"), "b", "share", "a").union(lead.select("doc_id", "b", "share", "a"))
     names = ["a", "b", "n_a", "n_b", "overlap"]
@@ -293,19 +296,24 @@ def open_lists(entries: DataFrame) -> DataFrame:
     return entries.join(mixed, "shingle", "left_semi")
 
 
-def relabelled(rows: DataFrame, joined: DataFrame) -> DataFrame:
+def relabelled(rows: DataFrame, joined: DataFrame | None) -> DataFrame:
     """Rows after components have become parts of others: joined (component, whole)."""
+    if joined is None:
+        return rows
     return rows.join(joined, "component", "left").withColumn("component", F.coalesce("whole", "component")).select(rows.columns)
 
 
 def bridged(label: DataFrame, links: DataFrame, keep: Save) -> DataFrame:
-    """(component, whole) where links (a, b) join components of label (doc_id, component). Only components go through the rounds."""
+    """(component, whole), for components that become parts of others by links (a, b) of label (doc_id, component).
+
+    Only components go through the rounds.
+    """
     bridges = links.select("a", "b").join(label.toDF("a", "ca"), "a").join(label.toDF("b", "cb"), "b").where("ca <> cb")
-    return components(bridges.select(F.col("ca").alias("a"), F.col("cb").alias("b")), keep).toDF("component", "whole")
+    return components(bridges.select(F.col("ca").alias("a"), F.col("cb").alias("b")), keep).toDF("component", "whole").where("component <> whole")
 
 
-def tries(entries: DataFrame, known: DataFrame, turn: int) -> DataFrame:
-    """Up to TRIES untested pairs (a, b) of each component, with the leaders of lists, drawn anew by hash each turn.
+def tries(entries: DataFrame, turn: int) -> DataFrame:
+    """Up to TRIES pairs (a, b) of each component, with the leaders of lists, drawn anew by hash each turn.
 
     Rows grow with the entries of open lists, whatever the size of a group.
     """
@@ -316,11 +324,11 @@ def tries(entries: DataFrame, known: DataFrame, turn: int) -> DataFrame:
     met = own.join(lead.where("x <> y").drop("x", "y"), ["shingle", "grade"])
     met = met.where("component <> lead_component and " + ALIKE.format("n", "lead_n") + " and " + REACHABLE.format("least(rest, lead_rest)", "n", "lead_n"))
     met = met.groupBy("component", "doc_id", "lead_doc_id").agg(F.count("*").alias("shared"))
-    pairs = met.select("component", "shared", F.least("doc_id", "lead_doc_id").alias("a"), F.greatest("doc_id", "lead_doc_id").alias("b")).join(known, ["a", "b"], "left_anti")
+    pairs = met.select("component", "shared", F.least("doc_id", "lead_doc_id").alias("a"), F.greatest("doc_id", "lead_doc_id").alias("b"))
     weight = F.col("shared") * (1 << 40) + F.pmod(F.xxhash64("a", "b"), F.lit(1 << 40))  # a tie would try one more pair
     slot = F.pmod(F.xxhash64("a", "b", F.lit(turn)), F.lit(TRIES)).alias("slot")
     best = pairs.groupBy("component", slot).agg(F.max_by("a", weight).alias("a"), F.max_by("b", weight).alias("b"))
-    return best.select("a", "b").where("a <> b").distinct()
+    return best.select("a", "b").where("a <> b")
 
 
 def open_pairs(entries: DataFrame) -> DataFrame:
@@ -373,44 +381,47 @@ def _components(docs: DataFrame, keep: Save) -> DataFrame:
 
     stars = lists.where("doc_id <> leader and " + ALIKE.format("n", "leader_n") + " and " + REACHABLE.format("least(n - pos, leader_n - leader_pos)", "n", "leader_n"))
     stars = stars.groupBy("doc_id", "leader").agg(F.count("*").alias("shared"), F.max("n").alias("n"), F.max("leader_n").alias("leader_n")).where(ENOUGH.format("shared", "n", "leader_n"))
-    stars = keep(stars.groupBy("doc_id").agg(F.max_by("leader", F.col("shared") * 1024 + F.pmod(F.xxhash64("leader"), F.lit(1024))).alias("leader")).toDF("a", "b"), "tries")
-    pool = keep(sets(docs, lists.select("doc_id").distinct()), "sets")
-    tested = keep(compare(stars, pool), "tested")
+    stars = keep(stars.groupBy("doc_id").agg(F.max_by("leader", F.col("shared") * 1024 + F.pmod(F.xxhash64("leader"), F.lit(1024))).alias("leader")).toDF("a", "b"), "stars")
+    ids = keep(lists.select("doc_id").distinct(), "ids")
+    sized = ids.count()
+    pool = keep(sets(docs, ids), "sets")
+    tested = keep(compare(stars, pool, stars.count()), "tested")
     linked = tested.where(LINKED).select(F.col("a").alias("doc_id"), F.col("b").alias("leader"), F.expr(APART).alias("far"))
     follows = linked.join(linked.select(F.col("leader").alias("doc_id")).distinct(), "doc_id", "left_anti")  # a leader follows nobody
     first = components(linked.select(F.col("doc_id").alias("a"), F.col("leader").alias("b")), keep)
-    member = lists.select("doc_id").distinct().join(follows, "doc_id", "left").join(first.toDF("doc_id", "component"), "doc_id", "left")
+    member = ids.join(follows, "doc_id", "left").join(first.toDF("doc_id", "component"), "doc_id", "left")
     member = keep(member.select("doc_id", F.coalesce("leader", "doc_id").alias("leader"), F.coalesce("far", F.lit(0.0)).alias("far"), F.coalesce("component", "doc_id").alias("component")), "members")
-    label = member.select("doc_id", "component").distinct()
+    label = member.select("doc_id", "component")
 
     entries = lists.select("shingle", "doc_id", "n", (F.col("n") - F.col("pos")).alias("rest")).join(member, "doc_id")
     entries = keep(open_lists(entries), "entries")
-    pairs = F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")
-    known, idle = tested.select(*pairs), 0
+    merged: DataFrame | None = None  # (component, whole): what has become of the first components
+    known = tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     for turn in range(ROUNDS):
-        best = keep(tries(entries, known, turn), "tries")
-        if best.isEmpty():
+        best = keep(tries(relabelled(entries, merged), turn), "tries")
+        many = best.count()
+        if not many:
             break
-        got = keep(compare(best, pool), "tested")
+        got = keep(compare(best, pool, many), "tested")
         known = known.union(got.select("a", "b"))
         links = got.where(LINKED)
-        if links.isEmpty():
-            idle += 1
-            if idle > 1:
-                break
-            continue
-        idle = 0
-        joined = bridged(entries.select("doc_id", "component").distinct(), links, keep)
-        label = keep(relabelled(label, joined), "label")
-        entries = keep(open_lists(relabelled(entries, joined)), "entries")
-
-    pairs = keep(open_pairs(entries).join(known, ["a", "b"], "left_anti"), "pairs")
+        fresh = links.count()
+        if fresh:
+            joined = bridged(relabelled(label, merged), links, keep)
+            before = merged.join(joined.toDF("whole", "now"), "whole", "left").select("component", F.coalesce("now", "whole").alias("whole")) if merged else None
+            merged = keep(before.union(joined) if before else joined, "merged")
+        if fresh * PAYS < sized:
+            break
+
+    pairs = keep(open_pairs(open_lists(relabelled(entries, merged))).join(known, ["a", "b"], "left_anti"), "pairs")
     leads = pairs.where("lead_a <> lead_b").select(F.least("lead_a", "lead_b").alias("a"), F.greatest("lead_a", "lead_b").alias("b")).distinct()
-    answers = keep(compare(leads.join(known, ["a", "b"], "left_anti"), pool), "answers")
+    leads = keep(leads.join(known, ["a", "b"], "left_anti"), "leads")
+    answers = keep(compare(leads, pool, leads.count()), "answers")
     apart = answers.where(f"not ({LINKED})").select(F.col("a").alias("low"), F.col("b").alias("high"), F.expr(APART).alias("apart"))
     unsure = pairs.withColumn("low", F.least("lead_a", "lead_b")).withColumn("high", F.greatest("lead_a", "lead_b")).join(apart, ["low", "high"], "left")
-    unsure = unsure.where("apart is null or apart - far_a - far_b <= 0.2 + 1e-9").select("a", "b").join(answers.select("a", "b"), ["a", "b"], "left_anti")
-    late = keep(compare(unsure, pool), "late")
+    unsure = keep(unsure.where("apart is null or apart - far_a - far_b <= 0.2 + 1e-9").select("a", "b").join(answers.select("a", "b"), ["a", "b"], "left_anti"), "unsure")
+    late = keep(compare(unsure, pool, unsure.count()), "late")
+    label = keep(relabelled(label, merged), "label")
     whole = relabelled(label, bridged(label, answers.where(LINKED).select("a", "b").union(late.where(LINKED).select("a", "b")), keep))
     out = classed.join(whole.withColumnRenamed("doc_id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
