@@ -161,27 +161,38 @@ def infer(model: LanguageModel, doc: np.ndarray, bucket: np.ndarray, rows: int,
     return out
 
 
-def predict(docs: DataFrame, model: LanguageModel, penalty: float = PENALTY) -> DataFrame:
-    """Adds lang_pred, score (the proportion of the main language) and languages (all proportions of 0.01 or more)."""
+def predict(docs: DataFrame, model: LanguageModel, penalty: float = PENALTY, mixture: bool = True) -> DataFrame:
+    """Adds lang_pred, score (the proportion of the main language) and, with `mixture`, languages (proportions of 0.01 or more).
+
+    Only texts go to the Python workers, and only results come back.
+    """
     clash = {n.lower() for n in NAMES}
     kept = [c for c in docs.columns if c.lower() not in clash]
-    fields = [docs.schema[c] for c in kept]
-    extra = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("languages", T.MapType(T.StringType(), T.DoubleType()))]
     names = model.languages
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, offs = utf8(batch.column("text"))
-            letters = batch.column("_letters").to_numpy(zero_copy_only=False).astype(bool)
+    kind = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    if mixture:
+        kind = kind.add("languages", T.MapType(T.StringType(), T.DoubleType()))
+
+    def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for text, marks in batches:
+            data, offs = utf8(text)
+            letters = marks.to_numpy(zero_copy_only=False).astype(bool)
+            lang, score, maps = [], [], []
             for lo, hi in pieces(offs):
                 pi = infer(model, *trigrams(data, offs[lo : hi + 1]), hi - lo, penalty) if names else np.zeros((hi - lo, 1))
                 good = letters[lo:hi] & (pi.sum(1) > 0)
-                main = pi.argmax(1)
-                lang = [names[m] if g else "und" for m, g in zip(main, good)]
-                score = np.where(good, pi.max(1), 0.0)
-                maps = [[(names[j], float(p[j])) for j in np.flatnonzero(p >= 0.01)] if g else [] for p, g in zip(pi, good)]
-                arrays = [batch.column(i).slice(lo, hi - lo) for i in range(len(kept))] + [pa.array(lang, pa.string()), pa.array(score), pa.array(maps, pa.map_(pa.string(), pa.float64()))]
-                yield pa.RecordBatch.from_arrays(arrays, [*kept, *NAMES])
-
-    marked = docs.select(*kept, F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("_letters"))
-    return marked.mapInArrow(run, T.StructType(fields + extra))
+                lang += [names[m] if g else "und" for m, g in zip(pi.argmax(1), good)]
+                score.append(np.where(good, pi.max(1), 0.0))
+                if mixture:
+                    maps += [[(names[j], float(p[j])) for j in np.flatnonzero(p >= 0.01)] if g else [] for p, g in zip(pi, good)]
+            arrays = [pa.array(lang, pa.string()), pa.array(np.concatenate([*score, np.zeros(0)]))]
+            if mixture:
+                arrays.append(pa.array(maps, pa.map_(pa.string(), pa.float64())))
+            yield pa.StructArray.from_arrays(arrays, kind.names)
+
+    found = "_found"
+    while found in {c.lower() for c in kept}:
+        found += "_"
+    judge = F.arrow_udf(run, kind).asNondeterministic()  # so that filters on its results don't run it again
+    letters = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
+    return docs.select(*kept, judge(F.col("text"), letters).alias(found)).select(*kept, f"{found}.*")

@@ -70,7 +70,7 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
     model = langid.fit(docs, langid.learnable(3, 1))
-    return langid.predict(docs, model).select("doc_id", (~langid.learnable(3, 1)).alias("held_out"), "lang_pred", "score")
+    return langid.predict(docs, model, mixture=False).select("doc_id", (~langid.learnable(3, 1)).alias("held_out"), "lang_pred", "score")
 
 
 def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,15 +11,22 @@ SCHEMA = "conv_id long, turn long, role string, text string"
 
 
 @settings(deadline=None, max_examples=80)
-@given(st.lists(st.tuples(st.sampled_from(["user", "assistant", "a|>\n", "end", ""]), st.text(max_size=40)), max_size=5))
+@given(st.lists(st.tuples(st.sampled_from(["user", "assistant", "a|>\n", "<end>\n", "end", ""]), st.text(max_size=40)), max_size=5))
 def test_render_and_parse(turns):
     formatted, spans = chat.render(turns)
     assert chat.parse(formatted) == turns
-    assert [chat.unescape(formatted[a:b]) for a, b in spans] == [t for r, t in turns if r == "assistant"]
+    assert [chat.unescape(formatted.encode()[a:b].decode()) for a, b in spans] == [t for r, t in turns if r == "assistant"]
+    encode, size = chat.tokenizer(chat.default_tokenizer())
+    ids = np.array(encode.encode(formatted, allowed_special="all"), np.int64)
+    assert encode.decode_bytes(ids.tolist()) == formatted.encode()
+    ends = np.cumsum(size[ids])
+    mask, parts = chat.masked(spans, ends - size[ids], ends)
+    assert parts == [s for s in spans if s[0] < s[1]]  # no token leaves a text
+    assert encode.decode_bytes(ids[mask].tolist()) == b"".join(formatted.encode()[a:b] for a, b in spans)
 
 
 def test_masks_by_brute_force():
-    starts, ends = np.array([0, 3, 3, 5, 9]), np.array([3, 5, 5, 9, 12])
+    starts, ends = np.array([0, 3, 4, 5, 9]), np.array([3, 4, 5, 9, 12])
     for spans in ([(0, 12)], [(4, 4)], [(1, 4), (6, 7)], [(3, 5)], [(2, 3), (3, 9)]):
         mask, parts = chat.masked(spans, starts, ends)
         want = [any(s < b and e > a for a, b in spans if a < b) for s, e in zip(starts, ends)]

@@ -14,8 +14,6 @@ def brute(doc, items):
     for i, item in items:
         w = min(13, len(item))
         allowed = 2 if w >= 13 else 1 if w >= 10 else 0
-        if len(item) < 9:
-            continue
         for a in range(len(item) - w + 1):
             for b in range(len(doc) - w + 1):
                 if sum(x == y for x, y in zip(item[a : a + w], doc[b : b + w])) >= w - allowed:
@@ -40,6 +38,18 @@ def test_substitutions_against_brute_force(spark):
     assert 10 < sum(x["contaminated"] for x in got) < 110
 
 
+def test_both_joins_agree(spark, monkeypatch):
+    r = random.Random(5)
+    items = [(k, text(r, n)) for k, n in enumerate([30, 14, 11, 9, 4, 1])]
+    rows = [(k, f"{text(r, 20)} {' '.join(items[k % 6][1].split()[k % 3 :])} {text(r, 20)}") for k in range(60)]
+    frames = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, BENCH)
+    few = sorted(map(str, decontam.decontaminate(*frames).collect()))
+    for name in ("SMALL_SEEDS", "SMALL_HITS", "SMALL_ITEMS"):
+        monkeypatch.setattr(decontam, name, 0)
+    assert sorted(map(str, decontam.decontaminate(*frames).collect())) == few
+    assert all(set(decontam.COMMON) <= set(m) for m in decontam.MASKS)
+
+
 def test_edges(spark):
     rows = docs(spark)
     base = rows.where("doc_id = 1").first()["text"]
