@@ -7,11 +7,12 @@ hashes, or the whole sequence as one shingle if it is shorter. Two sets link whe
 2.  Sets are ordered from rare to frequent shingles (the most frequent ones are counted, the rest rank as rare; any
     order gives the same links) and their prefixes go to index lists, one for each shingle.
 3.  In each list the first set of each size class leads. Every set is compared with the leader that it shares most
-    prefix shingles with. Sets that link with it become its followers, with their distance from it. Then come rounds,
-    until they join nothing more, in which each component of links tries a few pairs with leaders drawn anew from its
-    lists, so that large groups of near copies grow together without all their pairs.
-4.  Lists that still hold two components or more are cut into blocks by position, and pairs of blocks are skipped as a
-    whole when no pair in them can reach the overlap that its sizes call for, or when all is in one component already.
+    prefix shingles with. Sets that link with it become its followers, with their distance from it.
+4.  Lists of up to LONG sets give their pairs of different components; these are few in any case. On longer lists come
+    rounds, until they join next to nothing more, in which each component of links tries a few pairs with leaders drawn
+    anew from its lists, so that large groups of near copies grow together without all their pairs. Lists that still
+    hold two components or more are then cut into blocks by position, and pairs of blocks are skipped as a whole when no
+    pair in them can reach the overlap that its sizes call for, or when all is in one component already.
 5.  Answers of followers are derived from those of leaders: overlap of two leaders bounds, by the triangle inequality
     for Jaccard distances, the overlap of their followers. Only pairs that this leaves open are compared.
 
@@ -25,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
@@ -39,9 +40,10 @@ SMALL_IDS = 500_000  # up to so many ids (8 MB) are broadcast to pick texts; bey
 SHARE = 2_000  # pairs of one leader that are compared in one task
 SUBLIST = 20_000  # a list of a shingle with more sets is read in sublists of about so many
 BLOCK = 32
+LONG = 48
 ROUNDS = 8
 PAYS = 2_000  # rounds go on while they link one in so many sets
-TRIES = 4  # pairs that a component tries in a round
+TRIES = 16  # pairs that a component tries in a round
 FACTORS = (mix(np.arange(1, 9, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))) | np.uint64(1)
 FOLD = np.arange(256, dtype=np.uint8)
 FOLD[65:91] += 32
@@ -290,12 +292,6 @@ ENOUGH = "{0} + (80 * greatest({1}, {2}) + 99) div 100 - 1 >= (4 * ({1} + {2}) +
 ALIKE = "5 * {0} >= 4 * {1} and 5 * {1} >= 4 * {0}"
 
 
-def open_lists(entries: DataFrame) -> DataFrame:
-    """The entries of lists with two components or more."""
-    mixed = entries.groupBy("shingle").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("shingle")
-    return entries.join(mixed, "shingle", "left_semi")
-
-
 def relabelled(rows: DataFrame, joined: DataFrame | None) -> DataFrame:
     """Rows after components have become parts of others: joined (component, whole)."""
     if joined is None:
@@ -315,11 +311,14 @@ def bridged(label: DataFrame, links: DataFrame, keep: Save) -> DataFrame:
 def tries(entries: DataFrame, turn: int) -> DataFrame:
     """Up to TRIES pairs (a, b) of each component, with the leaders of lists, drawn anew by hash each turn.
 
-    Rows grow with the entries of open lists, whatever the size of a group.
+    Every other turn draws among the sets with the fewest rare shingles before the list's one: these lie in the middle of
+    a group of near copies. Rows grow with the entries of open lists, whatever the size of a group.
     """
-    grade = F.floor(F.log("n") / float(np.log(1.25)) + 0.5 * (turn % 2) + 1e-9).alias("grade")
+    grade = F.floor(F.log("n") / float(np.log(1.25)) + 0.5 * (turn // 2 % 2) + 1e-9).alias("grade")
     own = entries.select("shingle", grade, "doc_id", "component", "n", "rest")
-    draw = F.xxhash64("doc_id", F.pmod("shingle", F.lit(TRIES)), F.lit(turn))
+    draw = F.pmod(F.xxhash64("doc_id", "shingle", F.lit(turn)), F.lit(1 << 56))
+    if turn % 2 == 0:
+        draw += (25 - F.floor(F.col("rest") * 25 / F.col("n"))) * (1 << 56)
     lead = own.groupBy("shingle", "grade").agg(*[F.min_by(c, draw).alias(f"lead_{c}") for c in ("doc_id", "component", "n", "rest")], F.min("component").alias("x"), F.max("component").alias("y"))
     met = own.join(lead.where("x <> y").drop("x", "y"), ["shingle", "grade"])
     met = met.where("component <> lead_component and " + ALIKE.format("n", "lead_n") + " and " + REACHABLE.format("least(rest, lead_rest)", "n", "lead_n"))
@@ -331,30 +330,58 @@ def tries(entries: DataFrame, turn: int) -> DataFrame:
     return best.select("a", "b").where("a <> b")
 
 
-def open_pairs(entries: DataFrame) -> DataFrame:
-    """Pairs (a, b, far_a, far_b, lead_a, lead_b) of different components that meet in a list and may link.
+ITEM = "struct(doc_id, component, rest, n, far, leader)"
+FITS = "x.component <> y.component and " + ALIKE.format("x.n", "y.n") + " and " + REACHABLE.format("least(x.rest, y.rest)", "x.n", "y.n")
+PAIR = "struct(least(x.doc_id, y.doc_id) as a, greatest(x.doc_id, y.doc_id) as b, if(x.doc_id < y.doc_id, x, y) as x, if(x.doc_id < y.doc_id, y, x) as y)"
+
+
+def ends() -> list[Column]:
+    return [F.min("component").alias("c"), F.max("component").alias("d")]
+
+
+def pairs_of(left: str, right: str, also: str) -> Column:
+    return F.expr(f"inline(flatten(transform({left}, x -> transform(filter({right}, y -> {FITS} and {also}), y -> {PAIR}))))")
+
+
+def short_pairs(short: DataFrame) -> DataFrame:
+    """Distinct pairs (a, b) of different components that meet in a list of up to LONG sets and may link."""
+    lists = short.groupBy("shingle").agg(F.collect_list(F.expr(ITEM)).alias("items"), *ends()).where("c <> d")
+    return lists.select(pairs_of("items", "items", "x.doc_id < y.doc_id")).select("a", "b").distinct()
+
+
+def long_pairs(long: DataFrame) -> DataFrame:
+    """Pairs (a, b, far_a, far_b, lead_a, lead_b) of different components that meet in a long list and may link.
 
     A list is cut into blocks of about BLOCK sets of like size and like rest behind their position; pairs of blocks that
     can't reach the overlap, or hold one component only, are skipped whole.
     """
-    place = [F.floor(F.log("n") / float(np.log(1.12))).alias("grade"), F.floor(F.col("rest") * 25 / F.col("n")).alias("tier")]
-    placed = entries.select("*", *place)
-    size = placed.groupBy("shingle", "grade", "tier").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
-    placed = placed.join(size, ["shingle", "grade", "tier"]).withColumn("block", F.pmod(F.xxhash64("component"), "blocks"))
-    item = F.struct("doc_id", "component", "rest", "n", "far", "leader")
-    blocks = placed.groupBy("shingle", "grade", "tier", "block").agg(
-        F.collect_list(item).alias("items"), F.max("rest").alias("rest"), F.min("n").alias("lo"), F.max("n").alias("hi"), F.min("component").alias("c"), F.max("component").alias("d")
-    )
-    key = "struct(grade, tier, block)"
-    left = blocks.selectExpr("shingle", f"{key} as key", "items", "rest", "lo", "hi", "c", "d")
+    mixed = long.groupBy("shingle").agg(*ends()).where("c <> d").select("shingle")
+    placed = long.join(mixed, "shingle", "left_semi").withColumn("grade", F.floor(F.log("n") / float(np.log(1.12)))).withColumn("tier", F.floor(F.col("rest") * 25 / F.col("n")))
+    largest = placed.groupBy("shingle", "component").count().groupBy("shingle").agg(F.max_by("component", "count").alias("main"))
+    placed = placed.join(largest, "shingle").withColumn("main", F.col("component") == F.col("main"))
+    size = placed.groupBy("shingle", "grade", "tier", "main").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    placed = placed.join(size, ["shingle", "grade", "tier", "main"]).withColumn("block", F.pmod(F.xxhash64("doc_id"), "blocks"))
+    blocks = placed.groupBy("shingle", "grade", "tier", "main", "block")
+    blocks = blocks.agg(F.collect_list(F.expr(ITEM)).alias("items"), F.max("rest").alias("rest"), F.min("n").alias("lo"), F.max("n").alias("hi"), *ends())
+    left = blocks.selectExpr("shingle", "struct(grade, tier, main, block) as key", "items", "rest", "lo", "hi", "c", "d")
     right = left.toDF("shingle", *[f"{x}_b" for x in left.columns[1:]])
     open_ = "key <= key_b and (c <> d or c_b <> d_b or c <> c_b) and 5 * hi >= 4 * lo_b and 5 * hi_b >= 4 * lo and " + REACHABLE.format("least(rest, rest_b)", "lo", "lo_b")
-    fits = "x.component <> y.component and " + ALIKE.format("x.n", "y.n") + " and " + REACHABLE.format("least(x.rest, y.rest)", "x.n", "y.n") + " and (key < key_b or x.doc_id < y.doc_id)"
-    pair = "struct(least(x.doc_id, y.doc_id) as a, greatest(x.doc_id, y.doc_id) as b, if(x.doc_id < y.doc_id, x, y) as x, if(x.doc_id < y.doc_id, y, x) as y)"
-    met = left.join(right, "shingle").where(open_).select(F.expr(f"inline(flatten(transform(items, x -> transform(filter(items_b, y -> {fits}), y -> {pair}))))"))
+    met = left.join(right, "shingle").where(open_).select(pairs_of("items", "items_b", "(key < key_b or x.doc_id < y.doc_id)"))
     return met.groupBy("a", "b").agg(F.min("x.far").alias("far_a"), F.min("y.far").alias("far_b"), F.min("x.leader").alias("lead_a"), F.min("y.leader").alias("lead_b"))
 
 
+def derived(pairs: DataFrame, known: DataFrame, pool: DataFrame, keep: Save) -> DataFrame:
+    """The links among pairs: those of their leaders are computed first; the others only where these leave them open."""
+    leads = pairs.where("lead_a <> lead_b").select(F.least("lead_a", "lead_b").alias("a"), F.greatest("lead_a", "lead_b").alias("b")).distinct()
+    leads = keep(leads.join(known, ["a", "b"], "left_anti"), "leads")
+    answers = keep(compare(leads, pool, leads.count()), "answers")
+    apart = answers.where(f"not ({LINKED})").select(F.col("a").alias("low"), F.col("b").alias("high"), F.expr(APART).alias("apart"))
+    unsure = pairs.withColumn("low", F.least("lead_a", "lead_b")).withColumn("high", F.greatest("lead_a", "lead_b")).join(apart, ["low", "high"], "left")
+    unsure = keep(unsure.where("apart is null or apart - far_a - far_b <= 0.2 + 1e-9").select("a", "b").join(answers.select("a", "b"), ["a", "b"], "left_anti"), "unsure")
+    late = keep(compare(unsure, pool, unsure.count()), "late")
+    return answers.where(LINKED).select("a", "b").union(late.where(LINKED).select("a", "b"))
+
+
 def jaccard_components(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row: the smallest doc_id that it reaches over links.
 
@@ -393,12 +420,17 @@ def _components(docs: DataFrame, keep: Save) -> DataFrame:
     member = keep(member.select("doc_id", F.coalesce("leader", "doc_id").alias("leader"), F.coalesce("far", F.lit(0.0)).alias("far"), F.coalesce("component", "doc_id").alias("component")), "members")
     label = member.select("doc_id", "component")
 
-    entries = lists.select("shingle", "doc_id", "n", (F.col("n") - F.col("pos")).alias("rest")).join(member, "doc_id")
-    entries = keep(open_lists(entries), "entries")
-    merged: DataFrame | None = None  # (component, whole): what has become of the first components
+    lists = lists.select("shingle", "doc_id", "n", (F.col("n") - F.col("pos")).alias("rest"))
+    longs = keep(lists.groupBy("shingle").count().where(F.col("count") > LONG).select("shingle"), "longs")
+    long = keep(lists.join(longs, "shingle", "left_semi").join(member, "doc_id"), "long")
+    sized = long.select("doc_id").distinct().count()
     known = tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    for turn in range(ROUNDS):
-        best = keep(tries(relabelled(entries, merged), turn), "tries")
+    near = keep(short_pairs(lists.join(longs, "shingle", "left_anti").join(member, "doc_id")).join(known, ["a", "b"], "left_anti"), "pairs")
+    got = keep(compare(near, pool, near.count()), "tested")
+    known = known.union(got.select("a", "b"))
+    merged = keep(bridged(label, got.where(LINKED), keep), "merged")  # (component, whole): what has become of the first components
+    for turn in range(ROUNDS if sized else 0):
+        best = keep(tries(relabelled(long, merged), turn), "tries")
         many = best.count()
         if not many:
             break
@@ -408,20 +440,14 @@ def _components(docs: DataFrame, keep: Save) -> DataFrame:
         fresh = links.count()
         if fresh:
             joined = bridged(relabelled(label, merged), links, keep)
-            before = merged.join(joined.toDF("whole", "now"), "whole", "left").select("component", F.coalesce("now", "whole").alias("whole")) if merged else None
-            merged = keep(before.union(joined) if before else joined, "merged")
+            before = merged.join(joined.toDF("whole", "now"), "whole", "left").select("component", F.coalesce("now", "whole").alias("whole"))
+            merged = keep(before.union(joined), "merged")
         if fresh * PAYS < sized:
             break
 
-    pairs = keep(open_pairs(open_lists(relabelled(entries, merged))).join(known, ["a", "b"], "left_anti"), "pairs")
-    leads = pairs.where("lead_a <> lead_b").select(F.least("lead_a", "lead_b").alias("a"), F.greatest("lead_a", "lead_b").alias("b")).distinct()
-    leads = keep(leads.join(known, ["a", "b"], "left_anti"), "leads")
-    answers = keep(compare(leads, pool, leads.count()), "answers")
-    apart = answers.where(f"not ({LINKED})").select(F.col("a").alias("low"), F.col("b").alias("high"), F.expr(APART).alias("apart"))
-    unsure = pairs.withColumn("low", F.least("lead_a", "lead_b")).withColumn("high", F.greatest("lead_a", "lead_b")).join(apart, ["low", "high"], "left")
-    unsure = keep(unsure.where("apart is null or apart - far_a - far_b <= 0.2 + 1e-9").select("a", "b").join(answers.select("a", "b"), ["a", "b"], "left_anti"), "unsure")
-    late = keep(compare(unsure, pool, unsure.count()), "late")
-    label = keep(relabelled(label, merged), "label")
-    whole = relabelled(label, bridged(label, answers.where(LINKED).select("a", "b").union(late.where(LINKED).select("a", "b")), keep))
+    member = keep(relabelled(member, merged), "members")
+    label = member.select("doc_id", "component")
+    far = keep(long_pairs(relabelled(long, merged)).join(known, ["a", "b"], "left_anti"), "pairs")
+    whole = label if far.isEmpty() else relabelled(label, bridged(label, derived(far, known, pool, keep), keep))
     out = classed.join(whole.withColumnRenamed("doc_id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
