@@ -14,14 +14,21 @@ SMALL_IDS = 500_000  # ids up to which they are broadcast (8 MB); beyond, both s
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents without a language: no letter, or no language with LEAST_SCORE of the text."""
-    found = langid.predict(docs, langid.fit(docs))
-    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
+    """Rejects documents without a language: no letter, or no language with LEAST_SCORE of the text.
+
+    Null and empty texts have none and go; rows with null lang are judged like others; repeated rows are judged alike.
+    Ties between languages go to the first by name; columns stay as they are, results of the operator are not kept.
+    """
+    found = langid.predict(docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "text"), langid.fit(docs), mixture=False)
+    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select("row.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the smallest doc_id of each group of linked documents, once; documents without an id stay."""
-    groups = scratch.save(ngram_join.jaccard_components(docs.select("doc_id", "text")), "groups")
+    """Keeps the smallest doc_id of each group of linked documents, once; documents without an id stay.
+
+    Null and empty texts are linked with nothing and stay. Of rows that share a doc_id one stays, any of them.
+    """
+    groups = ngram_join.jaccard_components(docs.select("doc_id", "text"))
     others = scratch.save(groups.where("doc_id <> component_id").select("doc_id").distinct(), "others")
     few = others.count() <= SMALL_IDS
     kept = docs.join(F.broadcast(others) if few else others, "doc_id", "left_anti").select(*docs.columns)
@@ -33,20 +40,23 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cuts strings that an earlier document holds, in whole characters; documents of which no word is left go."""
+    """Cuts strings that an earlier document holds, in whole characters; documents of which no word is left go.
+
+    Documents that lose nothing stay as they are, also those with null or empty text; n_chars follows the text.
+    """
     cut = suffix_dedup.remove_repeats(docs, characters=True)
     rest = cut.where((F.col("n_removed") == 0) | F.col("text").rlike("[^\\x20\\x09-\\x0D]"))
     return rest.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))).select(*docs.columns)
 
 
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that hold a benchmark passage."""
+    """Drops documents that hold a benchmark passage; null and empty texts hold none and stay; so does all if there is no item."""
     checked = decontam.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return checked.where("not contaminated").select(*docs.columns)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Adds how many words the mix takes from each document."""
+    """Adds how many words the mix takes from each document; columns of these names are replaced, no row goes."""
     return mixing.mix_sources(docs).select(*docs.columns, *mixing.NAMES)
 
 
