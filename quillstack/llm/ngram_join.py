@@ -37,6 +37,7 @@ WORDS = 5
 FREQUENT = 100_000  # rows of the table of the most frequent shingles
 BUFFER = 1 << 21  # shingles that are counted together before the shuffle
 SMALL_IDS = 500_000  # up to so many ids (8 MB) are broadcast to pick texts; beyond, a shuffled join does it
+SMALL_PAIRS = 300_000  # so are up to so many pairs (20 MB)
 SHARE = 2_000  # pairs of one leader that are compared in one task
 SUBLIST = 20_000  # a list of a shingle with more sets is read in sublists of about so many
 BLOCK = 32
@@ -215,24 +216,14 @@ def listed(postings: DataFrame) -> DataFrame:
     return sorted_.select(*names).mapInArrow(run, "shingle long, doc_id long, n long, pos long, leader long, leader_n long, leader_pos long")
 
 
-def sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """(doc_id, members) of the documents among ids (distinct)."""
+def texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(doc_id, text) of the documents among ids (distinct)."""
     few = ids.limit(SMALL_IDS + 1).count() <= SMALL_IDS
-    wanted = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, offs = utf8(batch.column(1))
-            for lo, hi in pieces(offs):
-                hashes, bounds = shingle_sets(data, offs[lo : hi + 1])
-                lists = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(hashes.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), lists], ["doc_id", "members"])
-
-    return wanted.mapInArrow(run, "doc_id long, members array<long>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
 
 
 def compare(pairs: DataFrame, pool: DataFrame, size: int) -> DataFrame:
-    """`size` pairs (a, b), a <> b -> distinct (a, b, n_a, n_b, overlap), from sets (doc_id, members).
+    """`size` pairs (a, b), a <> b -> distinct (a, b, n_a, n_b, overlap), from texts (doc_id, text).
 
     Each set of a pair travels once, to a share of b's pairs; a leader of many has many shares. Of several sets under one
     doc_id the most similar ones count.
@@ -245,6 +236,14 @@ def compare(pairs: DataFrame, pool: DataFrame, size: int) -> DataFrame:
     trips = wanted.select(F.col("a").alias("doc_id"), "b", "share", "a").union(lead.select("doc_id", "b", "share", "a"))
     names = ["a", "b", "n_a", "n_b", "overlap"]
 
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offs = utf8(batch.column(3))
+            for lo, hi in pieces(offs):
+                hashes, bounds = shingle_sets(data, offs[lo : hi + 1])
+                lists = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(hashes.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(lo, hi - lo) for i in range(3)), lists], ["b", "share", "a", "members"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         leaders: list[np.ndarray] = []  # the sets of the current b, whose rows come first
         at: int | None = None
@@ -277,7 +276,8 @@ def compare(pairs: DataFrame, pool: DataFrame, size: int) -> DataFrame:
         if best:
             yield pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in best], names)
 
-    dealt = pool.join(trips, "doc_id").select("b", "share", "a", "members").repartition("b", "share").sortWithinPartitions("b", "share", F.asc_nulls_first("a"))
+    met = pool.join(F.broadcast(trips) if size <= SMALL_PAIRS else trips, "doc_id").select("b", "share", "a", "text").mapInArrow(sets, "b long, share long, a long, members array<long>")
+    dealt = met.repartition("b", "share").sortWithinPartitions("b", "share", F.asc_nulls_first("a"))
     return dealt.mapInArrow(run, "a long, b long, n_a long, n_b long, overlap long")
 
 
@@ -331,7 +331,7 @@ def tries(entries: DataFrame, turn: int) -> DataFrame:
 
 
 ITEM = "struct(doc_id, component, rest, n, far, leader)"
-FITS = "x.component <> y.component and " + ALIKE.format("x.n", "y.n") + " and " + REACHABLE.format("least(x.rest, y.rest)", "x.n", "y.n")
+FITS = "x.component <> y.component and " + ALIKE.format("x.n", "y.n")
 PAIR = "struct(least(x.doc_id, y.doc_id) as a, greatest(x.doc_id, y.doc_id) as b, if(x.doc_id < y.doc_id, x, y) as x, if(x.doc_id < y.doc_id, y, x) as y)"
 
 
@@ -344,9 +344,15 @@ def pairs_of(left: str, right: str, also: str) -> Column:
 
 
 def short_pairs(short: DataFrame) -> DataFrame:
-    """Distinct pairs (a, b) of different components that meet in a list of up to LONG sets and may link."""
-    lists = short.groupBy("shingle").agg(F.collect_list(F.expr(ITEM)).alias("items"), *ends()).where("c <> d")
-    return lists.select(pairs_of("items", "items", "x.doc_id < y.doc_id")).select("a", "b").distinct()
+    """Distinct pairs (a, b) of different components that meet in lists of up to LONG sets and may link.
+
+    All their common lists count, and as many of long lists as both are in (`longs`).
+    """
+    lists = short.groupBy("shingle").agg(F.collect_list(F.expr("struct(doc_id, component, n, longs)")).alias("items"), *ends()).where("c <> d")
+    met = lists.select(pairs_of("items", "items", "x.doc_id < y.doc_id"))
+    met = met.groupBy("a", "b").agg((F.count("*") + F.least(F.max("x.longs"), F.max("y.longs"))).alias("shared"), F.max("x.n").alias("n"), F.max("y.n").alias("m"), F.min("x.n").alias("least_n"), F.min("y.n").alias("least_m"))
+    # several sets under one doc_id: its largest size raises the bound, its least one the need
+    return met.where("n <> least_n or m <> least_m or " + ENOUGH.format("shared", "n", "m")).select("a", "b")
 
 
 def long_pairs(long: DataFrame) -> DataFrame:
@@ -366,7 +372,7 @@ def long_pairs(long: DataFrame) -> DataFrame:
     left = blocks.selectExpr("shingle", "struct(grade, tier, main, block) as key", "items", "rest", "lo", "hi", "c", "d")
     right = left.toDF("shingle", *[f"{x}_b" for x in left.columns[1:]])
     open_ = "key <= key_b and (c <> d or c_b <> d_b or c <> c_b) and 5 * hi >= 4 * lo_b and 5 * hi_b >= 4 * lo and " + REACHABLE.format("least(rest, rest_b)", "lo", "lo_b")
-    met = left.join(right, "shingle").where(open_).select(pairs_of("items", "items_b", "(key < key_b or x.doc_id < y.doc_id)"))
+    met = left.join(right, "shingle").where(open_).select(pairs_of("items", "items_b", REACHABLE.format("least(x.rest, y.rest)", "x.n", "y.n") + " and (key < key_b or x.doc_id < y.doc_id)"))
     return met.groupBy("a", "b").agg(F.min("x.far").alias("far_a"), F.min("y.far").alias("far_b"), F.min("x.leader").alias("lead_a"), F.min("y.leader").alias("lead_b"))
 
 
@@ -411,7 +417,7 @@ def _components(docs: DataFrame, keep: Save) -> DataFrame:
     stars = keep(stars.groupBy("doc_id").agg(F.max_by("leader", F.col("shared") * 1024 + F.pmod(F.xxhash64("leader"), F.lit(1024))).alias("leader")).toDF("a", "b"), "stars")
     ids = keep(lists.select("doc_id").distinct(), "ids")
     sized = ids.count()
-    pool = keep(sets(docs, ids), "sets")
+    pool = keep(texts_of(docs, ids), "texts")
     tested = keep(compare(stars, pool, stars.count()), "tested")
     linked = tested.where(LINKED).select(F.col("a").alias("doc_id"), F.col("b").alias("leader"), F.expr(APART).alias("far"))
     follows = linked.join(linked.select(F.col("leader").alias("doc_id")).distinct(), "doc_id", "left_anti")  # a leader follows nobody
@@ -423,9 +429,11 @@ def _components(docs: DataFrame, keep: Save) -> DataFrame:
     lists = lists.select("shingle", "doc_id", "n", (F.col("n") - F.col("pos")).alias("rest"))
     longs = keep(lists.groupBy("shingle").count().where(F.col("count") > LONG).select("shingle"), "longs")
     long = keep(lists.join(longs, "shingle", "left_semi").join(member, "doc_id"), "long")
-    sized = long.select("doc_id").distinct().count()
+    wide = keep(long.groupBy("doc_id").agg(F.count("*").alias("longs")), "wide")
+    sized = wide.count()
     known = tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    near = keep(short_pairs(lists.join(longs, "shingle", "left_anti").join(member, "doc_id")).join(known, ["a", "b"], "left_anti"), "pairs")
+    short = lists.join(longs, "shingle", "left_anti").join(member.join(wide, "doc_id", "left").na.fill({"longs": 0}), "doc_id")
+    near = keep(short_pairs(short).join(known, ["a", "b"], "left_anti"), "pairs")
     got = keep(compare(near, pool, near.count()), "tested")
     known = known.union(got.select("a", "b"))
     merged = keep(bridged(label, got.where(LINKED), keep), "merged")  # (component, whole): what has become of the first components
