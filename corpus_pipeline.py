@@ -19,8 +19,10 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Null and empty texts have none and go; rows with null lang are judged like others; repeated rows are judged alike.
     Ties between languages go to the first by name; columns stay as they are, results of the operator are not kept.
     """
-    found = langid.predict(docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "text"), langid.fit(docs), mixture=False)
-    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select("row.*")
+    aside = {c: f"_kept_{c}" for c in docs.columns if c.lower() in langid.NAMES}
+    found = langid.predict(docs.withColumnsRenamed(aside), langid.fit(docs), mixture=False)
+    kept = found.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE))
+    return kept.select(*[F.col(aside.get(c, c)).alias(c) for c in docs.columns])
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,7 +59,7 @@ def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Adds how many words the mix takes from each document; columns of these names are replaced, no row goes."""
-    return mixing.mix_sources(docs).select(*docs.columns, *mixing.NAMES)
+    return mixing.mix_sources(docs).select(*[c for c in docs.columns if c.lower() not in mixing.NAMES], *mixing.NAMES)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
