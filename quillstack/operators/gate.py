@@ -26,11 +26,25 @@ def review_gate(items: DataFrame, rules: DataFrame, field: str = "filename", ver
 
 
 def passed(items: DataFrame) -> DataFrame:
-    """What every other view reads: gated items that are normal and not deleted."""
+    """What every other view reads: gated items that are normal and not deleted. Items must have gone through review_gate."""
+    if "review_state" not in items.columns:
+        raise ValueError("items must go through review_gate first")
     live = items.where("review_state = 'normal'")
     return live.where("not deleted") if "deleted" in items.columns else live
 
 
+def shown(rows: DataFrame) -> DataFrame:
+    """Rows of any table: those that carry the gate's columns must have passed."""
+    return passed(rows) if "review_state" in rows.columns else rows
+
+
+def bounded(rows: DataFrame, most: int, what: str) -> DataFrame:
+    """A table that is small enough to be broadcast; it raises where it isn't."""
+    if rows.limit(most + 1).count() > most:
+        raise ValueError(f"over {most} {what}")
+    return rows
+
+
 def review_queue(items: DataFrame, tags: DataFrame, risk_tag: str, limit: int) -> DataFrame:
     """Flagged items and those with a live risk tag, newest first; deleted items are not listed."""
     flagged = items.where("review_state = 'review'")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..lineage import cut_lineage
+from .gate import passed
 
 
 def last_by(df: DataFrame, key: str, order: str) -> DataFrame:
@@ -32,12 +33,13 @@ def path_keys(items: DataFrame) -> DataFrame:
 
 def join_by_any_path(rows: DataFrame, items: DataFrame, column: str = "media_path") -> DataFrame:
     """Rows with the item_id that any form of their path finds; a key of several items goes to the smallest."""
-    keys = path_keys(items)
+    keys = path_keys(passed(items))
     return rows.join(keys, rows[column] == keys["key"]).drop("key")
 
 
 def lookup_paths(items: DataFrame, wanted: DataFrame) -> DataFrame:
     """Items whose relative or absolute path or name is wanted, each once."""
+    items = passed(items)
     w = wanted.select(F.col("wanted").alias("_w")).distinct()
     ways = (F.col("relative_path"), F.concat_ws("/", "root", "relative_path"), F.col("filename"), F.replace("relative_path", F.lit("/"), F.lit("\\")))
     return reduce(DataFrame.union, (items.join(w, way == F.col("_w"), "left_semi") for way in ways)).dropDuplicates(["item_id"])
@@ -100,4 +102,4 @@ def item_detail(items: DataFrame, tags: DataFrame, segments: DataFrame, audit: D
     ranked = audit.withColumn("_rn", F.row_number().over(Window.partitionBy("item_id").orderBy(F.desc("created_at"), F.desc("operation")))).where(f"_rn <= {newest}")
     a = ranked.groupBy("item_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("_rn", "operation", "created_at"))), lambda x: F.struct(x["operation"].alias("operation"), x["created_at"].alias("created_at"))).alias("operations"))
     x = transcripts.groupBy("item_id").agg(F.max("text").alias("transcript"))
-    return items.join(t, "item_id", "left").join(s, "item_id", "left").join(a, "item_id", "left").join(x, "item_id", "left")
+    return passed(items).join(t, "item_id", "left").join(s, "item_id", "left").join(a, "item_id", "left").join(x, "item_id", "left")

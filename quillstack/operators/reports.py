@@ -7,8 +7,9 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .gate import passed
+from .gate import bounded, passed, shown
 
+MOST_MINIMA = 10_000
 WORD = r"([A-Za-z]{3,}|[\x{4e00}-\x{9fff}]{2,})"
 
 
@@ -28,7 +29,7 @@ def coverage_report(items: DataFrame, capabilities: Mapping[str, tuple[Column, C
     sums = []
     for name, (applies, ready) in capabilities.items():
         sums += [F.coalesce(F.sum(F.when(applies & ready, 1)), F.lit(0)).cast("long").alias(f"{name}_ready"), F.coalesce(F.sum(F.when(applies, 1)), F.lit(0)).cast("long").alias(f"{name}_total")]
-    flat = items.agg(*sums)
+    flat = passed(items).agg(*sums)
     rows = ", ".join(f"'{n}', `{n}_ready`, `{n}_total`" for n in capabilities)
     out = flat.select(F.expr(f"stack({len(capabilities)}, {rows}) as (id, ready, total)"))
     return out.withColumn("percent", percent(F.col("ready"), F.col("total")))
@@ -41,7 +42,7 @@ def recommendations(coverage: DataFrame) -> DataFrame:
 
 def quality_gate(coverage: DataFrame, minima: DataFrame) -> DataFrame:
     """(id, total, percent, minimum, passed) of each minimum; a total of 0 passes, a missing capability counts as total 0."""
-    out = F.broadcast(minima).join(coverage, "id", "left")  # minima: a row for each capability
+    out = F.broadcast(bounded(minima, MOST_MINIMA, "minima")).join(coverage, "id", "left")  # minima: a row for each capability
     return out.select("id", F.coalesce("total", F.lit(0)).alias("total"), F.coalesce("percent", F.lit(0)).alias("percent"), "minimum", ((F.coalesce("total", F.lit(0)) == 0) | (F.col("percent") >= F.col("minimum"))).alias("passed"))
 
 
@@ -51,7 +52,7 @@ def gate_ok(gate: DataFrame) -> DataFrame:
 
 def word_counts(texts: DataFrame, column: str = "text", least: int = 2, stop: DataFrame | None = None) -> DataFrame:
     """Words (Latin from three letters, CJK from two) with their counts from `least` on."""
-    words = texts.select(F.explode(F.regexp_extract_all(F.lower(column), F.lit(WORD), F.lit(1))).alias("word"))
+    words = shown(texts).select(F.explode(F.regexp_extract_all(F.lower(column), F.lit(WORD), F.lit(1))).alias("word"))
     counts = words.groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") >= least)
     return counts.join(stop.select("word"), "word", "left_anti") if stop is not None else counts
 

@@ -8,18 +8,18 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .gate import passed
+from .gate import passed, shown
 
 MOST_TERMS = 6
 
 
 def with_tag(items: DataFrame, tags: DataFrame, tag: str) -> DataFrame:
     """Items with a tag that isn't rejected."""
-    return items.join(tags.where((F.col("tag") == tag) & (F.col("state") != "rejected")).select("item_id").distinct(), "item_id", "left_semi")
+    return passed(items).join(tags.where((F.col("tag") == tag) & (F.col("state") != "rejected")).select("item_id").distinct(), "item_id", "left_semi")
 
 
 def without_tag(items: DataFrame, tags: DataFrame, tag: str) -> DataFrame:
-    return items.join(tags.where((F.col("tag") == tag) & (F.col("state") != "rejected")).select("item_id").distinct(), "item_id", "left_anti")
+    return passed(items).join(tags.where((F.col("tag") == tag) & (F.col("state") != "rejected")).select("item_id").distinct(), "item_id", "left_anti")
 
 
 def contains_text(fields: Sequence[str], text: str) -> Column:
@@ -29,6 +29,7 @@ def contains_text(fields: Sequence[str], text: str) -> Column:
 
 def free_text(items: DataFrame, tags: DataFrame, transcripts: DataFrame, text: str, fields: Sequence[str]) -> DataFrame:
     """Items whose fields, live tags or transcript contain the text: semi-joins united, no OR-join."""
+    items = passed(items)
     own = items.where(contains_text(fields, text)).select("item_id")
     tagged = tags.where((F.col("state") != "rejected") & contains_text(["tag"], text)).select("item_id")
     spoken = transcripts.where(contains_text(["text"], text)).select("item_id")
@@ -49,7 +50,9 @@ def catalog_query(
     text: str | None = None,
     fields: Sequence[str] = ("filename", "path"),
 ) -> DataFrame:
-    """Gated items that meet all given conditions; tag terms (six at most) are each contained in a live tag."""
+    """Gated items that meet all given conditions; tag terms (MOST_TERMS at most) are each contained in a live tag."""
+    if len(tag_terms) > MOST_TERMS:
+        raise ValueError(f"over {MOST_TERMS} tag terms")
     out = passed(items)
     if media_type:
         out = out.where(F.col("media_type") == media_type)
@@ -59,7 +62,7 @@ def catalog_query(
         out = out.where(F.col("duration") <= duration[1])
     if resolution:
         out = out.where(F.col("resolution") == resolution)
-    for term in list(tag_terms)[:MOST_TERMS]:
+    for term in tag_terms:
         hit = tags.where((F.col("state") != "rejected") & contains_text(["tag"], term)).select("item_id").distinct()
         out = out.join(hit, "item_id", "left_semi")
     if favourite:
@@ -70,7 +73,8 @@ def catalog_query(
 
 
 def manifest_search(sources: Mapping[str, DataFrame], text: str, limit: int) -> DataFrame:
-    """Rows of many tables with the text in any column, tagged by source."""
+    """Rows of many tables with the text in any column, tagged by source; of tables with gated items, those that passed."""
+    sources = {name: shown(df) for name, df in sources.items()}
     parts = [df.where(F.contains(F.lower(F.concat_ws("\n", *(F.col(c).cast("string") for c in df.columns))), F.lit(text.lower()))).withColumn("source_table", F.lit(name)) for name, df in sources.items()]
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts).limit(limit)
 
@@ -93,10 +97,10 @@ def needs_timed_rerun(items: DataFrame, transcripts: DataFrame, timed: Column, s
     """Items without a transcript or without a timed segment, confirmed silent ones left out. timed: the parsed segments."""
     state = transcripts.select("item_id", (F.coalesce(F.size(timed), F.lit(0)) > 0).alias("_timed"), F.coalesce(silent, F.lit(False)).alias("_silent"))
     state = state.groupBy("item_id").agg(F.max("_timed").alias("_timed"), F.max("_silent").alias("_silent"))
-    return items.join(state, "item_id", "left").where("not coalesce(_silent, false) and not coalesce(_timed, false)").drop("_timed", "_silent")
+    return passed(items).join(state, "item_id", "left").where("not coalesce(_silent, false) and not coalesce(_timed, false)").drop("_timed", "_silent")
 
 
 def low_confidence(items: DataFrame, labels: DataFrame, threshold: float = 0.62) -> DataFrame:
     """Items whose best label is below the threshold, or that have none."""
     best = labels.groupBy("item_id").agg(F.max("score").alias("best_score"))
-    return items.join(best, "item_id", "left").where(f"best_score is null or best_score < {threshold}")
+    return passed(items).join(best, "item_id", "left").where(f"best_score is null or best_score < {threshold}")

@@ -6,6 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .gate import bounded, passed, shown
+
+MOST_WORDS = 10_000  # words of all rules, which go to every task
+MOST_CENTROIDS = 10_000
 IN_NAME, IN_TEXT, CONFIRMED = 0.92, 0.78, 0.85
 COLUMNS = ("item_id", "tag", "category", "confidence", "source", "state")
 
@@ -13,11 +17,11 @@ COLUMNS = ("item_id", "tag", "category", "confidence", "source", "state")
 def keyword_tags(items: DataFrame, rules: DataFrame, name: str = "filename", text: str = "text") -> DataFrame:
     """A tag for each rule (rule_order, category, tag, words) that hits: 0.92 in the name, else 0.78 in the text; from 0.85 on confirmed.
 
-    The rule table is small and the caller's; it is broadcast. One row for each item and tag.
+    The rule table is the caller's; it has MOST_WORDS words at most and is broadcast. One row for each item and tag.
     """
-    words = F.broadcast(rules.select("category", "tag", F.explode("words").alias("word")))
+    words = F.broadcast(bounded(rules.select("category", "tag", F.explode("words").alias("word")), MOST_WORDS, "rule words"))
     low_name, low_text = F.lower(F.coalesce(F.col(name), F.lit(""))), F.lower(F.coalesce(F.col(text), F.lit("")))
-    slim = items.select("item_id", low_name.alias("_name"), low_text.alias("_text"))
+    slim = passed(items).select("item_id", low_name.alias("_name"), low_text.alias("_text"))
     hits = slim.join(words, F.contains("_name", F.lower("word")) | F.contains("_text", F.lower("word"))).select("item_id", "tag", "category", F.when(F.contains("_name", F.lower("word")), IN_NAME).otherwise(IN_TEXT).alias("confidence"))
     best = hits.groupBy("item_id", "tag").agg(F.min("category").alias("category"), F.max("confidence").alias("confidence"))
     return best.select("item_id", "tag", "category", "confidence", F.lit("keyword").alias("source"), F.when(F.col("confidence") >= CONFIRMED, "confirmed").otherwise("pending").alias("state"))
@@ -25,8 +29,8 @@ def keyword_tags(items: DataFrame, rules: DataFrame, name: str = "filename", tex
 
 def first_category(items: DataFrame, rules: DataFrame, text: Column) -> DataFrame:
     """(item_id, category) of the first rule that hits, in rule order."""
-    words = F.broadcast(rules.select("rule_order", "category", F.explode("words").alias("word")))
-    hits = items.select("item_id", F.lower(text).alias("_text")).join(words, F.contains("_text", F.lower("word")))
+    words = F.broadcast(bounded(rules.select("rule_order", "category", F.explode("words").alias("word")), MOST_WORDS, "rule words"))
+    hits = shown(items).select("item_id", F.lower(text).alias("_text")).join(words, F.contains("_text", F.lower("word")))
     return hits.groupBy("item_id").agg(F.min_by("category", "rule_order").alias("category"))
 
 
@@ -75,12 +79,17 @@ def favorite_overlay(tags: DataFrame, wanted: DataFrame, marker: str = "favourit
     return manual_tag(tags, wanted, marker, "marker")
 
 
+def unit(vector: Column) -> Column:
+    """The vector by its length, which is computed once; zeros if it has none."""
+    norm = F.sqrt(F.aggregate(vector, F.lit(0.0), lambda a, x: a + x * x))
+    return F.get(F.transform(F.array(norm), lambda n: F.transform(vector, lambda x: F.when(n > 0, x / n).otherwise(F.lit(0.0)))), F.lit(0))
+
+
 def _mean_vectors(rows: DataFrame, by: list[str]) -> DataFrame:
     """The unit vector of the mean, for each key."""
     means = rows.select(*by, F.posexplode("vector").alias("dim", "x")).groupBy(*by, "dim").agg(F.avg("x").alias("x"))
     lists = means.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct("dim", "x"))), lambda s: s["x"]).alias("mean"))
-    norm = F.sqrt(F.aggregate("mean", F.lit(0.0), lambda a, x: a + x * x))
-    return lists.select(*by, F.transform("mean", lambda x: F.when(norm > 0, x / norm).otherwise(0.0)).alias("centroid"))
+    return lists.select(*by, unit(F.col("mean")).alias("centroid"))
 
 
 def train_centroids(vectors: DataFrame, feedback: DataFrame, min_pos: int = 2) -> DataFrame:
@@ -103,7 +112,7 @@ def dot(a: Column, b: Column) -> Column:
 
 def apply_centroids(vectors: DataFrame, centroids: DataFrame, confirmed: float = 0.76) -> DataFrame:
     """Tags by sigmoid(8 * (v.positive - v.negative)) from the threshold on. Centroids: a row for each tag, broadcast."""
-    scored = vectors.select("item_id", "vector").join(F.broadcast(centroids))
+    scored = vectors.select("item_id", "vector").join(F.broadcast(bounded(centroids, MOST_CENTROIDS, "centroids")))
     margin = 8 * (dot(F.col("vector"), F.col("positive")) - dot(F.col("vector"), F.col("negative")))
     score = 1 / (1 + F.exp(-F.greatest(F.lit(-60.0), F.least(F.lit(60.0), margin))))
     out = scored.select("item_id", "tag", score.alias("confidence"), "threshold").where("confidence >= threshold")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -13,9 +14,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .gate import passed
+from .gate import bounded, passed, shown
 from .search import free_text
-from .tagging import dot
+from .tagging import dot, unit
 
 MEGABYTE = 1 << 20
 MOST_QUERIES = 10_000
@@ -71,20 +72,15 @@ def hash_bits_vector(digest: Column) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.when(bits(i) == 1, 0.125).otherwise(-0.125))
 
 
-def unit(vector: Column) -> Column:
-    norm = F.sqrt(F.aggregate(vector, F.lit(0.0), lambda a, x: a + x * x))
-    return F.transform(vector, lambda x: F.when(norm > 0, x / norm).otherwise(F.lit(0.0)))
-
-
 def hashed_text_vector(rows: DataFrame, tokens: str, key: str, dim: int = 128) -> DataFrame:
     """(key, vector): signed feature hashing of tokens by MD5 (bucket by the first four bytes, sign by the fifth), unit length."""
     digest = F.md5("t")
     bucket = F.pmod(F.conv(F.substring(digest, 1, 8), 16, 10).cast("long"), F.lit(dim)).cast("int")
     sign = F.when(F.pmod(F.conv(F.substring(digest, 9, 2), 16, 10).cast("int"), F.lit(2)) == 1, 1.0).otherwise(-1.0)
     sums = rows.select(key, F.explode(tokens).alias("t")).select(key, bucket.alias("b"), sign.alias("s")).groupBy(key, "b").agg(F.sum("s").alias("s"))
-    maps = sums.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("b", "s"))).alias("m"))
-    dense = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0)))
-    return maps.select(key, unit(dense).alias("vector"))
+    maps = sums.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("b", "s"))).alias("m"), F.sqrt(F.sum(F.col("s") * F.col("s"))).alias("norm"))
+    dense = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.when(F.col("norm") > 0, F.coalesce(F.try_element_at("m", i), F.lit(0.0)) / F.col("norm")).otherwise(F.lit(0.0)))
+    return maps.select(key, dense.alias("vector"))
 
 
 @F.pandas_udf(T.ArrayType(T.DoubleType()))
@@ -126,7 +122,7 @@ def vector_index(texts: DataFrame, done: DataFrame, model: str, dim: int = 128)
     """texts (item_id, kind, text) -> (item_id, kind, model, text_hash, vector), only where the text or the model changed since done."""
     from ..functions.texts import semantic_tokens
 
-    hashed = texts.where("length(text) > 0").select("item_id", "kind", "text", F.sha2("text", 256).alias("text_hash"), F.lit(model).alias("model"))
+    hashed = shown(texts).where("length(text) > 0").select("item_id", "kind", "text", F.sha2("text", 256).alias("text_hash"), F.lit(model).alias("model"))
     keys = ["item_id", "kind", "model", "text_hash"]
     fresh = hashed.join(done.select(keys).distinct(), keys, "left_anti").select(F.struct(*keys).alias("key"), semantic_tokens(F.col("text")).alias("tokens"))
     return hashed_text_vector(fresh, "tokens", "key", dim).select("key.*", "vector")
@@ -135,19 +131,38 @@ def vector_index(texts: DataFrame, done: DataFrame, model: str, dim: int = 128)
 def top_products(base: DataFrame, queries: DataFrame, k: int, weights: dict[str, float], other: float, cut: bool = False) -> DataFrame:
     """(query_id, item_id, score): the k best items of each query by weighted dot product, over vectors of one kind and model.
 
-    queries (query_id, kind, model, vector) are MOST_QUERIES rows at most and go to every task; each task keeps its own
-    k best of each query, and only these meet in a final ranking. cut: vectors of unequal length are cut to the shorter
-    one, else they don't meet.
+    queries (query_id, kind, model, vector) go to every task in blocks of about MOST_QUERIES rows; each task keeps its
+    own k best of each query, and only these meet in a final ranking. cut: vectors of unequal length are cut to the
+    shorter one, else they don't meet.
     """
-    rows = queries.select("query_id", "kind", "model", "vector").limit(MOST_QUERIES + 1).collect()
-    if len(rows) > MOST_QUERIES:
-        raise ValueError(f"over {MOST_QUERIES} queries")
-    groups: dict[tuple, list] = {}
-    for r in rows:
-        groups.setdefault((r["kind"], r["model"], None if cut else len(r["vector"])), []).append((r["query_id"], r["vector"]))
+    queries = queries.select("query_id", "kind", "model", "vector")
+    blocks = queries.count() // MOST_QUERIES + 1
+    block = F.pmod(F.xxhash64("query_id"), F.lit(blocks))
+    local = reduce(DataFrame.union, (local_products(base, queries.where(block == b), k, weights, other, cut) for b in range(blocks)))
+    own = local.groupBy("query_id", "item_id").agg(F.max("score").alias("score"))
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc("item_id")))
+    return own.where("query_id <> item_id").withColumn("rank", rank).where(F.col("rank") <= k)
+
+
+def best_of(ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k items with the best scores, each with its best one; of equal scores those with the larger ids."""
+    order = np.lexsort((-ids, -scores))
+    ids, scores = ids[order], scores[order]
+    first = np.sort(np.unique(ids, return_index=True)[1])[:k]
+    return ids[first], scores[first]
+
+
+def local_products(base: DataFrame, queries: DataFrame, k: int, weights: dict[str, float], other: float, cut: bool) -> DataFrame:
+    """(query_id, item_id, score): the k + 1 best items of each query within each task of base."""
+    groups: dict[tuple, tuple[np.ndarray, np.ndarray]] = {}
+    found: dict[tuple, list] = {}
+    for r in queries.collect():  # about MOST_QUERIES rows
+        found.setdefault((r["kind"], r["model"], len(r["vector"])), []).append((r["query_id"], r["vector"]))
+    for key, rows in found.items():
+        groups[key] = np.array([q for q, _ in rows], np.int64), np.array([v for _, v in rows], np.float64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best: dict[object, list[tuple[float, int]]] = {}
+        best: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         for batch in batches:
             pdf = batch.to_pandas()
             for (kind, model), part in pdf.groupby(["kind", "model"], sort=False):
@@ -155,22 +170,19 @@ def top_products(base: DataFrame, queries: DataFrame, k: int, weights: dict[str,
                 for n, same in part.groupby(sizes, sort=False):
                     matrix = np.stack(same["vector"].to_numpy()).astype(np.float64)
                     ids = same["item_id"].to_numpy()
-                    for qid, q in groups.get((kind, model, None if cut else n), ()):
-                        m = min(n, len(q))
-                        score = matrix[:, :m] @ np.asarray(q[:m], np.float64) * weights.get(kind, other)
-                        seen: dict[int, float] = dict((i, s) for s, i in best.get(qid, ()))
-                        for i, s in zip(ids.tolist(), score.tolist()):
-                            if s > seen.get(i, -np.inf):
-                                seen[i] = s
-                        best[qid] = sorted(((s, i) for i, s in seen.items()), reverse=True)[: k + 1]
-        flat = [(q, i, s) for q, own in best.items() for s, i in own]
-        columns = list(zip(*flat)) if flat else [(), (), ()]
-        yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.float64())], ["query_id", "item_id", "score"])
-
-    local = base.select("item_id", "kind", "model", "vector").mapInArrow(run, "query_id long, item_id long, score double")
-    own = local.groupBy("query_id", "item_id").agg(F.max("score").alias("score"))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc("item_id")))
-    return own.where("query_id <> item_id").withColumn("rank", rank).where(F.col("rank") <= k)
+                    for (q_kind, q_model, q_size), (names, asked) in groups.items():
+                        if (q_kind, q_model) != (kind, model) or not cut and q_size != n:
+                            continue
+                        m = min(n, q_size)
+                        for lo in range(0, len(names), 256):  # the products of 256 queries are held at once
+                            scores = matrix[:, :m] @ asked[lo : lo + 256, :m].T * weights.get(kind, other)
+                            for qid, own in zip(names[lo : lo + 256].tolist(), scores.T):
+                                held = best.get(qid, (ids[:0], own[:0]))
+                                best[qid] = best_of(np.append(held[0], ids), np.append(held[1], own), k + 1)
+        columns = [np.repeat(list(best), [len(i) for i, _ in best.values()]).astype(np.int64), *(np.concatenate([x[j] for x in best.values()]) for j in (0, 1))] if best else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["query_id", "item_id", "score"])
+
+    return base.select("item_id", "kind", "model", "vector").mapInArrow(run, "query_id long, item_id long, score double")
 
 
 def cosine_topk(items: DataFrame, vectors: DataFrame, base: DataFrame, k: int) -> DataFrame:
@@ -189,7 +201,7 @@ def semantic_search(
     """
     live = vectors.join(passed(items).select("item_id"), "item_id", "left_semi")
     weight = F.coalesce(*(F.when(F.col("kind") == n, w) for n, w in SEARCH_WEIGHTS.items()), F.lit(1.0))
-    q = query.select(F.col("model").alias("_model"), F.col("vector").alias("_q"))  # one row
+    q = bounded(query, 1, "query row").select(F.col("model").alias("_model"), F.col("vector").alias("_q"))
     met = live.join(F.broadcast(q), (F.col("model") == F.col("_model")) & (F.size("vector") == F.size("_q"))).select("item_id", (dot(F.col("vector"), F.col("_q")) * weight).alias("s"))
     best = met.groupBy("item_id").agg(F.max("s").alias("s")).join(texts.select("item_id", F.lower("text").alias("_text")), "item_id", "left")
     share = lambda terms: sum((F.when(F.contains("_text", F.lit(t.lower())), 1.0).otherwise(0.0) for t in terms), F.lit(0.0)) / max(1, len(terms))

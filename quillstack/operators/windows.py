@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .gate import passed
+
 
 def mark_duplicates(items: DataFrame, keys: tuple[str, ...] = ("media_type", "size_bytes", "sha256")) -> DataFrame:
     """duplicate_role: keep or candidate within groups of two or more by the keys, else single. Null, empty and `ERR_` hashes group nothing.
@@ -36,7 +38,7 @@ def two_stage_dedupe(files: DataFrame) -> DataFrame:
 
 def similarity_index(items: DataFrame, kind: str, signature: Column) -> DataFrame:
     """(kind, signature, item_id, role): groups of two or more by a signature; the largest file, then the first path, stays. Empty signatures group nothing."""
-    signed = items.withColumn("signature", signature).where("signature is not null and signature <> ''")
+    signed = passed(items).withColumn("signature", signature).where("signature is not null and signature <> ''")
     counts = signed.groupBy("signature").agg(F.count("*").alias("members"), F.max_by("item_id", F.struct("size_bytes", F.expr("-item_id"))).alias("_keep")).where("members > 1")
     return signed.join(counts, "signature").select(F.lit(kind).alias("kind"), "signature", "item_id", "size_bytes", "members", F.when(F.col("item_id") == F.col("_keep"), "keep").otherwise("candidate").alias("role"))
 

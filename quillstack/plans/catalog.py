@@ -190,11 +190,11 @@ with t as (select item_id, unnest(regexp_extract_all(lower(text), '([\p{L}\p{N}_
 c as (select item_id, substr(regexp_replace(w, '^[_-]+|[_-]+$', '', 'g'), 1, 48) as w from t)
 select item_id, count(*) as tokens, count(distinct w) as words from c where length(w) >= 2 group by item_id""")
 def semantic_tokens(spark, d):
-    rows = live_items(spark, d).select("item_id", F.explode(texts.semantic_tokens(F.col("text"))).alias("w"))
-    return rows.groupBy("item_id").agg(F.count("*").alias("tokens"), F.count_distinct("w").alias("words"))
+    rows = live_items(spark, d).select("item_id", texts.semantic_tokens(F.col("text")).alias("w"))
+    return rows.select("item_id", F.size("w").cast("long").alias("tokens"), F.size(F.array_distinct("w")).cast("long").alias("words")).where("tokens > 0")
 
 
-@query("select l.item_id, sha256(substr(concat_ws(' ', filename, nullif(trim(t.text), ''), g.tags), 1, 4000)) as digest from live l left join (select conv_id as item_id, text from conversations where turn = 0) t using (item_id) left join (select item_id, string_agg(tag, ',' order by tag) as tags from tags group by item_id) g using (item_id)")
+@query("select l.item_id, sha256(substr(concat_ws(' ', filename, nullif(trim(t.text), ''), g.tags), 1, 4000)) as digest from live l left join (select conv_id as item_id, string_agg(text, chr(10) order by turn, text) as text from conversations group by conv_id) t using (item_id) left join (select item_id, string_agg(tag, ',' order by tag) as tags from tags group by item_id) g using (item_id)")
 def semantic_texts(spark, d):
     both = live_items(spark, d).select("item_id", "filename").join(transcripts(spark, d), "item_id", "left").join(reports.tags_concat(all_tags(spark, d)), "item_id", "left")
     return both.select("item_id", F.sha2(texts.semantic_text(F.col("filename"), F.col("text"), F.col("tags")), 256).alias("digest"))
@@ -208,13 +208,13 @@ def clean_filters(spark, d):
 
 @query("""
 with hit as (select distinct item_id from tags where contains(lower(tag), 'hd'))
-select item_id, filename from live where media_type = 'video' and duration >= 100 and duration <= 3000 and item_id in (select item_id from hit) and (contains(lower(filename), 'en') or contains(lower(path), 'en') or item_id in (select item_id from tags where contains(tag, 'en')) or item_id in (select conv_id from conversations where turn = 0 and contains(lower(text), 'en')))""")
+select item_id, filename from live where media_type = 'video' and duration >= 100 and duration <= 3000 and item_id in (select item_id from hit) and (contains(lower(filename), 'en') or contains(lower(path), 'en') or item_id in (select item_id from tags where contains(tag, 'en')) or item_id in (select item_id from (select conv_id as item_id, string_agg(text, chr(10) order by turn, text) as text from conversations group by conv_id) where contains(lower(text), 'en')))""")
 def catalog_query(spark, d):
     found = search.catalog_query(all_items(spark, d), all_tags(spark, d), transcripts(spark, d), media_type="video", tag_terms=["HD"], duration=(100, 3000), text="EN")
     return found.select("item_id", "filename")
 
 
-@query("select 'orders' as source_table, o_orderkey as id from orders where contains(lower(o_orderpriority), 'urgent') and o_orderkey % 5 = 0 union all select 'customer', c_custkey from customer where contains(lower(c_mktsegment), 'urgent')", items=False)
+@query("select 'orders' as source_table, o_orderkey as id from orders where contains(lower(o_orderpriority), 'urgent') union all select 'customer', c_custkey from customer where contains(lower(c_mktsegment), 'urgent')", items=False)
 def manifest_search(spark, d):
     orders = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), "o_orderpriority")
     customers = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), "c_mktsegment")
@@ -226,7 +226,7 @@ def missing_probe(spark, d):
     return readers.missing_probe(live_items(spark, d)).select("item_id", "media_type")
 
 
-@query("select item_id from live where item_id not in (select conv_id from conversations where turn = 0 and length(text) > 100)")
+@query("select item_id from live where item_id not in (select item_id from (select conv_id as item_id, string_agg(text, chr(10) order by turn, text) as text from conversations group by conv_id) where length(text) > 100)")
 def needs_timed_rerun(spark, d):
     rows = transcripts(spark, d)
     timed = F.when(F.length("text") > 100, F.array("text")).otherwise(F.array().cast("array<string>"))
@@ -319,7 +319,7 @@ def quality_gate(spark, d):
 
 
 @query("""
-with f as (select doc_id as item_id, 'good' as tag, case when quality = 1 then 1 else -1 end as verdict from labels where doc_id % 2 = 0 union all select doc_id, 'hd', case when toxic = 1 then -1 else 1 end from labels)
+with f as (select doc_id as item_id, 'good' as tag, case when quality = 1 then 1 else -1 end as verdict from labels union all select doc_id, 'hd', case when toxic = 1 then -1 else 1 end from labels)
 , j as (select t.*, f.verdict from tags t left join f using (item_id, tag))
 select item_id, tag, category, confidence, source, case when verdict = -1 then 'rejected' else state end as state from j where not (coalesce(verdict, 0) = 1 and source = 'manual')
 union all select item_id, tag, 'feedback', 1.0, 'manual', 'confirmed' from f where verdict = 1""")
@@ -367,14 +367,14 @@ def pool_label_scores(spark, d):
     return tagging.pool_label_scores(rows).withColumn("score", F.round(F.col("score") + 1e-7, 4))
 
 
-@query("select 'good' as tag, count(*) filter (where quality = 1) as n_pos, count(*) filter (where quality <> 1) as n_neg from labels where doc_id % 2 = 0 union all select 'hd', count(*) filter (where toxic <> 1), count(*) filter (where toxic = 1) from labels", items=False)
+@query("select 'good' as tag, count(*) filter (where quality = 1) as n_pos, count(*) filter (where quality <> 1) as n_neg from labels union all select 'hd', count(*) filter (where toxic <> 1), count(*) filter (where toxic = 1) from labels", items=False)
 def centroid_status(spark, d):
     return tagging.centroid_status(feedback(spark, d))
 
 
 CENTROIDS = """
 with v as (select vec_id as item_id, embedding::double[] as vector, label from embeddings),
-f as (select item_id, 'low' as tag, case when label < 3 then 1 else -1 end as verdict from (select vec_id as item_id, label from embeddings where vec_id % 3 = 0)),
+f as (select item_id, 'low' as tag, case when label < 3 then 1 else -1 end as verdict from (select vec_id as item_id, label from embeddings)),
 x as (select verdict, unnest(vector) as x, generate_subscripts(vector, 1) as dim from v join f using (item_id)),
 m as (select verdict, dim, avg(x) as x from x group by 1, 2),
 c as (select verdict, list(x order by dim) as raw from m group by verdict),
@@ -416,10 +416,24 @@ def two_stage_dedupe(spark, d):
     return windows.two_stage_dedupe(files).select("path", "digest", "rank")
 
 
-SIMILAR = """
-with s as (select substr(text, 1, 60) as signature, item_id, size_bytes from live where substr(text, 1, 60) <> ''),
-g as (select *, count(*) over (partition by signature) as members, row_number() over (partition by signature order by size_bytes desc, item_id) as rn from s),
-i as (select 'prefix' as kind, md5(signature) as signature, item_id, size_bytes, members, case when rn = 1 then 'keep' else 'candidate' end as role from g where members > 1)
+TIMELINE = """
+with e as (select user_id as item_id, row_number() over (partition by user_id order by ts, event_id) - 1 as idx, case when event_id % 9 = 0 then null else (row_number() over (partition by user_id order by ts, event_id) - 1) * 5.0 end as t, case when event_type = 'click' then '' else event_type end as ref from events),
+s as (select item_id, idx, coalesce(t, idx * 7.0)::double as start, ref from e),
+l as (select item_id, idx, start, ref, (case when lead(start) over w is null then start + 7 else greatest(start + 1, lead(start) over w) end)::double as "end" from s window w as (partition by item_id order by idx))
+"""
+REFS = """, r as (select *, row_number() over (partition by item_id order by start, idx) as rn from l where ref <> ''),
+x as (select item_id, string_agg(ref, '|' order by rn) as signature from r where rn <= 3 group by item_id)
+"""
+DHASH = """v as (select vec_id, list_transform(range(0, 72), lambda i: embedding[i % len(embedding) + 1]) as g from embeddings),
+b as (select vec_id, unnest(range(0, 64)) as i, g from v), c as (select vec_id, i, (g[i // 8 * 9 + i % 8 + 1] > g[i // 8 * 9 + i % 8 + 2])::int as bit from b),
+h as (select vec_id, i // 4 as k, sum(bit * (8 // (1 << (i % 4)::int)))::int as n from c group by 1, 2),
+p as (select vec_id as item_id, string_agg(substr('0123456789abcdef', n + 1, 1), '' order by k) as signature from h group by vec_id)"""
+SIMILAR = TIMELINE + REFS + ", " + DHASH + """,
+a as (select 'exact' as kind, coalesce(size_bytes::varchar, '') || ':' || sha256 as signature, item_id, size_bytes from live
+union all select 'image_phash', p.signature, live.item_id, size_bytes from live join p using (item_id) where media_type = 'photo'
+union all select 'video_fingerprint', x.signature, live.item_id, size_bytes from live join x using (item_id) where media_type = 'video'),
+g as (select *, count(*) over (partition by kind, signature) as members, row_number() over (partition by kind, signature order by size_bytes desc, item_id) as rn from a where signature <> ''),
+i as (select kind, signature, item_id, size_bytes, members, case when rn = 1 then 'keep' else 'candidate' end as role from g where members > 1)
 """
 
 
@@ -437,18 +451,11 @@ def similarity_index(spark, d):
     return similar(spark, d).select("kind", "signature", "item_id", "members", "role")
 
 
-@query(SIMILAR + ", t as (select kind, signature, count(*) as n from i group by 1, 2 order by n desc, kind, signature limit 10) select signature, item_id, row_number() over (partition by signature order by role = 'candidate', size_bytes desc, item_id) as position from i where signature in (select signature from t)")
+@query(SIMILAR + ", t as (select kind, signature, count(*) as n from i group by 1, 2 order by n desc, kind, signature limit 10) select signature, item_id, row_number() over (partition by kind, signature order by role = 'candidate', size_bytes desc, item_id) as position from i where (kind, signature) in (select kind, signature from t)")
 def similarity_listing(spark, d):
     return windows.similarity_listing(similar(spark, d), 10).select("signature", "item_id", "position")
 
 
-TIMELINE = """
-with e as (select user_id as item_id, row_number() over (partition by user_id order by ts, event_id) - 1 as idx, case when event_id % 9 = 0 then null else (row_number() over (partition by user_id order by ts, event_id) - 1) * 5.0 end as t, case when event_type = 'click' then '' else event_type end as ref from events),
-s as (select item_id, idx, coalesce(t, idx * 7.0)::double as start, ref from e),
-l as (select item_id, idx, start, ref, (case when lead(start) over w is null then start + 7 else greatest(start + 1, lead(start) over w) end)::double as "end" from s window w as (partition by item_id order by idx))
-"""
-
-
 def timeline(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "events").groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", "event_type"))).alias("e"))
     refs = F.transform("e", lambda x: F.when(x["event_type"] == "click", "").otherwise(x["event_type"]))
@@ -461,7 +468,7 @@ def timeline_segments(spark, d):
     return timeline(spark, d).select("item_id", F.col("idx").cast("long").alias("idx"), "start", "end", "ref")
 
 
-@query(TIMELINE + ", r as (select *, row_number() over (partition by item_id order by start, idx) as rn from l where ref <> '') select item_id, string_agg(ref, '|' order by rn) as signature from r where rn <= 3 group by item_id", items=False)
+@query(TIMELINE + REFS + "select item_id, signature from x", items=False)
 def first_k_signature(spark, d):
     return windows.first_k_signature(timeline(spark, d))
 
@@ -608,7 +615,7 @@ select l.item_id, (select count(*) from tags t where t.item_id = l.item_id) as t
 def item_detail(spark, d):
     segments = table(spark, d, "conversations").select(F.col("conv_id").alias("item_id"), (F.col("turn") * 4.0).alias("start"), (F.col("turn") * 4.0 + 4).alias("end"), F.col("role").alias("label"))
     audit = table(spark, d, "events").select(F.col("user_id").alias("item_id"), F.concat_ws(":", "event_type", F.col("event_id").cast("string")).alias("operation"), F.col("ts").alias("created_at"))
-    found = joins.item_detail(live_items(spark, d).select("item_id", "filename"), all_tags(spark, d), segments, audit, transcripts(spark, d))
+    found = joins.item_detail(live_items(spark, d).select("item_id", "filename", "review_state"), all_tags(spark, d), segments, audit, transcripts(spark, d))
     n = lambda c: F.coalesce(F.size(c), F.lit(0)).cast("long").alias(c)
     return found.select("item_id", n("tags"), n("segments"), n("operations"))
 
@@ -624,11 +631,7 @@ def dhashes(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "embeddings").select("vec_id", vectors.dhash_bits(grid).alias("dhash"))
 
 
-@query("""
-with v as (select vec_id, list_transform(range(0, 72), lambda i: embedding[i % len(embedding) + 1]) as g from embeddings),
-b as (select vec_id, unnest(range(0, 64)) as i, g from v), c as (select vec_id, i, (g[i // 8 * 9 + i % 8 + 1] > g[i // 8 * 9 + i % 8 + 2])::int as bit from b),
-h as (select vec_id, i // 4 as k, sum(bit * (8 // (1 << (i % 4)::int)))::int as n from c group by 1, 2)
-select vec_id, string_agg(substr('0123456789abcdef', n + 1, 1), '' order by k) as dhash from h group by vec_id""", items=False)
+@query("with " + DHASH + " select item_id as vec_id, signature as dhash from p", items=False)
 def dhash(spark, d):
     return dhashes(spark, d)
 

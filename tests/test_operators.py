@@ -1,5 +1,7 @@
 from datetime import datetime
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from quillstack.functions import names
@@ -42,6 +44,7 @@ def test_no_view_shows_review_items(spark):
     empty = spark.createDataFrame([], "item_id long, text string")
     vectors_ = spark.createDataFrame([(i, "image", "m", [1.0, float(i)]) for i in range(1, 6)], "item_id long, kind string, model string, vector array<double>")
     query = vectors_.where("item_id = 1").withColumnRenamed("item_id", "query_id")
+    rules = spark.createDataFrame([(1, "c", "t", ["x", "y", "z", "w", "v"])], "rule_order int, category string, tag string, words array<string>")
     views = [
         search.catalog_query(rows, tags(spark), empty),
         search.catalog_query(rows, tags(spark), empty, text="hold"),
@@ -49,12 +52,51 @@ def test_no_view_shows_review_items(spark):
         search.seeded_shuffle(rows, 3, 10),
         vectors.cosine_topk(rows, vectors_, query, 5),
         vectors.semantic_search(rows, vectors_, query, rows.select("item_id", "text"), 5, least=-9.0),
+        search.manifest_search({"items": rows}, "2", 10),
+        search.with_tag(rows, tags(spark), "t"),
+        search.without_tag(rows, tags(spark), "none"),
+        search.needs_timed_rerun(rows, empty, F.array(), F.lit(False)),
+        search.low_confidence(rows, spark.createDataFrame([], "item_id long, score double")),
+        joins.lookup_paths(rows, rows.select(F.col("filename").alias("wanted"))),
+        joins.join_by_any_path(rows.select(F.col("relative_path").alias("media_path")), rows),
+        joins.item_detail(rows, tags(spark), spark.createDataFrame([], "item_id long, start double, end double, label string"), spark.createDataFrame([], "item_id long, operation string, created_at timestamp"), empty),
+        windows.similarity_index(rows, "k", F.lit("same")),
+        tagging.keyword_tags(rows, rules),
+        tagging.first_category(rows, rules, F.col("filename")),
+        vectors.vector_index(rows.withColumn("kind", F.lit("text")), spark.createDataFrame([], "item_id long, kind string, model string, text_hash string"), "m"),
     ]
     for v in views:
         assert not {3, 5} & set(ids(v))
+    assert [n for n, v in enumerate(views) if not ids(v)] == [1]  # only review items hold that word
+    words = {r["word"] for r in reports.word_counts(rows, least=1).collect()}
+    assert "alpha" in words and "hold" not in words
     assert reports.storage_by_type(rows).where("media_type = 'photo'").first()["items"] == 1
 
 
+def test_views_refuse_items_without_a_gate(spark):
+    with pytest.raises(ValueError, match="review_gate"):
+        search.recent_page(items(spark), 10)
+    with pytest.raises(ValueError, match="over 1 rows"):
+        gate.bounded(items(spark), 1, "rows")
+
+
+def test_products_in_blocks_of_queries(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    rows = [(i % 30, "image" if i % 2 else "text", "m", rng.integers(-3, 4, 4).astype(float).tolist()) for i in range(60)]
+    base = spark.createDataFrame(rows, "item_id long, kind string, model string, vector array<double>").repartition(3)
+    queries = base.where("item_id < 12").withColumnRenamed("item_id", "query_id")
+    want = {}
+    for q, kind, _, v in rows:
+        for i, other, _, w in rows:
+            if q < 12 and kind == other and i != q:
+                want.setdefault(q, {})[i] = max(want.get(q, {}).get(i, -99), float(np.dot(v, w)) * (1.0 if kind == "image" else 0.75))
+    want = {(q, i, s) for q, own in want.items() for i, s in sorted(own.items(), key=lambda x: (-x[1], -x[0]))[:3]}
+    for most in (10_000, 5):
+        monkeypatch.setattr(vectors, "MOST_QUERIES", most)
+        got = vectors.top_products(base, queries, 3, {"image": 1.0}, 0.75)
+        assert {(r["query_id"], r["item_id"], r["score"]) for r in got.collect()} == want
+
+
 def test_only_a_verdict_clears_review(spark):
     verdicts = spark.createDataFrame([(3, True), (5, False)], "item_id long, cleared boolean")
     assert ids(gate.passed(gated(spark, verdicts=verdicts))) == [1, 2, 3, 4]
@@ -82,7 +124,7 @@ def test_plan_prefers_review_over_duplicate(spark):
 
 
 def test_similarity_skips_empty_signatures(spark):
-    rows = spark.createDataFrame([(1, 5, ""), (2, 6, ""), (3, 1, "s"), (4, 9, "s"), (5, 9, "s")], "item_id long, size_bytes long, sig string")
+    rows = spark.createDataFrame([(1, 5, ""), (2, 6, ""), (3, 1, "s"), (4, 9, "s"), (5, 9, "s")], "item_id long, size_bytes long, sig string").withColumn("review_state", F.lit("normal"))
     got = {r["item_id"]: r["role"] for r in windows.similarity_index(rows, "k", F.col("sig")).collect()}
     assert got == {3: "candidate", 4: "keep", 5: "candidate"}
 
@@ -114,18 +156,18 @@ def test_original_names(spark):
 
 def test_paths(spark):
     wanted = spark.createDataFrame([("x.mp4",), ("r2/z.jpg",), ("nothing",)], "wanted string")
-    assert ids(joins.lookup_paths(items(spark), wanted)) == [1, 3]
+    assert ids(joins.lookup_paths(gated(spark), wanted)) == [1]
     rows = spark.createDataFrame([("a\\y.mp4",), ("r2/z.jpg",)], "media_path string")
-    assert ids(joins.join_by_any_path(rows, items(spark))) == [2, 3]
+    assert ids(joins.join_by_any_path(rows, gated(spark))) == [2]
 
 
 def test_tags_search_and_stats(spark):
-    assert ids(search.with_tag(items(spark), tags(spark), "t")) == [1, 3]
-    assert ids(search.without_tag(items(spark), tags(spark), "t")) == [2, 4, 5]
+    assert ids(search.with_tag(gated(spark), tags(spark), "t")) == [1]
+    assert ids(search.without_tag(gated(spark), tags(spark), "t")) == [2, 4]
     assert {r["item_id"]: r["tags"] for r in reports.tags_concat(tags(spark)).collect()} == {1: "t,u", 3: "t"}
     assert [tuple(r) for r in reports.tag_cooccurrence(tags(spark), 5, 1, 5).collect()] == [("t", "u", 1)]
     text = spark.createDataFrame([(4, "100% of it")], "item_id long, text string")
-    assert ids(search.free_text(items(spark), tags(spark), text, "100%", ["filename"])) == [4]
+    assert ids(search.free_text(gated(spark), tags(spark), text, "100%", ["filename"])) == [4]
 
 
 def test_feedback_and_manual_tags(spark):
@@ -154,7 +196,7 @@ def test_centroids(spark):
 
 def test_coverage_and_gate(spark):
     got = {r["id"]: r for r in reports.coverage_report(gated(spark), {"all": (F.lit(True), F.col("text").isNotNull()), "none": (F.lit(False), F.lit(True))}).collect()}
-    assert (got["all"]["ready"], got["none"]["percent"]) == (4, 0)
+    assert (got["all"]["ready"], got["none"]["percent"]) == (2, 0)  # of items that passed
     c = spark.createDataFrame([("a", 10, 80), ("b", 0, 0)], "id string, total long, percent int")
     m = spark.createDataFrame([("a", 90), ("b", 90), ("c", 50)], "id string, minimum int")
     gate_ = reports.quality_gate(c, m)

@@ -1,4 +1,4 @@
-"""Catalog queries over all rows of small tables, held against brute force; their SQL leaves rows out."""
+"""Catalog queries over all rows of small tables, held against brute force."""
 
 import hashlib
 
