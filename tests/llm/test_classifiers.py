@@ -1,5 +1,6 @@
 import zlib
 
+import numpy as np
 import pandas as pd
 import pytest
 
@@ -49,3 +50,15 @@ def test_labels_are_no_input(spark):
     flipped = labels.selectExpr("doc_id", "case when crc32(cast(doc_id as string)) % 4 = 2 then 1 - quality else quality end as quality")
     a, b = (dict(quality.score(rows, x, may).select("doc_id", "score").collect()) for x in (labels, flipped))
     assert a == b
+
+
+def test_unlabelled_risk_by_brute_force(spark):
+    """Loss and gradient over all unlabelled rows, summed in tasks, against a dense matrix."""
+    rng = np.random.default_rng(5)
+    x = rng.random((40, 6)) < 0.3
+    n, w = rng.integers(1, 9, 40), rng.normal(size=7)
+    rows = spark.createDataFrame([([int(j) for j in np.flatnonzero(r)], int(k)) for r, k in zip(x, n)], "x array<int>, n long").repartition(3)
+    s = toxicity.sigmoid(x @ w[:-1] + w[-1])
+    slope = n * s * (1 - s)
+    assert np.allclose(toxicity.over_all(rows, w), [*(slope @ x), slope.sum(), (n * s).sum()])
+    assert np.allclose(toxicity.over_all(rows.limit(0), w), 0)
