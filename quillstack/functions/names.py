@@ -12,6 +12,9 @@ VIDEO_EXTENSIONS = ("mp4", "mkv", "mov", "avi", "webm", "m4v", "ts", "flv", "wmv
 PHOTO_EXTENSIONS = ("jpg", "jpeg", "png", "webp", "gif", "bmp", "heic")
 LONGEST_NAME = 180
 LONGEST_COMPONENT = 80
+CREATED = r"(20\d\d)[-:]?(\d\d)[-:]?(\d\d)[T _:]?(\d\d)?[:]?(\d\d)?[:]?(\d\d)?"  # a date, and as much of a time as there is
+SAMPLE_BANDS = ((45, 3), (180, 5), (600, 8), (1800, 12))  # (seconds below, times)
+MOST_BAND = 16
 
 
 def media_type(ext: Column) -> Column:
@@ -66,8 +69,8 @@ def parse_name(name: Column, platform_rules: Sequence[tuple[str, str]] = ()) ->
 
 
 def hash8_from_name(name: Column) -> Column:
-    """The eight hexadecimal digits before the extension, in lower case, or null."""
-    found = F.lower(F.regexp_extract(name, r"[_-]([0-9A-Fa-f]{8})\.[A-Za-z0-9]+$", 1))
+    """The last eight hexadecimal digits of a name's stem, in lower case, with or without a separator and an extension, or null."""
+    found = F.lower(F.regexp_extract(F.regexp_extract(name, r"([^/]*)/*$", 1), r"([0-9A-Fa-f]{8})(?:\.[^.]+)?$", 1))
     return F.when(found != "", found)
 
 
@@ -76,25 +79,26 @@ def is_normalized_name(name: Column) -> Column:
 
 
 def date_key(mtime: Column, created: Column) -> Column:
-    """(key, origin): yyyyMMdd_HHmmss of the creation text, else of the modification time, in UTC."""
-    pattern = r"^([0-9]{4})-([0-9]{2})-([0-9]{2})[T ]([0-9]{2}):([0-9]{2}):([0-9]{2})"
-    parts = [F.regexp_extract(created, pattern, i) for i in range(1, 7)]
-    own = F.when(created.rlike(pattern), F.concat(*parts[:3], F.lit("_"), *parts[3:]))
-    return F.struct(F.coalesce(own, F.date_format(mtime, "yyyyMMdd_HHmmss"), F.lit("NA")).alias("key"), F.when(own.isNotNull(), "created").when(mtime.isNotNull(), "mtime").otherwise("none").alias("origin"))
+    """(key, origin): yyyyMMdd_HHmmss of the first date in the creation text, whose missing time is 000000, else of the
+    modification time in UTC. The origin is metadata, mtime, or none, for which the key is NA."""
+    day = F.concat(*(F.regexp_extract(created, CREATED, i) for i in (1, 2, 3)))
+    time = F.concat(*(F.rpad(F.regexp_extract(created, CREATED, i), 2, "0") for i in (4, 5, 6)))
+    own = F.when(F.length(day) > 0, F.concat_ws("_", day, time))
+    return F.struct(F.coalesce(own, F.date_format(mtime, "yyyyMMdd_HHmmss"), F.lit("NA")).alias("key"), F.when(own.isNotNull(), "metadata").when(mtime.isNotNull(), "mtime").otherwise("none").alias("origin"))
 
 
 def duration_slug(seconds: Column) -> Column:
-    """1h02m03s, 2m03s or 3s; NA without a positive duration."""
-    whole = F.floor(seconds).cast("long")
-    h, m, s = F.expr("0"), None, None
+    """1h02m03s, 2m03s or 3s of whole seconds, given as a number or text; durNA without a number."""
+    whole = seconds.try_cast("double").try_cast("long")
     h, m, s = F.floor(whole / 3600), F.floor(F.pmod(whole, F.lit(3600)) / 60), F.pmod(whole, F.lit(60))
-    slug = F.when(h > 0, F.format_string("%dh%02dm%02ds", h, m, s)).when(m > 0, F.format_string("%dm%02ds", m, s)).otherwise(F.format_string("%ds", s))
-    return F.when(seconds > 0, slug).otherwise("NA")
+    slug = F.when(h != 0, F.format_string("%dh%02dm%02ds", h, m, s)).when(m != 0, F.format_string("%dm%02ds", m, s)).otherwise(F.format_string("%ds", s))
+    return F.when(whole.isNotNull(), slug).otherwise("durNA")
 
 
 def resolution_slug(width: Column, height: Column) -> Column:
-    ok = (width.try_cast("int") > 0) & (height.try_cast("int") > 0)
-    return F.when(ok, F.concat_ws("x", width.try_cast("int").cast("string"), height.try_cast("int").cast("string"))).otherwise("NA")
+    """1920x1080 of what both hold, as it is; resNA where one is null or empty."""
+    w, h = width.cast("string"), height.cast("string")
+    return F.when((F.length(w) > 0) & (F.length(h) > 0), F.concat_ws("x", w, h)).otherwise("resNA")
 
 
 def safe_component(text: Column) -> Column:
@@ -133,17 +137,27 @@ def source_of_path(path: Column, review_dir: str = "review") -> Column:
 
 
 def parse_rate(rate: Column) -> Column:
-    """"30000/1001" as 29.97, half-even at three places; null without a valid fraction."""
+    """"30000/1001" as 29.97 and "25" as 25.0, half-even at four places; null without a number or with a zero below the line."""
     parts = F.split(rate, "/")
-    top, bottom = F.get(parts, F.lit(0)).try_cast("double"), F.coalesce(F.get(parts, F.lit(1)).try_cast("double"), F.when(F.size(parts) == 1, F.lit(1.0)))
-    return F.bround(F.try_divide(top, bottom), 3)
-
-
-def sample_points(duration: Column, least: int = 3, most: int = 16) -> Column:
-    """Evenly spaced times inside a duration: 3, 5, 8, 12 or 16 by its band; empty without a positive duration."""
-    banded = F.when(duration < 60, 3).when(duration < 300, 5).when(duration < 900, 8).when(duration < 2700, 12).otherwise(16)
-    n = F.least(F.greatest(banded, F.lit(least)), F.lit(most))
-    return F.when(duration > 0, F.transform(F.sequence(F.lit(1), n), lambda i: F.round(duration * i / (n + 1), 3))).otherwise(F.array().cast("array<double>"))
+    top, bottom = F.get(parts, F.lit(0)).try_cast("double"), F.when(F.size(parts) == 1, F.lit(1.0)).when(F.size(parts) == 2, F.get(parts, F.lit(1)).try_cast("double"))
+    return F.bround(F.try_divide(top, bottom), 4)
+
+
+def sample_points(duration: Column, least: int = 3, most: int = 18) -> Column:
+    """Evenly spaced times inside a duration, from a margin of 5 % (2 s at most) to the same margin before the end.
+
+    Their number goes by SAMPLE_BANDS, from least to most. Without a positive duration there are `least` times of 0, 8, 15
+    and so on; a null duration has none.
+    """
+    banded = F.lit(None).cast("int")
+    for below, n in SAMPLE_BANDS:
+        banded = F.coalesce(banded, F.when(duration < below, n))
+    n = F.greatest(F.lit(1), F.least(F.lit(max(3, most)), F.greatest(F.when(duration <= 0, least).otherwise(F.coalesce(banded, F.lit(MOST_BAND))), F.lit(least))))
+    start = F.least(F.lit(2.0), duration * 0.05)
+    spread = lambda i: F.least(duration - 0.25, start + (duration - start - start) * i / (n - 1))
+    one = F.least(duration - 0.5, duration * 0.45)
+    at = lambda i: F.when(duration <= 0, F.when(i > 0, i * 7.0 + 1).otherwise(0.0)).otherwise(F.round(F.greatest(F.lit(0.0), F.when(n == 1, one).otherwise(spread(i))), 3))
+    return F.when(duration.isNotNull(), F.transform(F.sequence(F.lit(0), n - 1), at)).otherwise(F.array().cast("array<double>"))
 
 
 def fill_probe(probed: Column, old: Column) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .gate import bounded, passed, shown
+from .joins import join_by_any_path
 
 MOST_WORDS = 10_000  # words of all rules, which go to every task
 MOST_CENTROIDS = 10_000
@@ -41,6 +42,11 @@ def import_labels(labels: DataFrame, confirmed: float = 0.70) -> DataFrame:
     return best.select("item_id", "tag", F.lit("label").alias("category"), "confidence", F.lit("import").alias("source"), F.when(F.col("confidence") >= confirmed, "confirmed").otherwise("pending").alias("state"))
 
 
+def import_labels_by_path(labels: DataFrame, items: DataFrame, column: str = "media_path", confirmed: float = 0.70) -> DataFrame:
+    """Tags of label rows (media_path, label, score text) for the items that any form of their path finds; other rows go."""
+    return import_labels(join_by_any_path(labels.select(column, "label", "score"), items, column), confirmed)
+
+
 def pool_label_scores(scores: DataFrame) -> DataFrame:
     """(item_id, label, score, frame): per label mean * (0.75 + 0.25 * min(1, n / min(3, frames))); the best label wins, with its best frame."""
     frames = scores.groupBy("item_id").agg(F.count_distinct("frame").alias("frames"))

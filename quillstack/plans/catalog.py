@@ -121,7 +121,7 @@ select item_id, media_type, case when item_id % 3 = 0 then '2024-' || lpad((item
   case when item_id % 3 = 0 then '1920x1080' end as resolution, nullif(upper(regexp_extract(filename, '(^|[^A-Za-z0-9])([A-Za-z]{2,6}-[0-9]{2,5})([^A-Za-z0-9]|$)', 2)), '') as code,
   case when contains(lower(filename), '4k') then '4K' when contains(lower(filename), '1080p') then '1080P' when contains(lower(filename), '720p') then '720P' end as quality,
   case when regexp_matches(lower(filename), '^vid_') then 'camera' when contains(lower(filename), 'clip') then 'editor' end as platform,
-  nullif(lower(regexp_extract(filename, '[_-]([0-9A-Fa-f]{8})\.[A-Za-z0-9]+$', 1)), '') as hash8,
+  nullif(lower(regexp_extract(filename, '([0-9A-Fa-f]{8})(\.[^.]+)?$', 1)), '') as hash8,
   regexp_matches(filename, '^(VID|IMG)_[0-9]{8}.*_[0-9a-fA-F]{8}\.[A-Za-z0-9]+$') as normalized
 from live""")
 def names_parsed(spark, d):
@@ -131,13 +131,14 @@ def names_parsed(spark, d):
 
 
 @query(r"""
-select item_id, case when duration > 0 then case when duration >= 3600 then (duration::bigint // 3600)::varchar || 'h' || lpad((duration::bigint % 3600 // 60)::varchar, 2, '0') || 'm' || lpad((duration::bigint % 60)::varchar, 2, '0') || 's'
-    when duration >= 60 then (duration::bigint // 60)::varchar || 'm' || lpad((duration::bigint % 60)::varchar, 2, '0') || 's' else (duration::bigint)::varchar || 's' end else 'NA' end as duration_slug,
-  case when width > 0 and height > 0 then width::varchar || 'x' || height::varchar else 'NA' end as resolution_slug,
-  strftime(mtime, '%Y%m%d_%H%M%S') as date_key, 'mtime' as origin, root as top, regexp_replace(substr(regexp_replace(filename, '^[ ._-]+|[ ._-]+$', '', 'g'), 1, 80), '[ ._-]+$', '') as safe_name
+select item_id, case when duration is not null then case when duration >= 3600 then (duration::bigint // 3600)::varchar || 'h' || lpad((duration::bigint % 3600 // 60)::varchar, 2, '0') || 'm' || lpad((duration::bigint % 60)::varchar, 2, '0') || 's'
+    when duration >= 60 then (duration::bigint // 60)::varchar || 'm' || lpad((duration::bigint % 60)::varchar, 2, '0') || 's' else (duration::bigint)::varchar || 's' end else 'durNA' end as duration_slug,
+  case when width is not null and height is not null then width::varchar || 'x' || height::varchar else 'resNA' end as resolution_slug,
+  case when item_id % 4 = 0 then strftime(mtime, '%Y%m%d') || '_000000' else strftime(mtime, '%Y%m%d_%H%M%S') end as date_key, case when item_id % 4 < 2 then 'metadata' else 'mtime' end as origin, root as top, regexp_replace(substr(regexp_replace(filename, '^[ ._-]+|[ ._-]+$', '', 'g'), 1, 80), '[ ._-]+$', '') as safe_name
 from live""")
 def name_slugs(spark, d):
-    rows = live_items(spark, d).withColumn("k", names.date_key(F.col("mtime"), F.lit(None).cast("string")))
+    created = F.when(F.col("item_id") % 4 == 0, F.date_format("mtime", "yyyy-MM-dd")).when(F.col("item_id") % 4 == 1, F.date_format("mtime", "yyyy:MM:dd HH:mm:ss"))
+    rows = live_items(spark, d).withColumn("k", names.date_key(F.col("mtime"), created))
     return rows.select("item_id", names.duration_slug(F.col("duration")).alias("duration_slug"), names.resolution_slug(F.col("width"), F.col("height")).alias("resolution_slug"), F.col("k.key").alias("date_key"), F.col("k.origin").alias("origin"), names.source_of_path(F.col("path")).alias("top"), names.safe_component(F.col("filename")).alias("safe_name"))
 
 
@@ -157,14 +158,15 @@ def name_flags(spark, d):
 
 
 @query("""
-with n as (select item_id, duration, case when duration < 60 then 3 when duration < 300 then 5 when duration < 900 then 8 when duration < 2700 then 12 else 16 end as k from live where duration > 0)
-select item_id, unnest(range(1, k + 1)) as idx, round(duration * unnest(range(1, k + 1)) / (k + 1), 3) as at from n""")
+with n as (select item_id, duration, case when duration <= 0 then 3 when duration < 45 then 3 when duration < 180 then 5 when duration < 600 then 8 when duration < 1800 then 12 else 16 end as k, least(2.0::double, duration * 0.05) as margin from live where duration is not null),
+i as (select *, unnest(range(0, k)) as i from n)
+select item_id, i + 1 as idx, case when duration <= 0 then case when i = 0 then 0.0 else i * 7.0 + 1 end else round(greatest(0.0, least(duration - 0.25, margin + (duration - margin - margin) * i / (k - 1))), 3) end::double as at from i""")
 def sample_points(spark, d):
     rows = live_items(spark, d).select("item_id", F.posexplode(names.sample_points(F.col("duration"))).alias("i", "at"))
     return rows.select("item_id", (F.col("i") + 1).cast("long").alias("idx"), "at")
 
 
-@query("select o_orderkey, round_even(case when o_custkey % 13 = 0 then null else (o_custkey * 1000.0) / 1001 end, 3) as fps from orders", items=False)
+@query("select o_orderkey, round_even(case when o_custkey % 13 = 0 then null else (o_custkey * 1000.0) / 1001 end, 4) as fps from orders", items=False)
 def parse_rates(spark, d):
     return table(spark, d, "orders").select("o_orderkey", names.parse_rate(F.when(F.col("o_custkey") % 13 != 0, F.concat((F.col("o_custkey") * 1000).cast("string"), F.lit("/1001")))).alias("fps"))
 
@@ -356,6 +358,16 @@ def import_labels(spark, d):
     return tagging.import_labels(rows).select("item_id", "tag", F.round("confidence", 4).alias("confidence"), "state")
 
 
+@query("""
+with k as (select key, min(item_id) as item_id from (select item_id, unnest([relative_path, concat_ws('/', root, relative_path)]) as key from live) where key is not null group by key),
+b as (select k.item_id, i.lang as tag, max(i.size_bytes % 100 / 100.0)::double as confidence from live i join k on k.key = case when i.item_id % 2 = 0 then i.relative_path else i.path end group by 1, 2)
+select item_id, tag, confidence, case when confidence >= 0.7 then 'confirmed' else 'pending' end as state from b""")
+def import_labels_by_path(spark, d):
+    items = live_items(spark, d)
+    rows = items.select(F.when(F.col("item_id") % 2 == 0, F.col("relative_path")).otherwise(F.col("path")).alias("media_path"), F.col("lang").alias("label"), (F.col("size_bytes") % 100 / 100.0).cast("string").alias("score"))
+    return tagging.import_labels_by_path(rows, items).select("item_id", "tag", "confidence", "state")
+
+
 @query("""
 with s as (select user_id as item_id, event_type as label, event_id as frame, round(value, 4) as score from events),
 f as (select item_id, count(distinct frame) as frames from s group by item_id),
@@ -611,13 +623,19 @@ def scan_summary(spark, d):
 
 
 @query("""
-select l.item_id, (select count(*) from tags t where t.item_id = l.item_id) as tags, (select count(*) from conversations c where c.conv_id = l.item_id) as segments, least(30, (select count(*) from events e where e.user_id = l.item_id)) as operations from live l""")
+with t as (select item_id, count(*) as tags, string_agg(tag || ':' || state, ',' order by category, tag) as tag_list from tags group by 1),
+s as (select conv_id as item_id, count(*) as segments, string_agg(role, ',' order by turn, role) as labels, string_agg(text, chr(10) order by turn, text) as text from conversations group by 1),
+r as (select user_id as item_id, event_type || ':' || event_id::varchar as operation, row_number() over (partition by user_id order by ts desc, event_type || ':' || event_id::varchar desc) as rn from events),
+o as (select item_id, count(*) as operations, string_agg(operation, ',' order by rn) as log from r where rn <= 30 group by 1)
+select item_id, filename, coalesce(tags, 0) as tags, tag_list, coalesce(segments, 0) as segments, labels, coalesce(operations, 0) as operations, log, sha256(s.text) as transcript from live left join t using (item_id) left join s using (item_id) left join o using (item_id)""")
 def item_detail(spark, d):
     segments = table(spark, d, "conversations").select(F.col("conv_id").alias("item_id"), (F.col("turn") * 4.0).alias("start"), (F.col("turn") * 4.0 + 4).alias("end"), F.col("role").alias("label"))
     audit = table(spark, d, "events").select(F.col("user_id").alias("item_id"), F.concat_ws(":", "event_type", F.col("event_id").cast("string")).alias("operation"), F.col("ts").alias("created_at"))
     found = joins.item_detail(live_items(spark, d).select("item_id", "filename", "review_state"), all_tags(spark, d), segments, audit, transcripts(spark, d))
     n = lambda c: F.coalesce(F.size(c), F.lit(0)).cast("long").alias(c)
-    return found.select("item_id", n("tags"), n("segments"), n("operations"))
+    each = lambda c, f: F.array_join(F.transform(c, f), ",")
+    lists = each("tags", lambda t: F.concat_ws(":", t["tag"], t["state"])).alias("tag_list"), each("segments", lambda s: s["label"]).alias("labels"), each("operations", lambda o: o["operation"]).alias("log")
+    return found.select("item_id", "filename", n("tags"), n("segments"), n("operations"), *lists, F.sha2("transcript", 256).alias("transcript"))
 
 
 @query("select item_id, sha256, substr(sha256, 1, 8) as hash8, sha256(text || strlen(text)::varchar) as partial_hash from live")

@@ -24,14 +24,24 @@ def test_parse_name(spark):
 def test_hash8_and_normalized_name(spark):
     assert one(spark, n.hash8_from_name(F.col("a")), a=("x_DEADBEEF.mp4", "string")) == "deadbeef"
     assert one(spark, n.hash8_from_name(F.col("a")), a=("x_deadbeefx.mp4", "string")) is None
+    assert one(spark, n.hash8_from_name(F.col("a")), a=("lib/x0DEADBEEF", "string")) == "deadbeef"
+    assert one(spark, n.hash8_from_name(F.col("a")), a=("deadbeef.cafebabe", "string")) == "deadbeef"
+    assert one(spark, n.hash8_from_name(F.col("a")), a=(None, "string")) is None
     assert one(spark, n.is_normalized_name(F.col("a")), a=("VID_20240101_x_deadbeef.mp4", "string"))
     assert one(spark, n.is_normalized_name(F.col("a")), a=(None, "string")) is False
 
 
 def test_slugs_and_rates(spark):
     rows = spark.createDataFrame([(3723.9,), (62.0,), (5.0,), (0.0,), (None,)], "d double")
-    assert [r[0] for r in rows.select(n.duration_slug(F.col("d"))).collect()] == ["1h02m03s", "1m02s", "5s", "NA", "NA"]
-    assert one(spark, n.resolution_slug(F.col("a"), F.col("b")), a=("1920", "string"), b=("x", "string")) == "NA"
+    assert [r[0] for r in rows.select(n.duration_slug(F.col("d"))).collect()] == ["1h02m03s", "1m02s", "5s", "0s", "durNA"]
+    assert one(spark, n.resolution_slug(F.col("a"), F.col("b")), a=("1920", "string"), b=("", "string")) == "resNA"
+    assert one(spark, n.resolution_slug(F.col("a"), F.col("b")), a=(1920, "int"), b=(1080, "int")) == "1920x1080"
+    assert one(spark, n.duration_slug(F.col("a")), a=("62.9", "string")) == "1m02s"
+    assert one(spark, n.duration_slug(F.col("a")), a=("N/A", "string")) == "durNA"
+    assert one(spark, n.parse_rate(F.col("a")), a=("24000/1001", "string")) == 23.976
+    assert one(spark, n.parse_rate(F.col("a")), a=("10000/333", "string")) == 30.03
+    assert one(spark, n.parse_rate(F.col("a")), a=("1/3", "string")) == 0.3333
+    assert one(spark, n.parse_rate(F.col("a")), a=("1/2/3", "string")) is None
     assert one(spark, n.parse_rate(F.col("a")), a=("30000/1001", "string")) == 29.97
     assert one(spark, n.parse_rate(F.col("a")), a=("1/0", "string")) is None
     assert one(spark, n.parse_rate(F.col("a")), a=("25", "string")) == 25.0
@@ -50,14 +60,21 @@ def test_junk_tokens(spark):
 
 def test_date_key(spark):
     got = one(spark, n.date_key(F.col("m"), F.col("c")), m=(None, "timestamp"), c=("2024-05-06T07:08:09Z", "string"))
-    assert tuple(got) == ("20240506_070809", "created")
+    assert tuple(got) == ("20240506_070809", "metadata")
+    for text, key in (("on 2024-05-06", "20240506_000000"), ("2024:05:06 07:08", "20240506_070800"), ("20240506T07", "20240506_070000")):
+        assert tuple(one(spark, n.date_key(F.col("m"), F.col("c")), m=(None, "timestamp"), c=(text, "string"))) == (key, "metadata")
     assert tuple(one(spark, n.date_key(F.col("m"), F.col("c")), m=(None, "timestamp"), c=("bad", "string"))) == ("NA", "none")
 
 
 def test_sample_points(spark):
-    assert one(spark, n.sample_points(F.col("d")), d=(40.0, "double")) == [10.0, 20.0, 30.0]
-    assert one(spark, n.sample_points(F.col("d")), d=(0.0, "double")) == []
-    assert len(one(spark, n.sample_points(F.col("d")), d=(9000.0, "double"))) == 16
+    at = lambda d, *how: one(spark, n.sample_points(F.col("d"), *how), d=(d, "double"))
+    assert at(40.0) == [2.0, 20.0, 38.0]
+    assert at(20.0) == [1.0, 10.0, 19.0]
+    assert at(100.0) == [2.0, 26.0, 50.0, 74.0, 98.0]
+    assert [len(at(d)) for d in (44.9, 45.0, 180.0, 600.0, 1800.0)] == [3, 5, 8, 12, 16]
+    assert len(at(9000.0, 20)) == 18 and len(at(9000.0, 3, 4)) == 4
+    assert at(0.0) == [0.0, 8.0, 15.0] and at(None) == []
+    assert at(0.3, 1)[-1] == 0.05
 
 
 def test_timed_segments_and_vtt(spark):
