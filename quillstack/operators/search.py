@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .gate import passed, shown
+from .reports import tags_concat
 
 MOST_TERMS = 6
 
@@ -44,13 +45,20 @@ def catalog_query(
     media_type: str | None = None,
     tag_terms: Sequence[str] = (),
     favourite: str | None = None,
+    without: str | None = None,
     has_transcript: bool | None = None,
     duration: tuple[float | None, float | None] = (None, None),
     resolution: str | None = None,
     text: str | None = None,
     fields: Sequence[str] = ("filename", "path"),
+    page: tuple[int, int] | None = None,
+    show_tags: bool = False,
 ) -> DataFrame:
-    """Gated items that meet all given conditions; tag terms (MOST_TERMS at most) are each contained in a live tag."""
+    """Gated items that meet all given conditions; tag terms (MOST_TERMS at most) are each contained in a live tag.
+
+    favourite is a tag to have, without one not to have; resolution is part of the resolution or the quality, of those
+    columns that there are. page (seed, limit) gives that many in a repeatable order; show_tags adds a string of live tags.
+    """
     if len(tag_terms) > MOST_TERMS:
         raise ValueError(f"over {MOST_TERMS} tag terms")
     out = passed(items)
@@ -61,15 +69,19 @@ def catalog_query(
     if duration[1] is not None:
         out = out.where(F.col("duration") <= duration[1])
     if resolution:
-        out = out.where(F.col("resolution") == resolution)
+        out = out.where(contains_text([c for c in ("resolution", "quality") if c in out.columns], resolution))
     for term in tag_terms:
         hit = tags.where((F.col("state") != "rejected") & contains_text(["tag"], term)).select("item_id").distinct()
         out = out.join(hit, "item_id", "left_semi")
     if favourite:
         out = with_tag(out, tags, favourite)
+    if without:
+        out = without_tag(out, tags, without)
     if has_transcript is not None:
         out = out.join(transcripts.where("length(trim(text)) > 0").select("item_id").distinct(), "item_id", "left_semi" if has_transcript else "left_anti")
-    return free_text(out, tags, transcripts, text, fields) if text else out
+    out = free_text(out, tags, transcripts, text, fields) if text else out
+    out = seeded_shuffle(out, *page) if page else out
+    return out.join(tags_concat(tags).withColumnRenamed("tags", "_tags"), "item_id", "left").withColumn("tags", F.col("_tags")).drop("_tags") if show_tags else out
 
 
 def manifest_search(sources: Mapping[str, DataFrame], text: str, limit: int) -> DataFrame:

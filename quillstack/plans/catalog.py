@@ -7,8 +7,9 @@ probes are derived from them alike here and in ITEMS. Rule tables are small, neu
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import names, texts
@@ -216,6 +217,17 @@ def catalog_query(spark, d):
     return found.select("item_id", "filename")
 
 
+@query("""
+with g as (select item_id, string_agg(tag, ',' order by tag) as tags from tags where state <> 'rejected' group by item_id)
+select item_id, filename, tags, ((item_id % 2147483647) * 1103515245 + 7) % 2147483647 as shuffle_key from live left join g using (item_id)
+where (contains(filename, 'x1080') or contains(filename, '1080P')) and item_id not in (select item_id from tags where tag = 'fr' and state <> 'rejected') order by shuffle_key, item_id limit 50""")
+def catalog_page(spark, d):
+    f = F.col("filename")
+    items = all_items(spark, d).withColumn("resolution", names.name_resolution(f)).withColumn("quality", names.name_quality(f))
+    found = search.catalog_query(items, all_tags(spark, d), transcripts(spark, d), without="fr", resolution="X1080", page=(7, 50), show_tags=True)
+    return found.select("item_id", "filename", "tags", "shuffle_key")
+
+
 @query("select 'orders' as source_table, o_orderkey as id from orders where contains(lower(o_orderpriority), 'urgent') union all select 'customer', c_custkey from customer where contains(lower(c_mktsegment), 'urgent')", items=False)
 def manifest_search(spark, d):
     orders = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), "o_orderpriority")
@@ -654,10 +666,15 @@ def dhash(spark, d):
     return dhashes(spark, d)
 
 
-@query("with b as (select item_id, unnest(range(0, 64)) as i, sha256 from live) select item_id, count(*) filter (where (('0x' || substr(sha256, (i // 4 + 1)::int, 1))::int // (8 // (1 << (i % 4)::int))) % 2 = 1) * 0.125::double as positive from b group by item_id")
+def weighed(vector: Column) -> Column:
+    """The sum of a vector's places, each times its number from 1 on: one column that depends on every place."""
+    return F.aggregate(F.transform(vector, lambda x, i: x * (i + 1)), F.lit(0.0), lambda a, x: a + x)
+
+
+@query("with b as (select item_id, unnest(range(0, 64)) as i, sha256 from live) select item_id, sum(case when (('0x' || substr(sha256, (i // 4 + 1)::int, 1))::int // (8 // (1 << (i % 4)::int))) % 2 = 1 then 0.125::double else -0.125::double end * (i + 1)) as weighed from b where sha256 is not null group by item_id")
 def hash_bits_vector(spark, d):
-    bits = vectors.hash_bits_vector(F.substring("sha256", 1, 16))
-    return live_items(spark, d).select("item_id", F.aggregate(bits, F.lit(0.0), lambda a, x: a + F.when(x > 0, x).otherwise(0.0)).alias("positive"))
+    rows = live_items(spark, d).where("sha256 is not null")
+    return rows.select("item_id", weighed(vectors.hash_bits_vector(F.substring("sha256", 1, 16))).alias("weighed"))
 
 
 @query("""
@@ -692,19 +709,42 @@ def semantic_search(spark, d):
     return found.select("item_id", F.round("score", 5).alias("score"))
 
 
-@query("select 'name' as kind, count(*) as vectors from live where length(filename) > 0 and item_id % 2 = 1 union all select 'text', count(*) from live where length(text) > 0")
+@query(r"""
+with src as (
+  select item_id, 'name' as kind, filename as text from live where item_id % 2 = 1 union all select item_id, 'text', text from live
+  union all select item_id, 'tag', string_agg(tag, ',' order by tag) from tags where state <> 'rejected' group by item_id
+  union all select conv_id, 'transcript', string_agg(text, chr(10) order by turn, text) from conversations where conv_id in (select item_id from live) group by conv_id),
+w as (select item_id, kind, sha256(text) as text_hash, unnest(regexp_extract_all(lower(text), '([\p{L}\p{N}_-]+)', 1)) as w from src where length(text) > 0),
+m as (select item_id, kind, text_hash, md5(w) as m from (select item_id, kind, text_hash, substr(regexp_replace(w, '^[_-]+|[_-]+$', '', 'g'), 1, 48) as w from w) where length(w) >= 2),
+s as (select item_id, kind, text_hash, (('0x' || substr(m, 1, 8))::bigint % 128)::int as b, sum(case when ('0x' || substr(m, 9, 2))::int % 2 = 1 then 1.0 else -1.0 end)::double as s from m group by all)
+select item_id, kind, text_hash, count(*) filter (where s <> 0) as places, round(case when sum(s * s) > 0 then sum(s * (b + 1)) / sqrt(sum(s * s)) else 0.0::double end, 5) as weighed from s group by all""")
 def vector_index(spark, d):
     rows = live_items(spark, d)
-    parts = rows.select("item_id", F.lit("name").alias("kind"), F.col("filename").alias("text")).union(rows.select("item_id", F.lit("text"), "text"))
+    spoken = transcripts(spark, d).join(rows.select("item_id"), "item_id", "left_semi")
+    kinds = {"name": rows.select("item_id", F.col("filename").alias("text")), "text": rows.select("item_id", "text"), "tag": reports.tags_concat(all_tags(spark, d)).withColumnRenamed("tags", "text"), "transcript": spoken}
+    parts = reduce(DataFrame.union, (df.select("item_id", F.lit(kind).alias("kind"), "text") for kind, df in kinds.items()))
     done = parts.where("kind = 'name' and item_id % 2 = 0").select("item_id", "kind", F.lit("md5-128").alias("model"), F.sha2("text", 256).alias("text_hash"))
-    return vectors.vector_index(parts, done, "md5-128").groupBy("kind").agg(F.count("*").alias("vectors"))
+    found = vectors.vector_index(parts, done, "md5-128")
+    return found.select("item_id", "kind", "text_hash", F.size(F.filter("vector", lambda x: x != 0)).cast("long").alias("places"), F.round(weighed(F.col("vector")), 5).alias("weighed"))
 
 
 @query("select case when vec_id % 10 = 0 or l.item_id is null then 'failed' when vec_id % 4 = 0 then 'skipped' else 'imported' end as outcome, count(*) as rows from embeddings e left join live l on l.item_id = e.vec_id group by 1")
 def import_vectors(spark, d):
+    return vector_imports(spark, d)[1]
+
+
+@query("""
+with e as (select vec_id as item_id, unnest(embedding)::double as x, generate_subscripts(embedding, 1) as i from embeddings where vec_id % 10 <> 0 and vec_id % 4 <> 0 and vec_id in (select item_id from live))
+select item_id, count(*) as places, round(case when sum(x * x) > 0 then sum(x * i) / sqrt(sum(x * x)) else 0.0::double end, 4) as weighed from e group by item_id""")
+def imported_vectors(spark, d):
+    new = vector_imports(spark, d)[0]
+    return new.select("item_id", F.size("vector").cast("long").alias("places"), F.round(weighed(F.col("vector")), 4).alias("weighed"))
+
+
+def vector_imports(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     rows = table(spark, d, "embeddings").select(F.concat(F.lit("p"), F.col("vec_id").cast("string")).alias("media_path"), F.lit("m").alias("model"), F.when(F.col("vec_id") % 10 != 0, F.col("embedding")).otherwise(F.array().cast("array<float>")).alias("embedding"))
     items = live_items(spark, d).select("item_id", F.concat(F.lit("p"), F.col("item_id").cast("string")).alias("path"))
-    return vectors.import_vectors(rows, items, items.where("item_id % 4 = 0").select("item_id", F.lit("m").alias("model")))[1]
+    return vectors.import_vectors(rows, items, items.where("item_id % 4 = 0").select("item_id", F.lit("m").alias("model")))
 
 
 @query("select time_bucket(interval 10 minutes, ts) as start, count(*) filter (where event_type <> 'error') as processed, count(*) filter (where event_type = 'error') as failed from events group by 1", items=False)

@@ -33,9 +33,9 @@ def read_vectors_jsonl(spark: SparkSession, path: str) -> DataFrame:
     """Vectors by media_path: broken lines and empty vectors are left out; the last line of a path wins."""
     if not exists(spark, path):
         return spark.createDataFrame([], "media_path string, model string, pretrained string, embedding array<double>")
-    rows = spark.read.schema(VECTOR_SCHEMA).json(path, mode="PERMISSIVE").withColumn("file", F.col("_metadata.file_path")).withColumn("at", F.monotonically_increasing_id())
+    rows = spark.read.schema(VECTOR_SCHEMA).json(path, mode="PERMISSIVE").withColumn("place", F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("at")))
     good = rows.where("_corrupt_record is null and length(media_path) > 0 and size(embedding) > 0")
-    last = Window.partitionBy("media_path").orderBy(F.desc("file"), F.desc("at"))
+    last = Window.partitionBy("media_path").orderBy(F.desc("place"))  # files by name, blocks of a file by their start, lines of a block in order
     return good.withColumn("rn", F.row_number().over(last)).where("rn = 1").select("media_path", "model", "pretrained", "embedding")
 
 

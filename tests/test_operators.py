@@ -48,6 +48,8 @@ def test_no_view_shows_review_items(spark):
     views = [
         search.catalog_query(rows, tags(spark), empty),
         search.catalog_query(rows, tags(spark), empty, text="hold"),
+        search.catalog_query(rows, tags(spark), empty, page=(3, 10), show_tags=True),
+        tagging.import_labels_by_path(rows.select(F.col("path").alias("media_path"), F.lit("l").alias("label"), F.lit("1").alias("score")), rows),
         search.recent_page(rows, 10),
         search.seeded_shuffle(rows, 3, 10),
         vectors.cosine_topk(rows, vectors_, query, 5),
@@ -230,3 +232,41 @@ def test_manifest_and_vector_files(spark, tmp_path):
     readers.append_audit(items(spark), "scan", str(tmp_path / "audit"))
     readers.append_audit(items(spark), "scan", str(tmp_path / "audit"))
     assert [r["rows"] for r in spark.read.parquet(str(tmp_path / "audit")).collect()] == [5, 5]
+
+
+def test_catalog_query_conditions(spark):
+    rows = gated(spark).withColumn("resolution", F.when(F.col("item_id") == 1, "1920x1080")).withColumn("quality", F.when(F.col("item_id") == 2, "1080P"))
+    empty = spark.createDataFrame([], "item_id long, text string")
+    found = lambda **how: search.catalog_query(rows, tags(spark), empty, **how)
+    assert ids(found(resolution="1080")) == [1, 2]
+    assert ids(found(favourite="t")) == [1] and ids(found(without="t")) == [2, 4]
+    assert {r["item_id"]: r["tags"] for r in found(show_tags=True).collect()} == {1: "t,u", 2: None, 4: None}
+    assert found(page=(5, 2)).count() == 2 and found(page=(5, 9)).collect() == found(page=(5, 9)).collect()
+    with pytest.raises(ValueError):
+        found(tag_terms=["a"] * 7)
+
+
+def test_labels_by_path(spark):
+    rows = spark.createDataFrame([("a/x.mp4", "one", "0.9"), ("r2/w.jpg", "two", "bad"), ("a\\y.mp4", "one", "0.2"), ("r1/a/y.mp4", "one", "0.7"), ("z.jpg", "held", "1"), ("nowhere", "one", "1"), (None, "one", "1")], "media_path string, label string, score string")
+    got = tagging.import_labels_by_path(rows, gated(spark)).select("item_id", "tag", "confidence", "state").collect()
+    assert sorted(tuple(r) for r in got) == [(1, "one", 0.9, "confirmed"), (2, "one", 0.7, "confirmed"), (4, "two", 0.0, "pending")]
+
+
+def test_missing_and_filled(spark):
+    rows = spark.createDataFrame([(1, "ab"), (2, ""), (3, None)], "item_id long, sha256 string")
+    assert ids(readers.missing_hash(rows)) == [2, 3]
+    probes = spark.createDataFrame([(1, 5, 7), (2, None, 7), (3, None, None)], "item_id long, probed int, old int")
+    assert [r[0] for r in probes.orderBy("item_id").select(names.fill_probe(F.col("probed"), F.col("old"))).collect()] == [5, 7, None]
+
+
+def test_last_line_of_many_blocks(spark, tmp_path):
+    """The last line of a path wins, also where a file is read in many blocks."""
+    lines = [f'{{"media_path":"p{i % 7}","model":"m","pretrained":"p","embedding":[{i}.0]}}' for i in range(2000)]
+    (tmp_path / "v.jsonl").write_text("\n".join(lines) + "\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "9000")
+    try:
+        got = {r["media_path"]: r["embedding"][0] for r in readers.read_vectors_jsonl(spark, str(tmp_path / "v.jsonl")).collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert got == {f"p{i % 7}": float(i) for i in range(1993, 2000)}
