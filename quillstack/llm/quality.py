@@ -153,12 +153,12 @@ class Network:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def score(docs: DataFrame, labels: DataFrame, rows: Column, label: str = "quality") -> DataFrame:
-    """All rows of docs with score, the probability of label 1. rows: which doc_ids may teach."""
+def score(docs: DataFrame, labels: DataFrame, rows: Column, label: str = "quality", most_labels: int = SAMPLE) -> DataFrame:
+    """All rows of docs with score, the probability of label 1. rows: which doc_ids may teach; most_labels of them at most."""
     spark = docs.sparkSession
     vectors = word_vectors(docs)
     known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(label).cast("int").alias("_y")).where(rows)
-    taught = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
+    taught = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_labels)
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -168,7 +168,7 @@ def score(docs: DataFrame, labels: DataFrame, rows: Column, label: str = "qualit
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1], np.int32)), pa.array(x.ravel()))
                 yield pa.RecordBatch.from_arrays([batch.column(1).slice(lo, hi - lo), lists], ["y", "x"])
 
-    sample = docs.select("doc_id", "text").join(F.broadcast(save(taught, "taught")), "doc_id").select("text", "_y").mapInArrow(features, "y int, x array<float>").toPandas()  # SAMPLE rows
+    sample = docs.select("doc_id", "text").join(F.broadcast(save(taught, "taught")), "doc_id").select("text", "_y").mapInArrow(features, "y int, x array<float>").toPandas()  # most_labels rows
     y = sample["y"].to_numpy(np.int64)
     usual = float(y.mean()) if len(y) else 0.5
     network = None
