@@ -1,4 +1,8 @@
-"""The review gate. Every operator that reads items takes those that passed it; only a person's verdict clears an item."""
+"""The review gate. Every operator that lists or scores items takes those that passed it; only a person's verdict clears an item.
+
+Those that must see items in review, to route them or to keep their rows, take them by `routed` and hand their review_state on:
+windows.mark_duplicates, windows.plan_names, joins.delete_unseen, reports.scan_summary, and the queue and tombstones here.
+"""
 
 from __future__ import annotations
 
@@ -33,9 +37,16 @@ def passed(items: DataFrame) -> DataFrame:
     return live.where("not deleted") if "deleted" in items.columns else live
 
 
-def shown(rows: DataFrame) -> DataFrame:
-    """Rows of any table: those that carry the gate's columns must have passed."""
-    return passed(rows) if "review_state" in rows.columns else rows
+def routed(items: DataFrame) -> DataFrame:
+    """For the few that must see items in review, to keep or route them: gated items, each with its review_state."""
+    if "review_state" not in items.columns:
+        raise ValueError("items must go through review_gate first")
+    return items
+
+
+def live_only(rows: DataFrame, items: DataFrame) -> DataFrame:
+    """Rows (vectors, texts, scores) of the items that passed."""
+    return rows.join(passed(items).select("item_id").distinct(), "item_id", "left_semi").select(rows.columns)
 
 
 def bounded(rows: DataFrame, most: int, what: str) -> DataFrame:
@@ -47,6 +58,7 @@ def bounded(rows: DataFrame, most: int, what: str) -> DataFrame:
 
 def review_queue(items: DataFrame, tags: DataFrame, risk_tag: str, limit: int) -> DataFrame:
     """Flagged items and those with a live risk tag, newest first; deleted items are not listed."""
+    items = routed(items)
     flagged = items.where("review_state = 'review'")
     risky = items.join(tags.where((F.col("tag") == risk_tag) & (F.col("state") != "rejected")).select("item_id").distinct(), "item_id", "left_semi")
     both = flagged.union(risky).dropDuplicates(["item_id"])
@@ -57,4 +69,4 @@ def review_queue(items: DataFrame, tags: DataFrame, risk_tag: str, limit: int) -
 def tombstone(items: DataFrame, ids: DataFrame) -> DataFrame:
     """Marks rows as deleted; no file moves."""
     gone = ids.select("item_id").distinct().withColumn("_gone", F.lit(True))
-    return items.join(gone, "item_id", "left").withColumn("deleted", F.coalesce("_gone", F.lit(False))).drop("_gone")
+    return routed(items).join(gone, "item_id", "left").withColumn("deleted", F.coalesce("_gone", F.lit(False))).drop("_gone")

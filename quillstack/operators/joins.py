@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..lineage import cut_lineage
-from .gate import passed
+from ..lineage import written
+from .gate import passed, routed
 
 
 def last_by(df: DataFrame, key: str, order: str) -> DataFrame:
@@ -20,7 +20,7 @@ def link_manifest(items: DataFrame, moves: DataFrame, manifest: DataFrame) -> Da
     """path -> the last applied move to it -> the last manifest row of where it came from. moves (original_path, new_path, seq); manifest (original_path, seq, ...)."""
     back = last_by(moves, "new_path", "seq").select(F.col("new_path").alias("path"), F.col("original_path").alias("moved_from"))
     rows = last_by(manifest, "original_path", "seq").drop("seq").withColumnRenamed("original_path", "_original")
-    linked = items.join(back, "path", "left").withColumn("origin", F.coalesce("moved_from", "path"))
+    linked = passed(items).join(back, "path", "left").withColumn("origin", F.coalesce("moved_from", "path"))
     return linked.join(rows, linked["origin"] == rows["_original"], "left").drop("_original", "moved_from")
 
 
@@ -46,39 +46,46 @@ def lookup_paths(items: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def delete_unseen(items: DataFrame, seen: DataFrame, root: str) -> DataFrame:
-    """Drops the rows of this root that a scan didn't see; other roots stay."""
+    """Drops the rows of this root that a scan didn't see; other roots stay. Items in review are kept like others, with their review_state."""
+    items = routed(items)
     here = items.where(F.col("root") == root).join(seen.select("path").distinct(), "path", "left_semi").select(items.columns)
     return here.union(items.where((F.col("root") != root) | F.col("root").isNull()).select(items.columns))
 
 
 def trace_original(paths: DataFrame, moves: DataFrame, max_hops: int = 16) -> DataFrame:
-    """(path, origin, hops): each path followed from destination to source as far as moves go.
+    """(path, origin, hops): each path followed from destination to source as far as moves go, max_hops at most.
 
-    moves (source, dest), the first row of a destination wins. Each hop is a join; it stops when no row advances, after
-    max_hops, or when a path comes round again. Rows that have ended leave the loop.
+    moves (source, dest), the first row of a destination wins; of rows with one seq the first source. Chains are built by
+    doubling: a destination holds the list of its next 1, 2, 4, ... sources, and a list that is full is followed by that
+    of its last member, so 16 hops take four joins. They stop when no list is full any more. A chain that comes round again
+    repeats itself from there on, so its distinct members are the way to the last new one. Each step is a written table.
     """
-    first = moves.withColumn("_rn", F.row_number().over(Window.partitionBy("dest").orderBy("seq"))).where("_rn = 1").select(F.col("dest").alias("at"), "source")
-    live = paths.select("path", F.col("path").alias("at"), F.array("path").alias("seen"), F.lit(0).alias("hops"))
-    done: list[DataFrame] = []
-    for _ in range(max_hops):
-        step = cut_lineage(live.join(first, "at", "left").withColumn("_go", F.col("source").isNotNull() & ~F.array_contains("seen", F.coalesce("source", F.lit("")))))
-        done.append(step.where("not _go").select("path", F.col("at").alias("origin"), "hops"))
-        live = step.where("_go").select("path", F.col("source").alias("at"), F.array_append("seen", F.col("source")).alias("seen"), (F.col("hops") + 1).alias("hops"))
-        if live.isEmpty():
+    first = moves.where("dest is not null and source is not null").groupBy("dest").agg(F.min_by("source", F.struct("seq", "source")).alias("source"))
+    chains = written(first.where("dest <> source").select(F.col("dest").alias("at"), F.array("source").alias("chain")), "chains")
+    reach = 1
+    while reach < max_hops:
+        full = chains.where(F.size("chain") == reach)
+        ahead = chains.select(F.col("at").alias("_last"), F.col("chain").alias("_more"))
+        longer = full.withColumn("_last", F.element_at("chain", -1)).join(ahead, "_last")
+        if reach > 1 and full.isEmpty():
             break
-    done.append(live.select("path", F.col("at").alias("origin"), "hops"))
-    return reduce(DataFrame.union, done)
+        grown = longer.select("at", F.concat("chain", "_more").alias("chain"))
+        ended = full.withColumn("_last", F.element_at("chain", -1)).join(ahead.select("_last"), "_last", "left_anti").select("at", "chain")
+        chains = written(chains.where(F.size("chain") < reach).select("at", "chain").union(ended).union(grown), "chains")
+        reach *= 2
+    way = F.array_distinct(F.concat(F.array("path"), F.slice(F.coalesce("chain", F.array().cast("array<string>")), 1, max_hops)))
+    return paths.join(chains, paths["path"] == chains["at"], "left").select("path", way.alias("way")).select("path", F.element_at("way", -1).alias("origin"), (F.size("way") - 1).alias("hops"))
 
 
 def trace_by_hash8(items: DataFrame, manifest: DataFrame) -> DataFrame:
     """(item_id, origin) for items whose hash8 meets that of one manifest row or more; the smallest path is taken."""
     known = manifest.where("hash8 is not null").groupBy("hash8").agg(F.min("original_path").alias("origin"))
-    return items.where("hash8 is not null").join(known, "hash8").select("item_id", "origin")
+    return passed(items).where("hash8 is not null").join(known, "hash8").select("item_id", "origin")
 
 
 def prefer_original_name(items: DataFrame, traced: DataFrame, normalized) -> DataFrame:  # noqa: ANN001
     """original_name: an existing one that isn't normalized stays; else the traced one, else what there is. normalized: a test on a column."""
-    out = items.join(traced.select("item_id", "traced_name"), "item_id", "left")
+    out = passed(items).join(traced.select("item_id", "traced_name"), "item_id", "left")
     own = F.col("original_name").isNotNull() & ~normalized(F.col("original_name"))
     return out.withColumn("original_name", F.when(own, F.col("original_name")).otherwise(F.coalesce("traced_name", "original_name"))).drop("traced_name")
 

@@ -7,7 +7,9 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .gate import bounded, passed, shown
+from .batches import found_words
+from .gate import bounded, passed, routed
+from .tagging import rule_words
 
 MOST_MINIMA = 10_000
 WORD = r"([A-Za-z]{3,}|[\x{4e00}-\x{9fff}]{2,})"
@@ -51,23 +53,23 @@ def gate_ok(gate: DataFrame) -> DataFrame:
 
 
 def word_counts(texts: DataFrame, column: str = "text", least: int = 2, stop: DataFrame | None = None) -> DataFrame:
-    """Words (Latin from three letters, CJK from two) with their counts from `least` on."""
-    words = shown(texts).select(F.explode(F.regexp_extract_all(F.lower(column), F.lit(WORD), F.lit(1))).alias("word"))
+    """Words (Latin from three letters, CJK from two) of gated items with their counts from `least` on."""
+    words = passed(texts).select(F.explode(F.regexp_extract_all(F.lower(column), F.lit(WORD), F.lit(1))).alias("word"))
     counts = words.groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") >= least)
     return counts.join(stop.select("word"), "word", "left_anti") if stop is not None else counts
 
 
 def hashtag_counts(texts: DataFrame, rules: DataFrame, column: str = "text") -> DataFrame:
     """`#token` counts with the category of the first rule (rule_order, category, words) that a tag contains a word of, or noise."""
-    tags = texts.select(F.explode(F.regexp_extract_all(F.lower(column), F.lit(r"#([\p{L}\p{N}_]+)"), F.lit(1))).alias("tag")).groupBy("tag").agg(F.count("*").alias("n"))
-    words = F.broadcast(rules.select("rule_order", "category", F.explode("words").alias("word")))
-    hit = tags.join(words, F.contains("tag", "word"), "left").groupBy("tag", "n").agg(F.min_by("category", "rule_order").alias("category"))
-    return hit.select("tag", "n", F.coalesce("category", F.lit("noise")).alias("category"))
+    tags = passed(texts).select(F.explode(F.regexp_extract_all(F.lower(column), F.lit(r"#([\p{L}\p{N}_]+)"), F.lit(1))).alias("tag")).groupBy("tag").agg(F.count("*").alias("n"))
+    words, wanted = rule_words(rules, "rule_order", "category")
+    hits = found_words(tags.select("tag", F.col("tag").alias("_text")), "tag", ("_text",), wanted).join(F.broadcast(words), "word").groupBy("tag").agg(F.min_by("category", "rule_order").alias("category"))
+    return tags.join(hits, "tag", "left").select("tag", "n", F.coalesce("category", F.lit("noise")).alias("category"))
 
 
 def scan_summary(plan: DataFrame) -> DataFrame:
-    """One row: items by type and action, flagged ones and duplicates."""
-    return plan.agg(
+    """One row of counts, items in review among them: by type and action, flagged ones and duplicates."""
+    return routed(plan).agg(
         F.count("*").alias("items"),
         F.count_if(F.col("media_type") == "video").alias("videos"),
         F.count_if(F.col("media_type") == "photo").alias("photos"),

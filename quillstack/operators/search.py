@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .gate import passed, shown
+from .gate import passed
 from .reports import tags_concat
 
 MOST_TERMS = 6
@@ -84,11 +84,12 @@ def catalog_query(
     return out.join(tags_concat(tags).withColumnRenamed("tags", "_tags"), "item_id", "left").withColumn("tags", F.col("_tags")).drop("_tags") if show_tags else out
 
 
-def manifest_search(sources: Mapping[str, DataFrame], text: str, limit: int) -> DataFrame:
-    """Rows of many tables with the text in any column, tagged by source; of tables with gated items, those that passed."""
-    sources = {name: shown(df) for name, df in sources.items()}
+def manifest_search(sources: Mapping[str, DataFrame], text: str, limit: int | None = None) -> DataFrame:
+    """Rows of many gated tables with the text in any column, tagged by source; all of them, or any `limit` of them."""
+    sources = {name: passed(df).drop("review_state") for name, df in sources.items()}
     parts = [df.where(F.contains(F.lower(F.concat_ws("\n", *(F.col(c).cast("string") for c in df.columns))), F.lit(text.lower()))).withColumn("source_table", F.lit(name)) for name, df in sources.items()]
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts).limit(limit)
+    found = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    return found if limit is None else found.limit(limit)
 
 
 def recent_page(items: DataFrame, limit: int, offset: int = 0) -> DataFrame:

@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .gate import bounded, passed, shown
+from .batches import found_words, matrices
+from .gate import bounded, live_only, passed
 from .joins import join_by_any_path
 
 MOST_WORDS = 10_000  # words of all rules, which go to every task
-MOST_CENTROIDS = 10_000
+CENTROIDS = 1000  # centroids that go to every task at once
 IN_NAME, IN_TEXT, CONFIRMED = 0.92, 0.78, 0.85
 COLUMNS = ("item_id", "tag", "category", "confidence", "source", "state")
 
@@ -18,20 +24,28 @@ COLUMNS = ("item_id", "tag", "category", "confidence", "source", "state")
 def keyword_tags(items: DataFrame, rules: DataFrame, name: str = "filename", text: str = "text") -> DataFrame:
     """A tag for each rule (rule_order, category, tag, words) that hits: 0.92 in the name, else 0.78 in the text; from 0.85 on confirmed.
 
-    The rule table is the caller's; it has MOST_WORDS words at most and is broadcast. One row for each item and tag.
+    The rule table is the caller's; it has MOST_WORDS words at most, which one automaton finds in a single pass over each
+    text. One row for each item and tag; of a rule's words and categories with equal confidence the first category counts.
     """
-    words = F.broadcast(bounded(rules.select("category", "tag", F.explode("words").alias("word")), MOST_WORDS, "rule words"))
-    low_name, low_text = F.lower(F.coalesce(F.col(name), F.lit(""))), F.lower(F.coalesce(F.col(text), F.lit("")))
-    slim = passed(items).select("item_id", low_name.alias("_name"), low_text.alias("_text"))
-    hits = slim.join(words, F.contains("_name", F.lower("word")) | F.contains("_text", F.lower("word"))).select("item_id", "tag", "category", F.when(F.contains("_name", F.lower("word")), IN_NAME).otherwise(IN_TEXT).alias("confidence"))
+    words, wanted = rule_words(rules, "category", "tag")
+    low = lambda c: F.lower(F.coalesce(F.col(c), F.lit("")))
+    found = found_words(passed(items).select("item_id", low(name).alias("_name"), low(text).alias("_text")), "item_id", ("_name", "_text"), wanted)
+    hits = found.join(F.broadcast(words), "word").select("item_id", "tag", "category", F.when(F.col("place") == 0, IN_NAME).otherwise(IN_TEXT).alias("confidence"))
     best = hits.groupBy("item_id", "tag").agg(F.min("category").alias("category"), F.max("confidence").alias("confidence"))
     return best.select("item_id", "tag", "category", "confidence", F.lit("keyword").alias("source"), F.when(F.col("confidence") >= CONFIRMED, "confirmed").otherwise("pending").alias("state"))
 
 
+def rule_words(rules: DataFrame, *columns: str) -> tuple[DataFrame, list[str]]:
+    """(the columns with each lower-case word of a rule, MOST_WORDS at most; the words)."""
+    words = rules.select(*columns, F.explode("words").alias("word")).where("word is not null").select(*columns, F.lower("word").alias("word"))
+    words = bounded(words, MOST_WORDS, "rule words")
+    return words, [r["word"] for r in words.select("word").distinct().collect()]
+
+
 def first_category(items: DataFrame, rules: DataFrame, text: Column) -> DataFrame:
     """(item_id, category) of the first rule that hits, in rule order."""
-    words = F.broadcast(bounded(rules.select("rule_order", "category", F.explode("words").alias("word")), MOST_WORDS, "rule words"))
-    hits = shown(items).select("item_id", F.lower(text).alias("_text")).join(words, F.contains("_text", F.lower("word")))
+    words, wanted = rule_words(rules, "rule_order", "category")
+    hits = found_words(passed(items).select("item_id", F.lower(text).alias("_text")), "item_id", ("_text",), wanted).join(F.broadcast(words), "word")
     return hits.groupBy("item_id").agg(F.min_by("category", "rule_order").alias("category"))
 
 
@@ -64,12 +78,33 @@ def upsert_tags(old: DataFrame, new: DataFrame, owned_sources: list[str]) -> Dat
     return kept.select(*COLUMNS).unionByName(new.select(*COLUMNS))
 
 
+def last_feedback(feedback: DataFrame) -> DataFrame:
+    """(item_id, tag, category, verdict, note, updated_at): the last verdict of each item, tag and category, 1 or -1, with its note."""
+    note = F.col("note") if "note" in feedback.columns else F.lit(None).cast("string")
+    tag = F.trim("tag")
+    rows = feedback.where(F.length(tag) > 0).select("item_id", tag.alias("tag"), F.coalesce("category", F.lit("")).alias("category"), F.struct("updated_at", F.when(F.col("verdict") > 0, 1).otherwise(-1).alias("verdict"), F.trim(note).alias("note")).alias("v"))
+    return rows.groupBy("item_id", "tag", "category").agg(F.max("v").alias("v")).select("item_id", "tag", "category", "v.verdict", "v.note", "v.updated_at")
+
+
+def feedback_audit(feedback: DataFrame) -> DataFrame:
+    """An audit row (item_id, operation, detail, created_at) for each verdict that was given."""
+    given = feedback.where(F.length(F.trim("tag")) > 0)
+    return given.select("item_id", F.lit("tag_feedback").alias("operation"), F.concat(F.trim("tag"), F.lit("="), F.when(F.col("verdict") > 0, "1").otherwise("-1")).alias("detail"), F.col("updated_at").alias("created_at"))
+
+
 def feedback_overlay(tags: DataFrame, feedback: DataFrame) -> DataFrame:
-    """The last verdict on (item, tag): +1 makes a confirmed manual tag of 1.0, -1 rejects every source of the tag."""
-    last = feedback.groupBy("item_id", "tag").agg(F.max_by(F.struct("verdict", "category"), F.struct("updated_at", "verdict")).alias("v")).select("item_id", "tag", F.col("v.verdict").alias("verdict"), F.col("v.category").alias("_category"))
-    judged = tags.join(last.select("item_id", "tag", "verdict"), ["item_id", "tag"], "left")
-    others = judged.where("not (coalesce(verdict, 0) = 1 and source = 'manual')").withColumn("state", F.when(F.col("verdict") == -1, "rejected").otherwise(F.col("state"))).select(*COLUMNS)
-    manual = last.where("verdict = 1").select("item_id", "tag", F.col("_category").alias("category"), F.lit(1.0).alias("confidence"), F.lit("manual").alias("source"), F.lit("confirmed").alias("state"))
+    """People's last verdicts by item, tag and category over the tags.
+
+    A -1 rejects every source of the tag, whatever its category. The newest +1 makes a manual tag of 1.0 with its own category,
+    in place of an older manual one; it is confirmed unless a -1 of another category came later.
+    """
+    last = last_feedback(feedback)
+    up, down = F.col("verdict") == 1, F.col("verdict") == -1
+    judged = last.groupBy("item_id", "tag").agg(F.max(F.when(down, F.col("updated_at"))).alias("_down"), F.count_if(down).alias("_downs"), F.max(F.when(up, F.struct("updated_at", "category"))).alias("_up"))
+    both = tags.join(judged, ["item_id", "tag"], "left")
+    others = both.where("not (_up is not null and source = 'manual')").withColumn("state", F.when(F.col("_downs") > 0, "rejected").otherwise(F.col("state"))).select(*COLUMNS)
+    state = F.when(F.col("_down") > F.col("_up.updated_at"), "rejected").otherwise("confirmed")
+    manual = judged.where("_up is not null").select("item_id", "tag", F.col("_up.category").alias("category"), F.lit(1.0).alias("confidence"), F.lit("manual").alias("source"), state.alias("state"))
     return others.unionByName(manual)
 
 
@@ -98,8 +133,12 @@ def _mean_vectors(rows: DataFrame, by: list[str]) -> DataFrame:
     return lists.select(*by, unit(F.col("mean")).alias("centroid"))
 
 
-def train_centroids(vectors: DataFrame, feedback: DataFrame, min_pos: int = 2) -> DataFrame:
-    """(tag, positive, negative, threshold, n_pos, n_neg) for tags with min_pos positives; threshold 0.62, or 0.68 without negatives."""
+def train_centroids(items: DataFrame, vectors: DataFrame, feedback: DataFrame, min_pos: int = 2) -> DataFrame:
+    """(tag, positive, negative, threshold, n_pos, n_neg) for tags with min_pos positives; threshold 0.62, or 0.68 without negatives.
+
+    Only vectors of gated items count.
+    """
+    vectors = live_only(vectors, items)
     rows = vectors.select("item_id", "vector").join(feedback.select("item_id", "tag", "verdict"), "item_id")
     sides = _mean_vectors(rows, ["tag", "verdict"])
     counts = centroid_status(feedback.join(vectors.select("item_id").distinct(), "item_id", "left_semi"))
@@ -116,10 +155,48 @@ def dot(a: Column, b: Column) -> Column:
     return F.coalesce(F.aggregate(F.zip_with(a, b, lambda x, y: F.coalesce(x * y, F.lit(0.0))), F.lit(0.0), lambda s, x: s + x), F.lit(0.0))
 
 
-def apply_centroids(vectors: DataFrame, centroids: DataFrame, confirmed: float = 0.76) -> DataFrame:
-    """Tags by sigmoid(8 * (v.positive - v.negative)) from the threshold on. Centroids: a row for each tag, broadcast."""
-    scored = vectors.select("item_id", "vector").join(F.broadcast(bounded(centroids, MOST_CENTROIDS, "centroids")))
-    margin = 8 * (dot(F.col("vector"), F.col("positive")) - dot(F.col("vector"), F.col("negative")))
-    score = 1 / (1 + F.exp(-F.greatest(F.lit(-60.0), F.least(F.lit(60.0), margin))))
-    out = scored.select("item_id", "tag", score.alias("confidence"), "threshold").where("confidence >= threshold")
+def apply_centroids(items: DataFrame, vectors: DataFrame, centroids: DataFrame, confirmed: float = 0.76) -> DataFrame:
+    """Tags of gated items by sigmoid(8 * (v.positive - v.negative)) from the threshold on.
+
+    A batch of vectors is multiplied with the matrix of CENTROIDS centroids at a time, and only what reaches its threshold
+    leaves the task. Vectors and centroids of unequal length are cut to the shorter one; a missing negative counts as zeros.
+    """
+    live = live_only(vectors.select("item_id", "vector"), items)
+    blocks = centroids.count() // CENTROIDS + 1
+    block = F.pmod(F.xxhash64("tag"), F.lit(blocks))
+    parts = [centroid_scores(live, centroids.select("tag", "positive", "negative", "threshold").where(block == b).toArrow()) for b in range(blocks)]
+    out = reduce(DataFrame.union, parts)
     return out.select("item_id", "tag", F.lit("learned").alias("category"), "confidence", F.lit("centroid").alias("source"), F.when(F.col("confidence") >= confirmed, "confirmed").otherwise("pending").alias("state"))
+
+
+def padded(column: pa.ChunkedArray, width: int) -> np.ndarray:
+    """Vectors as rows of one matrix, filled up with zeros; a null vector is all zeros."""
+    out = np.zeros((len(column), width))
+    for rows, matrix in matrices(column):
+        out[rows, : matrix.shape[1]] = matrix
+    return out
+
+
+def centroid_scores(vectors: DataFrame, table: pa.Table) -> DataFrame:
+    """(item_id, tag, confidence) of all vectors with about CENTROIDS centroids, where it reaches the centroid's threshold."""
+    tags = table.column("tag").to_pylist()
+    least = np.array(table.column("threshold").to_pylist(), float)
+    sides = [table.column(c) for c in ("positive", "negative")]
+    width = max((len(v) for side in sides for v in side.to_pylist() if v is not None), default=0)
+    difference = padded(sides[0], width) - padded(sides[1], width)
+    shared = vectors.sparkSession.sparkContext.broadcast((tags, least, difference))
+    item = vectors.schema["item_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tags, least, difference = shared.value
+        names = pa.array(tags, pa.string())
+        for batch in batches:
+            for rows, matrix in matrices(batch.column(1)):
+                for lo in range(0, len(rows), 1024):
+                    part = matrix[lo : lo + 1024]
+                    both = min(part.shape[1], difference.shape[1])
+                    score = 1 / (1 + np.exp(-np.clip(8 * (part[:, :both] @ difference[:, :both].T), -60, 60)))
+                    at, tag = np.nonzero(score >= least)
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows[lo : lo + 1024][at])), names.take(pa.array(tag)), pa.array(score[at, tag])], ["item_id", "tag", "confidence"])
+
+    return vectors.mapInArrow(run, f"item_id {item}, tag string, confidence double")

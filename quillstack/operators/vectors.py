@@ -3,18 +3,19 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .gate import bounded, passed, shown
+from ..sources.readers import audit_rows
+from .gate import bounded, live_only, passed
 from .search import free_text
 from .tagging import dot, unit
 
@@ -40,26 +41,6 @@ def partial_hash(content: Column) -> Column:
     return F.sha2(parts, 256)
 
 
-def hash_files(paths: DataFrame, block: int = MEGABYTE) -> DataFrame:
-    """SHA-256 of files over 2 GB, in blocks, for paths that the executors can open: (path, sha256), null where they can't."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = []
-            for path in batch["path"]:
-                h = hashlib.sha256()
-                try:
-                    with open(path.removeprefix("file:"), "rb") as f:
-                        while part := f.read(block):
-                            h.update(part)
-                    out.append(h.hexdigest())
-                except OSError:
-                    out.append(None)
-            yield pd.DataFrame({"path": batch["path"], "sha256": out})
-
-    return paths.select("path").mapInPandas(run, "path string, sha256 string")
-
-
 def dhash_bits(luma: Column) -> Column:
     """64 comparisons left > right of a 9 x 8 grid, as 16 hexadecimal digits; null unless there are 72 values."""
     nibble = lambda n: F.aggregate(F.sequence(F.lit(0), F.lit(3)), F.lit(0), lambda a, b: a * 2 + F.when(F.get(luma, ((n * 4 + b) / 8).cast("int") * 9 + F.pmod(n * 4 + b, F.lit(8))) > F.get(luma, ((n * 4 + b) / 8).cast("int") * 9 + F.pmod(n * 4 + b, F.lit(8)) + 1), 1).otherwise(0))
@@ -72,15 +53,64 @@ def hash_bits_vector(digest: Column) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.when(bits(i) == 1, 0.125).otherwise(-0.125))
 
 
+KNOWN = 200_000  # tokens whose place a task remembers
+WORD = r"[\p{L}\p{N}_-]+"
+
+
+def token_place(token: str, dim: int) -> int:
+    """2 * bucket, plus 1 for a minus: the bucket by the first four bytes of the MD5, the sign by the fifth."""
+    digest = hashlib.md5(token.encode()).digest()
+    return 2 * (int.from_bytes(digest[:4], "big") % dim) + (1 - digest[4] % 2)
+
+
+def row_vectors(rows: DataFrame, column: str, name: str, dim: int, tokens_of: Callable[[object], list[str]]) -> DataFrame:
+    """Rows with a vector in place of a column, made within the row; those without tokens go."""
+    kept = [c for c in rows.columns if c not in (column, name)]
+    schema = T.StructType([*(rows.schema[c] for c in kept), T.StructField(name, T.ArrayType(T.DoubleType()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, int] = {}
+        for batch in batches:
+            at, found = [], []
+            for i, value in enumerate(batch.column(len(kept))):
+                tokens = tokens_of(value.as_py())
+                if not tokens:
+                    continue
+                if len(known) > KNOWN:
+                    known.clear()
+                places = np.fromiter((known[t] if t in known else known.setdefault(t, token_place(t, dim)) for t in tokens), np.int64, len(tokens))
+                sums = np.bincount(places, minlength=2 * dim).astype(float)
+                vector = sums[0::2] - sums[1::2]
+                norm = np.sqrt(np.dot(vector, vector))
+                at.append(i)
+                found.append(vector / norm if norm else vector)
+            columns = [batch.column(i).take(pa.array(at, pa.int64())) for i in range(len(kept))]
+            flat = pa.array(np.concatenate(found) if found else np.zeros(0))
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(found) + 1) * dim, pa.int32()), flat)
+            yield pa.RecordBatch.from_arrays([*columns, lists], [*kept, name])
+
+    return rows.select(*kept, column).mapInArrow(run, schema)
+
+
 def hashed_text_vector(rows: DataFrame, tokens: str, key: str, dim: int = 128) -> DataFrame:
-    """(key, vector): signed feature hashing of tokens by MD5 (bucket by the first four bytes, sign by the fifth), unit length."""
-    digest = F.md5("t")
-    bucket = F.pmod(F.conv(F.substring(digest, 1, 8), 16, 10).cast("long"), F.lit(dim)).cast("int")
-    sign = F.when(F.pmod(F.conv(F.substring(digest, 9, 2), 16, 10).cast("int"), F.lit(2)) == 1, 1.0).otherwise(-1.0)
-    sums = rows.select(key, F.explode(tokens).alias("t")).select(key, bucket.alias("b"), sign.alias("s")).groupBy(key, "b").agg(F.sum("s").alias("s"))
-    maps = sums.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("b", "s"))).alias("m"), F.sqrt(F.sum(F.col("s") * F.col("s"))).alias("norm"))
-    dense = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.when(F.col("norm") > 0, F.coalesce(F.try_element_at("m", i), F.lit(0.0)) / F.col("norm")).otherwise(F.lit(0.0)))
-    return maps.select(key, dense.alias("vector"))
+    """(key, vector): signed feature hashing of a column of tokens by MD5, unit length; zeros if the signs cancel out.
+
+    A vector for each row, made in the row's own task without a shuffle; null tokens and rows without any have none.
+    """
+    return row_vectors(rows.select(key, tokens), tokens, "vector", dim, lambda words: [w for w in words or () if w is not None])
+
+
+def hashed_texts(rows: DataFrame, text: str = "text", dim: int = 128) -> DataFrame:
+    """rows with a vector of the words of a text (as texts.semantic_tokens has them) in its place; rows without words go."""
+    import regex
+
+    word = regex.compile(WORD)
+
+    def tokens_of(body: str | None) -> list[str]:
+        short = (w.strip("_-")[:48] for w in word.findall(body or ""))
+        return [w for w in short if len(w) >= 2]
+
+    return row_vectors(rows.withColumn(text, F.lower(text)), text, "vector", dim, tokens_of)
 
 
 @F.pandas_udf(T.ArrayType(T.DoubleType()))
@@ -108,24 +138,50 @@ def unpack_vector(blob: pd.Series) -> pd.Series:
     return blob.map(lambda b: None if b is None else np.frombuffer(b, "<f4").tolist())
 
 
-def import_vectors(rows: DataFrame, items_by_path: DataFrame, done: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(new vectors of unit length, counts): rows (media_path, model, embedding) join items (path, item_id); those in done (item_id, model) are skipped."""
-    checked = rows.withColumn("_good", (F.size("embedding") > 0) & ~F.exists("embedding", lambda x: x.isNull() | F.isnan(x)))
-    placed = checked.join(items_by_path, checked["media_path"] == items_by_path["path"], "left").join(done.select("item_id", "model").distinct().withColumn("_done", F.lit(True)), ["item_id", "model"], "left")
-    state = F.when(~F.coalesce("_good", F.lit(False)) | F.col("item_id").isNull(), "failed").when(F.col("_done"), "skipped").otherwise("imported")
-    placed = placed.withColumn("outcome", state)
-    new = placed.where("outcome = 'imported'").select("item_id", "model", unit(F.col("embedding").cast("array<double>")).alias("vector"))
-    return new, placed.groupBy("outcome").agg(F.count("*").alias("rows"))
+def placed_vectors(items: DataFrame, rows: DataFrame, done: DataFrame) -> DataFrame:
+    """rows with item_id and outcome: imported, skipped (in done) or failed (a broken line, no vector, a bad component, no gated item)."""
+    own = passed(items).where("path is not null").groupBy("path").agg(F.min("item_id").alias("item_id"))
+    good = (F.size("embedding") > 0) & ~F.exists("embedding", lambda x: x.isNull() | F.isnan(x))
+    known = done.select("item_id", "model").distinct().withColumn("_done", F.lit(True))
+    placed = rows.withColumn("_good", F.coalesce(good, F.lit(False))).join(own, rows["media_path"] == own["path"], "left").drop("path").join(known, ["item_id", "model"], "left")
+    state = F.when(~F.col("_good") | F.col("item_id").isNull(), "failed").when(F.col("_done"), "skipped").otherwise("imported")
+    return placed.withColumn("outcome", state).drop("_good", "_done")
+
+
+def import_vectors(items: DataFrame, rows: DataFrame, done: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(new vectors of unit length, counts): rows (media_path, model, embedding) join gated items (path, item_id); those in done (item_id, model) are skipped."""
+    placed = placed_vectors(items, rows, done)
+    return new_vectors(placed), placed.groupBy("outcome").agg(F.count("*").alias("rows"))
 
 
-def vector_index(texts: DataFrame, done: DataFrame, model: str, dim: int = 128) -> DataFrame:
-    """texts (item_id, kind, text) -> (item_id, kind, model, text_hash, vector), only where the text or the model changed since done."""
-    from ..functions.texts import semantic_tokens
+def new_vectors(placed: DataFrame) -> DataFrame:
+    return placed.where("outcome = 'imported'").select("item_id", "model", unit(F.col("embedding").cast("array<double>")).alias("vector"))
 
-    hashed = shown(texts).where("length(text) > 0").select("item_id", "kind", "text", F.sha2("text", 256).alias("text_hash"), F.lit(model).alias("model"))
+
+def import_vectors_into(items: DataFrame, rows: DataFrame, done: DataFrame, folder: str, audit: str) -> dict[str, int]:
+    """Appends the new vectors to a table and an audit row to another; the counts by outcome come from that one write.
+
+    rows as readers.read_vectors_jsonl(broken=True) has them, so that broken lines count as failed.
+    """
+    seen = Observation()
+    outcomes = ("imported", "skipped", "failed")
+    placed = placed_vectors(items, rows, done).observe(seen, *(F.count_if(F.col("outcome") == x).alias(x) for x in outcomes))
+    new_vectors(placed).write.mode("append").parquet(folder)
+    counts = {x: int(seen.get[x]) for x in outcomes}
+    detail = " ".join(f"{k}={v}" for k, v in counts.items())
+    audit_rows(rows.sparkSession, "import_vectors", sum(counts.values()), detail).write.mode("append").parquet(audit)
+    return counts
+
+
+def vector_index(items: DataFrame, texts: DataFrame, done: DataFrame, model: str, dim: int = 128) -> DataFrame:
+    """texts (item_id, kind, text) of gated items -> (item_id, kind, model, text_hash, vector), only where the text or the model changed since done.
+
+    The texts of the items that are new are hashed in place: no shuffle but that of the two joins by id.
+    """
+    hashed = live_only(texts.select("item_id", "kind", "text"), items).where("length(text) > 0").select("item_id", "kind", F.lit(model).alias("model"), F.sha2("text", 256).alias("text_hash"), "text")
     keys = ["item_id", "kind", "model", "text_hash"]
-    fresh = hashed.join(done.select(keys).distinct(), keys, "left_anti").select(F.struct(*keys).alias("key"), semantic_tokens(F.col("text")).alias("tokens"))
-    return hashed_text_vector(fresh, "tokens", "key", dim).select("key.*", "vector")
+    fresh = hashed.join(done.select(keys).distinct(), keys, "left_anti").select(*keys, "text")
+    return hashed_texts(fresh, "text", dim).select(*keys, "vector")
 
 
 def top_products(base: DataFrame, queries: DataFrame, k: int, weights: dict[str, float], other: float, cut: bool = False) -> DataFrame:

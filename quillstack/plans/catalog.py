@@ -81,7 +81,11 @@ def all_items(spark: SparkSession, d: str) -> DataFrame:
     out = out.withColumn("filename", name).withColumn("relative_path", F.concat_ws("/", "lang", "filename")).withColumn("path", F.concat_ws("/", "root", "lang", "filename"))
     out = out.withColumn("media_type", names.media_type(F.col("ext"))).withColumn("duration", F.when((F.col("media_type") == "video") & (i % 11 != 0), (F.col("size_bytes") % 4000).cast("double")))
     out = out.withColumn("width", F.when(i % 7 != 0, 1920)).withColumn("height", F.when(i % 7 != 0, 1080))
-    return gate.review_gate(out, spark.createDataFrame([("licence", "Licensed under"), ("secret", "token = ")], "name string, pattern string"), "text")
+    return gate.review_gate(out, review_rules(spark), "text")
+
+
+def review_rules(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([("licence", "Licensed under"), ("secret", "token = ")], "name string, pattern string")
 
 
 def live_items(spark: SparkSession, d: str) -> DataFrame:
@@ -193,8 +197,9 @@ with t as (select item_id, unnest(regexp_extract_all(lower(text), '([\p{L}\p{N}_
 c as (select item_id, substr(regexp_replace(w, '^[_-]+|[_-]+$', '', 'g'), 1, 48) as w from t)
 select item_id, count(*) as tokens, count(distinct w) as words from c where length(w) >= 2 group by item_id""")
 def semantic_tokens(spark, d):
-    rows = live_items(spark, d).select("item_id", texts.semantic_tokens(F.col("text")).alias("w"))
-    return rows.select("item_id", F.size("w").cast("long").alias("tokens"), F.size(F.array_distinct("w")).cast("long").alias("words")).where("tokens > 0")
+    rows = live_items(spark, d).select("item_id", F.array(texts.semantic_tokens(F.col("text"))).alias("w"))
+    sizes = lambda w: F.struct(F.size(w).cast("long").alias("tokens"), F.size(F.array_distinct(w)).cast("long").alias("words"))
+    return rows.select("item_id", F.inline(F.transform("w", sizes))).where("tokens > 0")  # a filter isn't moved below inline, so the words are cut once
 
 
 @query("select l.item_id, sha256(substr(concat_ws(' ', filename, nullif(trim(t.text), ''), g.tags), 1, 4000)) as digest from live l left join (select conv_id as item_id, string_agg(text, chr(10) order by turn, text) as text from conversations group by conv_id) t using (item_id) left join (select item_id, string_agg(tag, ',' order by tag) as tags from tags group by item_id) g using (item_id)")
@@ -230,9 +235,9 @@ def catalog_page(spark, d):
 
 @query("select 'orders' as source_table, o_orderkey as id from orders where contains(lower(o_orderpriority), 'urgent') union all select 'customer', c_custkey from customer where contains(lower(c_mktsegment), 'urgent')", items=False)
 def manifest_search(spark, d):
-    orders = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), "o_orderpriority")
-    customers = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), "c_mktsegment")
-    return search.manifest_search({"orders": orders, "customer": customers}, "URGENT", 1_000_000_000).select("source_table", "id")
+    orders = gate.review_gate(table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), "o_orderpriority"), review_rules(spark), "o_orderpriority")
+    customers = gate.review_gate(table(spark, d, "customer").select(F.col("c_custkey").alias("id"), "c_mktsegment"), review_rules(spark), "c_mktsegment")
+    return search.manifest_search({"orders": orders, "customer": customers}, "URGENT").select("source_table", "id")
 
 
 @query("select item_id, media_type from live where (media_type in ('video', 'photo') and (width is null or height is null)) or (media_type = 'video' and duration is null)")
@@ -294,7 +299,7 @@ def word_counts(spark, d):
 with h as (select 'x' as k, unnest([lang, root]) as tag from live), c as (select tag, count(*) as n from h group by tag)
 select c.tag, n, coalesce(arg_min(category, rule_order), 'noise') as category from c left join (values (1, 'language', 'fr'), (2, 'batch', 'src1')) r(rule_order, category, word) on contains(c.tag, word) group by c.tag, n""")
 def hashtag_counts(spark, d):
-    rows = live_items(spark, d).select(F.concat(F.lit("#"), "lang", F.lit(" #"), "root").alias("text"))
+    rows = live_items(spark, d).select("review_state", F.concat(F.lit("#"), "lang", F.lit(" #"), "root").alias("text"))
     return reports.hashtag_counts(rows, spark.createDataFrame([(1, "language", ["fr"]), (2, "batch", ["src1"])], "rule_order int, category string, words array<string>"))
 
 
@@ -397,8 +402,8 @@ def centroid_status(spark, d):
 
 
 CENTROIDS = """
-with v as (select vec_id as item_id, embedding::double[] as vector, label from embeddings),
-f as (select item_id, 'low' as tag, case when label < 3 then 1 else -1 end as verdict from (select vec_id as item_id, label from embeddings)),
+with v as (select vec_id as item_id, embedding::double[] as vector, label from embeddings where vec_id in (select item_id from live)),
+f as (select vec_id as item_id, 'low' as tag, case when label < 3 then 1 else -1 end as verdict from embeddings),
 x as (select verdict, unnest(vector) as x, generate_subscripts(vector, 1) as dim from v join f using (item_id)),
 m as (select verdict, dim, avg(x) as x from x group by 1, 2),
 c as (select verdict, list(x order by dim) as raw from m group by verdict),
@@ -407,20 +412,21 @@ s as (select item_id, 1 / (1 + exp(-8 * (list_dot_product(vector, p.c) - list_do
 """
 
 
-def centroid_parts(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+def centroid_parts(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    items = all_items(spark, d)
     rows = table(spark, d, "embeddings")
     v = rows.select(F.col("vec_id").alias("item_id"), F.col("embedding").cast("array<double>").alias("vector"))
     f = rows.select(F.col("vec_id").alias("item_id"), F.lit("low").alias("tag"), F.when(F.col("label") < 3, 1).otherwise(-1).alias("verdict"))
-    return v, tagging.train_centroids(v, f)
+    return items, v, tagging.train_centroids(items, v, f)
 
 
-@query(CENTROIDS + "select 'low' as tag, unnest(range(1, len(p.c) + 1)) as dim, round(unnest(p.c), 6) as positive, round(unnest(n.c), 6) as negative from (select c from u where verdict = 1) p, (select c from u where verdict = -1) n", items=False)
+@query(CENTROIDS + "select 'low' as tag, unnest(range(1, len(p.c) + 1)) as dim, round(unnest(p.c), 6) as positive, round(unnest(n.c), 6) as negative from (select c from u where verdict = 1) p, (select c from u where verdict = -1) n")
 def train_centroids(spark, d):
-    rows = centroid_parts(spark, d)[1].select("tag", F.posexplode(F.arrays_zip("positive", "negative")).alias("i", "z"))
+    rows = centroid_parts(spark, d)[2].select("tag", F.posexplode(F.arrays_zip("positive", "negative")).alias("i", "z"))
     return rows.select("tag", (F.col("i") + 1).cast("long").alias("dim"), F.round("z.positive", 6).alias("positive"), F.round("z.negative", 6).alias("negative"))
 
 
-@query(CENTROIDS + "select item_id, 'low' as tag, round(score, 5) as confidence, case when score >= 0.76 then 'confirmed' else 'pending' end as state from s where score >= 0.62", items=False)
+@query(CENTROIDS + "select item_id, 'low' as tag, round(score, 5) as confidence, case when score >= 0.76 then 'confirmed' else 'pending' end as state from s where score >= 0.62")
 def apply_centroids(spark, d):
     return tagging.apply_centroids(*centroid_parts(spark, d)).select("item_id", "tag", F.round("confidence", 5).alias("confidence"), "state")
 
@@ -436,7 +442,7 @@ def mark_duplicates(spark, d):
 with k as (select path, regexp_replace(filename, '[_-][0-9A-Fa-f]{8}(\\.[A-Za-z0-9]+)$', '\\1') || ':' || size_bytes::varchar as cheap_key, md5(text) as digest from (select lang || '.' || ext as filename, path, size_bytes, text from live))
 select path, digest, row_number() over (partition by cheap_key, digest order by path) as rank from k where cheap_key in (select cheap_key from k group by cheap_key having count(*) > 1)""")
 def two_stage_dedupe(spark, d):
-    files = live_items(spark, d).select("path", F.concat_ws(".", "lang", "ext").alias("filename"), "size_bytes", F.col("text").cast("binary").alias("content"))
+    files = live_items(spark, d).select("path", "review_state", F.concat_ws(".", "lang", "ext").alias("filename"), "size_bytes", F.col("text").cast("binary").alias("content"))
     return windows.two_stage_dedupe(files).select("path", "digest", "rank")
 
 
@@ -452,22 +458,25 @@ DHASH = """v as (select vec_id, list_transform(range(0, 72), lambda i: embedding
 b as (select vec_id, unnest(range(0, 64)) as i, g from v), c as (select vec_id, i, (g[i // 8 * 9 + i % 8 + 1] > g[i // 8 * 9 + i % 8 + 2])::int as bit from b),
 h as (select vec_id, i // 4 as k, sum(bit * (8 // (1 << (i % 4)::int)))::int as n from c group by 1, 2),
 p as (select vec_id as item_id, string_agg(substr('0123456789abcdef', n + 1, 1), '' order by k) as signature from h group by vec_id)"""
-SIMILAR = TIMELINE + REFS + ", " + DHASH + """,
-a as (select 'exact' as kind, coalesce(size_bytes::varchar, '') || ':' || sha256 as signature, item_id, size_bytes from live
-union all select 'image_phash', p.signature, live.item_id, size_bytes from live join p using (item_id) where media_type = 'photo'
-union all select 'video_fingerprint', x.signature, live.item_id, size_bytes from live join x using (item_id) where media_type = 'video'),
-g as (select *, count(*) over (partition by kind, signature) as members, row_number() over (partition by kind, signature order by size_bytes desc, item_id) as rn from a where signature <> ''),
-i as (select kind, signature, item_id, size_bytes, members, case when rn = 1 then 'keep' else 'candidate' end as role from g where members > 1)
+FRAMES = """, q as (select l.item_id, p.signature as hash, row_number() over (partition by l.item_id order by start, idx) as rn from l join p on p.item_id = length(ref) where ref <> ''),
+y as (select item_id, string_agg(hash, '|' order by rn) as signature from q where rn <= 3 group by item_id)
+"""
+SIMILAR = TIMELINE + ", " + DHASH + FRAMES + """,
+a as (select 'exact' as kind, coalesce(size_bytes::varchar, '') || ':' || sha256 as signature, item_id, path, size_bytes from live
+union all select 'image_phash', p.signature, live.item_id, path, size_bytes from live join p using (item_id) where media_type = 'photo'
+union all select 'video_fingerprint', y.signature, live.item_id, path, size_bytes from live join y using (item_id) where media_type = 'video'),
+g as (select *, count(*) over (partition by kind, signature) as members, row_number() over (partition by kind, signature order by size_bytes desc, path, item_id) as rn from a where signature <> ''),
+i as (select kind, signature, item_id, path, size_bytes, members, case when rn = 1 then 'keep' else 'candidate' end as role from g where members > 1)
 """
 
 
 def similar(spark: SparkSession, d: str) -> DataFrame:
-    """Three kinds: size and hash of the whole text; dhash of photos with a grid; first refs of videos with a timeline."""
+    """Three kinds: size and hash of the whole text; dhash of photos with a grid; dhashes of the first frames of videos with a timeline."""
     rows = live_items(spark, d)
     photos = rows.where("media_type = 'photo'").join(dhashes(spark, d).withColumnRenamed("vec_id", "item_id"), "item_id")
-    videos = rows.where("media_type = 'video'").join(windows.first_k_signature(timeline(spark, d)).withColumnRenamed("signature", "refs"), "item_id")
+    videos = rows.where("media_type = 'video'").join(windows.frame_fingerprint(frames(spark, d)).withColumnRenamed("signature", "prints"), "item_id")
     exact = windows.similarity_index(rows, "exact", F.concat(F.coalesce(F.col("size_bytes").cast("string"), F.lit("")), F.lit(":"), "sha256"))
-    return exact.union(windows.similarity_index(photos, "image_phash", F.col("dhash"))).union(windows.similarity_index(videos, "video_fingerprint", F.col("refs")))
+    return exact.union(windows.similarity_index(photos, "image_phash", F.col("dhash"))).union(windows.similarity_index(videos, "video_fingerprint", F.col("prints")))
 
 
 @query(SIMILAR + "select kind, signature, item_id, members, role from i")
@@ -475,7 +484,7 @@ def similarity_index(spark, d):
     return similar(spark, d).select("kind", "signature", "item_id", "members", "role")
 
 
-@query(SIMILAR + ", t as (select kind, signature, count(*) as n from i group by 1, 2 order by n desc, kind, signature limit 10) select signature, item_id, row_number() over (partition by kind, signature order by role = 'candidate', size_bytes desc, item_id) as position from i where (kind, signature) in (select kind, signature from t)")
+@query(SIMILAR + ", t as (select kind, signature, count(*) as n from i group by 1, 2 order by n desc, kind, signature limit 10) select signature, item_id, row_number() over (partition by kind, signature order by role = 'candidate', size_bytes desc, path, item_id) as position from i where (kind, signature) in (select kind, signature from t)")
 def similarity_listing(spark, d):
     return windows.similarity_listing(similar(spark, d), 10).select("signature", "item_id", "position")
 
@@ -487,6 +496,17 @@ def timeline(spark: SparkSession, d: str) -> DataFrame:
     return windows.timeline_segments(rows.select(F.col("user_id").alias("item_id"), refs.alias("refs"), times.alias("times")))
 
 
+def frames(spark: SparkSession, d: str) -> DataFrame:
+    """A frame for each timeline segment that shows something: the grid of the vector whose number is the length of its ref."""
+    grids = table(spark, d, "embeddings").select(F.col("vec_id").alias("picture"), grid().alias("luma"))
+    return timeline(spark, d).where("ref <> ''").withColumn("picture", F.length("ref").cast("long")).join(grids, "picture").select("item_id", "idx", "start", "luma")
+
+
+@query(TIMELINE + ", " + DHASH + FRAMES + "select item_id, signature from y", items=False)
+def frame_fingerprint(spark, d):
+    return windows.frame_fingerprint(frames(spark, d))
+
+
 @query(TIMELINE + 'select item_id, idx, start, "end", ref from l', items=False)
 def timeline_segments(spark, d):
     return timeline(spark, d).select("item_id", F.col("idx").cast("long").alias("idx"), "start", "end", "ref")
@@ -557,7 +577,7 @@ def link_manifest(spark, d):
     rows = all_items(spark, d)
     moves = rows.select(F.col("path").alias("original_path"), F.concat(F.lit("new/"), "filename").alias("new_path"), F.col("item_id").alias("seq"))
     manifest = rows.select(F.col("path").alias("original_path"), F.col("item_id").alias("seq"), F.col("size_bytes").alias("manifest_size"))
-    now = gate.passed(rows).select("item_id", F.when(F.col("item_id") % 2 == 0, F.concat(F.lit("new/"), "filename")).otherwise(F.col("path")).alias("path"))
+    now = rows.select("item_id", "review_state", F.when(F.col("item_id") % 2 == 0, F.concat(F.lit("new/"), "filename")).otherwise(F.col("path")).alias("path"))
     return joins.link_manifest(now, moves, manifest).select("item_id", "origin", "manifest_size")
 
 
@@ -606,9 +626,9 @@ def trace_by_hash8(spark, d):
 
 @query("select item_id, case when item_id % 3 <> 0 then filename else coalesce(case when item_id % 2 = 0 then 'traced_' || item_id::varchar end, filename) end as original_name from live")
 def prefer_original_name(spark, d):
-    rows = live_items(spark, d).select("item_id", F.col("filename").alias("original_name"))
+    rows = all_items(spark, d).select("item_id", "review_state", F.col("filename").alias("original_name"))
     traced = rows.where("item_id % 2 = 0").select("item_id", F.concat(F.lit("traced_"), F.col("item_id").cast("string")).alias("traced_name"))
-    return joins.prefer_original_name(rows, traced, names.is_normalized_name)
+    return joins.prefer_original_name(rows, traced, names.is_normalized_name).drop("review_state")
 
 
 @query("""
@@ -657,8 +677,12 @@ def content_hashes(spark, d):
 
 
 def dhashes(spark: SparkSession, d: str) -> DataFrame:
-    grid = F.transform(F.sequence(F.lit(0), F.lit(71)), lambda i: F.get("embedding", i % F.size("embedding")))
-    return table(spark, d, "embeddings").select("vec_id", vectors.dhash_bits(grid).alias("dhash"))
+    return table(spark, d, "embeddings").select("vec_id", vectors.dhash_bits(grid()).alias("dhash"))
+
+
+def grid() -> Column:
+    """A vector's places as a 9 x 8 grid, from the first again after the last."""
+    return F.transform(F.sequence(F.lit(0), F.lit(71)), lambda i: F.get("embedding", i % F.size("embedding")))
 
 
 @query("with " + DHASH + " select item_id as vec_id, signature as dhash from p", items=False)
@@ -677,14 +701,14 @@ def hash_bits_vector(spark, d):
     return rows.select("item_id", weighed(vectors.hash_bits_vector(F.substring("sha256", 1, 16))).alias("weighed"))
 
 
-@query("""
-with t as (select item_id, md5(unnest(string_split(lower(filename), '_'))) as m from live),
+@query(r"""
+with w as (select item_id, unnest(regexp_extract_all(lower(text), '([\p{L}\p{N}_-]+)', 1)) as w from live),
+t as (select item_id, md5(w) as m from (select item_id, substr(regexp_replace(w, '^[_-]+|[_-]+$', '', 'g'), 1, 48) as w from w) where length(w) >= 2),
 s as (select item_id, (('0x' || substr(m, 1, 8))::bigint % 128)::int as b, sum(case when ('0x' || substr(m, 9, 2))::int % 2 = 1 then 1.0 else -1.0 end)::double as s from t group by 1, 2),
 n as (select item_id, sqrt(sum(s * s)) as norm from s group by item_id)
 select item_id, b, round(s / norm, 6) as x from s join n using (item_id) where s <> 0""")
 def hashed_text_vector(spark, d):
-    rows = live_items(spark, d).select("item_id", F.split(F.lower("filename"), "_").alias("tokens"))
-    v = vectors.hashed_text_vector(rows, "tokens", "item_id").select("item_id", F.posexplode("vector").alias("b", "x"))
+    v = vectors.hashed_texts(live_items(spark, d).select("item_id", "text")).select("item_id", F.posexplode("vector").alias("b", "x"))
     return v.where("x <> 0").withColumn("x", F.round("x", 6))
 
 
@@ -719,12 +743,12 @@ m as (select item_id, kind, text_hash, md5(w) as m from (select item_id, kind, t
 s as (select item_id, kind, text_hash, (('0x' || substr(m, 1, 8))::bigint % 128)::int as b, sum(case when ('0x' || substr(m, 9, 2))::int % 2 = 1 then 1.0 else -1.0 end)::double as s from m group by all)
 select item_id, kind, text_hash, count(*) filter (where s <> 0) as places, round(case when sum(s * s) > 0 then sum(s * (b + 1)) / sqrt(sum(s * s)) else 0.0::double end, 5) as weighed from s group by all""")
 def vector_index(spark, d):
-    rows = live_items(spark, d)
-    spoken = transcripts(spark, d).join(rows.select("item_id"), "item_id", "left_semi")
+    items = all_items(spark, d)
+    rows, spoken = gate.passed(items), transcripts(spark, d)
     kinds = {"name": rows.select("item_id", F.col("filename").alias("text")), "text": rows.select("item_id", "text"), "tag": reports.tags_concat(all_tags(spark, d)).withColumnRenamed("tags", "text"), "transcript": spoken}
     parts = reduce(DataFrame.union, (df.select("item_id", F.lit(kind).alias("kind"), "text") for kind, df in kinds.items()))
     done = parts.where("kind = 'name' and item_id % 2 = 0").select("item_id", "kind", F.lit("md5-128").alias("model"), F.sha2("text", 256).alias("text_hash"))
-    found = vectors.vector_index(parts, done, "md5-128")
+    found = vectors.vector_index(items, parts, done, "md5-128")
     return found.select("item_id", "kind", "text_hash", F.size(F.filter("vector", lambda x: x != 0)).cast("long").alias("places"), F.round(weighed(F.col("vector")), 5).alias("weighed"))
 
 
@@ -743,8 +767,8 @@ def imported_vectors(spark, d):
 
 def vector_imports(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     rows = table(spark, d, "embeddings").select(F.concat(F.lit("p"), F.col("vec_id").cast("string")).alias("media_path"), F.lit("m").alias("model"), F.when(F.col("vec_id") % 10 != 0, F.col("embedding")).otherwise(F.array().cast("array<float>")).alias("embedding"))
-    items = live_items(spark, d).select("item_id", F.concat(F.lit("p"), F.col("item_id").cast("string")).alias("path"))
-    return vectors.import_vectors(rows, items, items.where("item_id % 4 = 0").select("item_id", F.lit("m").alias("model")))
+    items = all_items(spark, d).select("item_id", "review_state", F.concat(F.lit("p"), F.col("item_id").cast("string")).alias("path"))
+    return vectors.import_vectors(items, rows, items.where("item_id % 4 = 0").select("item_id", F.lit("m").alias("model")))
 
 
 @query("select time_bucket(interval 10 minutes, ts) as start, count(*) filter (where event_type <> 'error') as processed, count(*) filter (where event_type = 'error') as failed from events group by 1", items=False)
@@ -753,6 +777,23 @@ def ingest_rate(spark, d):
     return ingest.ingest_rate(events)
 
 
-@query("select count(*) as files, sum(size_bytes)::bigint as bytes, max(mtime) as latest from live")
+SIGNATURES = """
+with h as (select root, size_bytes, mtime, item_id, ('0x' || substr(md5(concat_ws('|', coalesce(path, ''), coalesce(size_bytes::varchar, ''), coalesce(epoch(mtime)::bigint::varchar, ''))), 1, 15))::bigint as bits from live)
+"""
+
+
+@query(SIGNATURES + "select root, count(*) as files, coalesce(sum(size_bytes), 0)::bigint as bytes, max(mtime) as latest, coalesce(sum(bits), 0)::varchar as digest from h group by root")
 def watch_signature(spark, d):
-    return ingest.watch_signature(live_items(spark, d)).drop("digest")
+    return ingest.watch_signature(live_items(spark, d), "root")
+
+
+@query(SIGNATURES + """,
+n as (select root, count(*) as files, sum(size_bytes)::bigint as bytes, sum(bits)::varchar as digest from h where root <> 'src1' group by root),
+o as (select root, count(*) as files, sum(size_bytes)::bigint as bytes, sum(bits)::varchar as digest from h where root <> 'src2' and (root <> 'src0' or item_id % 7 <> 0) group by root)
+select coalesce(n.root, o.root) as root, case when o.root is null then 'new' when n.root is null then 'gone' else 'changed' end as change, coalesce(n.files, o.files) as files, coalesce(n.bytes, o.bytes) as bytes, coalesce(n.digest, o.digest) as digest
+from n full join o on n.root = o.root where n.digest is distinct from o.digest""")
+def watch_changes(spark, d):
+    """Two scans of the items: the first without a root and some files of another, the second without a third root."""
+    rows = live_items(spark, d)
+    first = ingest.watch_signature(rows.where("root <> 'src2' and (root <> 'src0' or item_id % 7 <> 0)"), "root")
+    return ingest.watch_changes(ingest.watch_signature(rows.where("root <> 'src1'"), "root"), first).drop("latest")

@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+import hashlib
+from collections.abc import Callable, Iterator, Mapping, Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from ..lineage import written
+from ..operators.gate import passed
+
 
 def exists(spark: SparkSession, path: str) -> bool:
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -29,25 +35,137 @@ def read_manifest_csv(spark: SparkSession, path: str, schema: T.StructType) -> D
 VECTOR_SCHEMA = "media_path string, model string, pretrained string, embedding array<double>, _corrupt_record string"
 
 
-def read_vectors_jsonl(spark: SparkSession, path: str) -> DataFrame:
-    """Vectors by media_path: broken lines and empty vectors are left out; the last line of a path wins."""
+def read_vectors_jsonl(spark: SparkSession, path: str, broken: bool = False) -> DataFrame:
+    """Vectors by media_path; the last good line of a path wins.
+
+    Broken lines and those without a path or a vector are left out; with `broken` each stays, as a row without a vector, so that
+    an import counts it as failed. Empty lines are no lines.
+    """
+    columns = ["media_path", "model", "pretrained", "embedding"]
     if not exists(spark, path):
         return spark.createDataFrame([], "media_path string, model string, pretrained string, embedding array<double>")
     rows = spark.read.schema(VECTOR_SCHEMA).json(path, mode="PERMISSIVE").withColumn("place", F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("at")))
-    good = rows.where("_corrupt_record is null and length(media_path) > 0 and size(embedding) > 0")
+    good = F.col("_corrupt_record").isNull() & F.coalesce((F.length("media_path") > 0) & (F.size("embedding") > 0), F.lit(False))
     last = Window.partitionBy("media_path").orderBy(F.desc("place"))  # files by name, blocks of a file by their start, lines of a block in order
-    return good.withColumn("rn", F.row_number().over(last)).where("rn = 1").select("media_path", "model", "pretrained", "embedding")
+    kept = rows.where(good).withColumn("rn", F.row_number().over(last)).where("rn = 1").select(columns)
+    if not broken:
+        return kept
+    bad = rows.where(~good).withColumn("embedding", F.lit(None).cast("array<double>"))
+    return kept.union(bad.select(columns))
+
+
+def listed(folders: DataFrame, scheme_in_tasks: bool) -> DataFrame:
+    """(path, is_dir, size_bytes, mtime) of what stands directly in each of the folders (path)."""
+    schema = "path string, is_dir boolean, size_bytes long, mtime timestamp"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        for batch in batches:
+            for folder in batch.column(0).to_pylist():
+                store, inside = fs.FileSystem.from_uri(folder)
+                prefix = folder[: len(folder) - len(inside)] if folder.endswith(inside) else "file://"
+                found = store.get_file_info(fs.FileSelector(inside, allow_not_found=True))
+                times = pa.array([x.mtime for x in found], pa.timestamp("us", tz="UTC"))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([prefix + x.path for x in found], pa.string()), pa.array([x.type == fs.FileType.Directory for x in found], pa.bool_()), pa.array([x.size or 0 for x in found], pa.int64()), times],
+                    ["path", "is_dir", "size_bytes", "mtime"],
+                )
+
+    if scheme_in_tasks:
+        return folders.repartition(64, "path").mapInArrow(run, schema)
+    spark, rows = folders.sparkSession, []
+    for folder in folders.collect():  # a store that only Spark's own file system opens: its folders are listed one by one
+        where = spark._jvm.org.apache.hadoop.fs.Path(folder["path"])
+        for x in where.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(where):
+            rows.append((x.getPath().toString(), x.isDirectory(), x.getLen(), x.getModificationTime() / 1000))
+    return spark.createDataFrame(rows, "path string, is_dir boolean, size_bytes long, at double").select("path", "is_dir", "size_bytes", F.timestamp_micros((F.col("at") * 1_000_000).cast("long")).alias("mtime"))
+
+
+IN_TASKS = ("file", "s3", "gs", "gcs", "hdfs")  # schemes that tasks can list themselves
+
+
+def scan_entries(spark: SparkSession, root: str, skip_dirs: Sequence[str] = ()) -> DataFrame:
+    """All files and folders below root, folders to be skipped among them, but nothing that stands in those.
+
+    The folders of a level are the rows of a job, which lists each in a task; what it finds is the next level. A skipped
+    folder is never opened. Levels are written tables. Links to folders are followed like folders.
+    """
+    where = spark._jvm.org.apache.hadoop.fs.Path(root)
+    root = where.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(where).toString()
+    scheme, _, rest = root.partition(":")
+    in_tasks = scheme in IN_TASKS
+    folders = spark.createDataFrame([(f"{scheme}:///{rest.lstrip('/')}" if scheme == "file" else root,)], "path string")
+    levels = []
+    while True:
+        level = written(listed(folders, in_tasks), "listing")
+        levels.append(level)
+        folders = level.where("is_dir").select("path")
+        if skip_dirs:
+            folders = folders.where(~F.element_at(F.split("path", "/"), -1).isin(*skip_dirs))
+        if folders.isEmpty():
+            return reduce(DataFrame.union, levels)
 
 
 def scan_files(spark: SparkSession, root: str, extensions: Sequence[str], skip_dirs: Sequence[str] = ()) -> DataFrame:
-    """(path, ext, size_bytes, mtime) of files below root; contents aren't read."""
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path", F.col("length").alias("size_bytes"), F.col("modificationTime").alias("mtime"))
+    """(path, ext, size_bytes, mtime) of files below root; contents aren't read, and skipped folders aren't listed."""
+    found = scan_entries(spark, root, skip_dirs).where("not is_dir")
     found = found.withColumn("ext", F.lower(F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1))).where(F.col("ext").isin(*extensions))
-    for d in skip_dirs:
-        found = found.where(~F.col("path").contains(f"/{d}/"))
     return found.select("path", "ext", "size_bytes", "mtime")
 
 
+LARGE = 1 << 30
+BOM = b"\xef\xbb\xbf"
+
+
+def hash_files(spark: SparkSession, folder: str, large: int = LARGE, glob: str = "*") -> DataFrame:
+    """(path, size_bytes, sha256) of the files in a folder and below, read by Spark from any store that it can open.
+
+    Files of up to `large` bytes are single values, hashed where they are read. Larger ones are read in ranges, by as many
+    tasks as they have ranges, as pieces between line feeds; the pieces of a file meet in order in one task, which feeds them
+    to a hash and holds a batch of them at a time. A folder that isn't there raises an error.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(folder)
+    small = files.where(F.col("length") <= large).select("path", F.col("length").alias("size_bytes"), F.sha2("content", 256).alias("sha256"))
+    if files.where(F.col("length") > large).select("path").isEmpty():
+        return small
+    lines = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob).option("lineSep", "\n").text(folder)
+    lines = lines.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("size_bytes"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("at"), F.col("value").cast("binary").alias("piece"))
+    ordered = lines.where(F.col("size_bytes") > large).repartition("path").sortWithinPartitions("path", "start", "at")
+    return small.union(ordered.select("path", "size_bytes", "piece").mapInArrow(hash_pieces, "path string, size_bytes long, sha256 string"))
+
+
+def hash_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(path, size_bytes, sha256) from the pieces of files in order. The reader drops a byte-order mark and the last line feed; the size tells whether a file had them."""
+    now, size, seen, states = None, 0, 0, []
+
+    def ended() -> tuple[str, int, str]:
+        mark, feed = divmod(size - seen, 3)
+        state = states[mark]
+        if feed:
+            state.update(b"\n")
+        return now, size, state.hexdigest()
+
+    def rows(found: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], t) for i, t in enumerate((pa.string(), pa.int64(), pa.string()))], ["path", "size_bytes", "sha256"])
+
+    for batch in batches:
+        found = []
+        for path, total, piece in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+            if path != now:
+                if now is not None:
+                    found.append(ended())
+                now, size, seen, states = path, total, 0, [hashlib.sha256(), hashlib.sha256(BOM)]
+            else:
+                piece = b"\n" + piece
+            seen += len(piece)
+            for state in states:
+                state.update(piece)
+        yield rows(found)
+    if now is not None:
+        yield rows([ended()])
+
+
 def merge_keyed(old: DataFrame, new: DataFrame, key: str, live: DataFrame | None = None) -> DataFrame:
     """New rows replace old ones by key; with `live`, keys that it lacks are dropped."""
     both = old.withColumn("_new", F.lit(0)).unionByName(new.withColumn("_new", F.lit(1)), allowMissingColumns=True)
@@ -56,13 +174,25 @@ def merge_keyed(old: DataFrame, new: DataFrame, key: str, live: DataFrame | None
     return merged.join(live.select(key).distinct(), key, "left_semi") if live is not None else merged
 
 
-def audit_row(df: DataFrame, operation: str, detail: str = "") -> DataFrame:
-    return df.agg(F.count("*").alias("rows")).select(F.lit(operation).alias("operation"), "rows", F.lit(detail).alias("detail"), F.current_timestamp().alias("created_at"))
+def audit_rows(spark: SparkSession, operation: str, rows: int, detail: str = "") -> DataFrame:
+    """One row of the audit table."""
+    return spark.createDataFrame([(operation, rows, detail)], "operation string, rows long, detail string").withColumn("created_at", F.current_timestamp())
+
 
+def append_audit(df: DataFrame, operation: str, path: str, detail: str = "", write: Callable[[DataFrame], None] | None = None) -> int:
+    """Appends the count of a job's rows to the audit table, and returns it.
 
-def append_audit(df: DataFrame, operation: str, path: str, detail: str = "") -> None:
-    """Appends the count of a job's rows to the audit table."""
-    audit_row(df, operation, detail).write.mode("append").parquet(path)
+    With `write`, which writes a table that it is given, the count comes from that write itself, in one job; without, the rows
+    are counted.
+    """
+    if write is None:
+        rows = df.count()
+    else:
+        seen = Observation()
+        write(df.observe(seen, F.count(F.lit(1)).alias("rows")))
+        rows = int(seen.get["rows"])
+    audit_rows(df.sparkSession, operation, rows, detail).write.mode("append").parquet(path)
+    return rows
 
 
 def rowcount_report(sources: Mapping[str, DataFrame]) -> DataFrame:
@@ -75,9 +205,10 @@ def rowcount_report(sources: Mapping[str, DataFrame]) -> DataFrame:
 
 
 def missing_hash(items: DataFrame) -> DataFrame:
-    return items.where("coalesce(sha256, '') = ''")
+    """Gated items without a hash."""
+    return passed(items).where("coalesce(sha256, '') = ''")
 
 
 def missing_probe(items: DataFrame) -> DataFrame:
-    """Videos without a duration or dimensions, photos without dimensions."""
-    return items.where("(media_type in ('video', 'photo') and (width is null or height is null)) or (media_type = 'video' and duration is null)")
+    """Gated videos without a duration or dimensions, photos without dimensions."""
+    return passed(items).where("(media_type in ('video', 'photo') and (width is null or height is null)) or (media_type = 'video' and duration is null)")
