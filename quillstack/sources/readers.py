@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Callable, Iterator, Mapping, Sequence
 from functools import reduce
+from urllib.parse import quote
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Observation, SparkSession
@@ -63,8 +64,8 @@ def listed(folders: DataFrame, scheme_in_tasks: bool) -> DataFrame:
 
         for batch in batches:
             for folder in batch.column(0).to_pylist():
-                store, inside = fs.FileSystem.from_uri(folder)
-                prefix = folder[: len(folder) - len(inside)] if folder.endswith(inside) else "file://"
+                store, inside = fs.FileSystem.from_uri(quote(folder, safe=":/@"))
+                prefix = folder[: len(folder) - len(inside)]
                 found = store.get_file_info(fs.FileSelector(inside, allow_not_found=True))
                 times = pa.array([x.mtime for x in found], pa.timestamp("us", tz="UTC"))
                 yield pa.RecordBatch.from_arrays(
@@ -123,7 +124,8 @@ def hash_files(spark: SparkSession, folder: str, large: int = LARGE, glob: str =
 
     Files of up to `large` bytes are single values, hashed where they are read. Larger ones are read in ranges, by as many
     tasks as they have ranges, as pieces between line feeds; the pieces of a file meet in order in one task, which feeds them
-    to a hash and holds a batch of them at a time. A folder that isn't there raises an error.
+    to a hash and holds a batch of them at a time. Spark's
+    readers pass over empty files, so these have no row (scan_files lists them). A folder that isn't there raises an error.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(folder)
     small = files.where(F.col("length") <= large).select("path", F.col("length").alias("size_bytes"), F.sha2("content", 256).alias("sha256"))

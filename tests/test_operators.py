@@ -65,7 +65,7 @@ def test_no_view_shows_review_items(spark):
         windows.similarity_index(rows, "k", F.lit("same")),
         tagging.keyword_tags(rows, rules),
         tagging.first_category(rows, rules, F.col("filename")),
-        vectors.vector_index(rows.withColumn("kind", F.lit("text")), spark.createDataFrame([], "item_id long, kind string, model string, text_hash string"), "m"),
+        vectors.vector_index(rows, rows.withColumn("kind", F.lit("text")), spark.createDataFrame([], "item_id long, kind string, model string, text_hash string"), "m"),
     ]
     for v in views:
         assert not {3, 5} & set(ids(v))
@@ -113,7 +113,9 @@ def test_queue_and_tombstone(spark):
 
 
 def test_duplicates_ignore_errors_and_nulls(spark):
-    got = {r["item_id"]: r["duplicate_role"] for r in windows.mark_duplicates(items(spark)).collect()}
+    rows = windows.mark_duplicates(gated(spark)).collect()
+    assert {r["item_id"]: r["review_state"] for r in rows}[5] == "review"
+    got = {r["item_id"]: r["duplicate_role"] for r in rows}
     assert got == {1: "keep", 2: "candidate", 3: "single", 4: "single", 5: "single"}
 
 
@@ -126,9 +128,11 @@ def test_plan_prefers_review_over_duplicate(spark):
 
 
 def test_similarity_skips_empty_signatures(spark):
-    rows = spark.createDataFrame([(1, 5, ""), (2, 6, ""), (3, 1, "s"), (4, 9, "s"), (5, 9, "s")], "item_id long, size_bytes long, sig string").withColumn("review_state", F.lit("normal"))
+    rows = spark.createDataFrame([(1, 5, "", "a"), (2, 6, "", "b"), (3, 1, "s", "a"), (4, 9, "s", "z"), (5, 9, "s", "c"), (6, None, "s", "0")], "item_id long, size_bytes long, sig string, path string").withColumn("review_state", F.lit("normal"))
     got = {r["item_id"]: r["role"] for r in windows.similarity_index(rows, "k", F.col("sig")).collect()}
-    assert got == {3: "candidate", 4: "keep", 5: "candidate"}
+    assert got == {3: "candidate", 4: "candidate", 5: "keep", 6: "candidate"}  # of the largest, the first path
+    listing = windows.similarity_listing(windows.similarity_index(rows, "k", F.col("sig")), 5)
+    assert [r["item_id"] for r in listing.orderBy("position").collect()] == [5, 4, 3, 6]
 
 
 def test_timeline(spark):
@@ -146,11 +150,11 @@ def test_trace_follows_moves_and_survives_cycles(spark):
 
 def test_delete_unseen_is_scoped_to_its_root(spark):
     seen = spark.createDataFrame([("r1/a/x.mp4",)], "path string")
-    assert ids(joins.delete_unseen(items(spark), seen, "r1")) == [1, 3, 4, 5]
+    assert ids(joins.delete_unseen(gated(spark), seen, "r1")) == [1, 3, 4, 5]
 
 
 def test_original_names(spark):
-    rows = spark.createDataFrame([(1, "own name.mp4"), (2, "VID_20240101_x_deadbeef.mp4"), (3, None)], "item_id long, original_name string")
+    rows = spark.createDataFrame([(1, "own name.mp4"), (2, "VID_20240101_x_deadbeef.mp4"), (3, None)], "item_id long, original_name string").withColumn("review_state", F.lit("normal"))
     traced = spark.createDataFrame([(1, "t1"), (2, "t2")], "item_id long, traced_name string")
     got = {r["item_id"]: r["original_name"] for r in joins.prefer_original_name(rows, traced, names.is_normalized_name).collect()}
     assert got == {1: "own name.mp4", 2: "t2", 3: None}
@@ -191,9 +195,10 @@ def test_pooled_scores(spark):
 def test_centroids(spark):
     v = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.9, 0.1]), (3, [0.0, 1.0])], "item_id long, vector array<double>")
     f = spark.createDataFrame([(1, "t", 1), (2, "t", 1), (3, "t", -1), (3, "one", 1)], "item_id long, tag string, verdict int")
-    c = tagging.train_centroids(v, f)
+    live = spark.createDataFrame([(i, "normal") for i in (1, 2, 3)], "item_id long, review_state string")
+    c = tagging.train_centroids(live, v, f)
     assert [(r["tag"], r["threshold"], r["n_pos"], r["n_neg"]) for r in c.collect()] == [("t", 0.62, 2, 1)]
-    assert ids(tagging.apply_centroids(v, c)) == [1, 2]
+    assert ids(tagging.apply_centroids(live, v, c)) == [1, 2]
 
 
 def test_coverage_and_gate(spark):
@@ -228,9 +233,9 @@ def test_manifest_and_vector_files(spark, tmp_path):
     (tmp_path / "lib" / "skip" / "b.mp4").write_bytes(b"x")
     found = readers.scan_files(spark, str(tmp_path / "lib"), ["mp4"], ["skip"]).collect()
     assert [(r["ext"], r["size_bytes"]) for r in found] == [("mp4", 3)]
-    assert vectors.hash_files(spark.createDataFrame([(str(tmp_path / "lib" / "a.mp4"),), ("/nothing",)], "path string")).where("sha256 is null").count() == 1
-    readers.append_audit(items(spark), "scan", str(tmp_path / "audit"))
     readers.append_audit(items(spark), "scan", str(tmp_path / "audit"))
+    readers.append_audit(items(spark), "scan", str(tmp_path / "audit"), write=lambda df: df.write.parquet(str(tmp_path / "out")))
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 5
     assert [r["rows"] for r in spark.read.parquet(str(tmp_path / "audit")).collect()] == [5, 5]
 
 
@@ -253,7 +258,7 @@ def test_labels_by_path(spark):
 
 
 def test_missing_and_filled(spark):
-    rows = spark.createDataFrame([(1, "ab"), (2, ""), (3, None)], "item_id long, sha256 string")
+    rows = spark.createDataFrame([(1, "ab"), (2, ""), (3, None)], "item_id long, sha256 string").withColumn("review_state", F.lit("normal"))
     assert ids(readers.missing_hash(rows)) == [2, 3]
     probes = spark.createDataFrame([(1, 5, 7), (2, None, 7), (3, None, None)], "item_id long, probed int, old int")
     assert [r[0] for r in probes.orderBy("item_id").select(names.fill_probe(F.col("probed"), F.col("old"))).collect()] == [5, 7, None]
