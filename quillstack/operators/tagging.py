@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..lineage import written
 from .batches import found_words, matrices
 from .gate import bounded, live_only, passed
 from .joins import join_by_any_path
@@ -162,9 +163,10 @@ def apply_centroids(items: DataFrame, vectors: DataFrame, centroids: DataFrame,
     leaves the task. Vectors and centroids of unequal length are cut to the shorter one; a missing negative counts as zeros.
     """
     live = live_only(vectors.select("item_id", "vector"), items)
-    blocks = centroids.count() // CENTROIDS + 1
+    table = written(centroids.select("tag", "positive", "negative", "threshold"), "centroids")
+    blocks = table.count() // CENTROIDS + 1
     block = F.pmod(F.xxhash64("tag"), F.lit(blocks))
-    parts = [centroid_scores(live, centroids.select("tag", "positive", "negative", "threshold").where(block == b).toArrow()) for b in range(blocks)]
+    parts = [centroid_scores(live, table.where(block == b).toArrow()) for b in range(blocks)]
     out = reduce(DataFrame.union, parts)
     return out.select("item_id", "tag", F.lit("learned").alias("category"), "confidence", F.lit("centroid").alias("source"), F.when(F.col("confidence") >= confirmed, "confirmed").otherwise("pending").alias("state"))
 

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import hashlib
+import re
+from collections import Counter
 from collections.abc import Callable, Iterator
 from functools import reduce
 
@@ -54,7 +56,7 @@ def hash_bits_vector(digest: Column) -> Column:
 
 
 KNOWN = 200_000  # tokens whose place a task remembers
-WORD = r"[\p{L}\p{N}_-]+"
+WORD = r"[\w-]+"  # letters and digits of all scripts, and _
 
 
 def token_place(token: str, dim: int) -> int:
@@ -63,23 +65,31 @@ def token_place(token: str, dim: int) -> int:
     return 2 * (int.from_bytes(digest[:4], "big") % dim) + (1 - digest[4] % 2)
 
 
-def row_vectors(rows: DataFrame, column: str, name: str, dim: int, tokens_of: Callable[[object], list[str]]) -> DataFrame:
-    """Rows with a vector in place of a column, made within the row; those without tokens go."""
+def row_vectors(rows: DataFrame, column: str, name: str, dim: int, words_of: Callable[[object], list[str]], token_of: Callable[[str], str | None]) -> DataFrame:
+    """Rows with a vector in place of a column, made within the row; those without tokens go.
+
+    The words of a row are counted first, so that each distinct one is looked up once; token_of gives its token, or None.
+    """
     kept = [c for c in rows.columns if c not in (column, name)]
     schema = T.StructType([*(rows.schema[c] for c in kept), T.StructField(name, T.ArrayType(T.DoubleType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, int] = {}
+        known: dict[str, int] = {}  # -1: no token
+
+        def place(word: str) -> int:
+            token = token_of(word)
+            return known.setdefault(word, -1 if token is None else token_place(token, dim))
+
         for batch in batches:
             at, found = [], []
             for i, value in enumerate(batch.column(len(kept))):
-                tokens = tokens_of(value.as_py())
-                if not tokens:
-                    continue
+                counts = Counter(words_of(value.as_py()))
                 if len(known) > KNOWN:
                     known.clear()
-                places = np.fromiter((known[t] if t in known else known.setdefault(t, token_place(t, dim)) for t in tokens), np.int64, len(tokens))
-                sums = np.bincount(places, minlength=2 * dim).astype(float)
+                places = np.array([known[w] if w in known else place(w) for w in counts], np.int64)
+                if not len(places) or places.max() < 0:
+                    continue
+                sums = np.bincount(places + 1, np.fromiter(counts.values(), float, len(counts)), 2 * dim + 1)[1:]
                 vector = sums[0::2] - sums[1::2]
                 norm = np.sqrt(np.dot(vector, vector))
                 at.append(i)
@@ -97,20 +107,18 @@ def hashed_text_vector(rows: DataFrame, tokens: str, key: str, dim: int = 128) -
 
     A vector for each row, made in the row's own task without a shuffle; null tokens and rows without any have none.
     """
-    return row_vectors(rows.select(key, tokens), tokens, "vector", dim, lambda words: [w for w in words or () if w is not None])
+    return row_vectors(rows.select(key, tokens), tokens, "vector", dim, lambda words: [w for w in words or () if w is not None], lambda word: word)
 
 
 def hashed_texts(rows: DataFrame, text: str = "text", dim: int = 128) -> DataFrame:
     """rows with a vector of the words of a text (as texts.semantic_tokens has them) in its place; rows without words go."""
-    import regex
-
-    word = regex.compile(WORD)
+    word = re.compile(WORD)
 
-    def tokens_of(body: str | None) -> list[str]:
-        short = (w.strip("_-")[:48] for w in word.findall(body or ""))
-        return [w for w in short if len(w) >= 2]
+    def token_of(raw: str) -> str | None:
+        token = raw.strip("_-")[:48]
+        return token if len(token) >= 2 else None
 
-    return row_vectors(rows.withColumn(text, F.lower(text)), text, "vector", dim, tokens_of)
+    return row_vectors(rows.withColumn(text, F.lower(text)), text, "vector", dim, lambda body: word.findall(body or ""), token_of)
 
 
 @F.pandas_udf(T.ArrayType(T.DoubleType()))

@@ -744,7 +744,7 @@ s as (select item_id, kind, text_hash, (('0x' || substr(m, 1, 8))::bigint % 128)
 select item_id, kind, text_hash, count(*) filter (where s <> 0) as places, round(case when sum(s * s) > 0 then sum(s * (b + 1)) / sqrt(sum(s * s)) else 0.0::double end, 5) as weighed from s group by all""")
 def vector_index(spark, d):
     items = all_items(spark, d)
-    rows, spoken = gate.passed(items), transcripts(spark, d)
+    rows, spoken = items.drop("review_state"), transcripts(spark, d)  # vector_index takes the texts of items that passed
     kinds = {"name": rows.select("item_id", F.col("filename").alias("text")), "text": rows.select("item_id", "text"), "tag": reports.tags_concat(all_tags(spark, d)).withColumnRenamed("tags", "text"), "transcript": spoken}
     parts = reduce(DataFrame.union, (df.select("item_id", F.lit(kind).alias("kind"), "text") for kind, df in kinds.items()))
     done = parts.where("kind = 'name' and item_id % 2 = 0").select("item_id", "kind", F.lit("md5-128").alias("model"), F.sha2("text", 256).alias("text_hash"))
