@@ -1,24 +1,31 @@
 """Main text of web pages by structure and by a suffix array for each host.
 
-A page is cut into blocks at block-level tags; markup, scripts, styles and comments go, and each block knows whether it is
-inside the article (article, main) and inside page furniture (menus, headers, footers, sidebars, notices, adverts, forms,
-reader comments, by element, role, class or id). The furniture's and other outer blocks of a host's pages are laid end
-to end as token streams; a suffix array, by doubling prefixes up to RUN tokens, finds runs that occur on two or more
-distinct pages, and all tokens that such runs cover are boilerplate. The article is the main text; on a page without
-one, the unique runs of its outer blocks that aren't furniture are.
+A page is cut into blocks at block-level tags by one scan that takes time in proportion to the page, whatever its markup. Structure
+decides where it is certain: nav, aside, footer, forms, a header outside the article, roles, scripts and styles go; so do
+containers that are named as comments or adverts, or by a name made of page furniture throughout (share-box,
+cookie-notice), inside an article or on a page without one. A container that one word of furniture names (related, alert, discussion) is in doubt: it goes if its structure says
+so (half of its text in links, a form in it, or two like children under a word for comments), and else the host decides.
+Nothing else inside an article goes, and no name on the article itself counts.
+
+For that, what is in doubt and all outer blocks of a host's pages are laid end to end as token streams; a suffix array, by
+doubling prefixes up to RUN tokens, finds runs that occur on two or more distinct pages, and all tokens that such runs cover
+are boilerplate. A container in doubt goes if runs cover half of its tokens. On a page without an article, the unique runs of its
+outer blocks that aren't furniture are the main text; so copies of such a page on one host leave nothing of each other.
 
 Hosts with over PAGES pages are dealt out by hash, PAGES or so a group, so that no task holds a whole large host. The
 suffix array finds the runs of a group; those that groups share are found by 64-bit hashes of all runs of the host, which
 meet in a shuffle. Both ways give the same text; two runs of one host whose hashes collide by chance would count as one.
 
 Defined results: null or empty html gives an empty text; pages with a null url form a host of their own; repeated rows
-count as distinct pages only if their page_id differs, and no run goes from row to row; unclosed elements end with the page; other columns are ignored.
+count as distinct pages only if their page_id differs, and no run goes from row to row; unclosed elements end with the page; a
+tag that never ends is text, and so is all after it; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,75 +39,135 @@ from .textbytes import Spans
 RUN = 8
 PAGES = 256
 SMALL_HOSTS = 100_000  # rows of large hosts up to which they are broadcast
-# Elements and the words of class, id and role that mark page furniture
+# Elements and the words of class and id that mark page furniture
 FURNITURE = frozenset("nav footer aside form menu dialog button".split())
-WORDS = frozenset(
-    "ad ads advert adverts advertisement adverting banner breadcrumb breadcrumbs comment comments consent cookie cookies disclaimer disqus footer gdpr header login masthead menu modal nav navbar navigation newsletter notice notices notification pagination popup promo promoted promotion related replies respond search share sharing sidebar signup skip social sponsor sponsored subscribe subscription toolbar widget".split()
+SURE = frozenset("ad ads adsbygoogle advert adverts advertisement advertising sponsored comment comments disqus respond replies".split())
+TALK = frozenset("discussion reactions responses feedback talk thread".split())
+WORDS = SURE | TALK | frozenset(
+    "alert banner breadcrumb breadcrumbs consent cookie cookies disclaimer footer gdpr header login masthead menu modal nav navbar navigation newsletter notice notices notification pagination popup promo promoted promotion related reply search share sharing sidebar signup skip social sponsor subscribe subscription toolbar warning widget".split()
 )
+PARTS = frozenset("area bar block box button buttons container content count footer form group header icon icons inner item items link links list main panel row section site top bottom left right widget wrap wrapper".split())
 CONTAINERS = FURNITURE | frozenset("article main header section div ul ol dl table figure details blockquote body html head fieldset center".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rb rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
-TAG = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|math|iframe|textarea|select|object|canvas|title)\b(?:\"[^\"]*\"|'[^']*'|[^>\"'])*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][\w:-]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>",
-    re.S | re.I,
-)
-HINT = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-WORD = re.compile(r"[a-z]+")
-
-
-def hints(attributes: str, inside: bool) -> tuple[bool, bool]:
-    """(page furniture, main content) by class, id and role; the header of an article, inside it, is part of it."""
-    words: set[str] = set()
+HIDDEN = {n: re.compile(f"</{n}(?![a-z0-9:-])[^>]*>?", re.I) for n in "script style noscript template svg math iframe textarea select object canvas title".split()}
+START = re.compile(r"<(?:!--|[!?]|(/?)([a-zA-Z][a-zA-Z0-9:-]*))")
+TAG_END = re.compile("""(?:[^"'>=]++|=\\s*+"[^"]*+"|=\\s*+'[^']*+'|[="'])*+>""")  # quotes count after = only
+HINT = re.compile(r"(?<![\w-])(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+WORD = re.compile("[a-z]+")
+GONE_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert form".split())
+
+
+def hints(name: str, attributes: str, inside: bool) -> tuple[str, bool, bool]:
+    """(what the names say, main content, a word for comments): `gone`, `doubt` or nothing. A header inside an article is part of it."""
+    says, main, talk = "", False, False
+    words = WORDS - {"header"} if inside else WORDS
     for m in HINT.finditer(attributes):
-        value = (m[2] or m[3] or m[4] or "").lower()
-        words.update(WORD.findall(re.sub(r"(?<=[a-z])(?=[A-Z])", " ", m[2] or m[3] or m[4] or "").lower()))
+        value = m[2] or m[3] or m[4] or ""
         if m[1].lower() == "role":
-            if value in ("main", "article"):
-                return False, True
-            if value in ("navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "form"):
-                return True, False
-    return bool(words & (WORDS - {"header"} if inside else WORDS)), False
-
-
-def blocks(page: str) -> list[tuple[str, bool, bool]]:
-    """(text, inside the article, inside furniture) of each block with text, in page order."""
-    out: list[tuple[str, bool, bool]] = []
-    stack: list[tuple[str, bool, bool]] = []  # element, and the state inside it
-    state = (False, False)
+            role = value.lower().strip()
+            main |= role in ("main", "article")
+            says = "gone" if role in GONE_ROLES else says
+            continue
+        for token in re.sub("(?<=[a-z])(?=[A-Z])", "-", value).lower().split():
+            own = WORD.findall(token)
+            found = [w for w in own if w in words]
+            if not found:
+                continue
+            if len(own) > 1 and all(w in words or w in PARTS for w in own) or len(own) == 1 and own[0] in SURE:
+                says = "gone"
+            elif len(own) == 1:
+                says, talk = says or "doubt", talk or own[0] in TALK
+    return says, main, talk
+
+
+class Doubt:
+    """A container that one word names as furniture, and what its structure says."""
+
+    def __init__(self, talk: bool):
+        self.talk, self.all, self.linked, self.form, self.children = talk, 0, 0, False, Counter()
+
+    def gone(self) -> bool:
+        like = self.talk and max(self.children.values(), default=0) > 1
+        return self.form or like or self.all > 0 and 2 * self.linked >= self.all
+
+
+def blocks(page: str) -> tuple[list[tuple[str, bool, bool, int]], list[Doubt]]:
+    """((text, inside the article, inside furniture, number of the container in doubt or -1) of each block, the containers in doubt)."""
+    out: list[tuple[str, bool, bool, int]] = []
+    doubts: list[Doubt] = []
+    stack: list[tuple[str, bool, bool, int]] = []  # element, and the state around it
+    inside, gone, doubt = False, False, -1
+    open_: Counter[str] = Counter()
     parts: list[str] = []
+    links = at = 0
 
     def flush() -> None:
         text = " ".join(html.unescape("".join(parts)).split())
         parts.clear()
         if text:
-            out.append((text, *state))
-
-    at = 0
-    for m in TAG.finditer(page):
-        parts.append(page[at : m.start()])
-        at = m.end()
-        name = (m[3] or "").lower()
-        if not name or name in INLINE:
+            out.append((text, inside, gone, doubt))
+
+    def add(part: str) -> None:
+        if part:
+            parts.append(part)
+            if doubt >= 0:
+                size = len(part.strip())
+                doubts[doubt].all += size
+                doubts[doubt].linked += size if links else 0
+
+    while m := START.search(page, at):
+        add(page[at : m.start()])
+        if m[2] is None:
+            comment = m[0] == "<!--"
+            end = page.find("-->" if comment else ">", m.end())
+            at = len(page) if end < 0 else end + (3 if comment else 1)
+            continue
+        name, closing = m[2].lower(), bool(m[1])
+        end = TAG_END.match(page, m.end())
+        if end is None:  # it never ends
+            at = m.start()
+            break
+        attributes, at = page[m.end() : end.end() - 1], end.end()
+        if name in HIDDEN and not closing:
+            if doubt >= 0 and name in ("textarea", "select"):
+                doubts[doubt].form = True
+            if name in ("script", "style") or not attributes.endswith("/"):
+                close = HIDDEN[name].search(page, at)
+                at = close.end() if close else len(page)
+            continue
+        if name in INLINE:
+            links = max(0, links - 1 if closing else links + 1) if name == "a" else links
             continue
         flush()
+        if doubt >= 0 and not closing:
+            doubts[doubt].form |= name in ("form", "input", "button")
+            if name == "article" or attributes.strip() and name in ("li", "div", "section"):
+                doubts[doubt].children[name, attributes.strip()] += 1
         if name not in CONTAINERS:
             continue
-        if not m[2]:
-            if m[4].endswith("/"):
-                continue
-            furniture, main = hints(m[4], state[0]) if m[4] and name not in ("body", "html", "main") else (False, False)
-            furniture |= name in FURNITURE or name == "head" or name == "header" and not state[0]
-            main |= name in ("article", "main")
-            stack.append((name, *state))
-            state = (state[0] or main and not furniture and not state[1], state[1] or furniture)
-        elif any(x[0] == name for x in stack):
-            while stack:
-                was, *before = stack.pop()
-                state = tuple(before)
-                if was == name:
-                    break
-    parts.append(page[at:])
+        links = 0
+        if closing:
+            if open_[name]:
+                while stack:
+                    was, inside, gone, doubt = stack.pop()
+                    open_[was] -= 1
+                    if was == name:
+                        break
+        elif not attributes.endswith("/"):
+            says, main, talk = hints(name, attributes, inside) if attributes and name not in ("body", "html", "main", "article") else ("", False, False)
+            furniture = says == "gone" or name in FURNITURE or name == "head" or name == "header" and not inside
+            stack.append((name, inside, gone, doubt))
+            open_[name] += 1
+            if says == "doubt" and not gone and doubt < 0 and not furniture:
+                doubt = len(doubts)
+                doubts.append(Doubt(talk))
+            if name in ("article", "main") and not inside:
+                doubt = -1  # a name around the article says nothing about it
+            inside = inside or (main or name in ("article", "main")) and not furniture and not gone
+            gone = gone or furniture
+    add(page[at:])
     flush()
-    return out
+    return out, doubts
 
 
 def runs(tokens: np.ndarray, page: np.ndarray, row: np.ndarray) -> np.ndarray:
@@ -164,14 +231,54 @@ def found_runs(ids: list, rows: list[list[str]]) -> list[np.ndarray]:
 
 
 def result(ids: pa.Array, urls: pa.Array, main: list, rows: list[list[str]], free: list[list[bool]], starts: list[np.ndarray]) -> list[pa.Array]:
+    """main: the parts of the article, each with the place of its tokens among the outer ones if it is in doubt; null without an article."""
     texts, covered = [], []
-    for whole, words, flags, start in zip(main, rows, free, starts):
+    for parts, words, flags, start in zip(main, rows, free, starts):
         hit = cover(start)
         covered.append(int(hit.sum()))
-        texts.append(whole if whole is not None else " ".join(w for w, f, h in zip(words, flags, hit) if f and not h))
+        if parts is None:
+            texts.append(" ".join(w for w, f, h in zip(words, flags, hit) if f and not h))
+        else:
+            texts.append(" ".join(p["text"] for p in parts if not p["size"] or 2 * int(hit[p["start"] : p["start"] + p["size"]].sum()) < p["size"]))
     return [ids, urls, pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64()), pa.array(covered, pa.int64())]
 
 
+PART = pa.list_(pa.struct([("text", pa.string()), ("start", pa.int64()), ("size", pa.int64())]))
+PARSED = "main array<struct<text: string, start: long, size: long>>, outer array<string>, open array<boolean>"
+
+
+def parsed(page: str) -> tuple[list[dict] | None, list[str], list[bool]]:
+    """(parts of the article or None, outer tokens, which of these can be main text). Parts in doubt have their tokens among the outer ones."""
+    found, doubts = blocks(page)
+    verdict = [d.gone() for d in doubts]
+    parts: list[dict] = []
+    words: list[str] = []
+    free: list[bool] = []
+    whole = False
+    last = -1  # the container in doubt that the last part came from
+    for text, inside, gone, doubt in found:
+        if doubt >= 0 and verdict[doubt]:
+            gone = True
+        own = text.split(" ")
+        if inside and not gone:
+            whole = True
+            if doubt < 0:
+                parts.append({"text": text, "start": 0, "size": 0})
+                last = -1
+                continue
+            if doubt == last:
+                parts[-1]["text"] += " " + text
+                parts[-1]["size"] += len(own)
+            else:
+                parts.append({"text": text, "start": len(words), "size": len(own)})
+            last = doubt
+        elif inside:
+            last = -1
+        words += own
+        free += [not gone] * len(own)
+    return parts if whole else None, words, free
+
+
 def extract(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars, n_boilerplate) of each page; n_boilerplate: its outer tokens in repeated runs."""
     host = F.coalesce(F.regexp_extract(F.lower("url"), r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit(""))
@@ -187,15 +294,8 @@ def extract(pages: DataFrame) -> DataFrame:
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
-                main, outer, open_ = [], [], []
-                for page in part.column(4).to_pylist():
-                    found = blocks(page or "")
-                    inside = [t for t, a, f in found if a and not f]
-                    main.append(" ".join(inside) if inside else None)
-                    own = [(t.split(" "), not f) for t, a, f in found if not a or f]
-                    outer.append([w for words, _ in own for w in words])
-                    open_.append([f for words, f in own for _ in words])
-                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(4)), pa.array(main, pa.string()), pa.array(outer, pa.list_(pa.string())), pa.array(open_, pa.list_(pa.bool_()))], ["page_id", "url", "host", "group", "main", "outer", "open"])
+                main, outer, open_ = map(list, zip(*(parsed(page or "") for page in part.column(4).to_pylist()))) if part.num_rows else ([], [], [])
+                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(4)), pa.array(main, PART), pa.array(outer, pa.list_(pa.string())), pa.array(open_, pa.list_(pa.bool_()))], ["page_id", "url", "host", "group", "main", "outer", "open"])
 
     def scan(table: pa.Table) -> pa.Table:
         """(host, group, page, run): hashes of the runs of one page only, with a hash of it; and of those of several, each once, without."""
@@ -221,12 +321,12 @@ def extract(pages: DataFrame) -> DataFrame:
                 start[: len(h)] |= np.isin(h, elsewhere)
         return pa.table(result(table.column("page_id"), table.column("url"), main, rows, free, starts), names=["page_id", "url", "text", "n_chars", "n_boilerplate"])
 
-    parsed = lambda rows: rows.drop("large").mapInArrow(cut, f"page_id {kind}, url string, host string, group long, main string, outer array<string>, open array<boolean>")
+    cut_up = lambda rows: rows.drop("large").mapInArrow(cut, f"page_id {kind}, url string, host string, group long, {PARSED}")
     if not large_hosts:
-        return parsed(keyed).groupBy("host", "group").applyInArrow(lambda t: judge(t), schema)
-    outer = parsed(keyed.where("large")).select("host", "group", "page_id", F.xxhash64("page_id").alias("key"), "outer")
+        return cut_up(keyed).groupBy("host", "group").applyInArrow(lambda t: judge(t), schema)
+    outer = cut_up(keyed.where("large")).select("host", "group", "page_id", F.xxhash64("page_id").alias("key"), "outer")
     found = save(outer.groupBy("host", "group").applyInArrow(scan, "host string, group long, page long, run long"), "html")
     low, high = F.min(F.coalesce("page", F.lit(-(1 << 63)))), F.max(F.coalesce("page", F.lit((1 << 63) - 1)))
     many = found.groupBy("host", "run").agg(low.alias("low"), high.alias("high")).where("low < high").select("host", "run")
     more = found.where("page is not null").join(many, ["host", "run"]).select("host", "group", "run").distinct()
-    return parsed(keyed).groupBy("host", "group").cogroup(more.groupBy("host", "group")).applyInArrow(judge, schema)
+    return cut_up(keyed).groupBy("host", "group").cogroup(more.groupBy("host", "group")).applyInArrow(judge, schema)

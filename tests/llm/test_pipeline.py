@@ -1,3 +1,8 @@
+import hashlib
+import random
+
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from quillstack.llm import decontam, langid, ngram_join
 
@@ -46,11 +51,45 @@ def test_stages_hold_against_brute_force(spark):
     assert ngram_join.WORDS == 5
 
 
-def test_run_and_edges(spark, tmp_path):
+def survivors(rows):
+    """Of rows with one doc_id, that with the smallest hash of its text, nulls last."""
+    best = {}
+    for r in rows:
+        key = r["text"] is None, hashlib.sha256((r["text"] or "").encode()).hexdigest()
+        if r["doc_id"] is not None and (r["doc_id"] not in best or key < best[r["doc_id"]][0]):
+            best[r["doc_id"]] = key, r["text"]
+    return {i: t for i, (_, t) in best.items()}
+
+
+def test_one_row_stays_of_a_repeated_id(spark):
+    r = random.Random(1)
+    text = lambda: " ".join(f"w{r.randrange(9999)}" for _ in range(20))
+    rows = [(i % 7, None if i % 5 == 0 else text(), i, {"a": i}) for i in range(30)] + [(50, "same", 2, {}), (50, "same", 1, {}), (None, "x y", 0, {}), (None, "x y", 0, {})]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, extra int, more map<string, int>")
+    for part in (docs, docs.repartition(3, "extra")):
+        got = corpus_pipeline.near_duplicates(spark, part, DIR)
+        assert got.columns == docs.columns
+        found = got.collect()
+        assert {r["doc_id"]: r["text"] for r in found if r["doc_id"] is not None} == survivors(docs.collect())
+        assert len(found) == 8 + 2 and [r["extra"] for r in found if r["doc_id"] == 50] == [1]
+
+
+def test_run_keeps_clashing_columns(spark, tmp_path):
     from .edge import docs, empty
 
-    for n, rows in enumerate((docs(spark), empty(spark))):
+    own = ["n_tokens", "n_bytes", "lang_pred", "taken", "text_2"]
+    rows = docs(spark).select("*", *(F.concat(F.lit(n), F.col("doc_id").cast("string")).alias(n) for n in own))
+    for n, table in enumerate((rows, rows.limit(0), rows.select("doc_id", "text", "source", "lang"), empty(spark))):
         folder = tmp_path / str(n)
-        rows.select("doc_id", "text", "lang", "source", "n_chars").write.parquet(str(folder / "documents.parquet"))
+        table.write.parquet(str(folder / "documents.parquet"))
         spark.createDataFrame([(1, "a b c")], "item_id long, text string").write.parquet(str(folder / "benchmark.parquet"))
-        assert (corpus_pipeline.run(spark, str(folder)).count() > 0) == (n == 0)
+        got = corpus_pipeline.run(spark, str(folder))
+        found = got.collect()
+        assert bool(found) == (n in (0, 2))
+        new = ["size", "source_size", "target", "taken"]
+        assert got.columns == [c for c in table.columns if c not in new] + new
+        for r in found if n == 0 else ():
+            assert [r[c] for c in ("n_tokens", "n_bytes", "lang_pred", "text_2")] == [None if r["doc_id"] is None else f"{c}{r['doc_id']}" for c in ("n_tokens", "n_bytes", "lang_pred", "text_2")]
+            assert (r["score"], r["kept"], r["id"], r["mark"], r["code"], r["contaminated"]) == ("a", "c", 1, 2, "d", "e") and r["n_chars"] == len(r["text"])
+    first = {r["doc_id"] for r in corpus_pipeline.run(spark, str(tmp_path / "0")).collect()}
+    assert not {2, 3, 9} & first and {1, 7, 15} <= first  # copies and a near copy of 1; clean ones stay
