@@ -186,7 +186,11 @@ def timed_segments(spark, d):
     return good.groupBy("conv_id").agg(F.count("*").alias("segments"), F.min("s.start").alias("first_start"), F.max("s.end").alias("last_end"))
 
 
-@query()
+@query("""
+with c as (select conv_id, turn * 4 as s, text, row_number() over (partition by conv_id order by turn, text) as n from conversations),
+q as (select conv_id, n, n::varchar || chr(10) || printf('%02d:%02d:%02d.000', s // 3600, s % 3600 // 60, s % 60) || ' --> ' || printf('%02d:%02d:%02d.000', (s + 4) // 3600, (s + 4) % 3600 // 60, (s + 4) % 60) || chr(10)
+  || replace(replace(replace(coalesce(text, ''), '&', '&amp;'), '<', '&lt;'), '>', '&gt;') as cue from c)
+select conv_id, 'WEBVTT' || chr(10) || chr(10) || string_agg(cue, chr(10) || chr(10) order by n) || chr(10) as vtt from q group by conv_id""", items=False)
 def segments_to_vtt(spark, d):
     rows = table(spark, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct((F.col("turn") * 4.0).alias("start"), (F.col("turn") * 4.0 + 4).alias("end"), "text", F.lit(None).cast("string").alias("translated")))).alias("s"))
     return rows.select("conv_id", texts.segments_to_vtt(F.col("s")).alias("vtt"))
