@@ -26,6 +26,8 @@ def test_held_out_ranking(spark, query, label, mod, held, least):
     assert (found.predicted == (found.score >= 0.7)).all()
     both = found[found.held_out].merge(pd.read_parquet(f"{d}/labels.parquet"), on="doc_id")
     assert auc(both.score, both[label]) > least
+    caught, wrong = both[both[label] == 1].predicted.mean(), both[both[label] == 0].predicted.mean()
+    assert caught > 0.8 and wrong < 0.08  # at 0.7
 
 
 @pytest.mark.parametrize("score,label", [(quality.score, "quality"), (toxicity.score, "toxic")])
