@@ -5,12 +5,14 @@ A byte goes if some 50-byte window over it also starts in a document with a smal
 1.  Each window belongs to the smallest hash of the 24-byte strings in it, its key. Runs of neighbouring windows with one
     key form a strip; a window that occurs twice has the same key both times.
 2.  Keys of two or more documents are found by one shuffle of (key, document); strips with other keys can't repeat.
-3.  Equal strips are joined by hash. Where one key has different strips, these are laid end to end, sorted by a
-    two-stage suffix array, and adjacent common prefixes of 50 bytes or more give the smallest document of each window.
+    Of a key's documents in one piece of text, only the first and the last id go to the place where the key is judged.
+3.  Equal strips become one by their 128-bit digest. Where one key has different strips, these are laid end to end,
+    sorted by a two-stage suffix array, and adjacent common prefixes of 50 bytes or more give the smallest document of
+    each window.
 4.  Spans are merged for each document and cut from its text.
 
-Keys with very many different strips (over WIDE) have each window joined by its bytes instead, so that no task holds an
-unbounded group.
+Keys whose different strips have over WIDE bytes have each window joined by its bytes instead, in cuts of STEP windows,
+so that no task holds an unbounded group.
 
 Defined results: null text counts as empty; texts under 50 bytes stay whole; a null doc_id counts as larger than any
 other; rows that share a doc_id don't clear each other, and equal rows get equal results; columns of the input pass
@@ -30,15 +32,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .scratch import save
-from .suffix_array import SEPARATOR, equal_runs, two_stage
+from .suffix_array import equal_runs, two_stage
 from .textbytes import Spans, pieces, utf8
 
 MATCH = 50
 ANCHOR = 24
 CHUNK = 1 << 20  # bytes that one suffix array covers
-WIDE = 50_000
+WIDE = 2 << 20  # bytes of one key's strips that go to one suffix array
+STEP = 4096
+DIGEST = ["high", "low"]
 LAST = (1 << 63) - 1
-HIGHEST = np.uint64((1 << 64) - 1)
 
 
 def strips(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -72,7 +75,11 @@ def with_identity(docs: DataFrame) -> DataFrame:
 
 
 def keys_of(texts: DataFrame) -> DataFrame:
-    """(key, id, mark) for each key of each text."""
+    """(key, id, mark, spread) for each key of each text.
+
+    Where a piece of text has a key in more than two documents, those between its first and last id are known to share
+    it: their spread isn't 0, which keeps them from meeting in one task.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -80,24 +87,37 @@ def keys_of(texts: DataFrame) -> DataFrame:
             ids, marks = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             for lo, hi in pieces(offs):
                 doc, _, _, key = strips(data, offs[lo : hi + 1])
-                order = np.lexsort((key, doc))
+                row = np.argsort(ids[lo:hi], kind="stable")
+                place = np.empty(hi - lo, np.int64)
+                place[row] = np.arange(hi - lo)
+                order = np.lexsort((place[doc], key))
                 doc, key = doc[order], key[order]
                 new = np.ones(len(key), bool)
                 new[1:] = (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])
                 doc, key = doc[new] + lo, key[new]
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(ids[doc]), pa.array(marks[doc])], ["key", "id", "mark"])
+                inner = np.zeros(len(key), bool)
+                inner[1:-1] = (key[1:-1] == key[:-2]) & (key[1:-1] == key[2:])
+                first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else key
+                last = np.append(first[1:], len(key)) - 1
+                inner &= np.repeat(ids[doc[first]] != ids[doc[last]], last - first + 1) if len(key) else inner
+                spread = np.where(inner, 1 + (marks[doc] & 0xFFFF), 0).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(ids[doc]), pa.array(marks[doc]), pa.array(spread)], ["key", "id", "mark", "spread"])
 
-    return texts.mapInArrow(run, "key long, id long, mark long")
+    return texts.mapInArrow(run, "key long, id long, mark long, spread int")
 
 
 def shared_keys(keys: DataFrame) -> DataFrame:
-    """The rows whose key has two or more ids. A key's rows come in order of id; only those of the first id wait."""
+    """The rows whose key has two or more ids, or that are spread. A key's rows come in order of id; only those of the first id wait."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] | None = None
         open_key = None
         for batch in batches:
-            rows = [batch.column(i).to_numpy() for i in range(3)]
+            rows = [batch.column(i).to_numpy() for i in range(4)]
+            known = rows[3] > 0
+            if known.any():
+                yield pa.RecordBatch.from_arrays([pa.array(x[known]) for x in rows[:3]], ["key", "id", "mark"])
+            rows = [x[~known] for x in rows[:3]]
             if not len(rows[0]):
                 continue
             if held is not None:
@@ -117,11 +137,17 @@ def shared_keys(keys: DataFrame) -> DataFrame:
                 held, open_key = [x[once] for x in tail], None
             yield pa.RecordBatch.from_arrays([pa.array(x[good]) for x in rows], ["key", "id", "mark"])
 
-    return keys.repartition("key").sortWithinPartitions("key", "id").mapInArrow(run, "key long, id long, mark long")
+    return keys.repartition("key", "spread").sortWithinPartitions("key", "id").mapInArrow(run, "key long, id long, mark long")
+
+
+def digests(body: bytes, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Two numbers for each span: the BLAKE2b digest of its bytes, of 128 bits."""
+    raw = b"".join(hashlib.blake2b(body[b:e], digest_size=16).digest() for b, e in zip(start.tolist(), end.tolist()))
+    return np.frombuffer(raw, np.int64).reshape(-1, 2)
 
 
 def strip_places(texts: DataFrame, keys: DataFrame) -> DataFrame:
-    """(id, mark, key, hash, start, size) for each strip whose key is among its text's shared keys; hash: of its bytes."""
+    """(id, mark, key, high, low, start, size) for each strip whose key is among its text's shared keys; high and low: the digest of its bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -134,18 +160,18 @@ def strip_places(texts: DataFrame, keys: DataFrame) -> DataFrame:
                 keep = np.isin(key, flat[bounds[lo] : bounds[hi]])  # keys are the same for equal bytes, whatever the document
                 doc, first, windows, key = doc[keep], first[keep], windows[keep], key[keep]
                 size = windows + MATCH - 1
-                hashes = Spans(data[offs[lo] : offs[hi]]).of(first, first + size)
+                digest = digests(data[offs[lo] : offs[hi]].tobytes(), first, first + size)
                 start = first - (offs[lo:hi][doc] - offs[lo])
-                arrays = [ids[doc + lo], marks[doc + lo], key.view(np.int64), hashes.view(np.int64), start.astype(np.int64), size.astype(np.int64)]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], ["id", "mark", "key", "hash", "start", "size"])
+                arrays = [ids[doc + lo], marks[doc + lo], key.view(np.int64), digest[:, 0], digest[:, 1], start.astype(np.int64), size.astype(np.int64)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x)) for x in arrays], ["id", "mark", "key", "high", "low", "start", "size"])
 
     lists = keys.groupBy("id", "mark").agg(F.collect_list("key").alias("keys"))
     both = texts.join(lists, ["id", "mark"]).select("id", "mark", "text", "keys")
-    return both.mapInArrow(run, "id long, mark long, key long, hash long, start long, size long")
+    return both.mapInArrow(run, "id long, mark long, key long, high long, low long, start long, size long")
 
 
 def strip_bytes(texts: DataFrame, places: DataFrame) -> DataFrame:
-    """places (id, mark, key, hash, start, size) -> (key, hash, first_id, strip)."""
+    """places (id, mark, key, high, low, cut, start, size) -> (key, high, low, cut, first_id, strip); cut: windows before the strip's part."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -153,23 +179,23 @@ def strip_bytes(texts: DataFrame, places: DataFrame) -> DataFrame:
             lists = batch.column(2)
             bounds = lists.offsets.to_numpy()
             row = np.repeat(np.arange(batch.num_rows), np.diff(bounds))
-            key, hash_, start, size = (lists.values.field(i).to_numpy()[bounds[0] : bounds[-1]] for i in range(4))
+            *names, start, size = (lists.values.field(i).to_numpy()[bounds[0] : bounds[-1]] for i in range(6))
             for lo in range(0, len(row), 20_000):
                 part = slice(lo, lo + 20_000)
                 begin, length = (offs[row[part]] + start[part]), size[part]
                 edge = np.concatenate([[0], np.cumsum(length)])
                 at = np.repeat(begin - edge[:-1], length) + np.arange(edge[-1])
                 raw = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(length), [None, pa.py_buffer(edge.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data[at]))])
-                yield pa.RecordBatch.from_arrays([pa.array(key[part]), pa.array(hash_[part]), batch.column(0).take(pa.array(row[part])), raw.cast(pa.binary())], ["key", "hash", "first_id", "strip"])
+                yield pa.RecordBatch.from_arrays([*(pa.array(x[part]) for x in names), batch.column(0).take(pa.array(row[part])), raw.cast(pa.binary())], ["key", "high", "low", "cut", "first_id", "strip"])
 
-    lists = places.groupBy("id", "mark").agg(F.collect_list(F.struct("key", "hash", "start", "size")).alias("places"))
-    return texts.join(lists, ["id", "mark"]).select("id", "text", "places").mapInArrow(run, "key long, hash long, first_id long, strip binary")
+    lists = places.groupBy("id", "mark").agg(F.collect_list(F.struct("key", "high", "low", "cut", "start", "size")).alias("places"))
+    return texts.join(lists, ["id", "mark"]).select("id", "text", "places").mapInArrow(run, "key long, high long, low long, cut long, first_id long, strip binary")
 
 
 def repeated_windows(rows: DataFrame) -> DataFrame:
-    """rows (key, hash, first_id, strip), strips of a key together -> (key, hash, first_id, begin, end): windows that a smaller id has."""
+    """rows (key, high, low, first_id, strip), strips of a key together -> (high, low, begin, end): windows that a smaller id has."""
 
-    def judge(keys: list, hashes: list, ids: list, texts: list[bytes]) -> pa.RecordBatch:
+    def judge(high: list, low: list, ids: list, texts: list[bytes]) -> pa.RecordBatch:
         data = np.frombuffer(b"\xff".join(texts) + b"\xff", np.uint8)
         length = np.array([len(x) for x in texts])
         start = np.concatenate([[0], np.cumsum(length[:-1] + 1)])
@@ -187,23 +213,23 @@ def repeated_windows(rows: DataFrame) -> DataFrame:
         end = np.append(hit[np.flatnonzero(new)[1:] - 1], hit[-1:]) + MATCH
         strip = of[begin]
         pick = lambda x: pa.array(np.array(x, np.int64)[strip])
-        return pa.RecordBatch.from_arrays([pick(keys), pick(hashes), pick(ids), pa.array(begin - start[strip]), pa.array(end - start[strip])], ["key", "hash", "first_id", "begin", "end"])
+        return pa.RecordBatch.from_arrays([pick(high), pick(low), pa.array(begin - start[strip]), pa.array(end - start[strip])], ["high", "low", "begin", "end"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list] = [[], [], [], []]
-        size = 0
+        size, last = 0, None
         for batch in batches:
-            for key, hash_, id_, strip in zip(*(batch.column(i).to_pylist() for i in range(4))):
-                if size > CHUNK and key != held[0][-1]:
+            for key, *row in zip(*(batch.column(c).to_pylist() for c in ("key", "high", "low", "first_id", "strip"))):
+                if size > CHUNK and key != last:
                     yield judge(*held)
                     held, size = [[], [], [], []], 0
-                for x, y in zip(held, (key, hash_, id_, strip)):
+                for x, y in zip(held, row):
                     x.append(y)
-                size += len(strip)
+                size, last = size + len(row[-1]), key
         if size:
             yield judge(*held)
 
-    return rows.mapInArrow(run, "key long, hash long, first_id long, begin long, end long")
+    return rows.mapInArrow(run, "high long, low long, begin long, end long")
 
 
 def repeats(docs: DataFrame) -> DataFrame:
@@ -211,22 +237,26 @@ def repeats(docs: DataFrame) -> DataFrame:
     texts = with_identity(docs).where(F.octet_length("text") >= MATCH)
     shared = save(shared_keys(keys_of(texts)), "keys")
     found = save(strip_places(texts, shared), "strips")  # repeated rows have their strips twice, which does no harm
-    owners = save(found.groupBy("key", "hash").agg(F.min("id").alias("first_id")), "owners")
-    contested = save(owners.groupBy("key").agg(F.count("*").alias("strips"), F.min("first_id").alias("x"), F.max("first_id").alias("y")).where("strips > 1 and x <> y").select("key", "strips"), "contested")
-    rivals = owners.join(contested, "key").select("hash", "first_id", "strips")
-    first = found.join(rivals, (found["hash"] == rivals["hash"]) & (found["id"] == rivals["first_id"])).select("id", "mark", "key", found["hash"], "start", "size", "strips")
-    first = save(first.groupBy("key", "hash", "id").agg(F.min(F.struct("mark", "start", "size")).alias("at"), F.first("strips").alias("strips")).select("id", "at.*", "key", "hash", "strips"), "rivals")
-    whole = strip_bytes(texts, first.where(F.col("strips") <= WIDE))
+    owners = save(found.groupBy("key", *DIGEST).agg(F.min("id").alias("first_id"), F.max("size").alias("size")), "owners")
+    contested = owners.groupBy("key").agg(F.count("*").alias("strips"), F.sum("size").alias("bytes"), F.min("first_id").alias("x"), F.max("first_id").alias("y"))
+    contested = save(contested.where("strips > 1 and x <> y").select("key", "bytes"), "contested")
+    rivals = owners.join(contested, "key").select(*DIGEST, F.col("first_id").alias("id"), "bytes")
+    first = found.join(rivals, [*DIGEST, "id"]).groupBy("key", *DIGEST, "id").agg(F.min(F.struct("mark", "start", "size")).alias("at"), F.first("bytes").alias("bytes"))
+    first = save(first.select("id", "at.*", "key", *DIGEST, F.lit(0).cast("long").alias("cut"), "bytes"), "rivals")
+    whole = strip_bytes(texts, first.where(F.col("bytes") <= WIDE))
     judged = repeated_windows(whole.repartition("key").sortWithinPartitions("key"))
-    wide = first.where(F.col("strips") > WIDE)
+    wide = first.where(F.col("bytes") > WIDE)
     if not wide.isEmpty():
-        windows = strip_bytes(texts, wide).select("key", "hash", "first_id", F.expr(f"inline(transform(sequence(1, length(strip) - {MATCH - 1}), i -> struct(substring(strip, i, {MATCH}) as window, i - 1L as begin)))"))
+        cuts = wide.withColumn("cut", F.explode(F.expr(f"sequence(0L, size - {MATCH}L, {STEP}L)")))
+        cuts = cuts.withColumn("start", F.expr("start + cut")).withColumn("size", F.expr(f"least(size - cut, {STEP + MATCH - 1}L)"))
+        windows = strip_bytes(texts, cuts).select(*DIGEST, "first_id", F.expr(f"inline(transform(sequence(1, length(strip) - {MATCH - 1}), i -> struct(substring(strip, i, {MATCH}) as window, cut + i - 1 as begin)))"))
         least = windows.groupBy("window").agg(F.min("first_id").alias("least"))
-        judged = judged.union(windows.join(least, "window").where("least < first_id").select("key", "hash", "first_id", "begin", F.col("begin") + MATCH))
-    runs = judged.groupBy("hash").agg(F.collect_list(F.struct("begin", "end")).alias("runs"))
-    verdicts = save(owners.join(runs, "hash", "left").select("hash", "first_id", "runs"), "verdicts")
-    slim = found.select("id", "mark", "hash", (F.shiftleft("start", 32) + F.col("size")).alias("place"))
-    both = slim.join(verdicts, "hash").where("id > first_id or runs is not null")
+        hits = windows.join(least, "window").where("least < first_id").withColumn("island", F.expr("begin - row_number() over (partition by high, low order by begin)"))
+        judged = judged.union(hits.groupBy(*DIGEST, "island").agg(F.min("begin").alias("begin"), (F.max("begin") + MATCH).alias("end")).select(*DIGEST, "begin", "end"))
+    runs = judged.groupBy(*DIGEST).agg(F.collect_list(F.struct("begin", "end")).alias("runs"))
+    verdicts = save(owners.join(runs, DIGEST, "left").select(*DIGEST, "first_id", "runs"), "verdicts")
+    slim = found.select("id", "mark", *DIGEST, (F.shiftleft("start", 32) + F.col("size")).alias("place"))
+    both = slim.join(verdicts, DIGEST).where("id > first_id or runs is not null")
     start, size = F.shiftright("place", 32), F.col("place").bitwiseAND(F.lit(0xFFFFFFFF))
     spans = F.when(F.col("id") > F.col("first_id"), F.array(F.struct(start.alias("begin"), (start + size).alias("end")))).otherwise(F.transform("runs", lambda r: F.struct((start + r["begin"]).alias("begin"), (start + r["end"]).alias("end"))))
     return save(both.select("id", "mark", F.inline(spans)).groupBy("id", "mark").agg(F.collect_set(F.struct("begin", "end")).alias("spans")), "spans")
