@@ -3,6 +3,7 @@ import re
 
 import pytest
 
+from quillstack.llm import components as components_module
 from quillstack.llm import ngram_join
 from quillstack.llm.components import components
 
@@ -79,3 +80,33 @@ def test_large_group_of_near_copies(spark):
 def test_components(spark, edges, want):
     got = components(spark.createDataFrame(edges, "a long, b long"))
     assert {r["node"]: r["component"] for r in got.collect()} == want
+
+
+def test_components_in_rounds(spark, monkeypatch):
+    """More edges than a task joins: forests first, then labels until none changes."""
+    monkeypatch.setattr(components_module, "FOREST", 7)
+    edges = [(i, i + 1) for i in range(0, 60) if i % 20 != 19] + [(100 + i % 5, 100 + i * 3 % 5) for i in range(12)] + [(60, 70), (70, 60), (None, 3), (9, 9)]
+    boss = {x: x for e in edges if None not in e for x in e}
+    for _ in boss:
+        for a, b in edges:
+            if a is not None:
+                boss[a] = boss[b] = min(boss[a], boss[b])
+    got = components(spark.createDataFrame(edges, "a long, b long"))
+    assert {r["node"]: r["component"] for r in got.collect()} == boss
+
+
+def test_tiny_limits(spark, monkeypatch):
+    """Every list is long, cut into sublists and shares, and no table is small enough for a broadcast."""
+    for name, value in {"SUBLIST": 3, "LONG": 4, "SHARE": 2, "SMALL_IDS": 0, "SMALL_PAIRS": 0, "BLOCK": 2}.items():
+        monkeypatch.setattr(ngram_join, name, value)
+    words = [f"u{i}" for i in range(50)]
+    rows = []
+    for k in range(40):  # near copies, copies that differ too much, and chains of them
+        own = words.copy()
+        for j in range(k % 4):
+            own[(k * 7 + j * 13) % 50] = f"x{k}y{j}"
+        rows.append((k, " ".join(own[k % 3 :])))
+    rows += [(40, rows[0][1]), (41, rows[0][1].upper()), (42, ""), (43, None), (44, "u1 u2")]
+    got = ngram_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    want, _ = brute(rows)
+    assert {r["doc_id"]: r["component_id"] for r in got} == want and len(set(want.values())) < 45
