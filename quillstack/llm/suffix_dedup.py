@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .scratch import save
+from .scratch import Save, room, save
 from .suffix_array import equal_runs, two_stage
 from .textbytes import Spans, pieces, utf8
 
@@ -235,14 +235,28 @@ def repeated_windows(rows: DataFrame) -> DataFrame:
 def repeats(docs: DataFrame) -> DataFrame:
     """(id, mark, spans): the byte spans of each text that go, with overlaps; texts that stay whole don't appear."""
     texts = with_identity(docs).where(F.octet_length("text") >= MATCH)
-    shared = save(shared_keys(keys_of(texts)), "keys")
-    found = save(strip_places(texts, shared), "strips")  # repeated rows have their strips twice, which does no harm
-    owners = save(found.groupBy("key", *DIGEST).agg(F.min("id").alias("first_id"), F.max("size").alias("size")), "owners")
+    spark = docs.sparkSession
+    with room(spark) as keep:  # each table goes as soon as no later step reads it
+        with room(spark) as keep_keys:
+            shared = keep_keys(shared_keys(keys_of(texts)), "keys")
+            found = keep(strip_places(texts, shared), "strips")  # repeated rows have their strips twice, which does no harm
+        with room(spark) as keep_owners:
+            verdicts = keep(verdicts_of(texts, found, keep_owners), "verdicts")
+        slim = found.select("id", "mark", *DIGEST, (F.shiftleft("start", 32) + F.col("size")).alias("place"))
+        both = slim.join(verdicts, DIGEST).where("id > first_id or runs is not null")
+        start, size = F.shiftright("place", 32), F.col("place").bitwiseAND(F.lit(0xFFFFFFFF))
+        spans = F.when(F.col("id") > F.col("first_id"), F.array(F.struct(start.alias("begin"), (start + size).alias("end")))).otherwise(F.transform("runs", lambda r: F.struct((start + r["begin"]).alias("begin"), (start + r["end"]).alias("end"))))
+        return save(both.select("id", "mark", F.inline(spans)).groupBy("id", "mark").agg(F.collect_set(F.struct("begin", "end")).alias("spans")), "spans")
+
+
+def verdicts_of(texts: DataFrame, found: DataFrame, keep: Save) -> DataFrame:
+    """(high, low, first_id, runs) for each distinct strip: its first document, and the windows that a smaller id has in another strip."""
+    owners = keep(found.groupBy("key", *DIGEST).agg(F.min("id").alias("first_id"), F.max("size").alias("size")), "owners")
     contested = owners.groupBy("key").agg(F.count("*").alias("strips"), F.sum("size").alias("bytes"), F.min("first_id").alias("x"), F.max("first_id").alias("y"))
-    contested = save(contested.where("strips > 1 and x <> y").select("key", "bytes"), "contested")
+    contested = keep(contested.where("strips > 1 and x <> y").select("key", "bytes"), "contested")
     rivals = owners.join(contested, "key").select(*DIGEST, F.col("first_id").alias("id"), "bytes")
     first = found.join(rivals, [*DIGEST, "id"]).groupBy("key", *DIGEST, "id").agg(F.min(F.struct("mark", "start", "size")).alias("at"), F.first("bytes").alias("bytes"))
-    first = save(first.select("id", "at.*", "key", *DIGEST, F.lit(0).cast("long").alias("cut"), "bytes"), "rivals")
+    first = keep(first.select("id", "at.*", "key", *DIGEST, F.lit(0).cast("long").alias("cut"), "bytes"), "rivals")
     whole = strip_bytes(texts, first.where(F.col("bytes") <= WIDE))
     judged = repeated_windows(whole.repartition("key").sortWithinPartitions("key"))
     wide = first.where(F.col("bytes") > WIDE)
@@ -254,12 +268,7 @@ def repeats(docs: DataFrame) -> DataFrame:
         hits = windows.join(least, "window").where("least < first_id").withColumn("island", F.expr("begin - row_number() over (partition by high, low order by begin)"))
         judged = judged.union(hits.groupBy(*DIGEST, "island").agg(F.min("begin").alias("begin"), (F.max("begin") + MATCH).alias("end")).select(*DIGEST, "begin", "end"))
     runs = judged.groupBy(*DIGEST).agg(F.collect_list(F.struct("begin", "end")).alias("runs"))
-    verdicts = save(owners.join(runs, DIGEST, "left").select(*DIGEST, "first_id", "runs"), "verdicts")
-    slim = found.select("id", "mark", *DIGEST, (F.shiftleft("start", 32) + F.col("size")).alias("place"))
-    both = slim.join(verdicts, DIGEST).where("id > first_id or runs is not null")
-    start, size = F.shiftright("place", 32), F.col("place").bitwiseAND(F.lit(0xFFFFFFFF))
-    spans = F.when(F.col("id") > F.col("first_id"), F.array(F.struct(start.alias("begin"), (start + size).alias("end")))).otherwise(F.transform("runs", lambda r: F.struct((start + r["begin"]).alias("begin"), (start + r["end"]).alias("end"))))
-    return save(both.select("id", "mark", F.inline(spans)).groupBy("id", "mark").agg(F.collect_set(F.struct("begin", "end")).alias("spans")), "spans")
+    return owners.join(runs, DIGEST, "left").select(*DIGEST, "first_id", "runs")
 
 
 def merged(begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
