@@ -12,6 +12,11 @@ VIDEO_EXTENSIONS = ("mp4", "mkv", "mov", "avi", "webm", "m4v", "ts", "flv", "wmv
 PHOTO_EXTENSIONS = ("jpg", "jpeg", "png", "webp", "gif", "bmp", "heic")
 LONGEST_NAME = 180
 LONGEST_COMPONENT = 80
+SEPARATORS = r"[_\-.()\[\]{}【】]+"
+BETWEEN_TOKENS = r"\s+|,|，|、|\|"
+NAME_DATE = r"20\d{2}[-_年.]?\d{1,2}[-_月.]?\d{1,2}"
+NAME_RESOLUTION = r"(?:[1-9]\d{2,4})[xX×](?:[1-9]\d{2,4})|(?:2160|1440|1080|720)[pP]|4[kK]"
+NAME_CODE = r"\b[A-Z]{2,6}[-_ ]?\d{2,6}\b"
 CREATED = r"(20\d\d)[-:]?(\d\d)[-:]?(\d\d)[T _:]?(\d\d)?[:]?(\d\d)?[:]?(\d\d)?"  # a date, and as much of a time as there is
 SAMPLE_BANDS = ((45, 3), (180, 5), (600, 8), (1800, 12))  # (seconds below, times)
 MOST_BAND = 16
@@ -24,38 +29,44 @@ def media_type(ext: Column) -> Column:
 
 
 def normalized_text(text: Column) -> Column:
-    """Separators become single spaces."""
-    return F.trim(F.regexp_replace(text, r"[\s_.,;:|/()\[\]{}+-]+", " "))
+    """Runs of separators become single spaces; white space at the ends goes."""
+    return F.regexp_replace(F.regexp_replace(text, SEPARATORS, " "), r"(?U)^\s+|\s+$", "")
 
 
 def split_tokens(text: Column, longest: int = 40) -> Column:
-    """Words of the normalized text, without those over `longest`."""
-    return F.filter(F.split(normalized_text(text), " "), lambda t: (F.length(t) > 0) & (F.length(t) <= longest))
+    """Words of the normalized text between white space, commas and bars, without those over `longest`."""
+    return F.filter(F.split(normalized_text(text), f"(?U){BETWEEN_TOKENS}"), lambda t: (F.length(t) > 0) & (F.length(t) <= longest))
+
+
+def name_text(name: Column) -> Column:
+    """The normalized text of a name without its folders and its extension, in which the patterns of names are searched."""
+    return normalized_text(F.regexp_replace(F.regexp_extract(name, r"([^/]*)/*$", 1), r"(?s)^(.+)\.[^.]+$", "$1"))
+
+
+def first_found(text: Column, pattern: str) -> Column:
+    """The first place that the pattern hits, in whatever case and as it stands, or null."""
+    return F.nullif(F.regexp_extract(text, f"(?iU){pattern}", 0), F.lit(""))
 
 
 def name_date(name: Column) -> Column:
-    """yyyy-MM-dd of the first eight-digit or dashed date from 1990 to 2099, or null."""
-    pattern = r"(?<![0-9])((?:199|20[0-9])[0-9])[-_.]?(0[1-9]|1[0-2])[-_.]?(0[1-9]|[12][0-9]|3[01])(?![0-9])"
-    found = F.concat_ws("-", *(F.regexp_extract(name, pattern, i) for i in (1, 2, 3)))
-    return F.when(found != "--", found)
+    """The first date from 2000 on. Dashes and dots are spaces by then, so its digits stand together or between the signs for year and month."""
+    return first_found(name_text(name), NAME_DATE)
 
 
 def name_resolution(name: Column) -> Column:
-    """WxH of the first resolution in a name, or null."""
-    found = F.concat_ws("x", F.regexp_extract(name, r"([1-9][0-9]{2,4})[xX]([1-9][0-9]{2,4})", 1), F.regexp_extract(name, r"([1-9][0-9]{2,4})[xX]([1-9][0-9]{2,4})", 2))
-    return F.when(found != "x", found)
+    """The first resolution in a name, by both sides or by lines, or null."""
+    return first_found(name_text(name), NAME_RESOLUTION)
 
 
 def name_quality(name: Column) -> Column:
-    """4K before 1080P before 720P, whichever a name has, or null."""
-    low = F.lower(name)
-    return F.when(low.rlike("4k|2160p"), "4K").when(low.contains("1080p"), "1080P").when(low.contains("720p"), "720P")
+    """4K before 1080P before 720P, whichever a name has, else its resolution, or null."""
+    low = F.lower(name_text(name))
+    return F.when(low.rlike("4k|2160p"), "4K").when(low.contains("1080p"), "1080P").when(low.contains("720p"), "720P").otherwise(name_resolution(name))
 
 
 def name_code(name: Column) -> Column:
-    """The first code of two to six letters, a dash and two to five digits, in capitals, or null."""
-    found = F.upper(F.regexp_extract(name, r"(?<![A-Za-z0-9])([A-Za-z]{2,6}-[0-9]{2,5})(?![A-Za-z0-9])", 1))
-    return F.when(found != "", found)
+    """The first code of two to six letters and two to six digits, with or without a space between them, or null."""
+    return first_found(name_text(name), NAME_CODE)
 
 
 def first_rule(text: Column, rules: Sequence[tuple[str, str]]) -> Column:
@@ -64,8 +75,8 @@ def first_rule(text: Column, rules: Sequence[tuple[str, str]]) -> Column:
 
 
 def parse_name(name: Column, platform_rules: Sequence[tuple[str, str]] = ()) -> Column:
-    """A struct of date, resolution, code, quality and platform."""
-    return F.struct(name_date(name).alias("date"), name_resolution(name).alias("resolution"), name_code(name).alias("code"), name_quality(name).alias("quality"), first_rule(F.lower(name), platform_rules).alias("platform"))
+    """A struct of date, resolution, code, quality and platform, all of them from the name_text; the rules' patterns meet it in lower case."""
+    return F.struct(name_date(name).alias("date"), name_resolution(name).alias("resolution"), name_code(name).alias("code"), name_quality(name).alias("quality"), first_rule(F.lower(name_text(name)), platform_rules).alias("platform"))
 
 
 def hash8_from_name(name: Column) -> Column:
@@ -163,3 +174,8 @@ def sample_points(duration: Column, least: int = 3, most: int = 18) -> Column:
 def fill_probe(probed: Column, old: Column) -> Column:
     """The probed value where there is one, else the old."""
     return F.coalesce(probed, old)
+
+
+def fill_resolution(width: Column, height: Column, old: Column) -> Column:
+    """WxH of a probe that has both, neither of them 0, else the old resolution."""
+    return F.when((width != 0) & (height != 0), F.concat_ws("x", width.cast("string"), height.cast("string"))).otherwise(old)

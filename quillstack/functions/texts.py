@@ -39,8 +39,9 @@ def segments_to_vtt(segments: Column, mode: str = "text") -> Column:
 
 
 def strip_markup_tokens(text: Column) -> Column:
-    """(marks, clean): the names in `<|...|>` and the text without them."""
-    return F.struct(F.regexp_extract_all(text, F.lit(r"<\|([^|<>]*)\|>"), F.lit(1)).alias("marks"), F.trim(F.regexp_replace(text, r"<\|[^|<>]*\|>", "")).alias("clean"))
+    """(marks, clean): the names in `<|...|>`, none of them empty, and the text without them, with single spaces."""
+    bare = F.regexp_replace(text, r"<\|[^|<>]+\|>", "")
+    return F.struct(F.regexp_extract_all(text, F.lit(r"<\|([^|<>]+)\|>"), F.lit(1)).alias("marks"), F.trim(F.regexp_replace(bare, r"(?U)\s+", " ")).alias("clean"))
 
 
 def semantic_tokens(text: Column, longest: int = 48) -> Column:

@@ -1,7 +1,7 @@
 """The review gate. Every operator that lists or scores items takes those that passed it; only a person's verdict clears an item.
 
 Those that must see items in review, to route them or to keep their rows, take them by `routed` and hand their review_state on:
-windows.mark_duplicates, windows.plan_names, joins.delete_unseen, reports.scan_summary, and the queue and tombstones here.
+windows.mark_duplicates, windows.plan_names, joins.delete_unseen, joins.fill_probes, reports.scan_summary, and the queue and tombstones here.
 """
 
 from __future__ import annotations

@@ -8,9 +8,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.names import fill_probe, fill_resolution
 from ..lineage import written
 from .gate import passed, routed
 
+GOOD_PROBES = ("ok", "partial")
+
 
 def last_by(df: DataFrame, key: str, order: str) -> DataFrame:
     return df.withColumn("_rn", F.row_number().over(Window.partitionBy(key).orderBy(F.desc(order)))).where("_rn = 1").drop("_rn")
@@ -98,6 +101,21 @@ def movement_log(applied: DataFrame, planned: DataFrame, duplicates: DataFrame)
     return log.withColumn("_rn", rank).where("_rn = 1").select("source", "dest", "kind")
 
 
+def fill_probes(items: DataFrame, probes: DataFrame) -> DataFrame:
+    """Items with what their last good probe found; what it lacks stays as it was, and so do items without one.
+
+    probes (item_id, probed_at, status, width, height, duration) count if their status is one of GOOD_PROBES; of those with
+    one time the largest values win, null last. The resolution is that of a probe with both sides. Items in review are kept
+    like others, with their review_state.
+    """
+    good = probes.where(F.col("status").isin(*GOOD_PROBES)).groupBy("item_id").agg(F.max(F.struct("probed_at", "width", "height", "duration")).alias("_probe"))
+    old = routed(items)
+    old = old if "resolution" in old.columns else old.withColumn("resolution", F.lit(None).cast("string"))
+    filled = {c: fill_probe(F.col(f"_probe.{c}"), F.col(c)) for c in ("width", "height", "duration")}
+    filled["resolution"] = fill_resolution(F.col("_probe.width"), F.col("_probe.height"), F.col("resolution"))
+    return old.join(good, "item_id", "left").withColumns(filled).drop("_probe")
+
+
 def incremental_only(new: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
     return new.join(done.select(keys).distinct(), keys, "left_anti")
 

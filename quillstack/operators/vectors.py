@@ -138,12 +138,15 @@ def hashed_text_vector_blake2b(tokens: pd.Series) -> pd.Series:
 
 @F.pandas_udf(T.BinaryType())
 def pack_vector(vector: pd.Series) -> pd.Series:
-    return vector.map(lambda v: None if v is None else np.asarray(v, "<f4").tobytes())
+    """Little-endian 32-bit floats; no bytes for a null or empty vector."""
+    return vector.map(lambda v: b"" if v is None else np.asarray(v, "<f4").tobytes())
 
 
 @F.pandas_udf(T.ArrayType(T.FloatType()))
-def unpack_vector(blob: pd.Series) -> pd.Series:
-    return blob.map(lambda b: None if b is None else np.frombuffer(b, "<f4").tolist())
+def unpack_vector(blob: pd.Series, dim: pd.Series) -> pd.Series:
+    """The first dim floats; an empty vector where there are fewer, or no bytes, or no positive dim."""
+    whole = [(b, 0 if pd.isna(d) else int(d)) for b, d in zip(blob, dim)]
+    return pd.Series([np.frombuffer(b, "<f4", d).tolist() if b and d > 0 and len(b) >= 4 * d else [] for b, d in whole], dtype=object)
 
 
 def placed_vectors(items: DataFrame, rows: DataFrame, done: DataFrame) -> DataFrame:

@@ -122,16 +122,18 @@ def storage_by_type(spark, d):
 
 
 @query(r"""
-select item_id, media_type, case when item_id % 3 = 0 then '2024-' || lpad((item_id % 12 + 1)::varchar, 2, '0') || '-' || lpad((item_id % 28 + 1)::varchar, 2, '0') end as date,
-  case when item_id % 3 = 0 then '1920x1080' end as resolution, nullif(upper(regexp_extract(filename, '(^|[^A-Za-z0-9])([A-Za-z]{2,6}-[0-9]{2,5})([^A-Za-z0-9]|$)', 2)), '') as code,
-  case when contains(lower(filename), '4k') then '4K' when contains(lower(filename), '1080p') then '1080P' when contains(lower(filename), '720p') then '720P' end as quality,
-  case when regexp_matches(lower(filename), '^vid_') then 'camera' when contains(lower(filename), 'clip') then 'editor' end as platform,
+with s as (select *, trim(regexp_replace(regexp_replace(filename, '\.[^.]+$', ''), '[_\-.()\[\]{}【】]+', ' ', 'g')) as t from live),
+p as (select *, nullif(regexp_extract(t, '20\d{2}[-_年.]?\d{1,2}[-_月.]?\d{1,2}'), '') as date, nullif(regexp_extract(t, '[1-9]\d{2,4}[xX×][1-9]\d{2,4}|(2160|1440|1080|720)[pP]|4[kK]'), '') as resolution,
+  nullif(regexp_extract(t, '(?i)\b[A-Z]{2,6}[-_ ]?\d{2,6}\b'), '') as code from s)
+select item_id, media_type, date, resolution, code,
+  case when regexp_matches(t, '4[kK]|2160[pP]') then '4K' when regexp_matches(t, '1080[pP]') then '1080P' when regexp_matches(t, '720[pP]') then '720P' else resolution end as quality,
+  case when regexp_matches(lower(t), '^vid ') then 'camera' when contains(lower(t), 'clip') then 'editor' end as platform,
   nullif(lower(regexp_extract(filename, '([0-9A-Fa-f]{8})(\.[^.]+)?$', 1)), '') as hash8,
   regexp_matches(filename, '^(VID|IMG)_[0-9]{8}.*_[0-9a-fA-F]{8}\.[A-Za-z0-9]+$') as normalized
-from live""")
+from p""")
 def names_parsed(spark, d):
     f = F.col("filename")
-    rows = live_items(spark, d).select("item_id", "media_type", names.parse_name(f, [("^vid_", "camera"), ("clip", "editor")]).alias("p"), names.hash8_from_name(f).alias("hash8"), names.is_normalized_name(f).alias("normalized"))
+    rows = live_items(spark, d).select("item_id", "media_type", names.parse_name(f, [("^vid ", "camera"), ("clip", "editor")]).alias("p"), names.hash8_from_name(f).alias("hash8"), names.is_normalized_name(f).alias("normalized"))
     return rows.select("item_id", "media_type", "p.date", "p.resolution", "p.code", "p.quality", "p.platform", "hash8", "normalized")
 
 
@@ -148,7 +150,7 @@ def name_slugs(spark, d):
 
 
 @query(r"""
-with t as (select page_id, unnest(string_split(trim(regexp_replace(url, '[\s_.,;:|/()\[\]{}+-]+', ' ', 'g')), ' ')) as token from pages),
+with t as (select page_id, unnest(string_split_regex(regexp_replace(url, '[_\-.()\[\]{}【】]+', ' ', 'g'), '\s+|,|，|、|\|')) as token from pages),
 j as (select token, lower(token) as c from t where length(token) between 1 and 40)
 select token, count(*) as n, (regexp_matches(c, '^[0-9]+$') or regexp_matches(c, '^[0-9a-f]{8,}$') or length(c) < 2 or length(c) > 32) as junk from j group by token, c""", items=False)
 def url_tokens(spark, d):
@@ -196,6 +198,15 @@ def segments_to_vtt(spark, d):
     return rows.select("conv_id", texts.segments_to_vtt(F.col("s")).alias("vtt"))
 
 
+@query(r"""
+with r as (select conv_id, turn, '<|' || role || '|>  ' || coalesce(text, '') || ' <|turn' || turn::varchar || '|>' as raw from conversations)
+select conv_id, turn, array_to_string(regexp_extract_all(raw, '<\|([^|<>]+)\|>', 1), ',') as marks, trim(regexp_replace(regexp_replace(raw, '<\|[^|<>]+\|>', '', 'g'), '\s+', ' ', 'g')) as clean from r""", items=False)
+def markup_tokens(spark, d):
+    raw = F.concat(F.lit("<|"), "role", F.lit("|>  "), F.coalesce("text", F.lit("")), F.lit(" <|turn"), F.col("turn").cast("string"), F.lit("|>"))
+    rows = table(spark, d, "conversations").select("conv_id", "turn", texts.strip_markup_tokens(raw).alias("x"))
+    return rows.select("conv_id", "turn", F.array_join("x.marks", ",").alias("marks"), "x.clean")
+
+
 @query(r"""
 with t as (select item_id, unnest(regexp_extract_all(lower(text), '([\p{L}\p{N}_-]+)', 1)) as w from live),
 c as (select item_id, substr(regexp_replace(w, '^[_-]+|[_-]+$', '', 'g'), 1, 48) as w from t)
@@ -249,6 +260,31 @@ def missing_probe(spark, d):
     return readers.missing_probe(live_items(spark, d)).select("item_id", "media_type")
 
 
+@query("select item_id from live where sha256 is null or item_id % 9 < 2")
+def missing_hash(spark, d):
+    hashed = F.when(F.col("item_id") % 9 == 1, "").when(F.col("item_id") % 9 > 1, F.col("sha256"))
+    return readers.missing_hash(live_items(spark, d).withColumn("sha256", hashed)).select("item_id")
+
+
+@query("""
+with p as (select user_id as item_id, ts, case when event_id % 7 <> 0 then (event_id % 5 * 640)::int end as w, (event_id % 3 * 360)::int as h, case when event_id % 4 <> 0 then value end as dur from events where event_id % 11 <> 0),
+g as (select * from p qualify row_number() over (partition by item_id order by ts desc, w desc nulls last, h desc nulls last, dur desc nulls last) = 1)
+select item_id, review_state, coalesce(w, width) as width, coalesce(h, height) as height, coalesce(dur, duration) as duration, case when w <> 0 and h <> 0 then w::varchar || 'x' || h::varchar when item_id % 2 = 0 then '800x600' end as resolution from items left join g using (item_id)""")
+def fill_probes(spark, d):
+    items = all_items(spark, d).select("item_id", "review_state", "width", "height", "duration", F.when(F.col("item_id") % 2 == 0, "800x600").alias("resolution"))
+    i = F.col("event_id")
+    status = F.when(i % 11 == 0, "failed").when(i % 2 == 0, "ok").otherwise("partial").alias("status")
+    sides = F.when(i % 7 != 0, (i % 5 * 640).cast("int")).alias("width"), (i % 3 * 360).cast("int").alias("height")
+    probes = table(spark, d, "events").select(F.col("user_id").alias("item_id"), F.col("ts").alias("probed_at"), status, *sides, F.when(i % 4 != 0, F.col("value")).alias("duration"))
+    return joins.fill_probes(items, probes)
+
+
+@query("select item_id, filename from live where item_id in (select doc_id from labels where toxic is distinct from 1) or (item_id in (select item_id from tags where tag = 'hd') and item_id not in (select doc_id from labels where toxic = 1))")
+def items_with_tag(spark, d):
+    items = all_items(spark, d)
+    return search.with_tag(items, tagging.feedback_overlay(all_tags(spark, d), feedback(spark, d)), "hd").select("item_id", "filename")
+
+
 @query("select item_id from live where item_id not in (select item_id from (select conv_id as item_id, string_agg(text, chr(10) order by turn, text) as text from conversations group by conv_id) where length(text) > 100)")
 def needs_timed_rerun(spark, d):
     rows = transcripts(spark, d)
@@ -689,6 +725,16 @@ def grid() -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(71)), lambda i: F.get("embedding", i % F.size("embedding")))
 
 
+@query("""
+with v as (select vec_id, embedding, vec_id % 80 as dim from embeddings),
+u as (select vec_id, 4 * len(embedding) as n_bytes, embedding, unnest(range(1, case when dim <= len(embedding) then dim else 0 end + 1)) as place from v)
+select vec_id, n_bytes::bigint as n_bytes, place::bigint as place, embedding[place]::double as x from u""", items=False)
+def packed_vectors(spark, d):
+    rows = table(spark, d, "embeddings").select("vec_id", vectors.pack_vector("embedding").alias("blob"))
+    places = rows.select("vec_id", F.octet_length("blob").cast("long").alias("n_bytes"), F.posexplode(vectors.unpack_vector("blob", F.col("vec_id") % 80)).alias("i", "x"))
+    return places.select("vec_id", "n_bytes", (F.col("i") + 1).cast("long").alias("place"), F.col("x").cast("double").alias("x"))
+
+
 @query("with " + DHASH + " select item_id as vec_id, signature as dhash from p", items=False)
 def dhash(spark, d):
     return dhashes(spark, d)

@@ -16,7 +16,13 @@ def test_media_type(spark):
 
 def test_parse_name(spark):
     got = one(spark, n.parse_name(F.col("a"), [("clip", "editor")]), a=("abc-123 clip 2024_03_05 1280x720 1080p 4K.mp4", "string"))
-    assert (got["date"], got["resolution"], got["code"], got["quality"], got["platform"]) == ("2024-03-05", "1280x720", "ABC-123", "4K", "editor")
+    assert (got["date"], got["resolution"], got["code"], got["quality"], got["platform"]) == (None, "1280x720", "abc 123", "4K", "editor")
+    got = one(spark, n.parse_name(F.col("a")), a=("a.b/IMG_20240305【x】1440p.x.jpg", "string"))
+    assert (got["date"], got["resolution"], got["code"], got["quality"]) == ("20240305", "1440p", None, "1440p")
+    got = one(spark, n.parse_name(F.col("a")), a=("2024年3月5 Clip-0123456 AB99 900×800", "string"))
+    assert (got["date"], got["resolution"], got["code"], got["quality"]) == ("2024年3月5", "900×800", "AB99", "900×800")
+    assert set(one(spark, n.parse_name(F.col("a")), a=(None, "string")).asDict().values()) == {None}
+    assert one(spark, n.split_tokens(F.col("a")), a=(" one_two,three、a:b|【c】\u00a0d " + "x" * 41, "string")) == ["one", "two", "three", "a:b", "c", "d"]
     empty = one(spark, n.parse_name(F.col("a")), a=("plain", "string"))
     assert set(empty.asDict().values()) == {None}
 
@@ -92,6 +98,8 @@ def test_timed_segments_and_vtt(spark):
 def test_text_functions(spark):
     got = one(spark, t.strip_markup_tokens(F.col("a")), a=("<|en|> hi <|x|>there", "string"))
     assert (got["marks"], got["clean"]) == (["en", "x"], "hi there")
+    got = one(spark, t.strip_markup_tokens(F.col("a")), a=("a\n <|x|> b <||>\u00a0c<|y|>", "string"))
+    assert (got["marks"], got["clean"]) == (["x", "y"], "a b <||> c")
     assert one(spark, t.semantic_tokens(F.col("a")), a=("A _Bc- déf x", "string")) == ["bc", "déf"]
     assert one(spark, t.semantic_text(F.col("a"), F.col("b")), a=(" ", "string"), b=("y", "string")) == "y"
     assert one(spark, t.clean_filters(F.col("a"), ["x"]), a=('{"x":"1","y":"2"}', "string")) == {"x": "1"}

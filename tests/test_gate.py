@@ -91,6 +91,7 @@ COUNTS = {  # (words or numbers that only items in review would make)
 ROUTED = {  # these keep items in review, with their review_state, or count them
     windows.mark_duplicates: lambda s, x: windows.mark_duplicates(x),
     windows.plan_names: lambda s, x: windows.plan_names(x.select("item_id", "path", *(c for c in x.columns if c == "review_state"), F.lit("mp4").alias("ext"), F.lit("single").alias("duplicate_role"), F.lit(None).cast("string").alias("probe_error"), F.lit("c").alias("category"), F.lit("20240101").alias("date_key"), F.lit("s").alias("slug"))),
+    joins.fill_probes: lambda s, x: joins.fill_probes(x, none(s, "item_id long, probed_at timestamp, status string, width int, height int, duration double")),
     joins.delete_unseen: lambda s, x: joins.delete_unseen(x, items(s), "r"),
     reports.scan_summary: lambda s, x: reports.scan_summary(x.withColumns({"action": F.lit("keep"), "flags": F.array(), "duplicate": F.lit(False)})),
     gate.review_queue: lambda s, x: gate.review_queue(x, all_tags(s), "none", 10),

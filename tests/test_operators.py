@@ -1,3 +1,5 @@
+import hashlib
+import struct
 from datetime import datetime
 
 import numpy as np
@@ -213,8 +215,11 @@ def test_coverage_and_gate(spark):
 
 def test_vectors_round_trip(spark):
     rows = spark.createDataFrame([([1.0, 2.5],), (None,)], "v array<double>")
-    back = rows.select(vectors.unpack_vector(vectors.pack_vector("v")).alias("v")).collect()
-    assert [r["v"] for r in back] == [[1.0, 2.5], None]
+    packed = rows.select(vectors.pack_vector("v").alias("b"))
+    assert [bytes(r["b"]) for r in packed.collect()] == [struct.pack("<2f", 1.0, 2.5), b""]
+    for dim, want in ((2, [1.0, 2.5]), (1, [1.0]), (3, []), (0, []), (None, [])):
+        back = packed.select(vectors.unpack_vector("b", F.lit(dim).cast("int")).alias("v")).collect()
+        assert [r["v"] for r in back] == [want, []]
     blake = spark.createDataFrame([(["a", "b"],)], "t array<string>").select(vectors.hashed_text_vector_blake2b("t").alias("v")).first()["v"]
     assert abs(sum(x * x for x in blake) - 1) < 1e-9
 
@@ -264,6 +269,27 @@ def test_missing_and_filled(spark):
     assert [r[0] for r in probes.orderBy("item_id").select(names.fill_probe(F.col("probed"), F.col("old"))).collect()] == [5, 7, None]
 
 
+def test_fill_probes(spark):
+    """The last good probe counts, null and zero sides make no resolution, and items in review stay so."""
+    rows = spark.createDataFrame([(i, "review" if i == 4 else "normal", 1, 2, 3.0, "1x2") for i in range(1, 6)], "item_id long, review_state string, width int, height int, duration double, resolution string")
+    at = [datetime(2024, 1, day) for day in (1, 2, 3)]
+    found = [(1, at[0], "ok", 9, 9, 9.0), (1, at[1], "partial", 5, None, 6.0), (1, at[2], "failed", 7, 7, 7.0), (2, at[0], "ok", 0, 4, None), (3, at[0], "ok", 6, 8, None), (3, at[0], "ok", 6, 8, None), (4, at[0], "ok", 6, 8, 1.5), (9, at[0], "ok", 1, 1, 1.0)]
+    probes = spark.createDataFrame(found, "item_id long, probed_at timestamp, status string, width int, height int, duration double")
+    got = {r["item_id"]: tuple(r)[1:] for r in joins.fill_probes(rows, probes).select("item_id", "review_state", "width", "height", "duration", "resolution").collect()}
+    assert got == {1: ("normal", 5, 2, 6.0, "1x2"), 2: ("normal", 0, 4, 3.0, "1x2"), 3: ("normal", 6, 8, 3.0, "6x8"), 4: ("review", 6, 8, 1.5, "6x8"), 5: ("normal", 1, 2, 3.0, "1x2")}
+    assert joins.fill_probes(rows.drop("resolution"), probes.limit(0)).where("resolution is null").count() == 5
+
+
+def test_partial_hash_of_large_contents(spark):
+    """Over two megabytes the last one counts as well; what lies between does not."""
+    mb = 1 << 20
+    contents = [b"", b"a" * 10, b"a" * mb + b"b" * mb, b"a" * mb + b"b" * mb + b"c", b"a" * mb + b"x" * 9 + b"c" * mb, b"a" * mb + b"y" * 9 + b"c" * mb]
+    rows = spark.createDataFrame([(i, bytearray(c)) for i, c in enumerate(contents)], "i int, content binary")
+    got = [r["h"] for r in rows.orderBy("i").select(vectors.partial_hash(F.col("content")).alias("h")).collect()]
+    want = [hashlib.sha256(c[:mb] + (c[-mb:] if len(c) > 2 * mb else b"") + str(len(c)).encode()).hexdigest() for c in contents]
+    assert got == want and len(set(got)) == 5
+
+
 def test_last_line_of_many_blocks(spark, tmp_path):
     """The last line of a path wins, also where a file is read in many blocks."""
     lines = [f'{{"media_path":"p{i % 7}","model":"m","pretrained":"p","embedding":[{i}.0]}}' for i in range(2000)]
