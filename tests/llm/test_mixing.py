@@ -62,6 +62,44 @@ def test_chunks_grow_with_the_rows(spark, monkeypatch):
     check(rows, 0.05)
 
 
+def drawn(sizes, seed):
+    """The draws of each source, as the method has them: a multinomial for each shard."""
+    goals = mixing.targets(sizes, [1 + i % 3 for i in range(len(sizes))])
+    slots = np.array([round(g) for g in goals])
+    shards = -(-slots.sum() // mixing.SHARD_SLOTS)
+    each = -(-slots.sum() // shards)
+    draws = [np.random.Generator(np.random.Philox([seed, s])).multinomial(min(each, slots.sum() - s * each), slots / slots.sum()) for s in range(shards)]
+    return np.array(draws), slots
+
+
+@pytest.mark.parametrize("seed", [17, 18])
+def test_draws_decide_what_is_taken(spark, seed):
+    """Blocks of one word: a source's words in a shard are its draw there, and its words in all the sum of its draws."""
+    rows = spark.range(300).selectExpr("id as doc_id", "repeat('w ', 190 + id % 21) as text", "concat('s', id % 3) as source")
+    got = mixing.mix_sources(rows, block_words=1, seed=seed).select("doc_id", "source", "size", "taken").collect()
+    sizes = [sum(r["size"] for r in got if r["source"] == f"s{i}") for i in range(3)]
+    draws, slots = drawn(sizes, seed)
+    assert (abs(draws.sum(0) - slots) <= mixing.NEAR * slots).all() and (draws.sum(0) != slots).any()
+    assert [sum(r["taken"] for r in got if r["source"] == f"s{i}") for i in range(3)] == draws.sum(0).tolist()
+    spans = mixing.mix_spans(rows, block_words=1, seed=seed).collect()
+    held = defaultdict(int)
+    for r in spans:
+        held[r["shard"], int(r["source"][1:])] += r["words"]
+    assert dict(held) == {(s, c): n for (s, c), n in np.ndenumerate(draws) if n}
+
+
+def test_spans_are_what_is_taken(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    size = {r["doc_id"]: r for r in mixing.mix_sources(rows).select("doc_id", "size", "taken").collect()}
+    taken, slots = defaultdict(int), defaultdict(set)
+    for r in mixing.mix_spans(rows).collect():
+        assert r["first_word"] >= 0 < r["words"] and r["first_word"] + r["words"] <= size[r["doc_id"]]["size"]
+        taken[r["doc_id"]] += r["words"]
+        slots[r["source"], r["slot"]].add(r["shard"])
+    assert dict(taken) == {i: r["taken"] for i, r in size.items() if r["taken"]}
+    assert all(len(s) == 1 for s in slots.values())
+
+
 def test_edges(spark):
     check(docs(spark), 0.2)
     assert mixing.mix_sources(empty(spark)).count() == 0
