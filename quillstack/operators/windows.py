@@ -6,9 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..lineage import written
 from .gate import passed, routed
 from .vectors import dhash_bits
 
+SMALL_PICTURES = 100_000  # hashes of pictures that go to every task; more are joined by a shuffle
+
 
 def mark_duplicates(items: DataFrame, keys: tuple[str, ...] = ("media_type", "size_bytes", "sha256")) -> DataFrame:
     """duplicate_role: keep or candidate within groups of two or more by the keys, else single. Null, empty and `ERR_` hashes group nothing.
@@ -69,15 +72,21 @@ def first_k_signature(segments: DataFrame, k: int = 3) -> DataFrame:
     return top.groupBy("item_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_rn", "ref"))), lambda s: s["ref"]), "|").alias("signature"))
 
 
-def frame_fingerprint(frames: DataFrame, k: int = 3) -> DataFrame:
+def frame_fingerprint(frames: DataFrame, k: int = 3, pictures: DataFrame | None = None) -> DataFrame:
     """(item_id, signature): the dhash of each of the first k frames that have a picture, in order of start, joined by `|`.
 
-    frames (item_id, idx, start, luma): a 9 x 8 grid of each frame. A frame whose grid isn't 72 values has no hash, but keeps its
-    place among the first k; an item without any hash has no signature. Frames of one start go by idx.
+    frames (item_id, idx, start, luma): a 9 x 8 grid of each frame. Where frames share their grids, give frames (item_id, idx, start,
+    picture) and pictures (picture, luma): each is hashed once, and no grid travels with a frame. A frame whose grid isn't 72
+    values has no hash, but keeps its place among the first k; an item without any hash has no signature. Frames of one start go by idx.
     """
     rank = F.row_number().over(Window.partitionBy("item_id").orderBy("start", "idx"))
-    top = frames.where("luma is not null").withColumn("_rn", rank).where(f"_rn <= {k}")
-    hashed = top.select("item_id", "_rn", dhash_bits(F.col("luma")).alias("ref")).where("ref is not null")
+    if pictures is None:
+        top = frames.where("luma is not null").withColumn("_rn", rank).where(f"_rn <= {k}").select("item_id", "_rn", dhash_bits(F.col("luma")).alias("ref"))
+    else:
+        prints = written(pictures.where("luma is not null").select("picture", dhash_bits(F.col("luma")).alias("ref")), "prints")
+        prints = F.broadcast(prints) if prints.count() <= SMALL_PICTURES else prints
+        top = frames.select("item_id", "idx", "start", "picture").join(prints, "picture").withColumn("_rn", rank).where(f"_rn <= {k}").select("item_id", "_rn", "ref")
+    hashed = top.where("ref is not null")
     return hashed.groupBy("item_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_rn", "ref"))), lambda s: s["ref"]), "|").alias("signature"))
 
 

@@ -514,7 +514,7 @@ def similar(spark: SparkSession, d: str) -> DataFrame:
     """Three kinds: size and hash of the whole text; dhash of photos with a grid; dhashes of the first frames of videos with a timeline."""
     rows = live_items(spark, d)
     photos = rows.where("media_type = 'photo'").join(dhashes(spark, d).withColumnRenamed("vec_id", "item_id"), "item_id")
-    videos = rows.where("media_type = 'video'").join(windows.frame_fingerprint(frames(spark, d)).withColumnRenamed("signature", "prints"), "item_id")
+    videos = rows.where("media_type = 'video'").join(fingerprints(spark, d).withColumnRenamed("signature", "prints"), "item_id")
     exact = windows.similarity_index(rows, "exact", F.concat(F.coalesce(F.col("size_bytes").cast("string"), F.lit("")), F.lit(":"), "sha256"))
     return exact.union(windows.similarity_index(photos, "image_phash", F.col("dhash"))).union(windows.similarity_index(videos, "video_fingerprint", F.col("prints")))
 
@@ -536,15 +536,21 @@ def timeline(spark: SparkSession, d: str) -> DataFrame:
     return windows.timeline_segments(rows.select(F.col("user_id").alias("item_id"), refs.alias("refs"), times.alias("times")))
 
 
-def frames(spark: SparkSession, d: str) -> DataFrame:
-    """A frame for each timeline segment that shows something: the grid of the vector whose number is the length of its ref."""
-    grids = table(spark, d, "embeddings").select(F.col("vec_id").alias("picture"), grid().alias("luma"))
-    return timeline(spark, d).where("ref <> ''").withColumn("picture", F.length("ref").cast("long")).join(grids, "picture").select("item_id", "idx", "start", "luma")
+def frames(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """A frame for each timeline segment that shows something, and the pictures: the grid of the vector whose number is the length of its ref."""
+    shown = table(spark, d, "events").where("event_type <> 'click' and event_type <> ''").select(F.length("event_type").cast("long").alias("picture")).distinct()
+    grids = table(spark, d, "embeddings").select(F.col("vec_id").alias("picture"), grid().alias("luma")).join(shown, "picture", "left_semi")
+    return timeline(spark, d).where("ref <> ''").select("item_id", "idx", "start", F.length("ref").cast("long").alias("picture")), grids
+
+
+def fingerprints(spark: SparkSession, d: str) -> DataFrame:
+    shots, pictures = frames(spark, d)
+    return windows.frame_fingerprint(shots, pictures=pictures)
 
 
 @query(TIMELINE + ", " + DHASH + FRAMES + "select item_id, signature from y", items=False)
 def frame_fingerprint(spark, d):
-    return windows.frame_fingerprint(frames(spark, d))
+    return fingerprints(spark, d)
 
 
 @query(TIMELINE + 'select item_id, idx, start, "end", ref from l', items=False)

@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillstack.operators import batches, joins, reports, tagging, vectors, windows
+from quillstack.plans import catalog
 from quillstack.sources import readers
 
 
@@ -141,6 +142,22 @@ def test_frame_fingerprints(spark):
     assert {x["item_id"]: x["signature"] for x in got.collect()} == {1: "|".join([hashed[1], hashed[2], hashed[0]]), 2: hashed[0], 3: hashed[3]}
 
 
+@pytest.mark.parametrize("most", [0, windows.SMALL_PICTURES])
+def test_shared_pictures_are_hashed_once(spark, monkeypatch, most):
+    """The same signatures as with a grid in each frame, by the broadcast and by the shuffled join, and no grid beside a frame."""
+    monkeypatch.setattr(windows, "SMALL_PICTURES", most)
+    grids = [*np.random.default_rng(8).integers(0, 9, (3, 72)).astype(float).tolist(), [1.0], None]
+    rows = [(i, n, float(n * 7 % 5), (i * 3 + n) % 6) for i in range(20) for n in range(i % 7)]
+    shots = spark.createDataFrame(rows, "item_id long, idx int, start double, picture int")
+    pictures = spark.createDataFrame(list(enumerate(grids)), "picture int, luma array<double>")
+    whole = windows.frame_fingerprint(shots.join(pictures, "picture").drop("picture"))
+    got = windows.frame_fingerprint(shots, pictures=pictures)
+    assert "luma" not in plan(got)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, whole.collect())) and got.count() > 5
+    frames, few = catalog.frames(spark, "/root/testdata/sf0.001")
+    assert "luma" not in frames.columns and few.count() <= 4
+
+
 def test_feedback_by_category(spark):
     at = lambda d: datetime(2024, 1, d)
     tags = spark.createDataFrame([(i, t, "old", 0.9, s, "confirmed") for i in (1, 2, 3, 4) for t in ("a", "b") for s in ("keyword", "manual")], "item_id long, tag string, category string, confidence double, source string, state string")
