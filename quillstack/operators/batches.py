@@ -1,4 +1,4 @@
-"""Arrow batches in tasks: words of a caller's table in texts, and vectors as matrices."""
+"""What tasks do with texts and vectors: words of a caller's table in texts, by built-in functions or Arrow batches, and vectors as matrices."""
 
 from __future__ import annotations
 
@@ -7,17 +7,24 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+FEW_WORDS = 32  # words that are looked for one by one, without Python
+
 
 def found_words(rows: DataFrame, key: str, texts: Sequence[str], words: list[str]) -> DataFrame:
     """(key, word, place): each word that a text contains, once for each of the text columns (place is its number from 0).
 
-    One automaton holds all words, so that a text is read once, whatever their number. The caller bounds the words. Null texts
-    contain nothing; the empty word is in every other text.
+    Up to FEW_WORDS words are looked for by `contains`, so that no text goes to Python. Beyond, one automaton holds all words, so
+    that a text is read once, whatever their number; a Python worker holds batches of 10,000 texts or 64 MB at most. The caller
+    bounds the words. Null texts contain nothing; the empty word is in every other text.
     """
     always = "" in words
     wanted = sorted({w for w in words if w})
+    if 0 < len(set(words)) <= FEW_WORDS:
+        tests = [F.struct(F.lit(w).alias("word"), F.lit(place).alias("place"), F.contains(F.col(t), F.lit(w)).alias("_hit")) for w in sorted(set(words)) for place, t in enumerate(texts)]
+        return rows.select(key, *texts).select(key, F.inline(F.array(*tests))).where("_hit").drop("_hit")
     schema = T.StructType([rows.schema[key], T.StructField("word", T.StringType()), T.StructField("place", T.IntegerType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -172,6 +172,25 @@ def test_feedback_by_category(spark):
     assert sorted(r["detail"] for r in tagging.feedback_audit(table).where("item_id = 3").collect()) == ["a=-1", "a=1"]
 
 
+@pytest.mark.parametrize("most", [0, 3, 1000])
+def test_few_words_without_python(spark, monkeypatch, most):
+    """By `contains` and by the automaton the same words, as brute force finds them."""
+    monkeypatch.setattr(batches, "FEW_WORDS", most)
+    r = random.Random(5)
+    text = lambda n: "".join(r.choice("abé#_ 字\x00") for _ in range(n))
+    rows = [(i, text(r.randint(0, 6)), text(r.randint(0, 40))) for i in range(50)] + [(50, None, "ab"), (51, "ab", None), (52, "", ""), (53, None, None), (54, "x", "ab" * 30_000)]
+    table = spark.createDataFrame(rows, "id long, a string, b string")
+    for words in ([], [""], ["ab"], ["ab", "b", "ab", "", "字", "a%", "_", "\x00"], [text(r.randint(1, 3)) for _ in range(40)]):
+        got = batches.found_words(table, "id", ("a", "b"), words)
+        assert dict(got.dtypes) == {"id": "bigint", "word": "string", "place": "int"}
+        assert sorted(map(tuple, got.collect())) == sorted((i, w, p) for i, *texts in rows for p, t in enumerate(texts) if t is not None for w in set(words) if w in t)
+        assert ("MapInArrow" in plan(got)) == (not 0 < len(set(words)) <= most)
+
+
+def test_catalog_query_sends_no_text_to_python(spark):
+    assert "InArrow" not in plan(catalog.catalog_query(spark, "/root/testdata/sf0.001"))
+
+
 def test_import_counts_come_from_the_write(spark, tmp_path):
     lines = ['{"media_path":"p1","model":"m","embedding":[3.0,4.0]}', "broken", "", '{"media_path":"p1","model":"m","embedding":[0.0,2.0]}', '{"media_path":"p2","model":"m","embedding":[]}', '{"media_path":"gone","model":"m","embedding":[1.0]}', '{"media_path":"p3","model":"m","embedding":[1.0]}', '{"media_path":"held","model":"m","embedding":[1.0]}', '{"media_path":"p4","model":"m","embedding":["x"]}', '{"media_path":"p4","model":"m","embedding":[null]}']
     (tmp_path / "v.jsonl").write_text("\n".join(lines) + "\n")
